@@ -16,6 +16,22 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.rules import quality_rules, train_ngram_model
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, train_ngram_model(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.classifier import held_out, score_quality, train_quality_model
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    scores = score_quality(docs, train_quality_model(docs, labels))
+    return scores.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.substring import substring_dedup
 
@@ -24,6 +40,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
 }
