@@ -137,22 +137,26 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, per_class: int = 300
     return QualityModel(contexts, layers, 1 / slope, float(np.log(totals[1] / totals[0])))
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``doc_id, score, predicted`` for whole texts, in Arrow batches.
+def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (doc_id), ``score`` and ``predicted`` for whole texts,
+    in Arrow batches.
 
     A null or empty text is scored as the zero vector; rows with a null doc_id
     and repeated rows are scored like any other.
     """
-    forms = index_vectors(6)
+    forms, keep = index_vectors(6), keep or ["doc_id"]
+    chosen = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    schema = chosen.drop("__text").schema.add("score", "double").add("predicted", "integer")
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, part in slices(b.column(1), SLICE):
+            for lo, hi, part in slices(b.column(len(keep)), SLICE):
                 pooled = pooled_vectors(part, model.contexts, forms) if model.layers else np.zeros((part.n, 1))
                 score = model.probability(pooled)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                columns = [b.column(i).slice(lo, hi - lo) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(job, "doc_id long, score double, predicted int")
+    return chosen.mapInArrow(job, schema)
 
 
 def held_out(doc_id="doc_id") -> F.Column:

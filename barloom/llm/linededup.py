@@ -49,7 +49,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
                     h2.append(z)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, h1, h2)], names=["doc_id", *KEY])
 
-    return docs.where("doc_id is not null").mapInArrow(job, "doc_id long, h1 long, h2 long")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(job, "doc_id long, h1 long, h2 long")
 
 
 class LineRuns:
@@ -86,7 +86,7 @@ class LineRuns:
         return reduce(DataFrame.unionByName, more, runs).groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, keep: list[str] | None = None) -> DataFrame:
     """Drop lines that many documents share: ``doc_id, n_lines, n_dropped, kept``.
 
     A line's key is the line without ASCII white space at its ends, A-Z
@@ -95,9 +95,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     that holds them (all its lines with that key stay).  A null or empty text
     is one empty line.  Rows with a null doc_id stay whole and count for
     nothing; rows that repeat a doc_id count as one document and are treated
-    alike.  An empty table gives no rows.
+    alike.  An empty table gives no rows.  Columns named in ``keep`` stay, after
+    the others.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keep = keep or []
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
     cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
     place = reduce(lambda a, c: a + (F.col("doc_id") > int(c)).cast("int"), cuts, F.lit(0))
     lines = written(line_hashes(docs, min_chars).withColumn("batch", place), "lines", "batch")
@@ -118,6 +120,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
                     parts = [x for x in parts if (k := line_key(x, min_chars)) is None or _halves(k) not in out]
                 gone.append(total[-1] - len(parts))
                 kept.append("\n".join(parts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
-
-    return docs.join(drops, "doc_id", "left").select("doc_id", "text", "drops").mapInArrow(job, "doc_id long, n_lines long, n_dropped long, kept string")
+            others = [b.column(3 + i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), *others], names=["doc_id", "n_lines", "n_dropped", "kept", *keep])
+
+    wide = docs.join(drops, "doc_id", "left").select("doc_id", "text", "drops", *keep)
+    schema = wide.select("doc_id").schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
+    for name in keep:
+        schema = schema.add(wide.schema[name])
+    return wide.mapInArrow(job, schema)
