@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import written
-from barloom.llm.vocabulary import WordEncoder
+from barloom.llm.vocabulary import encoder
 
 WIDTHS = (10, 6, 16)
 BLOCK = 512
@@ -117,7 +117,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = 1) -> Da
     """
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(vocabulary), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         docs_, ends, size, start = [], [], 0, 0
 
@@ -129,7 +129,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = 1) -> Da
 
         for b in batches:
             names = b.column(0).to_pylist()
-            for lo, hi, flat, counts in encoder.texts(b.column(1), end_id):
+            for lo, hi, flat, counts in encoder(vocabulary).texts(b.column(1), end_id):
                 cut = np.concatenate([[0], np.cumsum(counts)])
                 first = 0
                 for i in range(hi - lo):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.textkit import slices
-from barloom.llm.vocabulary import SLICE, distinct_words
+from barloom.llm.vocabulary import SLICE, WordCache
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
@@ -131,6 +131,12 @@ def automaton(vocabulary: str) -> Automaton:
     return Automaton([(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())])
 
 
+@lru_cache(maxsize=1)
+def counted(vocabulary: str) -> WordCache:
+    """Counts of words that earlier tasks of this worker met."""
+    return WordCache()
+
+
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of whole texts.
 
@@ -139,12 +145,10 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = automaton(vocabulary)
+        cutter, cache = automaton(vocabulary), counted(vocabulary)
         for b in batches:
             for lo, hi, part in slices(b.column(1), SLICE):
-                _, first, which = distinct_words(part)
-                starts = part.starts[first]
-                per_word = cutter.counts(part.data, starts, part.ends[first] - starts)[which] if len(first) else np.zeros(0, np.int64)
+                per_word = cache.get(part.hashes(), lambda i: cutter.counts(part.data, part.starts[i], part.ends[i] - part.starts[i]))
                 total = np.concatenate([[0], np.cumsum(per_word)])
                 tokens = total[part.first[1:]] - total[part.first[:-1]]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(part.counts.astype(np.int64)), pa.array(tokens.astype(np.int64))], names=["doc_id", "n_words", "n_tokens"])
