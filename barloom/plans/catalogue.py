@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from barloom.operators import analytics as a
+from barloom.operators import quant as q
+from barloom.operators import scans as s
 from barloom.operators import technical as t
-from barloom.plans import oracles_technical
-from barloom.sources.bars import bars
+from barloom.plans import oracles_analytics, oracles_quant, oracles_technical
+from barloom.plans.oracles_analytics import MIX, TRIO
+from barloom.sources.bars import bars, bars_hourly, bars_stock, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +22,96 @@ def on_bars(operator: Callable[..., DataFrame], **settings) -> Query:
     return lambda spark, sf_dir: operator(bars(spark, sf_dir), **settings)
 
 
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars_hourly(spark, sf_dir).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("hour"), "open", "high", "low", "close", "volume")
+
+
+def _for_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame([("AF",), ("ZZ",), ("RO",)], "symbol string")
+    return s.for_symbols(bars(spark, sf_dir), wanted).groupBy("symbol").agg(F.count("date").alias("n"), F.max("date").alias("last"))
+
+
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.functions.series import numbered
+
+    raw = numbered(bars(spark, sf_dir))  # spoil some candles
+    raw = raw.withColumn("high", F.when(F.col("i") % 37 == 0, F.col("low") - 1).otherwise(F.col("high")))
+    raw = raw.withColumn("open", F.when(F.col("i") % 53 == 0, 0.0).otherwise(F.col("open")))
+    return s.clean_candles(raw.drop("i", "is_last"))
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir)
+    return s.ingest(b.where("date < '2000-01-01'"), b)
+
+
+def _backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir)
+    new = b.where("date >= '1999-01-01'").withColumn("adjusted_close", F.round(F.col("close") / 2, 6))
+    return s.backfill(b.where("date < '2000-01-01'"), new)
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    members = nation.select(F.col("r_name").alias("universe"), F.col("n_name").alias("symbol"), "n_nationkey")
+    return s.refresh_members(members.where("n_nationkey % 3 <> 0"), members.where("n_nationkey % 2 = 0"))
+
+
+def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir)
+    return s.asof(b.select("symbol", "date", "close"), s.month_ends(b).withColumnRenamed("close", "month_close"), ["symbol"], "date", "month_close")
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quarter = F.trunc("date", "quarter")
+    q = bars(spark, sf_dir).groupBy("symbol", quarter.alias("q")).agg(F.max("date").alias("period"), F.max_by("close", "date").alias("value"))
+    return s.nearest_before(q.drop("q"))
+
+
+def _interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir)
+    pays = s.month_ends(b).select("symbol", F.col("date").alias("ex_date"), (F.floor("close") / 100.0).alias("amount"))
+    y = F.year("date")
+    wins = b.select("symbol", F.make_date(y - 1, F.lit(12), F.lit(31)).alias("start"), F.make_date(y, F.lit(12), F.lit(31)).alias("stop")).distinct()
+    return s.interval_sums(wins, pays)
+
+
+def _registries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = [("customer", "c_mktsegment", "segment"), ("part", "p_brand", "brand"), ("part", "p_type", "type"), ("region", "r_name", "region")]
+    return s.union_registries(*[table(spark, sf_dir, n).select(F.col(x).alias("symbol"), F.lit(k).alias("kind")) for n, x, k in named])
+
+
 QUERIES: dict[str, Query] = {
+    "bars_daily": lambda spark, d: bars(spark, d),
+    "bars_stock_daily": lambda spark, d: bars_stock(spark, d).drop("adjusted_close"),
+    "bars_hourly": _hourly,
+    "bars_last_n": on_bars(s.last_bars, n=30),
+    "bars_for_symbols": _for_symbols,
+    "bars_clean_candles": _clean,
+    "bars_weekly_fri": on_bars(s.weekly),
+    "ingest_anti_join": _ingest,
+    "backfill_upsert": _backfill,
+    "universe_soft_delete": _members,
+    "date_aligned_returns": on_bars(s.aligned_returns, symbols=TRIO),
+    "asof_month_end": _asof,
+    "nearest_year_ago": _nearest,
+    "interval_dividend_sum": _interval,
+    "union_registries": _registries,
+    "misaligned_dates": on_bars(s.misaligned_dates, symbols=TRIO),
+    "bars_freshness": on_bars(s.freshness, as_of="2001-11-07"),
+    "downsample": on_bars(s.downsample, points=50),
+    "month_ends": on_bars(s.month_ends),
+    "bar_gaps": on_bars(s.gaps, days=2),
+    "snapshot": on_bars(a.snapshot),
+    "quote": on_bars(a.quote),
+    "performance_series": on_bars(a.performance_series),
+    "performance_stats": on_bars(a.performance_stats),
+    "max_drawdown": on_bars(a.max_drawdown),
+    "risk_metrics": on_bars(a.risk_metrics, benchmark="NO"),
+    "correlation_matrix": on_bars(a.correlation_matrix),
+    "allocation_mix": on_bars(a.allocation_mix, weights=MIX),
+    "vt_comparison": on_bars(a.buy_and_hold_comparison, one="AF", split={"NO": 0.6, "RF": 0.4}),
+    "dashboard_movers": on_bars(a.movers),
     "bollinger_latest": on_bars(t.bollinger),
     "better_breakout": on_bars(t.better_breakout),
     "sma_trend": on_bars(t.sma_trend),
@@ -37,5 +131,17 @@ QUERIES: dict[str, Query] = {
     "ta_candles": on_bars(t.ta_candles),
     "mswing": on_bars(t.swing_momentum),
     "candlestick_patterns": on_bars(t.candlestick_patterns),
+    "evar_risk": on_bars(q.evar_risk),
+    "momentum_reversal": on_bars(q.momentum_reversal),
+    "avalanches": lambda spark, d: q.avalanches(bars(spark, d)).withColumn("size", F.round("size", 6)),
+    "soc_avalanche": on_bars(q.avalanche_power_law, at_least=5),
+    "wavelet_trend": on_bars(q.wavelet_trend),
+    "crash_warning": on_bars(q.crash_warning),
+    "crash_validation": on_bars(q.crash_validation),
+    "acf_squared_returns": on_bars(q.autocorrelation),
+    "shock_asymmetry": on_bars(q.shock_asymmetry),
+    "leverage_correlations": on_bars(q.leverage_correlations),
+    "volatility_rank": on_bars(q.rolling_volatility_rank),
+    "linear_channel": on_bars(q.linear_channel),
 }
-ORACLES: dict[str, str] = {**oracles_technical.ORACLES}
+ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES}
