@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import analytics as a
+from barloom.operators import calendars as k
 from barloom.operators import quant as q
 from barloom.operators import scans as s
 from barloom.operators import technical as t
-from barloom.plans import oracles_analytics, oracles_quant, oracles_technical
+from barloom.plans import oracles_analytics, oracles_calendar, oracles_quant, oracles_technical
 from barloom.plans.oracles_analytics import MIX, TRIO
+from barloom.plans.oracles_calendar import AS_OF
 from barloom.sources.bars import bars, bars_hourly, bars_stock, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +83,29 @@ def _registries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.union_registries(*[table(spark, sf_dir, n).select(F.col(x).alias("symbol"), F.lit(k).alias("kind")) for n, x, k in named])
 
 
+def tags(b: DataFrame) -> DataFrame:
+    """A small registry of tags for each symbol."""
+    kind = F.when(F.col("symbol").endswith("F"), "fixed").otherwise("open")
+    return b.select("symbol").distinct().withColumn("tags", F.array(kind, F.concat(F.lit("letter "), F.substring("symbol", 1, 1)), F.lit("all")))
+
+
+def _tagged(operator) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        b = bars(spark, sf_dir)
+        return operator(b, tags(b))
+
+    return run
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = k.weekly_features(s.weekly(bars(spark, sf_dir)))
+    return f.select("symbol", "week", *[F.round(x, 6).alias(x) for x in ("cmf", "percent_b", "volatility", "downside")])
+
+
+def _annual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k.annual_cells(bars(spark, sf_dir), AS_OF).select("symbol", "year", "status", F.round(F.col("r") * 100, 6).alias("return_percent"))
+
+
 QUERIES: dict[str, Query] = {
     "bars_daily": lambda spark, d: bars(spark, d),
     "bars_stock_daily": lambda spark, d: bars_stock(spark, d).drop("adjusted_close"),
@@ -143,5 +168,17 @@ QUERIES: dict[str, Query] = {
     "leverage_correlations": on_bars(q.leverage_correlations),
     "volatility_rank": on_bars(q.rolling_volatility_rank),
     "linear_channel": on_bars(q.linear_channel),
+    "seasonal_months": on_bars(k.seasonal_months, as_of=AS_OF),
+    "seasonal_quarters": on_bars(k.seasonal_periods, as_of=AS_OF, months=3),
+    "seasonal_years": on_bars(k.seasonal_periods, as_of=AS_OF, months=12),
+    "seasonal_summary": on_bars(k.seasonal_summary, as_of=AS_OF),
+    "diversification_annual": _annual,
+    "diversification_ranking": on_bars(k.diversification, weights=MIX, as_of=AS_OF),
+    "corporate_action_warnings": on_bars(k.adjustment_warnings),
+    "tlt_cycle": on_bars(k.monthly_cycle),
+    "factor_momentum": _tagged(k.factor_momentum),
+    "factor_scores": _tagged(k.symbol_factor_scores),
+    "regime_features": _features,
+    "regime_composite": lambda spark, d: k.composite_scores(s.weekly(bars(spark, d))),
 }
-ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES}
+ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES}
