@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from barloom.operators import analytics as a
 from barloom.operators import calendars as k
+from barloom.operators import dividends as dv
+from barloom.operators import portfolio as p
 from barloom.operators import quant as q
 from barloom.operators import scans as s
+from barloom.operators import screeners as sc
 from barloom.operators import technical as t
-from barloom.plans import oracles_analytics, oracles_calendar, oracles_quant, oracles_technical
+from barloom.plans import oracles_analytics, oracles_calendar, oracles_portfolio, oracles_quant, oracles_technical
 from barloom.plans.oracles_analytics import MIX, TRIO
 from barloom.plans.oracles_calendar import AS_OF
 from barloom.sources.bars import bars, bars_hourly, bars_stock, table
+from barloom.sources.fundamentals import annual_eps, fundamentals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +110,44 @@ def _annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.annual_cells(bars(spark, sf_dir), AS_OF).select("symbol", "year", "status", F.round(F.col("r") * 100, 6).alias("return_percent"))
 
 
+def payments(b: DataFrame) -> DataFrame:
+    """Quarterly payments made from the last bar of every third month."""
+    ends = b.groupBy("symbol", F.trunc("date", "month").alias("m")).agg(F.max("date").alias("ex_date"), F.max_by("close", "date").alias("close"))
+    special = (F.month("ex_date") == 6) & (F.year("ex_date") % 3 == 0)
+    return ends.where(F.month("ex_date") % 3 == 0).select("symbol", "ex_date", (F.floor("close") / 100.0).alias("amount"), special.alias("is_special"))
+
+
+def fund_eps(b: DataFrame) -> DataFrame:
+    return b.groupBy("symbol", F.year("date").cast("long").alias("year")).agg((F.floor(F.max("close")) / 50.0).alias("eps"))
+
+
+def on_payments(operator: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(payments(bars(spark, sf_dir)))
+
+
+def _canslim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars_stock(spark, sf_dir)
+    members = table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    members = members.unionByName(spark.createDataFrame([("Nobody",)], "symbol string"))
+    return sc.canslim_stocks(b, fundamentals(spark, sf_dir), annual_eps(spark, sf_dir), members, sc.market_direction(b, "Brand#1"))
+
+
+def _graham(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.functions.series import latest, numbered
+
+    return sc.graham(fundamentals(spark, sf_dir), latest(numbered(bars_stock(spark, sf_dir))).select("symbol", "close"))
+
+
+def _fed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = bars(spark, sf_dir).where("symbol = 'AF'").select("date", (F.col("close") / 40).alias("y"))
+    return sc.fed_model(fundamentals(spark, sf_dir), rates)
+
+
+def _eps_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = sc.annual_growth(annual_eps(spark, sf_dir))
+    return g.select("symbol", "years", F.round("growth", 6).alias("growth"), F.round("cagr", 6).alias("cagr"))
+
+
 QUERIES: dict[str, Query] = {
     "bars_daily": lambda spark, d: bars(spark, d),
     "bars_stock_daily": lambda spark, d: bars_stock(spark, d).drop("adjusted_close"),
@@ -179,6 +221,29 @@ QUERIES: dict[str, Query] = {
     "factor_momentum": _tagged(k.factor_momentum),
     "factor_scores": _tagged(k.symbol_factor_scores),
     "regime_features": _features,
+    "volatility_harvesting": on_bars(p.harvest_path, weights=MIX, frequency="quarter", cost=0.001),
+    "vol_harvest_frequency_grid": on_bars(p.frequency_grid, weights=MIX),
+    "vol_harvest_cost_grid": on_bars(p.cost_grid, weights=MIX),
+    "covariances": on_bars(p.covariances, symbols=list(MIX)),
+    "canslim_etf": on_bars(sc.canslim_etf),
+    "relative_strength_rank": lambda spark, d: sc.relative_strength(bars_stock(spark, d)),
+    "market_direction": lambda spark, d: sc.market_direction(bars_stock(spark, d), "Brand#1"),
+    "annual_eps_growth": _eps_growth,
+    "canslim_stock": _canslim,
+    "canslim_page": lambda spark, d: sc.page(_canslim(spark, d), 2, 5, 10),
+    "magic_formula": lambda spark, d: sc.magic_formula(fundamentals(spark, d)),
+    "graham_valuation": _graham,
+    "fed_model": _fed,
+    "composite_score": lambda spark, d: sc.composite(bars_stock(spark, d), fundamentals(spark, d)),
+    "dividend_annual_table": on_payments(lambda x: dv.annual_table(x, AS_OF)),
+    "dividend_modal_count": on_payments(lambda x: dv.modal_counts(dv.annual_table(x, AS_OF))),
+    "dividend_yield": lambda spark, d: dv.yields(payments(bars(spark, d)), bars(spark, d), AS_OF),
+    "dividend_growth": on_payments(lambda x: dv.growth(dv.annual_table(x, AS_OF))),
+    "dividend_trend": on_payments(lambda x: dv.trend(dv.annual_table(x, AS_OF))),
+    "dividend_cut_events": on_payments(dv.cut_events),
+    "dividend_status": on_payments(lambda x: dv.payment_status(x, AS_OF)),
+    "payout_ratio": lambda spark, d: dv.payout(payments(bars(spark, d)), fund_eps(bars(spark, d))),
+    "cut_risk": lambda spark, d: dv.cut_risk(payments(bars(spark, d)), fund_eps(bars(spark, d)), AS_OF),
     "regime_composite": lambda spark, d: k.composite_scores(s.weekly(bars(spark, d))),
 }
-ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES}
+ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES, **oracles_portfolio.ORACLES}
