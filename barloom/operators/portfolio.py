@@ -87,3 +87,14 @@ def covariances(bars: DataFrame, symbols: list[str]) -> DataFrame:
     r = common_dates(bars, symbols).select("symbol", "date", (F.log("close") - F.log(lag("close"))).alias("r")).where("r is not null")
     pairs = r.select("date", c("symbol").alias("a"), c("r").alias("x")).join(r.select("date", c("symbol").alias("b"), c("r").alias("y")), "date")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), r6(F.covar_samp("x", "y") * 252).alias("covariance"), r6(F.avg("x") * 252).alias("mean_a"))
+
+
+def whole_shares(bars: DataFrame, initial: float, rate: float, flat: float) -> DataFrame:
+    """Whole shares that ``initial`` buys on the first day, with costs, and what
+    they and the rest are worth on the last."""
+    g = bars.groupBy("symbol").agg(F.min_by("adjusted_close", "date").alias("first"), F.max_by("adjusted_close", "date").alias("last"), F.datediff(F.max("date"), F.min("date")).alias("days"))
+    shares = F.floor(F.greatest(F.lit(initial - flat), F.lit(0.0)) / (c("first") * (1 + rate)))
+    g = g.withColumn("shares", shares).withColumn("cash", initial - F.when(c("shares") > 0, c("shares") * c("first") * (1 + rate) + flat).otherwise(0.0))
+    g = g.withColumn("final", c("cash") + c("shares") * c("last"))
+    years = c("days") / 365.25
+    return g.select("symbol", "shares", r6("cash").alias("cash"), r6("final").alias("final"), r6((F.pow(F.greatest(c("final") / initial, F.lit(0.0)), 1 / years) - 1) * 100).alias("annual_percent"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +11,19 @@ from pyspark.sql import functions as F
 from barloom.operators import analytics as a
 from barloom.operators import calendars as k
 from barloom.operators import dividends as dv
+from barloom.operators import models as m
 from barloom.operators import portfolio as p
 from barloom.operators import quant as q
 from barloom.operators import scans as s
 from barloom.operators import screeners as sc
 from barloom.operators import technical as t
-from barloom.plans import oracles_analytics, oracles_calendar, oracles_portfolio, oracles_quant, oracles_technical
+from barloom.plans import oracles_analytics, oracles_calendar, oracles_portfolio, oracles_quant, oracles_stream, oracles_technical
 from barloom.plans.oracles_analytics import MIX, TRIO
 from barloom.plans.oracles_calendar import AS_OF
 from barloom.sources.bars import bars, bars_hourly, bars_stock, table
 from barloom.sources.fundamentals import annual_eps, fundamentals
+from barloom.sources.scratch import shared_dir
+from barloom.streaming import bars as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,6 +152,41 @@ def _eps_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("symbol", "years", F.round("growth", 6).alias("growth"), F.round("cagr", 6).alias("cagr"))
 
 
+def _streamed(operator, view: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return view(st.run_to_table(operator(st.event_stream(spark, sf_dir)), shared_dir(spark)))
+
+    return run
+
+
+def _stamp(*names: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.withColumns({n: F.date_format(n, "yyyy-MM-dd HH:mm:ss") for n in names})
+
+
+def _averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = st.run_to_memory(st.running_average(st.event_stream(spark, sf_dir)), f"averages_{uuid.uuid4().hex}")
+    return out.select("symbol", F.round("average", 6).alias("average"), "n")
+
+
+def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    value = F.when(F.col("c_custkey") % 5 == 0, "NA").when(F.col("c_custkey") % 7 == 0, None).otherwise((F.col("c_custkey") % 40).cast("string"))
+    date = F.when(F.col("c_custkey") % 11 == 0, "bad").otherwise(F.concat(F.lit("2001-0"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit("-15T00:00")))
+    rows = c.select(F.col("c_mktsegment").alias("symbol"), date.alias("date"), value.alias("value"), (F.col("c_custkey") % 30).cast("string").alias("unadjusted"), (F.col("c_custkey") % 13 == 0).alias("special"))
+    return dv.parse(rows, "2001-06-30")
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = spark.createDataFrame([(a, b) for a in (1.5, 2.0, 2.5, 3.0) for b in (1.0, 1.5, 2.0, 3.0)], "stop double, target double")
+    return m.band_backtest(bars(spark, sf_dir), settings)
+
+
+def _regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weeks = s.weekly(bars(spark, sf_dir))
+    clusters = m.two_clusters(m.regime_distances(k.weekly_features(weeks)))
+    return k.composite_scores(weeks).join(clusters, "symbol", "left")
+
+
 QUERIES: dict[str, Query] = {
     "bars_daily": lambda spark, d: bars(spark, d),
     "bars_stock_daily": lambda spark, d: bars_stock(spark, d).drop("adjusted_close"),
@@ -244,6 +283,21 @@ QUERIES: dict[str, Query] = {
     "dividend_status": on_payments(lambda x: dv.payment_status(x, AS_OF)),
     "payout_ratio": lambda spark, d: dv.payout(payments(bars(spark, d)), fund_eps(bars(spark, d))),
     "cut_risk": lambda spark, d: dv.cut_risk(payments(bars(spark, d)), fund_eps(bars(spark, d)), AS_OF),
+    "buy_and_hold_shares": on_bars(p.whole_shares, initial=10000.0, rate=0.001, flat=1.0),
+    "dividend_parse": _parse,
+    "hmm_regime": on_bars(m.hmm_regime),
+    "garch_fit": on_bars(m.garch),
+    "first_passage_time": on_bars(m.first_passage),
+    "ema_bollinger_atr_backtest": _grid,
+    "rotation_backtest": on_bars(m.rotation_backtest, risky="AF", hedge="NO", shelter="RF"),
+    "randomized_simulation": on_bars(m.random_portfolios, symbol="NO"),
+    "simulation_summary": lambda spark, d: m.simulation_summary(m.random_portfolios(bars(spark, d), "NO")),
+    "portfolio_optimization": on_bars(m.optimize, symbols=list(MIX)),
+    "market_regime": _regime,
+    "stream_hourly_ohlcv": _streamed(st.hourly_bars, _stamp("ts")),
+    "stream_dedup_ingest": _streamed(st.unique_events, lambda df: df.select("event_id", "user_id", "event_type", "value")),
+    "stream_session_users": _streamed(st.user_sessions, _stamp("start", "stop")),
+    "stream_ema_state": _averages,
     "regime_composite": lambda spark, d: k.composite_scores(s.weekly(bars(spark, d))),
 }
-ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES, **oracles_portfolio.ORACLES}
+ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES, **oracles_portfolio.ORACLES, **oracles_stream.ORACLES}
