@@ -124,7 +124,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (common.n if common else 0))
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, setting: Curves = Curves()) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: F.Column | str, k: int = 5, setting: Curves = Curves()) -> DataFrame:
     """The k nearest found for each query row by cosine: ``query_id, rank,
     vec_id, score``; all other rows are candidates.
 
