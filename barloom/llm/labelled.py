@@ -21,7 +21,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = clean.where("y = 0").orderBy(*order).limit(per_class).unionByName(clean.where("y = 1").orderBy(*order).limit(per_class))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    return written(sample, "labelled").repartition(8, "doc_id"), totals
+    # a few tasks, since each sends a partial sum of fixed size to the driver
+    return written(sample, "labelled").coalesce(8), totals
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
