@@ -100,7 +100,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     """
     keep = keep or []
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
-    cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
+    cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     place = reduce(lambda a, c: a + (F.col("doc_id") > int(c)).cast("int"), cuts, F.lit(0))
     lines = written(line_hashes(docs, min_chars).withColumn("batch", place), "lines", "batch")
     runs = LineRuns()
