@@ -22,6 +22,7 @@ from barloom.llm.common import written
 
 SPACE = " \t\n\v\f\r"
 KEY = ["h1", "h2"]
+HOT_KEYS = 1000
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -106,8 +107,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     runs = LineRuns()
     for i in reversed(range(len(cuts) + 1)):
         runs.add(lines.where(F.col("batch") == i).select("doc_id", *KEY).distinct())
-    common = runs.totals().where(F.col("n") >= min_docs).select(*KEY, "last")
-    drops = lines.join(common, KEY).where("doc_id <> last").groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("drops"))
+    common = written(runs.totals().where(F.col("n") >= min_docs), "common")
+    # Keys with more than a thousandth of all lines are less than a thousand:
+    # they are broadcast, so that no task gets all lines of such a key.
+    many = lines.count() / HOT_KEYS
+    hot = F.broadcast(common.where(F.col("n") > many).select(*KEY, F.col("last").alias("hot_last")))
+    tagged = lines.join(hot, KEY, "left")
+    met = tagged.where("hot_last is null").join(common.where(F.col("n") <= many).select(*KEY, "last"), KEY)
+    met = met.select("doc_id", *KEY, "last").unionByName(tagged.where("hot_last is not null").select("doc_id", *KEY, F.col("hot_last").alias("last")))
+    drops = met.where("doc_id <> last").groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("drops"))
 
     def job(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
