@@ -94,3 +94,41 @@ def with_supertrend(bars: DataFrame, n: int, k: float) -> DataFrame:
     for name, kind in (("line", "double"), ("side", "integer"), ("ha_close", "double"), ("ha_open", "double")):
         schema = schema.add(name, kind)
     return bars.groupBy("symbol").applyInPandas(job, schema)
+
+
+def with_ema(df: DataFrame, x: str, n: int, out: str, order: str = "date") -> DataFrame:
+    """Adds the EMA of a column; it starts at the column's first value."""
+
+    def job(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(order, ignore_index=True)
+        f[out] = ema(f[x], n)
+        return f
+
+    return df.groupBy("symbol").applyInPandas(job, T.StructType(list(df.schema.fields)).add(out, "double"))
+
+
+def adx(f: pd.DataFrame, n: int = 14) -> pd.Series:
+    """Wilder's directional index: how one-sided highs and lows move."""
+    up, down = f["high"].diff(), -f["low"].diff()
+    plus = wilder(up.where((up > down) & (up > 0), 0.0), n)
+    minus = wilder(down.where((down > up) & (down > 0), 0.0), n)
+    total = (plus + minus).where(lambda x: x > 0)
+    return wilder(100 * (plus - minus).abs() / total, n)
+
+
+def with_weekly_indicators(weeks: DataFrame) -> DataFrame:
+    """Weekly bars (in ``date``) with RSI 14, MACD histogram, PPO and ADX 14."""
+
+    def job(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("date", ignore_index=True)
+        fast, slow = ema(f["close"], 12), ema(f["close"], 26)
+        f["rsi"] = rsi(f["close"])
+        f["macd_hist"] = (fast - slow) - ema(fast - slow, 9)
+        f["ppo"] = (fast - slow) / slow * 100
+        f["adx"] = adx(f)
+        return f
+
+    schema = T.StructType(list(weeks.schema.fields))
+    for name in ("rsi", "macd_hist", "ppo", "adx"):
+        schema = schema.add(name, "double")
+    return weeks.groupBy("symbol").applyInPandas(job, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.recursive import with_weekly_indicators
 from barloom.functions.series import lag, latest, numbered, r6, rows, std
 
 c = F.col
@@ -126,9 +127,16 @@ def symbol_factor_scores(bars: DataFrame, tags: DataFrame) -> DataFrame:
     return long.join(means, "tag").groupBy("symbol").agg(r6(F.max("month")).alias("month_percent"), r6(F.avg("mean")).alias("score"), F.count("*").alias("n_tags"))
 
 
-def weekly_features(weeks: DataFrame) -> DataFrame:
-    """Money flow, band position, volatility and downside of weekly bars."""
-    df = weeks.withColumnRenamed("week", "date").withColumn("r", c("close") / lag("close") - 1)
+FEATURES = {"rsi": 1, "macd_hist": 1, "ppo": 1, "cmf": 1, "percent_b": 1, "volatility": -1, "downside": -1, "scaled_return": 1, "adx": 0}
+
+
+def weekly_features(weeks: DataFrame, benchmark: str) -> DataFrame:
+    """Nine features of weekly bars: ``symbol, week`` and the keys of FEATURES.
+
+    The scaled return is a week's return over its volatility less the
+    benchmark's (zero for the benchmark itself, null where it has no such week).
+    """
+    df = with_weekly_indicators(weeks.withColumnRenamed("week", "date")).withColumn("r", c("close") / lag("close") - 1)
     span = c("high") - c("low")
     df = df.withColumn("flow", F.when(span > 0, ((c("close") - c("low")) - (c("high") - c("close"))) / span).otherwise(0.0) * c("volume"))
     volume = F.sum("volume").over(rows(20))
@@ -138,21 +146,35 @@ def weekly_features(weeks: DataFrame) -> DataFrame:
     down = F.least("r", F.lit(0.0))
     downside = F.when(F.count("r").over(rows(12)) == 12, F.sqrt(F.avg(down * down).over(rows(12))) * F.sqrt(F.lit(52.0)))
     df = df.withColumn("cmf", cmf).withColumn("percent_b", band).withColumn("volatility", std("r", 12) * F.sqrt(F.lit(52.0))).withColumn("downside", downside)
-    return df.select("symbol", c("date").alias("week"), "cmf", "percent_b", "volatility", "downside")
+    df = df.withColumn("own", F.when(c("volatility") > 0, c("r") / c("volatility")))
+    base = df.where(c("symbol") == benchmark).select("date", c("own").alias("base"))
+    df = df.join(base, "date", "left").withColumn("scaled_return", F.when(c("symbol") == benchmark, 0.0).otherwise(c("own") - c("base")))
+    return df.select("symbol", c("date").alias("week"), *FEATURES)
 
 
-def composite_scores(weeks: DataFrame) -> DataFrame:
-    """Mean of signed z-scores (volatility and downside negative) over a symbol's
-    whole history, and a logistic score; the last week of each symbol."""
-    df = weekly_features(weeks)
+def standardized(features: DataFrame, gate: int = 90) -> DataFrame:
+    """Features as z-scores over each symbol's own history (no variance: zero),
+    and ``composite``: the mean of signed scores, ADX with MACD's sign."""
     every = Window.partitionBy("symbol")
-    z = []
-    for name, sign in (("cmf", 1), ("percent_b", 1), ("volatility", -1), ("downside", -1)):
+    df = features.withColumn("n_weeks", F.count("*").over(every)).where(c("n_weeks") >= gate)
+    for name in FEATURES:
         sd = F.stddev_samp(name).over(every)
-        df = df.withColumn(f"z_{name}", F.when(sd > 0, sign * (c(name) - F.avg(name).over(every)) / sd).when(c(name).isNotNull(), 0.0))
-        z.append(f"z_{name}")
-    kept = F.filter(F.array(*z), lambda x: x.isNotNull())
-    df = df.withColumn("composite", F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept)))
+        df = df.withColumn(f"z_{name}", F.when(sd > 0, (c(name) - F.avg(name).over(every)) / sd).when(c(name).isNotNull(), 0.0))
+    signed = [c(f"z_{x}") * k for x, k in FEATURES.items() if k] + [c("z_adx") * F.when(c("z_macd_hist") >= 0, 1.0).when(c("z_macd_hist") < 0, -1.0)]
+    kept = F.filter(F.array(*signed), lambda x: x.isNotNull())
+    return df.withColumn("composite", F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept)))
+
+
+def composite_scores(features: DataFrame) -> DataFrame:
+    """The composite at each symbol's last week and its logistic score."""
+    df = standardized(features)
     df = df.withColumn("is_last", F.lead("week").over(Window.partitionBy("symbol").orderBy("week")).isNull()).where("is_last")
     score = 100 / (1 + F.exp(-3 * c("composite")))
     return df.select("symbol", "week", r6("composite").alias("composite"), r6(score).alias("score"), F.when(score >= 50, "Risk-On").otherwise("Risk-Off").alias("regime"))
+
+
+def composite_chart(features: DataFrame, weeks: int = 104) -> DataFrame:
+    """Mean composite and volatility across symbols in the last weeks."""
+    df = standardized(features).groupBy("week").agg(F.avg("composite").alias("composite"), F.avg("volatility").alias("volatility"), F.count("composite").alias("n"))
+    df = df.where("n > 0").orderBy(F.desc("week")).limit(weeks)
+    return df.select("week", r6("composite").alias("composite"), r6("volatility").alias("volatility"), "n")

@@ -28,9 +28,10 @@ def evar_risk(bars: DataFrame, gate: int = 180) -> DataFrame:
     df = df.withColumn("evar", F.when(ok, F.greatest(F.lit(0.0), (z * F.stddev_samp("r").over(over) - F.avg("r").over(over)) * 100)))
     df = df.withColumn("seen", F.collect_list("evar").over(rows(120)))
     below, same = F.size(F.filter("seen", lambda x: x < c("evar"))), F.size(F.filter("seen", lambda x: x == c("evar")))
-    df = latest(df, gate).withColumn("rank", (below + (same + 1) / 2) / F.size("seen"))
-    level = F.when(c("rank") >= 0.85, "extreme").when(c("rank") >= 0.66, "high").when(c("rank") >= 0.33, "normal").otherwise("low")
-    return df.select("symbol", "date", r6("evar").alias("evar_percent"), r6("q").alias("q"), r6("rank").alias("rank"), level.alias("level"), r6(F.greatest(F.lit(20.0), F.least(F.lit(100.0), 100 - 80 * c("rank")))).alias("exposure"))
+    df = latest(df, gate).where(F.size("seen") == 120).withColumn("rank", (below + (same + 1) / 2) / 120 * 100)
+    band = lambda *names: F.when(c("rank") < 33, names[0]).when(c("rank") < 66, names[1]).when(c("rank") < 85, names[2]).otherwise(names[3])
+    exposure = F.greatest(F.lit(20.0), F.least(F.lit(100.0), 100 - 0.8 * c("rank")))
+    return df.select("symbol", "date", r6("evar").alias("evar_percent"), r6("q").alias("tsallis_q"), r6("rank").alias("percentile"), band("Low", "Moderate", "Elevated", "High").alias("level"), band("Calm", "Normal", "Elevated", "Stressed").alias("regime"), r6(exposure).alias("exposure"))
 
 
 def momentum_reversal(bars: DataFrame, gate: int = 15) -> DataFrame:
@@ -91,13 +92,17 @@ def with_crash_flags(bars: DataFrame) -> DataFrame:
     df = df.withColumn("cross", F.when((c("hist") < 0) & (c("h1") >= 0), 1).otherwise(0))
     df = df.withColumn("crossed", F.max("cross").over(rows(10)) == 1)
     usable = c("sma200").isNotNull() & c("signal").isNotNull() & c("rsi").isNotNull()
-    df = df.withColumn("old_high", F.max("close").over(rows(60, 5))).withColumn("old_rsi", F.max("rsi").over(rows(60, 5)))
+    # swing highs (the top of five bars on either side) count once confirmed
+    top = (c("close") == F.max("close").over(w().rowsBetween(-5, 5))) & (F.count("close").over(w().rowsBetween(-5, 5)) == 11) & c("rsi").isNotNull()
+    df = df.withColumn("swing", F.when(top, F.struct("i", "close", "rsi"))).withColumn("swings", F.collect_list("swing").over(w().rowsBetween(-59, -5)))
+    df = df.withColumn("new", F.try_element_at("swings", F.lit(-1)))
+    df = df.withColumn("old", F.try_element_at(F.filter("swings", lambda x: c("new.i") - x["i"] >= 5), F.lit(-1)))
     flags = {
         "below_sma200": c("close") < c("sma200"),
         "death_cross": c("sma50") < c("sma200"),
         "macd_down": (c("hist") < 0) & c("crossed"),
         "fading": (c("hist") < c("h1")) & (c("h1") < c("h2")) & (c("h2") < c("h3")),
-        "divergence": (c("close") > c("old_high")) & (c("rsi") < c("old_rsi")),
+        "divergence": (c("new.close") > c("old.close")) & (c("new.rsi") < c("old.rsi")),
     }
     for name, rule in flags.items():
         df = df.withColumn(name, F.coalesce(usable & rule, F.lit(False)))

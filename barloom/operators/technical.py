@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.recursive import with_indicators, with_supertrend
+from barloom.functions.recursive import with_ema, with_indicators, with_supertrend
 from barloom.functions.series import lag, latest, numbered, r6, rolling, rows, run_length, sma, so_far, std, true_range, whole
 
 c = F.col
@@ -134,13 +134,17 @@ def squeeze(bars: DataFrame, n: int = 20, gate: int = 40) -> DataFrame:
     and momentum: the fitted end of a line through close - middle."""
     df = numbered(bars).withColumn("tr", true_range())
     df = df.withColumn("mean", sma("close", n)).withColumn("sd", rolling(F.stddev_pop("close"), "close", n)).withColumn("range", sma("tr", n))
-    df = df.withColumn("on", (2 * c("sd") < 1.5 * c("range")))
+    df = df.withColumn("on", 2 * c("sd") < 1.5 * c("range")).withColumn("off", 2 * c("sd") > 1.5 * c("range"))
     middle = (rolling(F.max("high"), "high", n) + rolling(F.min("low"), "low", n)) / 2
-    df = df.withColumn("base", (middle + c("mean")) / 2).withColumn("y", c("close") - c("base"))
-    line = F.regr_intercept(c("y"), c("i").cast("double")).over(rows(n)) + F.regr_slope(c("y"), c("i").cast("double")).over(rows(n)) * c("i")
+    df = df.withColumn("y", c("close") - (middle + c("mean")) / 2)
+    x = c("i").cast("double")
+    line = F.regr_intercept(c("y"), x).over(rows(n)) + F.regr_slope(c("y"), x).over(rows(n)) * x
     df = df.withColumn("momentum", F.when(F.count("y").over(rows(n)) == n, line))
-    df = df.withColumn("was_on", lag("on")).withColumn("last_momentum", lag("momentum"))
-    return latest(df, gate).select("symbol", "date", c("on").alias("squeeze_on"), (c("was_on") & ~c("on")).alias("released"), r6("momentum").alias("momentum"), (c("momentum") > c("last_momentum")).alias("rising"))
+    df = df.withColumn("was_on", lag("on")).withColumn("before", lag("momentum"))
+    up = c("momentum") > c("before")
+    state = F.when(c("on"), "Squeeze On").when(c("off"), "Squeeze Released").otherwise("No Squeeze")
+    side = F.when(c("momentum") > 0, F.when(up, "Bullish Momentum (Strengthening)").otherwise("Bullish Momentum (Weakening)")).otherwise(F.when(up, "Bearish Momentum (Weakening)").otherwise("Bearish Momentum (Strengthening)"))
+    return latest(df, gate).select("symbol", "date", state.alias("squeeze_state"), (c("was_on") & c("off")).alias("released_today"), r6("momentum").alias("momentum"), F.when(up, "Rising").when(c("momentum") < c("before"), "Falling").otherwise("Flat").alias("direction"), side.alias("momentum_state"), *[r6(c("mean") + k * c(z)).alias(a) for a, k, z in (("upper_bb", 2, "sd"), ("lower_bb", -2, "sd"), ("upper_kc", 1.5, "range"), ("lower_kc", -1.5, "range"))])
 
 
 # Recursive averages
@@ -173,9 +177,9 @@ def triple_ma_pullback(bars: DataFrame, gate: int = 84) -> DataFrame:
     df = numbered(with_indicators(bars)).withColumn("ma1", sma("close", 20))
     df = df.withColumn("ma2", sma("ma1", 20)).withColumn("ma3", sma("ma2", 20)).withColumn("mean5", sma("close", 5))
     df = latest(df, gate).withColumn("entry", c("mean5") - c("atr")).withColumn("exit", c("mean5") + 0.5 * c("atr"))
-    up = c("close") > c("ma3")
-    label = F.when(up & (c("close") <= c("entry")), "entry").when(c("close") >= c("exit"), "exit").otherwise("wait")
-    return df.select("symbol", "date", *[r6(x).alias(x) for x in ("ma1", "ma2", "ma3", "mean5", "atr", "entry", "exit")], label.alias("label"))
+    up = (c("ma1") > c("ma2")) & (c("ma2") > c("ma3")) & (c("close") > c("ma3"))
+    label = F.when(up & (c("close") < c("entry")), "Pullback Entry Zone").when(up & (c("close") > c("exit")), "Uptrend - Exit Zone").when(up, "Uptrend - No Pullback").otherwise("No Confirmed Uptrend")
+    return df.select("symbol", "date", *[r6(x).alias(x) for x in ("ma1", "ma2", "ma3", "mean5", "atr", "entry", "exit")], up.alias("uptrend"), (c("close") > c("exit")).alias("exit_zone"), label.alias("label"))
 
 
 def supertrend_confirmation(bars: DataFrame, n: int = 10, k: float = 3.0, gate: int = 30) -> DataFrame:
@@ -214,12 +218,19 @@ def ta_candles(bars: DataFrame, gate: int = 74) -> DataFrame:
     return latest(df, gate).select("symbol", "date", trend.alias("trend"), r6("roc").alias("roc10"), r6("atr_percent").alias("atr_percent"), calm.alias("volatility"), (c("greens") / 10.0).alias("green_ratio"), "green_run")
 
 
-def swing_momentum(bars: DataFrame, gate: int = 69) -> DataFrame:
-    """Percent over 20 bars plus percent over 50, with its sign and SMA 50."""
-    df = numbered(bars).withColumn("swing", (c("close") / lag("close", 20) - 1) * 100 + (c("close") / lag("close", 50) - 1) * 100)
-    df = df.withColumn("last_swing", lag("swing")).withColumn("sma50", sma("close", 50))
-    state = F.when((c("swing") > 0) & (c("swing") >= c("last_swing")), "rising above zero").when(c("swing") > 0, "falling above zero").when(c("swing") >= c("last_swing"), "rising below zero").otherwise("falling below zero")
-    return latest(df, gate).select("symbol", "date", r6("swing").alias("swing"), state.alias("state"), (c("close") > c("sma50")).alias("above_sma50"), ((c("swing") > 0) & (c("last_swing") <= 0)).alias("crossed_up"))
+def swing_momentum(bars: DataFrame, index: str | None = None, gate: int = 69) -> DataFrame:
+    """Percent over 20 bars plus percent over 50, its EMA 9, SMA 50 of the close,
+    crosses, and strength against an index's own value."""
+    df = bars.withColumn("swing", (c("close") / lag("close", 20) - 1) * 100 + (c("close") / lag("close", 50) - 1) * 100)
+    df = numbered(with_ema(df, "swing", 9, "average")).withColumn("gap", c("swing") - c("average"))
+    df = df.withColumn("s1", lag("swing")).withColumn("g1", lag("gap")).withColumn("sma50", sma("close", 50))
+    above, strong, high = c("swing") > 0, c("swing") > c("average"), c("close") > c("sma50")
+    state = F.when(above & strong, "Strong bullish momentum").when(above, "Weakening bullish momentum").when(strong, "Recovering bearish momentum").otherwise("Bearish momentum")
+    df = latest(df, gate)
+    own = df.where(c("symbol") == index).select(c("swing").alias("index_swing"))  # one row at most
+    df = df.join(own, F.lit(True), "left")
+    crosses = {"zero_up": (c("s1") <= 0) & above, "zero_down": (c("s1") >= 0) & (c("swing") < 0), "ema_up": (c("g1") <= 0) & strong, "ema_down": (c("g1") >= 0) & (c("gap") < 0)}
+    return df.select("symbol", "date", *[r6(x).alias(x) for x in ("swing", "average", "sma50")], state.alias("state"), *[F.coalesce(x, F.lit(False)).alias(k) for k, x in crosses.items()], (above & strong & high).alias("bullish"), (~above | ~high | (c("swing") >= 4)).alias("exit"), r6(c("swing") - c("index_swing")).alias("relative_strength"))
 
 
 def candlestick_patterns(bars: DataFrame, lookback: int = 120) -> DataFrame:

@@ -105,9 +105,8 @@ def _tagged(operator) -> Query:
     return run
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = k.weekly_features(s.weekly(bars(spark, sf_dir)))
-    return f.select("symbol", "week", *[F.round(x, 6).alias(x) for x in ("cmf", "percent_b", "volatility", "downside")])
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k.weekly_features(s.weekly(bars(spark, sf_dir)), "NO")
 
 
 def _annual(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,12 +180,6 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.band_backtest(bars(spark, sf_dir), settings)
 
 
-def _regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = s.weekly(bars(spark, sf_dir))
-    clusters = m.two_clusters(m.regime_distances(k.weekly_features(weeks)))
-    return k.composite_scores(weeks).join(clusters, "symbol", "left")
-
-
 QUERIES: dict[str, Query] = {
     "bars_daily": lambda spark, d: bars(spark, d),
     "bars_stock_daily": lambda spark, d: bars_stock(spark, d).drop("adjusted_close"),
@@ -235,7 +228,7 @@ QUERIES: dict[str, Query] = {
     "supertrend_confirmation": on_bars(t.supertrend_confirmation),
     "heikin_ashi_setup": on_bars(t.heikin_ashi_setup),
     "ta_candles": on_bars(t.ta_candles),
-    "mswing": on_bars(t.swing_momentum),
+    "mswing": on_bars(t.swing_momentum, index="NO"),
     "candlestick_patterns": on_bars(t.candlestick_patterns),
     "evar_risk": on_bars(q.evar_risk),
     "momentum_reversal": on_bars(q.momentum_reversal),
@@ -259,7 +252,10 @@ QUERIES: dict[str, Query] = {
     "tlt_cycle": on_bars(k.monthly_cycle),
     "factor_momentum": _tagged(k.factor_momentum),
     "factor_scores": _tagged(k.symbol_factor_scores),
-    "regime_features": _features,
+    "regime_features": lambda spark, d: features(spark, d).select("symbol", "week", *[F.round(x, 6).alias(x) for x in k.FEATURES]),
+    "regime_composite_chart": lambda spark, d: k.composite_chart(features(spark, d)),
+    "volatility_report": on_bars(m.volatility_report),
+    "efficient_frontier": on_bars(m.frontier, symbols=list(MIX)),
     "volatility_harvesting": on_bars(p.harvest_path, weights=MIX, frequency="quarter", cost=0.001),
     "vol_harvest_frequency_grid": on_bars(p.frequency_grid, weights=MIX),
     "vol_harvest_cost_grid": on_bars(p.cost_grid, weights=MIX),
@@ -293,11 +289,11 @@ QUERIES: dict[str, Query] = {
     "randomized_simulation": on_bars(m.random_portfolios, symbol="NO"),
     "simulation_summary": lambda spark, d: m.simulation_summary(m.random_portfolios(bars(spark, d), "NO")),
     "portfolio_optimization": on_bars(m.optimize, symbols=list(MIX)),
-    "market_regime": _regime,
+    "market_regime": lambda spark, d: m.market_regime(k.standardized(features(spark, d))),
     "stream_hourly_ohlcv": _streamed(st.hourly_bars, _stamp("ts")),
     "stream_dedup_ingest": _streamed(st.unique_events, lambda df: df.select("event_id", "user_id", "event_type", "value")),
     "stream_session_users": _streamed(st.user_sessions, _stamp("start", "stop")),
     "stream_ema_state": _averages,
-    "regime_composite": lambda spark, d: k.composite_scores(s.weekly(bars(spark, d))),
+    "regime_composite": lambda spark, d: k.composite_scores(features(spark, d)),
 }
 ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES, **oracles_portfolio.ORACLES, **oracles_stream.ORACLES}

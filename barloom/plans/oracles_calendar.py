@@ -22,18 +22,45 @@ YEARS = f"""ends_y AS (SELECT symbol, year(date) AS year, arg_max(adjusted_close
         WHEN make_date(year::INTEGER, 12, 31) >= DATE '{AS_OF}' THEN 'partial' ELSE 'complete' END AS status FROM y2),
     cells AS (SELECT symbol, year, status, CASE WHEN status IN ('complete', 'partial') THEN p / before - 1 END AS r FROM y3)"""
 WEEKS = "weeks AS (SELECT symbol, CAST(date + (12 - isodow(date))::INTEGER % 7 AS DATE) AS date, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM bars GROUP BY ALL)"
-FEATURES = f"""k1 AS (SELECT *, close / {lag('close')} - 1 AS r, CASE WHEN high > low THEN ((close - low) - (high - close)) / (high - low) ELSE 0 END * volume AS flow FROM weeks {W}),
+_NAMES = ["rsi", "macd_hist", "ppo", "cmf", "percent_b", "volatility", "downside", "scaled_return", "adx"]
+FEATURES = f"""wn AS (SELECT *, row_number() OVER w AS i, lag(close) OVER w AS before, greatest(high - {lag('high')}, 0) AS u0, greatest({lag('low')} - low, 0) AS d0 FROM weeks {W}),
+    wt AS (SELECT *, CASE WHEN u0 > d0 THEN u0 ELSE 0 END AS pdm, CASE WHEN d0 > u0 THEN d0 ELSE 0 END AS mdm FROM wn),
+    wwalk AS (
+        SELECT symbol, i, close AS e12, close AS e26, CAST(NULL AS DOUBLE) AS up, CAST(NULL AS DOUBLE) AS down, CAST(NULL AS DOUBLE) AS sig, 0::DOUBLE AS p, 0::DOUBLE AS m, CAST(NULL AS DOUBLE) AS adx FROM wt WHERE i = 1
+        UNION ALL
+        SELECT symbol, i, e12, e26, up, down, CASE WHEN i < 26 THEN NULL WHEN sig IS NULL THEN e12 - e26 ELSE sig + 0.2::DOUBLE * (e12 - e26 - sig) END, p, m,
+            CASE WHEN i < 14 THEN NULL WHEN adx IS NULL THEN dx ELSE adx + (dx - adx) / 14 END
+        FROM (SELECT *, 100 * abs(p - m) / (p + m) AS dx FROM (
+            SELECT t.symbol, t.i, s.e12 + 2 / 13.0::DOUBLE * (t.close - s.e12) AS e12, s.e26 + 2 / 27.0::DOUBLE * (t.close - s.e26) AS e26,
+                CASE WHEN s.up IS NULL THEN greatest(t.close - t.before, 0) ELSE s.up + (greatest(t.close - t.before, 0) - s.up) / 14 END AS up,
+                CASE WHEN s.down IS NULL THEN greatest(t.before - t.close, 0) ELSE s.down + (greatest(t.before - t.close, 0) - s.down) / 14 END AS down,
+                s.sig, s.p + (t.pdm - s.p) / 14 AS p, s.m + (t.mdm - s.m) / 14 AS m, s.adx FROM wwalk s JOIN wt t ON t.symbol = s.symbol AND t.i = s.i + 1))),
+    k1 AS (SELECT t.*, t.close / t.before - 1 AS r, CASE WHEN high > low THEN ((close - low) - (high - close)) / (high - low) ELSE 0 END * volume AS flow,
+        CASE WHEN i < 15 THEN NULL WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END AS rsi, CASE WHEN i >= 34 THEN e12 - e26 - sig END AS macd_hist,
+        CASE WHEN i >= 26 THEN (e12 - e26) / e26 * 100 END AS ppo, CASE WHEN i >= 27 THEN adx END AS adx FROM wt t JOIN wwalk USING (symbol, i)),
     k2 AS (SELECT *, CASE WHEN count(flow) OVER {_w(20)} = 20 AND sum(volume) OVER {_w(20)} > 0 THEN sum(flow) OVER {_w(20)} / sum(volume) OVER {_w(20)} END AS cmf,
         {sma('close', 20)} AS mean, {roll('stddev_samp', 'close', 20)} AS sd, {roll('stddev_samp', 'r', 12)} * sqrt(52.0) AS volatility, least(r, 0) * least(r, 0) AS dd FROM k1),
-    feats AS (SELECT symbol, date AS week, cmf, CASE WHEN sd > 0 THEN (close - (mean - 2 * sd)) / (4 * sd) END AS percent_b, volatility,
-        CASE WHEN count(r) OVER {_w(12)} = 12 THEN sqrt(avg(dd) OVER {_w(12)}) * sqrt(52.0) END AS downside FROM k2)"""
+    k3 AS (SELECT *, date AS week, CASE WHEN sd > 0 THEN (close - (mean - 2 * sd)) / (4 * sd) END AS percent_b,
+        CASE WHEN count(r) OVER {_w(12)} = 12 THEN sqrt(avg(dd) OVER {_w(12)}) * sqrt(52.0) END AS downside, CASE WHEN volatility > 0 THEN r / volatility END AS own FROM k2),
+    feats AS (SELECT a.*, CASE WHEN a.symbol = 'NO' THEN 0 ELSE a.own - b.own END AS scaled_return FROM k3 a LEFT JOIN k3 b ON b.symbol = 'NO' AND b.week = a.week)"""
+
+
+def _z(name: str) -> str:
+    return f"CASE WHEN stddev_samp({name}) OVER p > 0 THEN ({name} - avg({name}) OVER p) / stddev_samp({name}) OVER p WHEN {name} IS NOT NULL THEN 0 END AS z_{name}"
+
+
+_TERMS = ["z_rsi", "z_macd_hist", "z_ppo", "z_cmf", "z_percent_b", "-z_volatility", "-z_downside", "z_scaled_return", "z_adx * CASE WHEN z_macd_hist >= 0 THEN 1 WHEN z_macd_hist < 0 THEN -1 END"]
+STANDARD = [
+    f"z AS (SELECT *, count(*) OVER p AS n_weeks, {', '.join(_z(x) for x in _NAMES)} FROM feats WINDOW p AS (PARTITION BY symbol))",
+    f"scores AS (SELECT *, list_avg(list_filter([{', '.join(_TERMS)}], lambda x: x IS NOT NULL)) AS composite, lead(week) OVER (PARTITION BY symbol ORDER BY week) IS NULL AS is_last FROM z WHERE n_weeks >= 90)",
+]
 TAGS = "tags AS (SELECT symbol, unnest([CASE WHEN symbol LIKE '%F' THEN 'fixed' ELSE 'open' END, 'letter ' || substr(symbol, 1, 1), 'all']) AS tag FROM (SELECT DISTINCT symbol FROM bars))"
 _OWN = f"own AS (SELECT symbol, m AS month FROM (SELECT *, (close / {lag('close', 21)} - 1) * 100 AS m FROM numbered {W}) WHERE is_last AND i >= 26)"
 _share = "CASE symbol " + " ".join(f"WHEN '{s}' THEN {v / 100}::DOUBLE" for s, v in MIX.items()) + " END"
 
 
-def _z(name: str, sign: int) -> str:
-    return f"CASE WHEN stddev_samp({name}) OVER p > 0 THEN {sign} * ({name} - avg({name}) OVER p) / stddev_samp({name}) OVER p WHEN {name} IS NOT NULL THEN 0 END AS z_{name}"
+def _walk(*parts: str) -> str:
+    return _with(BARS_SQL, WEEKS, FEATURES, *parts).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 _PERIOD = "SELECT symbol, k * {n} // 12 AS year, k % {parts} + 1 AS part, round((exp(sum(ln(1 + r))) - 1) * 100, 6) AS return_percent FROM (SELECT *, m // {n} AS k FROM months WHERE status = 'ok') GROUP BY symbol, k HAVING count(*) = {n}"
@@ -70,10 +97,13 @@ ORACLES = {
         TAGS, _OWN, "t AS (SELECT tag, avg(month) AS mean FROM own JOIN tags USING (symbol) GROUP BY tag)",
         "SELECT symbol, round(max(month), 6) AS month_percent, round(avg(mean), 6) AS score, count(*) AS n_tags FROM own JOIN tags USING (symbol) JOIN t USING (tag) GROUP BY symbol",
     ),
-    "regime_features": _with(BARS_SQL, WEEKS, FEATURES, "SELECT symbol, week, round(cmf, 6) AS cmf, round(percent_b, 6) AS percent_b, round(volatility, 6) AS volatility, round(downside, 6) AS downside FROM feats"),
-    "regime_composite": _with(
-        BARS_SQL, WEEKS, FEATURES, f"z AS (SELECT *, {_z('cmf', 1)}, {_z('percent_b', 1)}, {_z('volatility', -1)}, {_z('downside', -1)} FROM feats WINDOW p AS (PARTITION BY symbol))",
-        "x AS (SELECT *, list_avg(list_filter([z_cmf, z_percent_b, z_volatility, z_downside], lambda x: x IS NOT NULL)) AS composite, lead(week) OVER (PARTITION BY symbol ORDER BY week) IS NULL AS is_last FROM z)",
-        "SELECT symbol, week, round(composite, 6) AS composite, round(100 / (1 + exp(-3 * composite)), 6) AS score, CASE WHEN 100 / (1 + exp(-3 * composite)) >= 50 THEN 'Risk-On' ELSE 'Risk-Off' END AS regime FROM x WHERE is_last",
-    ),
+    "regime_features": _walk(f"SELECT symbol, week, {', '.join(f'round({x}, 6) AS {x}' for x in _NAMES)} FROM feats"),
+    "regime_composite": _walk(
+        *STANDARD,
+        "SELECT symbol, week, round(composite, 6) AS composite, round(100 / (1 + exp(-3 * composite)), 6) AS score, CASE WHEN 100 / (1 + exp(-3 * composite)) >= 50 THEN 'Risk-On' ELSE 'Risk-Off' END AS regime FROM scores WHERE is_last",
+    ),
+    "regime_composite_chart": _walk(
+        *STANDARD,
+        "SELECT week, round(avg(composite), 6) AS composite, round(avg(volatility), 6) AS volatility, count(composite) AS n FROM scores GROUP BY week HAVING count(composite) > 0 ORDER BY week DESC LIMIT 104",
+    ),
 }

@@ -13,14 +13,17 @@ _FLAGS = {
     "death_cross": "sma50 < sma200",
     "macd_down": "hist < 0 AND crossed",
     "fading": "hist < h1 AND h1 < h2 AND h2 < h3",
-    "divergence": "close > old_high AND rsi < old_rsi",
+    "divergence": "new.close > old.close AND new.rsi < old.rsi",
 }
+_AROUND = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
 CRASH = [
     INDICATORS,
     f"c1 AS (SELECT *, {sma('close', 50)} AS sma50, {sma('close', 200)} AS sma200, {lag('hist')} AS h1, {lag('hist', 2)} AS h2, {lag('hist', 3)} AS h3 FROM ind {W})",
     "c2 AS (SELECT *, CASE WHEN hist < 0 AND h1 >= 0 THEN 1 ELSE 0 END AS cr FROM c1)",
-    f"c3 AS (SELECT *, max(cr) OVER {_w(10)} = 1 AS crossed, max(close) OVER {_w(60, 5)} AS old_high, max(rsi) OVER {_w(60, 5)} AS old_rsi, CASE WHEN count(close) OVER {_w(252)} >= 60 THEN max(close) OVER {_w(252)} END AS high252 FROM c2)",
-    "c4 AS (SELECT *, " + ", ".join(f"coalesce({_USABLE} AND {rule}, false) AS {name}" for name, rule in _FLAGS.items()) + " FROM c3)",
+    f"c3 AS (SELECT *, max(cr) OVER {_w(10)} = 1 AS crossed, CASE WHEN close = max(close) OVER {_AROUND} AND count(close) OVER {_AROUND} = 11 AND rsi IS NOT NULL THEN {{'i': i, 'close': close, 'rsi': rsi}} END AS swing, CASE WHEN count(close) OVER {_w(252)} >= 60 THEN max(close) OVER {_w(252)} END AS high252 FROM c2)",
+    "c3b AS (SELECT *, list_filter(list(swing) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 59 PRECEDING AND 5 PRECEDING), lambda x: x IS NOT NULL) AS swings FROM c3)",
+    "c3d AS (SELECT *, swings[-1] AS new, list_filter(swings, lambda x: swings[-1].i - x.i >= 5)[-1] AS old FROM c3b)",
+    "c4 AS (SELECT *, " + ", ".join(f"coalesce({_USABLE} AND {rule}, false) AS {name}" for name, rule in _FLAGS.items()) + " FROM c3d)",
     "crash AS (SELECT *, CAST(" + " + ".join(f"{x}::BIGINT" for x in _FLAGS) + " AS BIGINT) AS flags, (close / high252 - 1) * 100 AS drawdown FROM c4)",
 ]
 
@@ -41,10 +44,11 @@ ORACLES = {
         "d AS (SELECT *, CASE WHEN k >= 60 THEN greatest(0, (1.645::DOUBLE * (1 + 1.5::DOUBLE * (q - 1)) * sd - mu) * 100) END AS evar FROM b)",
         f"e AS (SELECT *, list(evar) OVER {_w(120)} AS raw FROM d)",
         "f AS (SELECT *, list_filter(raw, lambda x: x IS NOT NULL) AS seen FROM e WHERE is_last AND i >= 180)",
-        "g AS (SELECT *, (len(list_filter(seen, lambda x: x < evar)) + (len(list_filter(seen, lambda x: x = evar)) + 1) / 2.0::DOUBLE) / len(seen) AS rank FROM f)",
-        """SELECT symbol, date, round(evar, 6) AS evar_percent, round(q, 6) AS q, round(rank, 6) AS rank,
-        CASE WHEN rank >= 0.85 THEN 'extreme' WHEN rank >= 0.66 THEN 'high' WHEN rank >= 0.33 THEN 'normal' ELSE 'low' END AS level,
-        round(greatest(20.0::DOUBLE, least(100.0::DOUBLE, 100 - 80 * rank)), 6) AS exposure FROM g""",
+        "g AS (SELECT *, (len(list_filter(seen, lambda x: x < evar)) + (len(list_filter(seen, lambda x: x = evar)) + 1) / 2.0::DOUBLE) / 120 * 100 AS rank FROM f WHERE len(seen) = 120)",
+        """SELECT symbol, date, round(evar, 6) AS evar_percent, round(q, 6) AS tsallis_q, round(rank, 6) AS percentile,
+        CASE WHEN rank < 33 THEN 'Low' WHEN rank < 66 THEN 'Moderate' WHEN rank < 85 THEN 'Elevated' ELSE 'High' END AS level,
+        CASE WHEN rank < 33 THEN 'Calm' WHEN rank < 66 THEN 'Normal' WHEN rank < 85 THEN 'Elevated' ELSE 'Stressed' END AS regime,
+        round(greatest(20.0::DOUBLE, least(100.0::DOUBLE, 100 - 0.8::DOUBLE * rank)), 6) AS exposure FROM g""",
     ),
     "momentum_reversal": steps(
         f"a AS (SELECT *, (close / {lag('close')} - 1) * 100 AS r FROM numbered {W})",

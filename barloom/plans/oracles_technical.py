@@ -173,10 +173,13 @@ ORACLES = {
     "squeeze_momentum": steps(
         f"t AS (SELECT *, greatest(abs(high - low), abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr FROM numbered {W})",
         f"a AS (SELECT *, {sma('close', 20)} AS mean, {roll('stddev_pop', 'close', 20)} AS sd, {sma('tr', 20)} AS range, ({roll('max', 'high', 20)} + {roll('min', 'low', 20)}) / 2 AS mid FROM t)",
-        "b AS (SELECT *, 2 * sd < 1.5 * range AS sq, close - (mid + mean) / 2 AS y FROM a)",
-        f"d AS (SELECT *, CASE WHEN count(y) OVER {_w(20)} = 20 THEN regr_intercept(y, i) OVER {_w(20)} + regr_slope(y, i) OVER {_w(20)} * i END AS momentum FROM b)",
-        f"e AS (SELECT *, {lag('sq')} AS was, {lag('momentum')} AS last_m FROM d {W})",
-        "SELECT symbol, date, sq AS squeeze_on, was AND NOT sq AS released, round(momentum, 6) AS momentum, momentum > last_m AS rising FROM e WHERE is_last AND i >= 40",
+        "b AS (SELECT *, 2 * sd < 1.5 * range AS sq, 2 * sd > 1.5 * range AS off, close - (mid + mean) / 2 AS y FROM a)",
+        f"d AS (SELECT *, CASE WHEN count(y) OVER {_w(20)} = 20 THEN regr_intercept(y, i) OVER {_w(20)} + regr_slope(y, i) OVER {_w(20)} * i END AS m FROM b)",
+        f"e AS (SELECT *, {lag('sq')} AS was, {lag('m')} AS p FROM d {W})",
+        """SELECT symbol, date, CASE WHEN sq THEN 'Squeeze On' WHEN off THEN 'Squeeze Released' ELSE 'No Squeeze' END AS squeeze_state, was AND off AS released_today, round(m, 6) AS momentum,
+        CASE WHEN m > p THEN 'Rising' WHEN m < p THEN 'Falling' ELSE 'Flat' END AS direction,
+        CASE WHEN m > 0 THEN 'Bullish' ELSE 'Bearish' END || ' Momentum (' || CASE WHEN (m > 0) = coalesce(m > p, false) THEN 'Strengthening' ELSE 'Weakening' END || ')' AS momentum_state,
+        round(mean + 2 * sd, 6) AS upper_bb, round(mean - 2 * sd, 6) AS lower_bb, round(mean + 1.5 * range, 6) AS upper_kc, round(mean - 1.5 * range, 6) AS lower_kc FROM e WHERE is_last AND i >= 40""",
     ),
     "ema50_rsi_pullback": steps(
         INDICATORS,
@@ -205,7 +208,9 @@ ORACLES = {
         f"b AS (SELECT *, {sma('ma1', 20)} AS ma2 FROM a)",
         f"d AS (SELECT *, {sma('ma2', 20)} AS ma3, mean5 - atr AS entry, mean5 + 0.5 * atr AS exit FROM b)",
         f"""SELECT symbol, date, {r6('ma1', 'ma2', 'ma3', 'mean5', 'atr', 'entry', 'exit')},
-        CASE WHEN close > ma3 AND close <= entry THEN 'entry' WHEN close >= exit THEN 'exit' ELSE 'wait' END AS label FROM d WHERE is_last AND i >= 84""",
+        ma1 > ma2 AND ma2 > ma3 AND close > ma3 AS uptrend, close > exit AS exit_zone,
+        CASE WHEN NOT (ma1 > ma2 AND ma2 > ma3 AND close > ma3) THEN 'No Confirmed Uptrend' WHEN close < entry THEN 'Pullback Entry Zone' WHEN close > exit THEN 'Uptrend - Exit Zone' ELSE 'Uptrend - No Pullback' END AS label
+        FROM d WHERE is_last AND i >= 84""",
         recursive=True,
     ),
     "supertrend_confirmation": steps(
@@ -239,10 +244,16 @@ ORACLES = {
     ),
     "mswing": steps(
         f"a AS (SELECT *, (close / {lag('close', 20)} - 1) * 100 + (close / {lag('close', 50)} - 1) * 100 AS swing, {sma('close', 50)} AS sma50 FROM numbered {W})",
-        f"b AS (SELECT *, {lag('swing')} AS last_swing FROM a {W})",
-        """SELECT symbol, date, round(swing, 6) AS swing, CASE WHEN swing > 0 AND swing >= last_swing THEN 'rising above zero' WHEN swing > 0 THEN 'falling above zero'
-        WHEN swing >= last_swing THEN 'rising below zero' ELSE 'falling below zero' END AS state, close > sma50 AS above_sma50, swing > 0 AND last_swing <= 0 AS crossed_up
-        FROM b WHERE is_last AND i >= 69""",
+        "walk AS (SELECT symbol, i, swing AS e FROM a WHERE i = 51 UNION ALL SELECT a.symbol, a.i, e + 0.2::DOUBLE * (a.swing - e) FROM walk JOIN a ON a.symbol = walk.symbol AND a.i = walk.i + 1)",
+        "b AS (SELECT a.*, CASE WHEN i >= 59 THEN e END AS average FROM a LEFT JOIN walk USING (symbol, i))",
+        f"d AS (SELECT *, {lag('swing')} AS s1, {lag('(swing - average)')} AS g1 FROM b {W})",
+        "x AS (SELECT swing AS ix FROM d WHERE symbol = 'NO' AND is_last AND i >= 69)",
+        """SELECT symbol, date, round(swing, 6) AS swing, round(average, 6) AS average, round(sma50, 6) AS sma50,
+        CASE WHEN swing > 0 AND swing > average THEN 'Strong bullish momentum' WHEN swing > 0 THEN 'Weakening bullish momentum' WHEN swing > average THEN 'Recovering bearish momentum' ELSE 'Bearish momentum' END AS state,
+        coalesce(s1 <= 0 AND swing > 0, false) AS zero_up, coalesce(s1 >= 0 AND swing < 0, false) AS zero_down, coalesce(g1 <= 0 AND swing > average, false) AS ema_up, coalesce(g1 >= 0 AND swing < average, false) AS ema_down,
+        swing > 0 AND swing > average AND close > sma50 AS bullish, swing <= 0 OR close <= sma50 OR swing >= 4 AS exit, round(swing - (SELECT ix FROM x), 6) AS relative_strength
+        FROM d WHERE is_last AND i >= 69""",
+        recursive=True,
     ),
     "candlestick_patterns": steps(
         INDICATORS,
