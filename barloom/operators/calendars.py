@@ -100,13 +100,20 @@ def adjustment_warnings(bars: DataFrame) -> DataFrame:
 
 
 def monthly_cycle(bars: DataFrame, gate: int = 5) -> DataFrame:
-    """Business day of the month at the last bar: short on days 1 to 3, long on
-    the last five, else flat."""
-    df = latest(numbered(bars), gate).withColumn("first", F.trunc("date", "month")).withColumn("end", F.last_day("date"))
-    days = F.filter(F.sequence("first", "end"), lambda d: F.weekday(d) < 5)
-    df = df.withColumn("days", days).withColumn("k", F.size(F.filter("days", lambda d: d <= c("date"))).cast("long")).withColumn("n", F.size("days").cast("long"))
-    phase = F.when(c("k") <= 3, "short").when(c("k") > c("n") - 5, "long").otherwise("flat")
-    return df.select("symbol", "date", c("k").alias("business_day"), c("n").alias("business_days"), phase.alias("phase"), F.element_at("days", c("n").cast("int") - 4).alias("entry_date"))
+    """Where the last bar is in the month's business days: short in the first
+    three, long in the last five, flat between; and the next change."""
+    df = latest(numbered(bars), gate)
+    weekdays = lambda a, z: F.filter(F.sequence(a, z), lambda d: F.weekday(d) < 5)
+    df = df.withColumn("days", weekdays(F.trunc("date", "month"), F.last_day("date"))).withColumn("n", F.size("days").cast("long"))
+    soon = F.date_add(F.last_day("date"), 1)
+    df = df.withColumn("next_first", F.array_min(weekdays(soon, F.date_add(soon, 6)))).withColumn("k", (F.size(F.filter("days", lambda d: d < c("date"))) + 1).cast("long"))
+    df = df.withColumn("enter", F.least(F.greatest(c("n") - 4, F.lit(4)), c("n")))
+    phase = F.when(c("k") <= 3, "Short Window (Start of Month)").when(c("k") < c("enter"), "Mid-Month (No Position)").when(c("k") <= c("n"), "Long Window (End of Month)").otherwise("Post Long-Exit (No Position)")
+    position = F.when(c("k") <= 3, "Short").when((c("k") >= c("enter")) & (c("k") <= c("n")), "Long").otherwise("Flat")
+    action = F.when(c("k") < 3, "Exit Short").when(c("k") < c("enter"), "Enter Long").when(c("k") < c("n"), "Exit Long").otherwise("Enter Short")
+    at = lambda i: F.element_at("days", i.cast("int"))
+    when = F.when(c("k") < 3, at(F.lit(3))).when(c("k") < c("enter"), at(c("enter"))).when(c("k") < c("n"), at(c("n"))).otherwise(c("next_first"))
+    return df.select("symbol", "date", c("k").alias("business_day"), c("n").alias("business_days"), phase.alias("phase"), position.alias("position"), action.alias("next_action"), when.alias("next_date"))
 
 
 def factor_momentum(bars: DataFrame, tags: DataFrame) -> DataFrame:

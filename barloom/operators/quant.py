@@ -35,16 +35,20 @@ def evar_risk(bars: DataFrame, gate: int = 180) -> DataFrame:
 
 
 def momentum_reversal(bars: DataFrame, gate: int = 15) -> DataFrame:
-    """A fall of more than 0.1% turns the view up, a rise down; else it holds."""
-    df = numbered(bars).withColumn("r", (c("close") / lag("close") - 1) * 100)
-    signal = F.when(c("r") < -0.1, "Bullish").when(c("r") > 0.1, "Bearish")
-    df = df.withColumn("signal", signal).withColumn("position", F.last("signal", True).over(so_far()))
-    return latest(df, gate).select("symbol", "date", r6("r").alias("return_percent"), F.coalesce("signal", F.lit("Hold")).alias("signal"), "position")
+    """A fall of more than 0.1% turns the position long, a rise short; else it
+    stays (flat before the first signal)."""
+    df = numbered(bars).withColumn("r", c("close") / lag("close") - 1)
+    side = F.when(c("r") < -0.001, "Long").when(c("r") > 0.001, "Short")
+    df = df.withColumn("side", side).withColumn("position", F.coalesce(F.last("side", True).over(so_far()), F.lit("Flat")))
+    df = df.withColumn("before", lag("position"))
+    signal = F.when(c("side") == "Long", "Bullish Reversal").when(c("side") == "Short", "Bearish Reversal").otherwise("No Signal")
+    return latest(df, gate).select("symbol", "date", r6(c("r") * 100).alias("return_percent"), signal.alias("signal"), "position", (c("position") != c("before")).alias("changed_today"))
 
 
 def avalanches(bars: DataFrame) -> DataFrame:
-    """Deepest fall of each run below the running peak: ``symbol, start, size``."""
-    df = bars.withColumn("peak", F.max("close").over(so_far())).withColumn("fall", 1 - c("close") / c("peak"))
+    """Deepest fall in percent of each run below the running peak: ``symbol, start,
+    size``."""
+    df = bars.withColumn("peak", F.max("close").over(so_far())).withColumn("fall", (1 - c("close") / c("peak")) * 100)
     df = df.withColumn("run", F.sum(F.when(c("fall") == 0, 1).otherwise(0)).over(so_far()))
     return df.where("fall > 0").groupBy("symbol", "run").agg(F.min("date").alias("start"), F.max("fall").alias("size")).select("symbol", "start", "size")
 
@@ -61,7 +65,7 @@ def avalanche_power_law(bars: DataFrame, bins: int = 12, at_least: int = 15) ->
     b = b.withColumn("lx", (F.log10(left) + F.log10(right)) / 2).withColumn("ly", F.log10(c("k") / (right - left)))
     g = b.groupBy("symbol", "n").agg(F.count("*").alias("bins"), F.regr_slope("ly", "lx").alias("slope"), F.regr_r2("ly", "lx").alias("r2")).where("bins >= 3")
     alpha = -c("slope")
-    regime = F.when(alpha >= 2.8, "calm").when(alpha >= 1.8, "normal").when(alpha >= 1.0, "stressed").otherwise("critical")
+    regime = F.when(alpha >= 2.8, "Gaussian").when(alpha >= 1.8, "Transitional").when(alpha >= 1.0, "Critical").otherwise("Super-critical")
     return g.select("symbol", c("n").alias("avalanches"), c("bins"), r6(alpha).alias("alpha"), r6("r2").alias("r_squared"), regime.alias("regime"))
 
 
@@ -72,16 +76,18 @@ def ricker(scale: int) -> list[float]:
 
 def wavelet_trend(bars: DataFrame, scales: tuple[int, ...] = (5, 10, 20), gate: int = 90) -> DataFrame:
     """Returns filtered at three scales, in rolling deviations of returns."""
-    df = numbered(bars).withColumn("r", c("close") / lag("close") - 1)
+    df = numbered(bars).withColumn("r", F.log("close") - F.log(lag("close")))
     for s in scales:
         kernel = ricker(s)
-        part = F.collect_list("r").over(rows(len(kernel)))
-        dot = F.aggregate(F.zip_with(F.reverse(part), F.array(*map(F.lit, kernel)), lambda x, k: x * k), F.lit(0.0), lambda a, x: a + x)
-        df = df.withColumn(f"f{s}", F.when(F.count("r").over(rows(len(kernel))) == len(kernel), dot) / std("r", 60))
+        over = rows(len(kernel))
+        dot = F.aggregate(F.zip_with(F.reverse(F.collect_list("r").over(over)), F.array(*map(F.lit, kernel)), lambda x, k: x * k), F.lit(0.0), lambda a, x: a + x)
+        df = df.withColumn(f"f{s}", F.when(F.count("r").over(over) == len(kernel), dot) / std("r", len(kernel)))
     up, down = F.lit(True), F.lit(True)
     for s in scales:
-        up, down = up & (c(f"f{s}") > 0), down & (c(f"f{s}") < 0)
-    return latest(df, gate).select("symbol", "date", *[r6(f"f{s}").alias(f"filter{s}") for s in scales], F.when(up, "up").when(down, "down").otherwise("mixed").alias("trend"))
+        up, down = up & (c(f"f{s}") > 0), down & (c(f"f{s}") <= 0)
+    middle = c(f"f{scales[1]}")
+    state = F.when(up, "Strong Uptrend").when(down, "Strong Downtrend").when(middle > 0, "Uptrend (Mixed Confirmation)").when(middle < 0, "Downtrend (Mixed Confirmation)").otherwise("Transitional / Mixed")
+    return latest(df, gate).select("symbol", "date", *[r6(f"f{s}").alias(f"filter{s}") for s in scales], state.alias("state"))
 
 
 def with_crash_flags(bars: DataFrame) -> DataFrame:

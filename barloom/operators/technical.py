@@ -23,16 +23,16 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, gate: int = 30) -> D
     """Mean +/- k sample deviations, breakout status and band width."""
     df = numbered(bars).withColumn("middle", sma("close", n)).withColumn("sd", std("close", n))
     df = latest(df, gate).withColumn("upper", c("middle") + k * c("sd")).withColumn("lower", c("middle") - k * c("sd"))
-    status = F.when(c("close") > c("upper"), "above").when(c("close") < c("lower"), "below").otherwise("inside")
-    near = F.when(F.abs(c("close") / c("upper") - 1) <= 0.01, "upper").when(F.abs(c("close") / c("lower") - 1) <= 0.01, "lower").otherwise("none")
-    return df.select("symbol", "date", "close", *[r6(x).alias(x) for x in ("middle", "upper", "lower")], r6((c("upper") - c("lower")) / c("middle") * 100).alias("width_percent"), status.alias("status"), near.alias("near_band"))
+    status = F.when(c("close") > c("upper"), "Above Upper Band").when(c("close") < c("lower"), "Below Lower Band").otherwise("Within Bands")
+    near = lambda x: (F.abs(c("close") / c(x) - 1) * 100 <= 1.0).alias(f"near_{x}")
+    return df.select("symbol", "date", "close", *[r6(x).alias(x) for x in ("middle", "upper", "lower")], r6((c("upper") - c("lower")) / c("middle") * 100).alias("width_percent"), status.alias("status"), near("upper"), near("lower"))
 
 
 def better_breakout(bars: DataFrame, gate: int = 53) -> DataFrame:
     """Close against the last close plus the mean of three larger wicks."""
     df = numbered(bars).withColumn("offset", F.greatest(c("high") - c("close"), c("close") - c("low")))
     df = df.withColumn("level", lag("close") + sma("offset", 3, 1)).withColumn("sma40", sma("close", 40))
-    return latest(df, gate).select("symbol", "date", "close", r6("level").alias("breakout_level"), (c("close") > c("level")).alias("is_breakout"), r6((c("close") / c("sma40") - 1) * 100).alias("momentum_percent"))
+    return latest(df, gate).select("symbol", "date", "close", r6("level").alias("breakout_level"), (c("close") > c("level")).alias("is_breakout"), r6(c("close") - c("sma40")).alias("momentum"))
 
 
 def sma_trend(bars: DataFrame, gate: int = 210) -> DataFrame:
@@ -41,9 +41,9 @@ def sma_trend(bars: DataFrame, gate: int = 210) -> DataFrame:
     for n in (20, 50, 100, 200):
         df = df.withColumn(f"sma{n}", sma("close", n))
     df = df.withColumn("gap", c("sma50") - c("sma200")).withColumn("last_gap", lag("gap"))
-    up = (c("close") > c("sma50")) & (c("sma50") > c("sma200"))
-    down = (c("close") < c("sma50")) & (c("sma50") < c("sma200"))
-    trend = F.when(up, "up").when(down, "down").otherwise("sideways")
+    up = (c("close") > c("sma200")) & (c("sma50") > c("sma200"))
+    down = (c("close") < c("sma200")) & (c("sma50") < c("sma200"))
+    trend = F.when(up, "Bullish").when(down, "Bearish").otherwise("Neutral")
     return latest(df, gate).select(
         "symbol", "date", "close", *[r6(f"sma{n}").alias(f"sma{n}") for n in (20, 50, 100, 200)], trend.alias("trend"),
         ((c("gap") > 0) & (c("last_gap") <= 0)).alias("golden_cross"), ((c("gap") < 0) & (c("last_gap") >= 0)).alias("death_cross"),
@@ -85,13 +85,17 @@ def sma_crossovers(bars: DataFrame, within: int = 10) -> DataFrame:
 
 
 def td_setup(bars: DataFrame, gate: int = 13) -> DataFrame:
-    """Runs of closes above (below) the close four bars before; nine complete."""
+    """Runs of closes above (bearish) or below (bullish) the close four bars
+    before; nine complete a setup."""
     df = numbered(bars).withColumn("before", lag("close", 4))
     df = df.withColumn("above", F.coalesce(c("close") > c("before"), F.lit(False))).withColumn("below", F.coalesce(c("close") < c("before"), F.lit(False)))
-    df = run_length(run_length(df, "below", "buy_count"), "above", "sell_count")
-    done = lambda count: F.last(F.when(c(count) == 9, c("date")), True).over(so_far())
-    df = df.withColumn("last_buy", done("buy_count")).withColumn("last_sell", done("sell_count"))
-    return latest(df, gate).select("symbol", "date", "buy_count", "sell_count", (c("buy_count") == 9).alias("buy_complete"), (c("sell_count") == 9).alias("sell_complete"), "last_buy", "last_sell")
+    df = run_length(run_length(df, "below", "bullish"), "above", "bearish")
+    done = F.when(c("bearish") == 9, F.struct(F.lit("Bearish").alias("kind"), "date")).when(c("bullish") == 9, F.struct(F.lit("Bullish").alias("kind"), "date"))
+    df = latest(df.withColumn("done", F.last(done, True).over(so_far())), gate)
+    kind = F.when(c("bearish") > 0, "Bearish").when(c("bullish") > 0, "Bullish").otherwise("None")
+    run = F.greatest("bearish", "bullish")
+    state = F.when((run >= 9) & (c("bearish") > 0), "Potential Upside Exhaustion").when(run >= 9, "Potential Downside Exhaustion").when(run > 0, "Setup In Progress").otherwise("No Active Setup")
+    return df.select("symbol", "date", kind.alias("setup"), run.alias("run"), F.least(run, F.lit(9)).cast("long").alias("count"), (run >= 9).alias("completed"), state.alias("state"), c("done.kind").alias("last_completed"), c("done.date").alias("last_completed_date"))
 
 
 def pivot_levels(bars: DataFrame, gate: int = 5) -> DataFrame:
@@ -106,8 +110,10 @@ def pivot_levels(bars: DataFrame, gate: int = 5) -> DataFrame:
     names = ["pp", "r1", "r2", "r3", "s1", "s2", "s3"]
     levels = F.array(*names)
     up = F.array_min(F.filter(levels, lambda x: x > c("close")))
-    down = F.array_max(F.filter(levels, lambda x: x < c("close")))
-    return df.select("symbol", "date", "close", *[r6(x).alias(x) for x in names], r6(up).alias("resistance"), r6(down).alias("support"), F.when(c("close") > c("pp"), "above").otherwise("below").alias("zone"))
+    down = F.array_max(F.filter(levels, lambda x: x <= c("close")))
+    zone = F.when(c("close") > c("r1"), "Upper Zone").when(c("close") < c("s1"), "Lower Zone").otherwise("Middle Zone")
+    away = lambda x: r6(F.abs(x - c("close")) / c("close") * 100)
+    return df.select("symbol", "date", "close", *[r6(x).alias(x) for x in names], r6(up).alias("resistance"), away(up).alias("to_resistance_percent"), r6(down).alias("support"), away(down).alias("to_support_percent"), zone.alias("zone"), (c("close") > c("pp")).alias("above_pivot"))
 
 
 def central_pivot_range(bars: DataFrame, n: int = 60, gate: int = 61) -> DataFrame:
@@ -119,8 +125,8 @@ def central_pivot_range(bars: DataFrame, n: int = 60, gate: int = 61) -> DataFra
     df = latest(df, gate)
     below, same = (F.size(F.filter("widths", lambda x: x < c("width") - 1e-9)), F.size(F.filter("widths", lambda x: F.abs(x - c("width")) <= 1e-9)))
     df = df.withColumn("rank", (below + 0.5 * same) / F.size("widths"))
-    kind = F.when(c("rank") <= 0.25, "Narrow").when(c("rank") >= 0.75, "Wide").otherwise("Average")
-    bias = F.when(c("close") > c("top"), "Bullish").when(c("close") < c("bottom"), "Bearish").otherwise("Neutral")
+    kind = F.when(c("rank") <= 0.25, "Narrow").when(c("rank") >= 0.75, "Wide").otherwise("Normal")
+    bias = F.when(c("close") > c("top"), "Bullish Day Bias").when(c("close") < c("bottom"), "Bearish Day Bias").otherwise("Neutral")
     return df.select("symbol", "date", *[r6(x).alias(x) for x in ("pivot_point", "bottom", "top", "width", "rank")], kind.alias("kind"), bias.alias("bias"))
 
 
@@ -154,21 +160,21 @@ def ema50_rsi_pullback(bars: DataFrame, gate: int = 74) -> DataFrame:
     df = numbered(with_indicators(bars)).withColumn("last_rsi", lag("rsi"))
     df = latest(df, gate).withColumn("distance", (c("close") / c("ema50") - 1) * 100)
     above = c("close") > c("ema50")
-    return df.select("symbol", "date", "close", r6("ema50").alias("ema50"), r6("rsi").alias("rsi"), r6("distance").alias("distance_percent"), F.when(above, "up").otherwise("down").alias("trend"), (c("rsi") > c("last_rsi")).alias("rsi_turning_up"), (above & (F.abs(c("distance")) <= 2)).alias("is_pullback"))
+    return df.select("symbol", "date", "close", r6("ema50").alias("ema50"), r6("rsi").alias("rsi"), r6("distance").alias("distance_percent"), F.when(above, "Bullish").otherwise("Bearish").alias("trend"), (c("rsi") > c("last_rsi")).alias("rsi_turning_up"), (above & (F.abs(c("distance")) <= 2)).alias("is_pullback"))
 
 
 def ema8_21_pullback(bars: DataFrame, gate: int = 31) -> DataFrame:
     df = numbered(with_indicators(bars)).withColumn("gap", c("ema8") - c("ema21")).withColumn("last_gap", lag("gap"))
     df = latest(df, gate)
-    up = c("ema8") > c("ema21")
-    return df.select("symbol", "date", r6("ema8").alias("ema8"), r6("ema21").alias("ema21"), ((c("gap") > 0) & (c("last_gap") <= 0)).alias("cross_up"), ((c("gap") < 0) & (c("last_gap") >= 0)).alias("cross_down"), (up & (F.abs(c("close") / c("ema21") - 1) <= 0.01)).alias("is_pullback"))
+    both = (c("close") > c("ema8")) & (c("close") > c("ema21"))
+    return df.select("symbol", "date", r6("ema8").alias("ema8"), r6("ema21").alias("ema21"), ((c("gap") > 0) & (c("last_gap") <= 0)).alias("cross_up"), ((c("gap") < 0) & (c("last_gap") >= 0)).alias("cross_down"), F.when(c("gap") > 0, "Bullish").otherwise("Bearish").alias("trend"), both.alias("above_both"), (both & (F.abs((c("close") / c("ema8") - 1) * 100) <= 1.0)).alias("is_pullback"))
 
 
 def macd(bars: DataFrame, gate: int = 45) -> DataFrame:
     df = numbered(with_indicators(bars)).withColumn("last_hist", lag("hist"))
     return latest(df, gate).select(
         "symbol", "date", *[r6(x).alias(x) for x in ("macd", "signal", "hist")], ((c("hist") > 0) & (c("last_hist") <= 0)).alias("cross_up"), ((c("hist") < 0) & (c("last_hist") >= 0)).alias("cross_down"),
-        F.when(c("macd") > c("signal"), "bullish").otherwise("bearish").alias("trend"),
+        F.when(c("macd") > c("signal"), "Bullish").otherwise("Bearish").alias("trend"),
     )
 
 
@@ -200,22 +206,34 @@ def heikin_ashi_setup(bars: DataFrame, gate: int = 50) -> DataFrame:
     setup = F.when(kind.isNotNull(), F.struct(kind.alias("kind"), c("date").alias("on"), c("close").alias("entry"), c("line").alias("stop")))
     df = latest(df.withColumn("setup", F.last(setup, True).over(so_far())), gate)
     s = lambda x: c(f"setup.{x}")
-    return df.select("symbol", "date", "ha", s("kind").alias("setup"), s("on").alias("setup_date"), r6(s("entry")).alias("entry"), r6(s("stop")).alias("stop"), r6(s("entry") + 1.5 * (s("entry") - s("stop"))).alias("target"))
+    risk = F.when(s("kind") == "long", s("entry") - s("stop")).otherwise(s("stop") - s("entry"))
+    ok = lambda x: r6(F.when(risk > 0, x))
+    return df.select("symbol", "date", "ha", s("kind").alias("setup"), s("on").alias("setup_date"), ok(s("entry")).alias("entry"), ok(s("stop")).alias("stop"), ok(s("entry") + 1.5 * (s("entry") - s("stop"))).alias("target"))
 
 
 def ta_candles(bars: DataFrame, gate: int = 74) -> DataFrame:
-    """EMA 21 against 50, ROC 10, ATR percent against its rolling median, and
-    how green the last ten candles are."""
+    """Trend by EMA 21 and 50, momentum by ROC 10, ATR percent against its rolling
+    median, the colours of the last ten candles, and how these agree."""
     df = numbered(with_indicators(bars)).withColumn("roc", (c("close") / lag("close", 10) - 1) * 100)
     df = df.withColumn("atr_percent", c("atr") / c("close") * 100)
     df = df.withColumn("usual", F.when(F.count("atr_percent").over(rows(50)) >= 14, F.percentile("atr_percent", F.lit(0.5)).over(rows(50))))
-    df = df.withColumn("green", c("close") > c("open")).withColumn("greens", F.sum(F.when(c("close") > c("open"), 1).otherwise(0)).over(rows(10)))
-    df = run_length(df, "green", "green_run")
+    df = df.withColumn("candle", colour())
+    for name in ("Green", "Red"):
+        share = F.sum(F.when(c("candle") == name, 1).otherwise(0)).over(rows(10)) / 10.0
+        df = df.withColumn(f"is_{name}", c("candle") == name).withColumn(name, share)
+        df = run_length(df, f"is_{name}", f"run_{name}")
     gap = (c("ema21") / c("ema50") - 1) * 100
-    trend = F.when(gap > 0.25, "up").when(gap < -0.25, "down").otherwise("flat")
+    df = latest(df, gate)
+    df = df.withColumn("trend", F.when((gap >= 0.25) & (c("close") > c("ema21")), "Bullish").when((gap <= -0.25) & (c("close") < c("ema21")), "Bearish").otherwise("Mixed"))
+    df = df.withColumn("momentum", F.when(c("roc") > 0, "Positive").when(c("roc") < 0, "Negative").otherwise("Flat"))
     ratio = c("atr_percent") / c("usual")
-    calm = F.when(ratio >= 1.25, "high").when(ratio <= 0.75, "low").otherwise("normal")
-    return latest(df, gate).select("symbol", "date", trend.alias("trend"), r6("roc").alias("roc10"), r6("atr_percent").alias("atr_percent"), calm.alias("volatility"), (c("greens") / 10.0).alias("green_ratio"), "green_run")
+    calm = F.when(ratio >= 1.25, "Expanding").when(ratio <= 0.75, "Contracting").otherwise("Normal")
+    health = F.lit("Choppy - Caution")
+    for side, sign, share in (("Bearish", "Negative", "Red"), ("Bullish", "Positive", "Green")):
+        own = c("trend") == side
+        weak = (c("momentum") != sign) | (c(share) < 0.5)
+        health = F.when(own & (c("momentum") == sign) & (c(share) >= 0.6), f"Healthy Trend ({side})").when(own & weak, f"Weakening {side} Trend").otherwise(health)
+    return df.select("symbol", "date", "trend", "momentum", r6("roc").alias("roc10"), r6("atr_percent").alias("atr_percent"), calm.alias("volatility"), c("Green").alias("green_ratio"), c("Red").alias("red_ratio"), F.greatest("run_Green", "run_Red").alias("streak"), c("candle").alias("streak_colour"), health.alias("health"))
 
 
 def swing_momentum(bars: DataFrame, index: str | None = None, gate: int = 69) -> DataFrame:
@@ -238,29 +256,35 @@ def candlestick_patterns(bars: DataFrame, lookback: int = 120) -> DataFrame:
     df = numbered(with_indicators(bars)).withColumn("body", F.abs(c("close") - c("open"))).withColumn("span", c("high") - c("low"))
     df = df.withColumn("upper", c("high") - F.greatest("open", "close")).withColumn("lower", F.least("open", "close") - c("low"))
     df = df.withColumn("move", lag("close") - lag("close", 6)).withColumn("one_atr", lag("atr")).withColumn("usual", sma("body", 10, 1))
+    df = df.withColumn("up", c("move") >= c("one_atr")).withColumn("down", c("move") <= -c("one_atr"))
     for k in (1, 2):
-        for x in ("open", "close", "body", "usual", "low", "span"):
+        for x in ("open", "close", "body", "usual", "low", "span", "up", "down"):
             df = df.withColumn(f"{x}{k}", lag(x, k))
     df = df.withColumn("n", F.count("*").over(whole())).where(c("n") - c("i") < lookback)
-    up, down = c("move") >= c("one_atr"), c("move") <= -c("one_atr")
     doji = (c("span") > 0) & (c("body") <= 0.1 * c("span"))
-    hammer = ~doji & (c("lower") >= 2 * c("body")) & (c("upper") <= 0.1 * c("span"))
-    star = ~doji & (c("upper") >= 2 * c("body")) & (c("lower") <= 0.1 * c("span"))
-    green, red = c("close") > c("open"), c("close") < c("open")
-    green1, red1 = c("close1") > c("open1"), c("close1") < c("open1")
-    long1 = c("body1") >= c("usual1")
-    inside = (F.greatest("open", "close") < F.greatest("open1", "close1")) & (F.least("open", "close") > F.least("open1", "close1"))
-    long2, small1 = c("body2") >= c("usual2"), c("body1") <= 0.5 * c("usual1")
-    mid2 = (c("open2") + c("close2")) / 2
+    solid = c("body") > 0.1 * c("span")
+    hammer = solid & (c("lower") >= 2 * c("body")) & (c("upper") <= 0.1 * c("span"))
+    star = solid & (c("upper") >= 2 * c("body")) & (c("lower") <= 0.1 * c("span"))
+    green, red = [c("close") > c("open")], [c("close") < c("open")]
+    for k in (1, 2):
+        green.append(c(f"close{k}") > c(f"open{k}"))
+        red.append(c(f"close{k}") < c(f"open{k}"))
+    long = [None, (c("body1") > 0) & (c("body1") >= c("usual1")), (c("body2") > 0) & (c("body2") >= c("usual2"))]
+    inside = (c("body") < c("body1")) & (F.greatest("open", "close") < F.greatest("open1", "close1")) & (F.least("open", "close") > F.least("open1", "close1"))
+    small1 = c("body1") <= 0.5 * c("usual1")
+    middle = (c("open2") + c("close2")) / 2
     crow = lambda k: (c(f"close{k}") < c(f"open{k}")) & (c(f"body{k}") >= 0.5 * c(f"span{k}")) & (c(f"close{k}") - c(f"low{k}") <= 0.25 * c(f"span{k}"))
+    falling = (c("close") < c("close1")) & (c("close1") < c("close2"))
+    opens = c("open1").between(c("close2"), c("open2")) & c("open").between(c("close1"), c("open1"))
+    engulf = c("body") > c("body1")
     found = [
-        ("Doji", doji), ("Hammer", hammer & down), ("Hanging Man", hammer & up), ("Shooting Star", star & up),
-        ("Bullish Engulfing", green & red1 & (c("open") <= c("close1")) & (c("close") >= c("open1")) & (c("body") > c("body1")) & down),
-        ("Bearish Engulfing", red & green1 & (c("open") >= c("close1")) & (c("close") <= c("open1")) & (c("body") > c("body1")) & up),
-        ("Bullish Harami", red1 & long1 & green & inside & down), ("Bearish Harami", green1 & long1 & red & inside & up),
-        ("Morning Star", (c("close2") < c("open2")) & long2 & small1 & (F.greatest("open1", "close1") < c("close2")) & green & (c("close") > mid2)),
-        ("Evening Star", (c("close2") > c("open2")) & long2 & small1 & (F.least("open1", "close1") > c("close2")) & red & (c("close") < mid2)),
-        ("Three Black Crows", crow("") & crow(1) & crow(2) & (c("close") < c("close1")) & (c("close1") < c("close2"))),
+        ("Doji", doji), ("Hammer", hammer & c("down")), ("Hanging Man", hammer & c("up")), ("Shooting Star", star & c("up")),
+        ("Bullish Engulfing", green[0] & red[1] & (c("open") <= c("close1")) & (c("close") >= c("open1")) & engulf & c("down1")),
+        ("Bearish Engulfing", red[0] & green[1] & (c("open") >= c("close1")) & (c("close") <= c("open1")) & engulf & c("up1")),
+        ("Bullish Harami", red[1] & long[1] & green[0] & inside & c("down1")), ("Bearish Harami", green[1] & long[1] & red[0] & inside & c("up1")),
+        ("Morning Star", red[2] & long[2] & small1 & (F.greatest("open1", "close1") <= c("close2")) & green[0] & (c("close") > middle) & c("down2")),
+        ("Evening Star", green[2] & long[2] & small1 & (F.least("open1", "close1") >= c("close2")) & red[0] & (c("close") < middle) & c("up2")),
+        ("Three Black Crows", crow("") & crow(1) & crow(2) & falling & opens & c("up2")),
     ]
     hits = F.filter(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in found]), lambda x: x.isNotNull())
     return df.select("symbol", "date", F.explode(hits).alias("pattern"))

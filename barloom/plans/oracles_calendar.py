@@ -85,9 +85,11 @@ ORACLES = {
         "SELECT symbol, count_if(jump > 0.04)::BIGINT AS jumps, round(max(jump) * 100, 6) AS largest_percent, max(ratio) - min(ratio) <= 1e-4 AND max(date) - min(date) > 730 AS constant_ratio FROM a GROUP BY symbol",
     ),
     "tlt_cycle": steps(
-        "l AS (SELECT symbol, date, list_filter(list_transform(range(0, day(last_day(date))), lambda k: CAST(date_trunc('month', date) AS DATE) + k::INTEGER), lambda d: isodow(d) < 6) AS days FROM numbered WHERE is_last AND i >= 5)",
-        "a AS (SELECT *, len(list_filter(days, lambda d: d <= date)) AS k, len(days) AS n FROM l)",
-        "SELECT symbol, date, k AS business_day, n AS business_days, CASE WHEN k <= 3 THEN 'short' WHEN k > n - 5 THEN 'long' ELSE 'flat' END AS phase, days[n - 4] AS entry_date FROM a",
+        "l AS (SELECT symbol, date, list_filter(list_transform(range(0, day(last_day(date))), lambda k: CAST(date_trunc('month', date) AS DATE) + k::INTEGER), lambda d: isodow(d) < 6) AS days, list_min(list_filter(list_transform(range(1, 8), lambda k: last_day(date) + k::INTEGER), lambda d: isodow(d) < 6)) AS nxt FROM numbered WHERE is_last AND i >= 5)",
+        "a AS (SELECT *, len(list_filter(days, lambda d: d < date)) + 1 AS k, len(days) AS n, least(greatest(len(days) - 4, 4), len(days)) AS e FROM l)",
+        """SELECT symbol, date, k AS business_day, n AS business_days, CASE WHEN k <= 3 THEN 'Short Window (Start of Month)' WHEN k < e THEN 'Mid-Month (No Position)' WHEN k <= n THEN 'Long Window (End of Month)' ELSE 'Post Long-Exit (No Position)' END AS phase,
+        CASE WHEN k <= 3 THEN 'Short' WHEN k >= e AND k <= n THEN 'Long' ELSE 'Flat' END AS position, CASE WHEN k < 3 THEN 'Exit Short' WHEN k < e THEN 'Enter Long' WHEN k < n THEN 'Exit Long' ELSE 'Enter Short' END AS next_action,
+        CASE WHEN k < 3 THEN days[3] WHEN k < e THEN days[e] WHEN k < n THEN days[n] ELSE nxt END AS next_date FROM a""",
     ),
     "factor_momentum": steps(
         TAGS, _OWN, "t AS (SELECT tag, avg(month) AS mean, count(*) AS n FROM own JOIN tags USING (symbol) GROUP BY tag)",

@@ -31,7 +31,7 @@ CRASH = [
 def _wave(s: int) -> str:
     kernel = ricker(s)
     terms = " + ".join(f"({x!r})::DOUBLE * lag(r, {k}) OVER w" if k else f"({x!r})::DOUBLE * r" for k, x in enumerate(kernel))
-    return f"CASE WHEN count(r) OVER {_w(len(kernel))} = {len(kernel)} THEN {terms} END / {roll('stddev_samp', 'r', 60)} AS f{s}"
+    return f"CASE WHEN count(r) OVER {_w(len(kernel))} = {len(kernel)} THEN {terms} END / {roll('stddev_samp', 'r', len(kernel))} AS f{s}"
 
 
 _AHEAD = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)"
@@ -51,31 +51,32 @@ ORACLES = {
         round(greatest(20.0::DOUBLE, least(100.0::DOUBLE, 100 - 0.8::DOUBLE * rank)), 6) AS exposure FROM g""",
     ),
     "momentum_reversal": steps(
-        f"a AS (SELECT *, (close / {lag('close')} - 1) * 100 AS r FROM numbered {W})",
-        "b AS (SELECT *, CASE WHEN r < -0.1 THEN 'Bullish' WHEN r > 0.1 THEN 'Bearish' END AS s FROM a)",
-        f"d AS (SELECT *, last_value(s IGNORE NULLS) OVER w AS position FROM b {W})",
-        "SELECT symbol, date, round(r, 6) AS return_percent, coalesce(s, 'Hold') AS signal, position FROM d WHERE is_last AND i >= 15",
+        f"a AS (SELECT *, close / {lag('close')} - 1 AS r FROM numbered {W})",
+        "b AS (SELECT *, CASE WHEN r < -0.001 THEN 'Long' WHEN r > 0.001 THEN 'Short' END AS s FROM a)",
+        f"d AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER w, 'Flat') AS position FROM b {W})",
+        f"e AS (SELECT *, {lag('position')} AS p FROM d {W})",
+        "SELECT symbol, date, round(r * 100, 6) AS return_percent, CASE s WHEN 'Long' THEN 'Bullish Reversal' WHEN 'Short' THEN 'Bearish Reversal' ELSE 'No Signal' END AS signal, position, position <> p AS changed_today FROM e WHERE is_last AND i >= 15",
     ),
     "avalanches": steps(
-        f"a AS (SELECT *, 1 - close / max(close) OVER w AS fall FROM numbered {W})",
+        f"a AS (SELECT *, (1 - close / max(close) OVER w) * 100 AS fall FROM numbered {W})",
         f"b AS (SELECT *, sum(CASE WHEN fall = 0 THEN 1 ELSE 0 END) OVER w AS run FROM a {W})",
         "SELECT symbol, min(date) AS start, round(max(fall), 6) AS size FROM b WHERE fall > 0 GROUP BY symbol, run",
     ),
     "soc_avalanche": steps(
-        f"a AS (SELECT *, 1 - close / max(close) OVER w AS fall FROM numbered {W})",
+        f"a AS (SELECT *, (1 - close / max(close) OVER w) * 100 AS fall FROM numbered {W})",
         f"b AS (SELECT *, sum(CASE WHEN fall = 0 THEN 1 ELSE 0 END) OVER w AS run FROM a {W})",
         "s AS (SELECT symbol, log10(max(fall)) AS x FROM b WHERE fall > 0 GROUP BY symbol, run)",
         "e AS (SELECT symbol, min(x) AS lo, max(x) AS hi, count(*) AS n FROM s GROUP BY symbol HAVING count(*) >= 5 AND max(x) > min(x))",
         "k AS (SELECT symbol, least(CAST(floor((x - lo) / ((hi - lo) / 12)) AS BIGINT), 11) AS bin, lo, hi, n, count(*) AS k FROM s JOIN e USING (symbol) GROUP BY ALL)",
         "p AS (SELECT *, pow(10.0::DOUBLE, lo + bin * ((hi - lo) / 12)) AS l, pow(10.0::DOUBLE, lo + (bin + 1) * ((hi - lo) / 12)) AS h FROM k)",
         "g AS (SELECT symbol, n, count(*) AS bins, regr_slope(log10(k / (h - l)), (log10(l) + log10(h)) / 2) AS slope, regr_r2(log10(k / (h - l)), (log10(l) + log10(h)) / 2) AS r2 FROM p GROUP BY symbol, n HAVING count(*) >= 3)",
-        "SELECT symbol, n AS avalanches, bins, round(-slope, 6) AS alpha, round(r2, 6) AS r_squared, CASE WHEN -slope >= 2.8 THEN 'calm' WHEN -slope >= 1.8 THEN 'normal' WHEN -slope >= 1.0 THEN 'stressed' ELSE 'critical' END AS regime FROM g",
+        "SELECT symbol, n AS avalanches, bins, round(-slope, 6) AS alpha, round(r2, 6) AS r_squared, CASE WHEN -slope >= 2.8 THEN 'Gaussian' WHEN -slope >= 1.8 THEN 'Transitional' WHEN -slope >= 1.0 THEN 'Critical' ELSE 'Super-critical' END AS regime FROM g",
     ),
     "wavelet_trend": steps(
-        f"a AS (SELECT *, close / {lag('close')} - 1 AS r FROM numbered {W})",
-        f"b AS (SELECT *, {', '.join(_wave(s) for s in (5, 10, 20))} FROM a {W})",
+        _LOG,
+        f"b AS (SELECT *, {', '.join(_wave(s) for s in (5, 10, 20))} FROM lr {W})",
         """SELECT symbol, date, round(f5, 6) AS filter5, round(f10, 6) AS filter10, round(f20, 6) AS filter20,
-        CASE WHEN f5 > 0 AND f10 > 0 AND f20 > 0 THEN 'up' WHEN f5 < 0 AND f10 < 0 AND f20 < 0 THEN 'down' ELSE 'mixed' END AS trend FROM b WHERE is_last AND i >= 90""",
+        CASE WHEN f5 > 0 AND f10 > 0 AND f20 > 0 THEN 'Strong Uptrend' WHEN f5 <= 0 AND f10 <= 0 AND f20 <= 0 THEN 'Strong Downtrend' WHEN f10 > 0 THEN 'Uptrend (Mixed Confirmation)' WHEN f10 < 0 THEN 'Downtrend (Mixed Confirmation)' ELSE 'Transitional / Mixed' END AS state FROM b WHERE is_last AND i >= 90""",
     ),
     "crash_warning": steps(
         *CRASH,

@@ -98,13 +98,13 @@ def _run(flag: str, out: str, src: str, dst: str) -> str:
 
 
 _PATTERNS = """('Doji', doji), ('Hammer', hammer AND down), ('Hanging Man', hammer AND up), ('Shooting Star', star AND up),
-    ('Bullish Engulfing', close > open AND close1 < open1 AND open <= close1 AND close >= open1 AND body > body1 AND down),
-    ('Bearish Engulfing', close < open AND close1 > open1 AND open >= close1 AND close <= open1 AND body > body1 AND up),
-    ('Bullish Harami', close1 < open1 AND body1 >= usual1 AND close > open AND inside AND down),
-    ('Bearish Harami', close1 > open1 AND body1 >= usual1 AND close < open AND inside AND up),
-    ('Morning Star', close2 < open2 AND body2 >= usual2 AND body1 <= 0.5 * usual1 AND greatest(open1, close1) < close2 AND close > open AND close > (open2 + close2) / 2),
-    ('Evening Star', close2 > open2 AND body2 >= usual2 AND body1 <= 0.5 * usual1 AND least(open1, close1) > close2 AND close < open AND close < (open2 + close2) / 2),
-    ('Three Black Crows', crow0 AND crow1 AND crow2 AND close < close1 AND close1 < close2)"""
+    ('Bullish Engulfing', close > open AND close1 < open1 AND open <= close1 AND close >= open1 AND body > body1 AND down1),
+    ('Bearish Engulfing', close < open AND close1 > open1 AND open >= close1 AND close <= open1 AND body > body1 AND up1),
+    ('Bullish Harami', close1 < open1 AND body1 > 0 AND body1 >= usual1 AND close > open AND inside AND down1),
+    ('Bearish Harami', close1 > open1 AND body1 > 0 AND body1 >= usual1 AND close < open AND inside AND up1),
+    ('Morning Star', close2 < open2 AND body2 > 0 AND body2 >= usual2 AND body1 <= 0.5 * usual1 AND greatest(open1, close1) <= close2 AND close > open AND close > (open2 + close2) / 2 AND down2),
+    ('Evening Star', close2 > open2 AND body2 > 0 AND body2 >= usual2 AND body1 <= 0.5 * usual1 AND least(open1, close1) >= close2 AND close < open AND close < (open2 + close2) / 2 AND up2),
+    ('Three Black Crows', crow0 AND crow1 AND crow2 AND close < close1 AND close1 < close2 AND open1 BETWEEN close2 AND open2 AND open BETWEEN close1 AND open1 AND up2)"""
 
 
 def _crow(k: str) -> str:
@@ -116,19 +116,19 @@ ORACLES = {
         f"a AS (SELECT *, {sma('close', 20)} AS middle, {roll('stddev_samp', 'close', 20)} AS sd FROM numbered)",
         "b AS (SELECT *, middle + 2 * sd AS upper, middle - 2 * sd AS lower FROM a WHERE is_last AND i >= 30)",
         f"""SELECT symbol, date, close, {r6('middle', 'upper', 'lower')}, round((upper - lower) / middle * 100, 6) AS width_percent,
-        CASE WHEN close > upper THEN 'above' WHEN close < lower THEN 'below' ELSE 'inside' END AS status,
-        CASE WHEN abs(close / upper - 1) <= 0.01 THEN 'upper' WHEN abs(close / lower - 1) <= 0.01 THEN 'lower' ELSE 'none' END AS near_band FROM b""",
+        CASE WHEN close > upper THEN 'Above Upper Band' WHEN close < lower THEN 'Below Lower Band' ELSE 'Within Bands' END AS status,
+        abs(close / upper - 1) * 100 <= 1 AS near_upper, abs(close / lower - 1) * 100 <= 1 AS near_lower FROM b""",
     ),
     "better_breakout": steps(
         "a AS (SELECT *, greatest(high - close, close - low) AS wick FROM numbered)",
         f"b AS (SELECT *, {lag('close')} + {sma('wick', 3, 1)} AS level, {sma('close', 40)} AS s40 FROM a {W})",
-        "SELECT symbol, date, close, round(level, 6) AS breakout_level, close > level AS is_breakout, round((close / s40 - 1) * 100, 6) AS momentum_percent FROM b WHERE is_last AND i >= 53",
+        "SELECT symbol, date, close, round(level, 6) AS breakout_level, close > level AS is_breakout, round(close - s40, 6) AS momentum FROM b WHERE is_last AND i >= 53",
     ),
     "sma_trend": steps(
         "a AS (SELECT *, " + ", ".join(f"{sma('close', n)} AS sma{n}" for n in (20, 50, 100, 200)) + " FROM numbered)",
         f"b AS (SELECT *, sma50 - sma200 AS gap, {lag('(sma50 - sma200)')} AS last_gap FROM a {W})",
         f"""SELECT symbol, date, close, {r6('sma20', 'sma50', 'sma100', 'sma200')},
-        CASE WHEN close > sma50 AND sma50 > sma200 THEN 'up' WHEN close < sma50 AND sma50 < sma200 THEN 'down' ELSE 'sideways' END AS trend,
+        CASE WHEN close > sma200 AND sma50 > sma200 THEN 'Bullish' WHEN close < sma200 AND sma50 < sma200 THEN 'Bearish' ELSE 'Neutral' END AS trend,
         gap > 0 AND last_gap <= 0 AS golden_cross, gap < 0 AND last_gap >= 0 AS death_cross FROM b WHERE is_last AND i >= 210""",
     ),
     "sma_traffic_light": steps(
@@ -146,18 +146,21 @@ ORACLES = {
     ),
     "td_setup": steps(
         f"a AS (SELECT *, coalesce(close > {lag('close', 4)}, false) AS above, coalesce(close < {lag('close', 4)}, false) AS below FROM numbered {W})",
-        _run("below", "buy_count", "a", "b1"),
-        _run("above", "sell_count", "b1", "b2"),
-        f"d AS (SELECT *, max(CASE WHEN buy_count = 9 THEN date END) OVER w AS last_buy, max(CASE WHEN sell_count = 9 THEN date END) OVER w AS last_sell FROM b2 {W})",
-        "SELECT symbol, date, buy_count, sell_count, buy_count = 9 AS buy_complete, sell_count = 9 AS sell_complete, last_buy, last_sell FROM d WHERE is_last AND i >= 13",
+        _run("below", "bullish", "a", "b1"),
+        _run("above", "bearish", "b1", "b2"),
+        "g AS (SELECT symbol, max(date) AS on_, arg_max(CASE WHEN bearish = 9 THEN 'Bearish' ELSE 'Bullish' END, date) AS kind FROM b2 WHERE bearish = 9 OR bullish = 9 GROUP BY symbol)",
+        """SELECT b2.symbol, date, CASE WHEN bearish > 0 THEN 'Bearish' WHEN bullish > 0 THEN 'Bullish' ELSE 'None' END AS setup, greatest(bearish, bullish) AS run, least(greatest(bearish, bullish), 9) AS count,
+        greatest(bearish, bullish) >= 9 AS completed, CASE WHEN bearish >= 9 THEN 'Potential Upside Exhaustion' WHEN bullish >= 9 THEN 'Potential Downside Exhaustion' WHEN bearish + bullish > 0 THEN 'Setup In Progress' ELSE 'No Active Setup' END AS state,
+        g.kind AS last_completed, g.on_ AS last_completed_date FROM b2 LEFT JOIN g USING (symbol) WHERE is_last AND i >= 13""",
     ),
     "pivot_levels": steps(
         f"a AS (SELECT *, {lag('high')} AS h, {lag('low')} AS l, {lag('close')} AS k FROM numbered {W})",
         "b AS (SELECT *, (h + l + k) / 3 AS pp FROM a WHERE is_last AND i >= 5)",
         "d AS (SELECT *, 2 * pp - l AS r1, 2 * pp - h AS s1, pp + (h - l) AS r2, pp - (h - l) AS s2, h + 2 * (pp - l) AS r3, l - 2 * (h - pp) AS s3 FROM b)",
         f"""SELECT symbol, date, close, {r6(*_PIVOTS.split(', '))},
-        round(list_min(list_filter([{_PIVOTS}], lambda x: x > close)), 6) AS resistance, round(list_max(list_filter([{_PIVOTS}], lambda x: x < close)), 6) AS support,
-        CASE WHEN close > pp THEN 'above' ELSE 'below' END AS zone FROM d""",
+        round(up, 6) AS resistance, round(abs(up - close) / close * 100, 6) AS to_resistance_percent, round(down, 6) AS support, round(abs(down - close) / close * 100, 6) AS to_support_percent,
+        CASE WHEN close > r1 THEN 'Upper Zone' WHEN close < s1 THEN 'Lower Zone' ELSE 'Middle Zone' END AS zone, close > pp AS above_pivot
+        FROM (SELECT *, list_min(list_filter([{_PIVOTS}], lambda x: x > close)) AS up, list_max(list_filter([{_PIVOTS}], lambda x: x <= close)) AS down FROM d)""",
     ),
     "cpr": steps(
         f"a AS (SELECT *, ({lag('high')} + {lag('low')} + {lag('close')}) / 3 AS pivot_point, ({lag('high')} + {lag('low')}) / 2 AS m FROM numbered {W})",
@@ -166,8 +169,8 @@ ORACLES = {
         f"e AS (SELECT *, list(width) OVER {_w(60)} AS raw FROM d)",
         "f AS (SELECT *, list_filter(raw, lambda x: x IS NOT NULL) AS ws FROM e WHERE is_last AND i >= 61)",
         "g AS (SELECT *, (len(list_filter(ws, lambda x: x < width - 1e-9)) + 0.5 * len(list_filter(ws, lambda x: abs(x - width) <= 1e-9)))::DOUBLE / len(ws) AS rank FROM f)",
-        f"""SELECT symbol, date, {r6('pivot_point', 'bottom', 'top', 'width', 'rank')}, CASE WHEN rank <= 0.25 THEN 'Narrow' WHEN rank >= 0.75 THEN 'Wide' ELSE 'Average' END AS kind,
-        CASE WHEN close > top THEN 'Bullish' WHEN close < bottom THEN 'Bearish' ELSE 'Neutral' END AS bias FROM g""",
+        f"""SELECT symbol, date, {r6('pivot_point', 'bottom', 'top', 'width', 'rank')}, CASE WHEN rank <= 0.25 THEN 'Narrow' WHEN rank >= 0.75 THEN 'Wide' ELSE 'Normal' END AS kind,
+        CASE WHEN close > top THEN 'Bullish Day Bias' WHEN close < bottom THEN 'Bearish Day Bias' ELSE 'Neutral' END AS bias FROM g""",
     ),
     "candle_confirmation": steps(f"SELECT symbol, date, {_COLOUR} AS candle, false AS setup, false AS confirmed FROM numbered WHERE is_last AND i >= 20"),
     "squeeze_momentum": steps(
@@ -184,7 +187,7 @@ ORACLES = {
     "ema50_rsi_pullback": steps(
         INDICATORS,
         f"a AS (SELECT *, {lag('rsi')} AS last_rsi, (close / ema50 - 1) * 100 AS d FROM ind {W})",
-        """SELECT symbol, date, close, round(ema50, 6) AS ema50, round(rsi, 6) AS rsi, round(d, 6) AS distance_percent, CASE WHEN close > ema50 THEN 'up' ELSE 'down' END AS trend,
+        """SELECT symbol, date, close, round(ema50, 6) AS ema50, round(rsi, 6) AS rsi, round(d, 6) AS distance_percent, CASE WHEN close > ema50 THEN 'Bullish' ELSE 'Bearish' END AS trend,
         rsi > last_rsi AS rsi_turning_up, close > ema50 AND abs(d) <= 2 AS is_pullback FROM a WHERE is_last AND i >= 74""",
         recursive=True,
     ),
@@ -192,14 +195,14 @@ ORACLES = {
         INDICATORS,
         f"a AS (SELECT *, ema8 - ema21 AS gap, {lag('(ema8 - ema21)')} AS last_gap FROM ind {W})",
         f"""SELECT symbol, date, {r6('ema8', 'ema21')}, gap > 0 AND last_gap <= 0 AS cross_up, gap < 0 AND last_gap >= 0 AS cross_down,
-        ema8 > ema21 AND abs(close / ema21 - 1) <= 0.01 AS is_pullback FROM a WHERE is_last AND i >= 31""",
+        CASE WHEN gap > 0 THEN 'Bullish' ELSE 'Bearish' END AS trend, close > ema8 AND close > ema21 AS above_both, close > ema8 AND close > ema21 AND abs((close / ema8 - 1) * 100) <= 1 AS is_pullback FROM a WHERE is_last AND i >= 31""",
         recursive=True,
     ),
     "macd": steps(
         INDICATORS,
         f"a AS (SELECT *, {lag('hist')} AS last_hist FROM ind {W})",
         f"""SELECT symbol, date, {r6('macd', 'signal', 'hist')}, hist > 0 AND last_hist <= 0 AS cross_up, hist < 0 AND last_hist >= 0 AS cross_down,
-        CASE WHEN macd > signal THEN 'bullish' ELSE 'bearish' END AS trend FROM a WHERE is_last AND i >= 45""",
+        CASE WHEN macd > signal THEN 'Bullish' ELSE 'Bearish' END AS trend FROM a WHERE is_last AND i >= 45""",
         recursive=True,
     ),
     "triple_ma_pullback": steps(
@@ -228,18 +231,22 @@ ORACLES = {
         """b AS (SELECT *, CASE WHEN side <> last_side AND last_side <> 0 AND side = 1 AND ha = 'Green' AND colour = 'Green' THEN 'long'
             WHEN side <> last_side AND last_side <> 0 AND side = -1 AND ha = 'Red' AND colour = 'Red' THEN 'short' END AS kind FROM a)""",
         "s AS (SELECT symbol, arg_max(kind, date) AS kind, max(date) AS on_, arg_max(close, date) AS entry, arg_max(line, date) AS stop FROM b WHERE kind IS NOT NULL GROUP BY symbol)",
-        """SELECT b.symbol, b.date, b.ha, s.kind AS setup, s.on_ AS setup_date, round(s.entry, 6) AS entry, round(s.stop, 6) AS stop,
-        round(s.entry + 1.5 * (s.entry - s.stop), 6) AS target FROM b LEFT JOIN s USING (symbol) WHERE b.is_last AND b.i >= 50""",
+        """SELECT b.symbol, b.date, b.ha, s.kind AS setup, s.on_ AS setup_date, CASE WHEN ok THEN round(s.entry, 6) END AS entry, CASE WHEN ok THEN round(s.stop, 6) END AS stop,
+        CASE WHEN ok THEN round(s.entry + 1.5 * (s.entry - s.stop), 6) END AS target FROM b LEFT JOIN (SELECT *, CASE WHEN kind = 'long' THEN entry - stop ELSE stop - entry END > 0 AS ok FROM s) s USING (symbol) WHERE b.is_last AND b.i >= 50""",
         recursive=True,
     ),
     "ta_candles": steps(
         INDICATORS,
-        f"a AS (SELECT *, (close / {lag('close', 10)} - 1) * 100 AS roc, atr / close * 100 AS ap, close > open AS green FROM ind {W})",
-        f"b AS (SELECT *, CASE WHEN count(ap) OVER {_w(50)} >= 14 THEN median(ap) OVER {_w(50)} END AS usual, sum(CASE WHEN green THEN 1 ELSE 0 END) OVER {_w(10)} AS greens FROM a)",
-        _run("green", "green_run", "b", "d"),
-        """SELECT symbol, date, CASE WHEN (ema21 / ema50 - 1) * 100 > 0.25 THEN 'up' WHEN (ema21 / ema50 - 1) * 100 < -0.25 THEN 'down' ELSE 'flat' END AS trend,
-        round(roc, 6) AS roc10, round(ap, 6) AS atr_percent, CASE WHEN ap / usual >= 1.25 THEN 'high' WHEN ap / usual <= 0.75 THEN 'low' ELSE 'normal' END AS volatility,
-        CAST(greens AS DOUBLE) / 10 AS green_ratio, green_run FROM d WHERE is_last AND i >= 74""",
+        f"a AS (SELECT *, (close / {lag('close', 10)} - 1) * 100 AS roc, atr / close * 100 AS ap, {_COLOUR} AS candle FROM ind {W})",
+        f"b AS (SELECT *, CASE WHEN count(ap) OVER {_w(50)} >= 14 THEN median(ap) OVER {_w(50)} END AS usual, sum((candle = 'Green')::INTEGER) OVER {_w(10)}::DOUBLE / 10 AS g, sum((candle = 'Red')::INTEGER) OVER {_w(10)}::DOUBLE / 10 AS r FROM a)",
+        _run("candle = 'Green'", "gr", "b", "d1"),
+        _run("candle = 'Red'", "rr", "d1", "d2"),
+        """e AS (SELECT *, CASE WHEN (ema21 / ema50 - 1) * 100 >= 0.25 AND close > ema21 THEN 'Bullish' WHEN (ema21 / ema50 - 1) * 100 <= -0.25 AND close < ema21 THEN 'Bearish' ELSE 'Mixed' END AS trend,
+            CASE WHEN roc > 0 THEN 'Positive' WHEN roc < 0 THEN 'Negative' ELSE 'Flat' END AS momentum FROM d2 WHERE is_last AND i >= 74)""",
+        """SELECT symbol, date, trend, momentum, round(roc, 6) AS roc10, round(ap, 6) AS atr_percent, CASE WHEN ap / usual >= 1.25 THEN 'Expanding' WHEN ap / usual <= 0.75 THEN 'Contracting' ELSE 'Normal' END AS volatility,
+        g AS green_ratio, r AS red_ratio, greatest(gr, rr) AS streak, candle AS streak_colour,
+        CASE WHEN trend = 'Bullish' AND momentum = 'Positive' AND g >= 0.6 THEN 'Healthy Trend (Bullish)' WHEN trend = 'Bullish' AND (momentum <> 'Positive' OR g < 0.5) THEN 'Weakening Bullish Trend'
+            WHEN trend = 'Bearish' AND momentum = 'Negative' AND r >= 0.6 THEN 'Healthy Trend (Bearish)' WHEN trend = 'Bearish' AND (momentum <> 'Negative' OR r < 0.5) THEN 'Weakening Bearish Trend' ELSE 'Choppy - Caution' END AS health FROM e""",
         recursive=True,
     ),
     "mswing": steps(
@@ -259,12 +266,12 @@ ORACLES = {
         INDICATORS,
         f"""a AS (SELECT *, abs(close - open) AS body, high - low AS span, high - greatest(open, close) AS upper, least(open, close) - low AS lower,
             {lag('close')} - {lag('close', 6)} AS move, {lag('atr')} AS one_atr FROM ind {W})""",
-        f"b AS (SELECT *, {sma('body', 10, 1)} AS usual FROM a)",
-        "d AS (SELECT *, " + ", ".join(f"{lag(x, k)} AS {x}{k}" for k in (1, 2) for x in ("open", "close", "body", "usual", "low", "span")) + f" FROM b {W})",
-        f"""e AS (SELECT *, move >= one_atr AS up, move <= -one_atr AS down, span > 0 AND body <= 0.1 * span AS doji,
-            NOT (span > 0 AND body <= 0.1 * span) AND lower >= 2 * body AND upper <= 0.1 * span AS hammer,
-            NOT (span > 0 AND body <= 0.1 * span) AND upper >= 2 * body AND lower <= 0.1 * span AS star,
-            greatest(open, close) < greatest(open1, close1) AND least(open, close) > least(open1, close1) AS inside,
+        f"b AS (SELECT *, {sma('body', 10, 1)} AS usual, move >= one_atr AS up, move <= -one_atr AS down FROM a)",
+        "d AS (SELECT *, " + ", ".join(f"{lag(x, k)} AS {x}{k}" for k in (1, 2) for x in ("open", "close", "body", "usual", "low", "span", "up", "down")) + f" FROM b {W})",
+        f"""e AS (SELECT *, span > 0 AND body <= 0.1 * span AS doji,
+            body > 0.1 * span AND lower >= 2 * body AND upper <= 0.1 * span AS hammer,
+            body > 0.1 * span AND upper >= 2 * body AND lower <= 0.1 * span AS star,
+            body < body1 AND greatest(open, close) < greatest(open1, close1) AND least(open, close) > least(open1, close1) AS inside,
             {_crow('')}, {_crow('1')}, {_crow('2')} FROM d WHERE n - i < 120)""",
         f"SELECT symbol, date, pattern FROM e, LATERAL (VALUES {_PATTERNS}) AS v(pattern, hit) WHERE hit",
         recursive=True,
