@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import written
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 IN_SHARD = 4096
 SCHEMA = "doc_id long, piece int, length long, bin long, capacity long, place long"
@@ -90,6 +92,7 @@ def best_fit_packing(items: DataFrame, permitted: tuple[int, ...] = LENGTHS, in_
     last = F.greatest(F.ceil(F.col("total") / longest) - 1, F.lit(0))
     pieces = items.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     pieces = pieces.select("doc_id", F.col("piece").cast("int"), F.least(F.col("total") - F.col("piece") * longest, F.lit(longest)).alias("length"))
+    pieces = written(pieces, "pieces")
     n = pieces.count()
     shards = max(1, -(-n // in_shard))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
