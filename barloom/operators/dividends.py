@@ -105,20 +105,68 @@ def payout(pays: DataFrame, eps: DataFrame) -> DataFrame:
     return df.select("symbol", "year", r6("ratio").alias("payout_percent"), band.alias("band"))
 
 
-def cut_risk(pays: DataFrame, eps: DataFrame, as_of: str) -> DataFrame:
-    """Signs of a cut: late payments, recent cuts, high payout, falling trend."""
+def sustainability(paid_out: DataFrame, statements: DataFrame) -> DataFrame:
+    """Five factors of the latest year, each supportive, neutral, a concern or
+    null where it can't be told: payout, earnings, revenue, cover of payments by
+    free cash flow, and net debt over EBITDA.
+
+    ``statements``: symbol, year, eps, revenue, fcf, paid, ebitda, net_debt.
+    """
+    by = Window.partitionBy("symbol").orderBy("year")
+    df = statements.withColumn("eps1", F.lag("eps").over(by)).withColumn("revenue1", F.lag("revenue").over(by))
+    df = df.withColumn("fell", F.when(c("eps") < c("eps1"), 1).otherwise(0)).withColumn("falls", F.sum("fell").over(by.rowsBetween(-2, 0)))
+    df = df.withColumn("last", F.lead("year").over(by).isNull()).where("last")
+    df = df.join(paid_out.select("symbol", "year", c("payout_percent").alias("payout")), ["symbol", "year"], "left")
+    change = lambda x: F.when(c(f"{x}1") > 0, (c(x) / c(f"{x}1") - 1) * 100)
+    df = df.withColumn("eps_change", change("eps")).withColumn("revenue_change", change("revenue"))
+    df = df.withColumn("cover", F.when((c("paid") > 0) & (c("fcf") > 0), c("fcf") / c("paid"))).withColumn("leverage", F.when((c("net_debt") > 0) & (c("ebitda") > 0), c("net_debt") / c("ebitda")))
+    rate = lambda *cases: F.coalesce(*[F.when(rule, name) for rule, name in cases])
+    factors = {
+        "payout_factor": rate((c("payout") <= 60, "supportive"), (c("payout") <= 80, "neutral"), (c("payout") > 80, "concern")),
+        "earnings_factor": F.when(c("eps1").isNotNull(), rate((c("eps") <= 0, "concern"), (c("eps_change") <= -20, "concern"), ((c("eps_change") >= 0) & (c("falls") == 0), "supportive"), (F.lit(True), "neutral"))),
+        "revenue_factor": rate((c("revenue_change") <= -10, "concern"), (c("revenue_change") >= 0, "supportive"), (c("revenue_change").isNotNull(), "neutral")),
+        "cash_factor": F.when(c("paid") > 0, rate((c("fcf") <= 0, "concern"), (c("cover") >= 1.5, "supportive"), (c("cover") >= 1.0, "neutral"), (F.lit(True), "concern"))),
+        "debt_factor": F.when(c("net_debt").isNotNull() & c("ebitda").isNotNull(), rate((c("net_debt") <= 0, "supportive"), (c("ebitda") <= 0, "concern"), (c("leverage") <= 2, "supportive"), (c("leverage") <= 4, "neutral"), (F.lit(True), "concern"))),
+    }
+    df = df.select("symbol", "year", "eps", r6("payout").alias("payout"), r6("eps_change").alias("eps_change"), r6("cover").alias("cover"), r6("leverage").alias("leverage"), *[x.alias(k) for k, x in factors.items()])
+    how_many = lambda name: F.size(F.filter(F.array(*factors), lambda x: x == name)).cast("long")
+    df = df.withColumn("concerns", how_many("concern")).withColumn("supports", how_many("supportive"))
+    n = F.size(F.filter(F.array(*factors), lambda x: x.isNotNull()))
+    overall = F.when(n < 2, "Insufficient Data").when(c("concerns") >= 2, "Weak").when((c("concerns") == 0) & (c("supports") >= 2), "Supportive").otherwise("Mixed")
+    return df.withColumn("assessment", overall)
+
+
+def cut_risk(pays: DataFrame, health: DataFrame, as_of: str) -> DataFrame:
+    """Nine signs of a cut, their severities, and a level from their counts.
+
+    ``health`` comes from ``sustainability``.  Three signs at least must be
+    known, one of them from the statements.
+    """
     day = F.lit(as_of).cast("date")
-    last_payout = payout(pays, eps).where("payout_percent is not null").groupBy("symbol").agg(F.max_by("payout_percent", "year").alias("payout"))
-    recent = cut_events(pays).where((c("ex_date") > F.date_sub(day, 729)) & (c("ex_date") <= day)).groupBy("symbol").agg(F.count("*").alias("cuts"))
-    df = payment_status(pays, as_of).join(trend(annual_table(pays, as_of)), "symbol", "left").join(last_payout, "symbol", "left").join(recent, "symbol", "left")
+    recent = cut_events(pays).where((c("ex_date") > F.date_sub(day, 729)) & (c("ex_date") <= day)).groupBy("symbol").agg(F.count("*").alias("cuts"), F.max("confirmed").alias("sure"))
+    df = payment_status(pays, as_of).join(trend(annual_table(pays, as_of)).select("symbol", "trend"), "symbol", "left").join(recent, "symbol", "left").join(health, "symbol", "left")
+    severity = lambda high: F.when(high, "high").otherwise("medium")
     signs = {
-        "late": c("status").isin("suspended", "delayed"),
-        "recent_cut": F.coalesce("cuts", F.lit(0)) > 0,
-        "high_payout": c("payout") > 80,
-        "falling": c("trend") == "Decreasing",
+        "payout_high": (c("payout") > 80, severity(c("payout") > 100)),
+        "no_earnings": (c("eps") <= 0, F.lit("high")),
+        "earnings_down": (F.when(c("earnings_factor").isNotNull(), (c("earnings_factor") == "concern") & F.coalesce(c("eps_change") <= -20, F.lit(False))), F.lit("medium")),
+        "cash_short": (c("cash_factor") == "concern", severity(c("cover").isNull() | (c("cover") < 0.75))),
+        "debt_high": (c("debt_factor") == "concern", F.lit("medium")),
+        "revenue_down": (c("revenue_factor") == "concern", F.lit("low")),
+        "recent_cut": (F.coalesce("cuts", F.lit(0)) > 0, severity(F.coalesce("sure", F.lit(False)))),
+        "irregular": (c("trend") == "Irregular", F.lit("medium")),
+        "overdue": (c("status").isin("suspended", "delayed"), severity(c("status") == "suspended")),
     }
-    df = df.select("symbol", *[x.alias(k) for k, x in signs.items()])
-    n = sum((F.coalesce(c(k).cast("long"), F.lit(0)) for k in signs), F.lit(0)).cast("long")
-    known = sum((c(k).isNotNull().cast("long") for k in signs), F.lit(0)).cast("long")
-    level = F.when(known < 3, "unavailable").when(n >= 3, "Elevated").when(n >= 1, "Moderate").otherwise("Few signs")
-    return df.select("symbol", *signs, n.alias("signs"), known.alias("known"), level.alias("level"))
+    facts = list(signs)[:6]
+    df = df.select("symbol", *[rule.alias(k) for k, (rule, _) in signs.items()], *[sev.alias(f"s_{k}") for k, (_, sev) in signs.items()])
+    total = lambda names, test: sum((F.when(test(k), 1).otherwise(0) for k in names), F.lit(0)).cast("long")
+    df = df.withColumn("known", total(signs, lambda k: c(k).isNotNull())).withColumn("from_facts", total(facts, lambda k: c(k).isNotNull()))
+    for level in ("high", "medium"):
+        df = df.withColumn(level, total(signs, lambda k, level=level: c(k) & (c(f"s_{k}") == level)))
+    level = (
+        F.when((c("known") < 3) | (c("from_facts") == 0), "Insufficient Data")
+        .when((c("high") >= 2) | ((c("high") >= 1) & (c("medium") >= 2)), "Elevated risk indicators")
+        .when((c("high") == 1) | (c("medium") >= 2), "Moderate risk indicators")
+        .otherwise("Few risk indicators")
+    )
+    return df.select("symbol", *signs, "known", "high", "medium", level.alias("level"))

@@ -20,6 +20,7 @@ from barloom.operators import technical as t
 from barloom.plans import oracles_analytics, oracles_calendar, oracles_portfolio, oracles_quant, oracles_stream, oracles_technical
 from barloom.plans.oracles_analytics import MIX, TRIO
 from barloom.plans.oracles_calendar import AS_OF
+from barloom.plans.oracles_portfolio import STATEMENTS
 from barloom.sources.bars import bars, bars_hourly, bars_stock, table
 from barloom.sources.fundamentals import annual_eps, fundamentals
 from barloom.sources.scratch import shared_dir
@@ -124,6 +125,13 @@ def fund_eps(b: DataFrame) -> DataFrame:
     return b.groupBy("symbol", F.year("date").cast("long").alias("year")).agg((F.floor(F.max("close")) / 50.0).alias("eps"))
 
 
+def _health(b: DataFrame) -> DataFrame:
+    y = F.year("date").cast("long")
+    g = b.groupBy("symbol", y.alias("year")).agg(F.floor(F.max("close")).alias("m"), F.floor(F.avg("close")).alias("k"))
+    g = g.withColumn("m", F.col("m") + F.col("year") % 17).withColumn("k", F.col("k") + F.col("year") % 7)
+    return dv.sustainability(dv.payout(payments(b), fund_eps(b)), g.selectExpr("symbol", "year", *[f"{x} AS {n}" for n, x in STATEMENTS.items()]))
+
+
 def on_payments(operator: Callable[..., DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(payments(bars(spark, sf_dir)))
 
@@ -278,7 +286,8 @@ QUERIES: dict[str, Query] = {
     "dividend_cut_events": on_payments(dv.cut_events),
     "dividend_status": on_payments(lambda x: dv.payment_status(x, AS_OF)),
     "payout_ratio": lambda spark, d: dv.payout(payments(bars(spark, d)), fund_eps(bars(spark, d))),
-    "cut_risk": lambda spark, d: dv.cut_risk(payments(bars(spark, d)), fund_eps(bars(spark, d)), AS_OF),
+    "sustainability": lambda spark, d: _health(bars(spark, d)),
+    "cut_risk": lambda spark, d: dv.cut_risk(payments(bars(spark, d)), _health(bars(spark, d)), AS_OF),
     "buy_and_hold_shares": on_bars(p.whole_shares, initial=10000.0, rate=0.001, flat=1.0),
     "dividend_parse": _parse,
     "hmm_regime": on_bars(m.hmm_regime),

@@ -88,6 +88,32 @@ PAYOUT = """feps AS (SELECT symbol, year(date) AS year, CAST(floor(max(close)) /
     po AS (SELECT e.symbol, e.year, CASE WHEN e.eps > 0 THEN coalesce(p.paid, 0) / e.eps * 100 END AS ratio FROM feps e LEFT JOIN (SELECT symbol, year(ex_date) AS year, sum(amount) AS paid FROM pays GROUP BY ALL) p USING (symbol, year)),
     payouts AS (SELECT symbol, year, round(ratio, 6) AS payout_percent, CASE WHEN ratio <= 60 THEN 'low' WHEN ratio <= 80 THEN 'moderate' WHEN ratio <= 100 THEN 'high' WHEN ratio IS NOT NULL THEN 'above earnings' ELSE 'unavailable' END AS band FROM po)"""
 
+#: Made-up statements of each fund and year; the same text in Spark SQL.
+STATEMENTS = {
+    "eps": "CASE WHEN m % 11 = 0 THEN NULL ELSE (m % 23 - 3) / 2 END",
+    "revenue": "m * 10 + k",
+    "fcf": "CASE WHEN k % 13 = 0 THEN NULL ELSE (k % 37) * 5 - 20 END",
+    "paid": "k % 29",
+    "ebitda": "CASE WHEN m % 9 = 0 THEN NULL ELSE (m % 31) * 3 - 6 END",
+    "net_debt": "(m + k) % 90 - 10",
+}
+HEALTH = [
+    "st AS (SELECT symbol, year, " + ", ".join(f"{x} AS {n}" for n, x in STATEMENTS.items()) + " FROM (SELECT symbol, y AS year, m0 + y % 17 AS m, k0 + y % 7 AS k FROM (SELECT symbol, year(date) AS y, CAST(floor(max(close)) AS BIGINT) AS m0, CAST(floor(avg(close)) AS BIGINT) AS k0 FROM bars GROUP BY ALL)))",
+    "h1 AS (SELECT *, lag(eps) OVER v AS eps1, lag(revenue) OVER v AS revenue1, lead(year) OVER v IS NULL AS lst FROM st WINDOW v AS (PARTITION BY symbol ORDER BY year))",
+    "h2 AS (SELECT *, sum(CASE WHEN eps < eps1 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS falls FROM h1)",
+    "h3 AS (SELECT h2.*, p.payout_percent AS payout, CASE WHEN eps1 > 0 THEN (eps / eps1 - 1) * 100 END AS ec, CASE WHEN revenue1 > 0 THEN (revenue / revenue1 - 1) * 100 END AS rc, CASE WHEN paid > 0 AND fcf > 0 THEN fcf / paid END AS cv, CASE WHEN net_debt > 0 AND ebitda > 0 THEN net_debt / ebitda END AS lv FROM h2 LEFT JOIN payouts p USING (symbol, year) WHERE lst)",
+    """h4 AS (SELECT symbol, year, eps, round(payout, 6) AS payout, round(ec, 6) AS eps_change, round(cv, 6) AS cover, round(lv, 6) AS leverage,
+        CASE WHEN payout <= 60 THEN 'supportive' WHEN payout <= 80 THEN 'neutral' WHEN payout > 80 THEN 'concern' END AS payout_factor,
+        CASE WHEN eps1 IS NULL THEN NULL WHEN eps <= 0 OR ec <= -20 THEN 'concern' WHEN ec >= 0 AND falls = 0 THEN 'supportive' ELSE 'neutral' END AS earnings_factor,
+        CASE WHEN rc <= -10 THEN 'concern' WHEN rc >= 0 THEN 'supportive' WHEN rc IS NOT NULL THEN 'neutral' END AS revenue_factor,
+        CASE WHEN NOT paid > 0 THEN NULL WHEN fcf <= 0 THEN 'concern' WHEN cv >= 1.5 THEN 'supportive' WHEN cv >= 1 THEN 'neutral' ELSE 'concern' END AS cash_factor,
+        CASE WHEN net_debt IS NULL OR ebitda IS NULL THEN NULL WHEN net_debt <= 0 THEN 'supportive' WHEN ebitda <= 0 THEN 'concern' WHEN lv <= 2 THEN 'supportive' WHEN lv <= 4 THEN 'neutral' ELSE 'concern' END AS debt_factor FROM h3)""",
+    """h5 AS (SELECT *, [payout_factor, earnings_factor, revenue_factor, cash_factor, debt_factor] AS fs FROM h4)""",
+    """health AS (SELECT * EXCLUDE (fs), CAST(len(list_filter(fs, lambda x: x = 'concern')) AS BIGINT) AS concerns, CAST(len(list_filter(fs, lambda x: x = 'supportive')) AS BIGINT) AS supports,
+        CASE WHEN len(list_filter(fs, lambda x: x IS NOT NULL)) < 2 THEN 'Insufficient Data' WHEN len(list_filter(fs, lambda x: x = 'concern')) >= 2 THEN 'Weak'
+        WHEN len(list_filter(fs, lambda x: x = 'concern')) = 0 AND len(list_filter(fs, lambda x: x = 'supportive')) >= 2 THEN 'Supportive' ELSE 'Mixed' END AS assessment FROM h5)""",
+]
+
 ORACLES = {
     "volatility_harvesting": _with(*harvest("quarter", 0.001), "SELECT date, round(ln(rebalanced), 6) AS log_rebalanced, round(ln(held), 6) AS log_held, is_rebalance, round(turnover, 6) AS turnover FROM h"),
     "vol_harvest_frequency_grid": " UNION ALL ".join(f"({metrics(f, 0.001, f', {f!r} AS frequency')})" for f in ("month", "quarter", "half", "year")),
@@ -150,11 +176,18 @@ ORACLES = {
     "dividend_cut_events": _with(BARS_SQL, PAYS, CUTS, "SELECT * FROM cuts"),
     "dividend_status": _with(BARS_SQL, PAYS, ANNUAL, STATUS, "SELECT * FROM statuses"),
     "payout_ratio": _with(BARS_SQL, PAYS, PAYOUT, "SELECT * FROM payouts"),
+    "sustainability": _with(BARS_SQL, PAYS, PAYOUT, *HEALTH, "SELECT * FROM health"),
     "cut_risk": _with(
-        BARS_SQL, PAYS, ANNUAL, GROWTHS, TREND, CUTS, STATUS, PAYOUT, "lp AS (SELECT symbol, arg_max(payout_percent, year) AS payout FROM payouts WHERE payout_percent IS NOT NULL GROUP BY symbol)",
-        f"rc AS (SELECT symbol, count(*) AS cuts FROM cuts WHERE ex_date > DATE '{AS_OF}' - 729 AND ex_date <= DATE '{AS_OF}' GROUP BY symbol)",
-        "a AS (SELECT symbol, status IN ('suspended', 'delayed') AS late, coalesce(cuts, 0) > 0 AS recent_cut, payout > 80 AS high_payout, trend = 'Decreasing' AS falling FROM statuses LEFT JOIN trends USING (symbol) LEFT JOIN lp USING (symbol) LEFT JOIN rc USING (symbol))",
-        "b AS (SELECT *, CAST(" + " + ".join(f"coalesce({x}::INTEGER, 0)" for x in ("late", "recent_cut", "high_payout", "falling")) + " AS BIGINT) AS signs, CAST(" + " + ".join(f"({x} IS NOT NULL)::INTEGER" for x in ("late", "recent_cut", "high_payout", "falling")) + " AS BIGINT) AS known FROM a)",
-        "SELECT *, CASE WHEN known < 3 THEN 'unavailable' WHEN signs >= 3 THEN 'Elevated' WHEN signs >= 1 THEN 'Moderate' ELSE 'Few signs' END AS level FROM b",
+        BARS_SQL, PAYS, ANNUAL, GROWTHS, TREND, CUTS, STATUS, PAYOUT, *HEALTH,
+        f"rc AS (SELECT symbol, count(*) AS cuts, bool_or(confirmed) AS sure FROM cuts WHERE ex_date > DATE '{AS_OF}' - 729 AND ex_date <= DATE '{AS_OF}' GROUP BY symbol)",
+        """a AS (SELECT s.symbol, payout > 80 AS payout_high, eps <= 0 AS no_earnings, CASE WHEN earnings_factor IS NOT NULL THEN earnings_factor = 'concern' AND coalesce(eps_change <= -20, false) END AS earnings_down,
+            cash_factor = 'concern' AS cash_short, debt_factor = 'concern' AS debt_high, revenue_factor = 'concern' AS revenue_down, coalesce(cuts, 0) > 0 AS recent_cut, trend = 'Irregular' AS irregular, status IN ('suspended', 'delayed') AS overdue,
+            payout > 100 AS v1, cover IS NULL OR cover < 0.75 AS v4, coalesce(sure, false) AS v7, status = 'suspended' AS v9 FROM statuses s LEFT JOIN trends USING (symbol) LEFT JOIN rc USING (symbol) LEFT JOIN health USING (symbol))""",
+        """b AS (SELECT *, CAST(len(list_filter([payout_high, no_earnings, earnings_down, cash_short, debt_high, revenue_down, recent_cut, irregular, overdue], lambda x: x IS NOT NULL)) AS BIGINT) AS known,
+            len(list_filter([payout_high, no_earnings, earnings_down, cash_short, debt_high, revenue_down], lambda x: x IS NOT NULL)) AS ff,
+            CAST(len(list_filter([payout_high AND v1, no_earnings, cash_short AND v4, recent_cut AND v7, overdue AND v9], lambda x: x)) AS BIGINT) AS high,
+            CAST(len(list_filter([payout_high AND NOT coalesce(v1, false), earnings_down, cash_short AND NOT v4, debt_high, recent_cut AND NOT v7, irregular, overdue AND NOT v9], lambda x: x)) AS BIGINT) AS medium FROM a)""",
+        """SELECT symbol, payout_high, no_earnings, earnings_down, cash_short, debt_high, revenue_down, recent_cut, irregular, overdue, known, high, medium,
+        CASE WHEN known < 3 OR ff = 0 THEN 'Insufficient Data' WHEN high >= 2 OR (high >= 1 AND medium >= 2) THEN 'Elevated risk indicators' WHEN high = 1 OR medium >= 2 THEN 'Moderate risk indicators' ELSE 'Few risk indicators' END AS level FROM b""",
     ),
 }
