@@ -193,7 +193,8 @@ def simhash_groups(docs: DataFrame, radius: int = 3, shingle: int = 3, most_in_k
     or less); ``component_id`` is the smallest doc_id that links reach.  Equal
     fingerprints are one node, however many documents share it.  A key with
     more than ``most_in_key`` fingerprints is taken up by the next level's
-    finer views, of which the last leaves at most 2**8 in a key, so the answer
+    finer views; the last leaves out at most 9 bits, so at most 2**9 fingerprints
+  agree in a key's bits (more only where pivot distances coincide), and the answer
     is the same at any size.  Rows with a null doc_id keep a fingerprint and
     belong to no group (null component).  An empty table gives no rows.
     """
