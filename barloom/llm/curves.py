@@ -8,8 +8,12 @@ rows by curve and chunk.  A query goes to its own chunk and the neighbouring
 ones that make up its window; there it is compared in blocks, and the best of
 all windows are merged and ranked by exact score.
 
-Exact copies of a vector are one point with its few smallest ids, which is all
-that a result can use.
+A key has a byte for each of ``LEVELS`` halvings of the cells, so that vectors
+nearer to one another than any fixed cell still lie in an order of their own on
+every curve.
+
+Vectors of one direction (copies, also rescaled ones) are one point with its few
+smallest ids, which is all that a result can use.
 """
 
 from __future__ import annotations
@@ -23,9 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import written
+from barloom.llm.textkit import mix
 
-DIRECTIONS, BITS = 8, 7
+#: Halvings of a cell: the last is near the resolution of doubles.
+DIRECTIONS, LEVELS = 8, 40
 SALTS = 64
+#: Directions, and scores, count as equal where they agree at this many to one.
+SAME = 1e12
 
 
 @dataclass(frozen=True)
@@ -42,11 +50,10 @@ class Curves:
     seed: int = 11
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Places along the Hilbert curve of cells (rows of small integers), by
-    Skilling's transposition (2004)."""
+def _transposed(cells: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Coordinates whose bits, taken level by level, are the place along the
+    Hilbert curve, by Skilling's transposition (2004)."""
     x = [c.astype(np.uint64) for c in cells.T]
-    one = np.uint64(1)
     q = 1 << (bits - 1)
     while q > 1:
         low = np.uint64(q - 1)
@@ -63,13 +70,32 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     while q > 1:
         turn = np.where((x[-1] & np.uint64(q)) != 0, turn ^ np.uint64(q - 1), turn)
         q >>= 1
+    return [c ^ turn for c in x]
+
+
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Places along the Hilbert curve of cells (rows of small integers)."""
+    x, one = _transposed(cells, bits), np.uint64(1)
     key = np.zeros_like(x[0])
     for b in reversed(range(bits)):
         for c in x:
-            key = (key << one) | (((c ^ turn) >> np.uint64(b)) & one)
+            key = (key << one) | ((c >> np.uint64(b)) & one)
     return key
 
 
+def hilbert_bytes(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The same places as bytes (rows), one for each level, for at most eight
+    coordinates of any number of bits."""
+    x, one = _transposed(cells, bits), np.uint64(1)
+    out = np.zeros((len(cells), bits), np.uint8)
+    for b in range(bits):
+        for c in x:
+            level = out[:, bits - 1 - b]
+            level <<= 1
+            level |= ((c >> np.uint64(b)) & one).astype(np.uint8)
+    return out
+
+
 class _Order:
     """The curves' projections, and from a sample their scale and split points."""
 
@@ -86,11 +112,12 @@ class _Order:
             self.splits.append(keys[np.linspace(0, len(keys), chunks + 1).astype(int)[1:-1]])
 
     def keys(self, curve: int, unit: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Keys; eight low bits from the id split points that share a cell."""
+        """Keys; four last bytes from id and curve split points that share a cell."""
         at = unit @ self.axes[curve] * self.scale + 0.5 + self.shift[curve]
-        cells = np.clip((at * 2**BITS).astype(np.int64), 0, 2**BITS - 1)
-        tail = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-        return (hilbert_keys(cells, BITS) << np.uint64(8)) | tail
+        cells = (np.clip(at, 0, 1 - 2.0**-LEVELS) * 2.0**LEVELS).astype(np.int64)
+        tail = mix(node.astype(np.uint64) * np.uint64(2 * len(self.axes) + 1) + np.uint64(curve)) >> np.uint64(32)
+        whole = np.concatenate([hilbert_bytes(cells, LEVELS), tail.astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
+        return np.ascontiguousarray(whole).view(f"S{whole.shape[1]}")[:, 0]
 
     def chunk(self, curve: int, unit: np.ndarray, node: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.splits[curve], self.keys(curve, unit, node), "right")
@@ -104,13 +131,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _ways(vectors: DataFrame) -> DataFrame:
+    """With two hashes (128 bits) of the direction, rounded just above the noise of doubles."""
+    e, way = F.col("embedding"), F.col("way")
+    over = lambda x, y: F.zip_with(x, F.array_repeat(y, F.size(x)), lambda a, b: a / b)  # noqa: E731  (y once a row)
+    rows = vectors.withColumn("way", over(e, F.array_max(F.transform(e, F.abs))))
+    rows = rows.withColumn("way", over(way, F.sqrt(F.aggregate(way, F.lit(0.0), lambda s, x: s + x * x))))
+    rows = rows.withColumn("way", F.transform(way, lambda x: F.rint(x * SAME).cast("long")))
+    return rows.select("vec_id", "embedding", F.xxhash64("way").alias("h"), F.xxhash64(F.lit(1), "way").alias("h2"))
+
+
 def _points(vectors: DataFrame, few: int) -> DataFrame:
-    """One row for each different vector: smallest id, the few smallest ids."""
-    salted = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).withColumn("h", F.xxhash64("embedding"))
-    inside = Window.partitionBy("h", "embedding", "salt").orderBy("vec_id")
+    """One row for each different direction: smallest id, the few smallest ids."""
+    salted = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    inside = Window.partitionBy("h", "h2", "salt").orderBy("vec_id")
     some = salted.withColumn("nth", F.row_number().over(inside)).where(F.col("nth") <= few)
-    lists = some.groupBy("h", "embedding").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, few).alias("ids"))
-    return lists.select("h", F.col("ids")[0].alias("node"), "ids", "embedding")
+    lists = some.groupBy("h", "h2").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, few).alias("ids"), F.min_by("embedding", "vec_id").alias("embedding"))
+    return lists.select("h", "h2", F.col("ids")[0].alias("node"), "ids", "embedding")
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -129,15 +166,16 @@ def nearest(vectors: DataFrame, is_query: F.Column | str, k: int = 5, setting: C
     vec_id, score``; all other rows are candidates.
 
     Vectors that are null, zero, not finite or of an odd length take no part.
-    Rows that repeat a vec_id and a vector count once.  With fewer than k
+    Rows that repeat a vec_id and a direction count once.  Scores that agree to
+    twelve decimals tie, and go by vec_id.  With fewer than k
     candidates all are returned; an empty table gives no rows.  ``window`` is a
     share of the points because in data without structure (unit vectors at
     random) a fixed number of neighbours would lose recall as points are added.
     """
-    rows = written(usable(vectors).dropDuplicates(["vec_id", "embedding"]), "vectors")
+    rows = written(_ways(usable(vectors)).dropDuplicates(["vec_id", "h", "h2"]), "vectors")
     few = k + 1
     points = written(_points(rows, few), "points")
-    asks = rows.where(is_query).withColumn("h", F.xxhash64("embedding")).join(points.select("h", "embedding", "node"), ["h", "embedding"]).select(F.col("vec_id").alias("query_id"), "node")
+    asks = rows.where(is_query).join(points.select("h", "h2", "node"), ["h", "h2"]).select(F.col("vec_id").alias("query_id"), "node")
     asks = written(asks, "asks")
     total = points.count()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -202,14 +240,21 @@ def nearest(vectors: DataFrame, is_query: F.Column | str, k: int = 5, setting: C
                 out_q, out_v, out_s = [], [], []
                 for a in range(0, len(x), 256):
                     near = _unit(x[a : a + 256]) @ directions.T
-                    best = np.argpartition(-near, min(few + 2, near.shape[1]) - 1, axis=1)[:, : few + 2]
-                    for i, js in enumerate(best):
+                    cut = max(near.shape[1] - few, 0)
+                    least = np.partition(near, cut, axis=1)[:, cut]
+                    who, js = np.nonzero(near >= least[:, None] - 2 / SAME)  # with all ties at the cut
+                    tie = np.lexsort((flat[begin[js]], -np.rint(near[who, js] * SAME), who))
+                    who, js = who[tie], js[tie]
+                    starts = np.searchsorted(who, np.arange(len(near) + 1))
+                    for i in range(len(near)):
+                        some = js[starts[i] : min(starts[i + 1], starts[i] + few + 2)]
                         q = x[a + i]
-                        score = (matrix[js] * q).sum(axis=1) / (norms[js] * np.sqrt((q * q).sum()))
-                        found = sorted((-s, v) for j, s in zip(js.tolist(), score.tolist()) for v in flat[begin[j] : begin[j] + lengths[j]].tolist())[:few]
+                        score = (matrix[some] * q).sum(axis=1) / (norms[some] * np.sqrt((q * q).sum()))
+                        level = (-np.rint(score * SAME)).tolist()
+                        found = sorted((r, v, s) for j, r, s in zip(some.tolist(), level, score.tolist()) for v in flat[begin[j] : begin[j] + lengths[j]].tolist())[:few]
                         out_q += [nodes[a + i]] * len(found)
-                        out_s += [-s for s, _ in found]
-                        out_v += [v for _, v in found]
+                        out_s += [s for _, _, s in found]
+                        out_v += [v for _, v, _ in found]
                 yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["node", "vec_id", "score"])
 
     marked = points.join(asks.select("node").distinct().withColumn("asked", F.lit(True)), "node", "left").select("node", "ids", "embedding", F.coalesce("asked", F.lit(False)).alias("asked"))
@@ -217,9 +262,10 @@ def nearest(vectors: DataFrame, is_query: F.Column | str, k: int = 5, setting: C
     dealt = dealt.repartition("curve", "chunk").sortWithinPartitions("curve", "chunk", "ask")
     pairs = dealt.mapInArrow(compare, "node long, vec_id long, score double")
     pairs = pairs.groupBy("node", "vec_id").agg(F.max("score").alias("score"))
-    by_score = [F.desc("score"), F.col("vec_id")]
+    pairs = pairs.withColumn("far", -F.rint(F.col("score") * SAME))
+    by_score = [F.col("far"), F.col("vec_id")]
     best = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(*by_score))).where(F.col("nth") <= few).drop("nth")
-    best = best.groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("best"))
+    best = best.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("far", "vec_id", "score"))).alias("best"))
     own = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     listed = asks.join(best, "node").select("query_id", F.posexplode(own).alias("at", "hit"))
-    return listed.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
+    return listed.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

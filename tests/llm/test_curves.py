@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm.curves import hilbert_keys, nearest
+from barloom.llm.curves import hilbert_bytes, hilbert_keys, nearest
 
 QUERY = "vec_id % 50 = 0"
 
@@ -65,3 +66,33 @@ def test_few_rows(spark):
     assert nearest(spark.createDataFrame([], schema), QUERY).count() == 0
     assert nearest(spark.createDataFrame([(50, [1.0])], schema), QUERY).count() == 0
     assert found(nearest(spark.createDataFrame([(50, [1.0, 0.0]), (7, [1.0, 1.0])], schema), QUERY)) == {50: [7]}
+
+
+def test_crowded_cells_keep_an_order_of_their_own():
+    """A fine grid around one place, in cells that seven levels do not part."""
+    cells = np.stack(np.meshgrid(*[np.arange(4)] * 8), axis=-1).reshape(-1, 8) + (5 << 30)
+    keys = [bytes(k) for k in hilbert_bytes(cells, 40)]
+    assert len(set(keys)) == len(cells) and len({k[:7] for k in keys}) == 1
+    small = np.stack(np.meshgrid(*[np.arange(8)] * 3), axis=-1).reshape(-1, 3)
+    assert np.array_equal(np.argsort([bytes(k) for k in hilbert_bytes(small, 3)]), np.argsort(hilbert_keys(small, 3)))
+
+
+@pytest.mark.parametrize("jitter", [0.02, 1e-4])
+def test_recall_in_a_third_of_near_copies(spark, jitter):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 32))
+    x[::3] = x[0] + jitter * rng.normal(size=(3000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want, got = brute(rows), found(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), QUERY))
+    share = {q: len(set(want[q]) & set(got[q])) / 5 for q in want}
+    assert np.mean([s for q, s in share.items() if q % 3 == 0]) >= 0.9
+    assert np.mean([s for q, s in share.items() if q % 3]) >= 0.85
+
+
+def test_rescaled_copies_tie_by_id(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 16))
+    x[::3] = x[0] * rng.uniform(0.1, 9, size=(500, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want, got = brute(rows), found(nearest(spark.createDataFrame(rows + [(0, (7 * x[0]).tolist())], "vec_id long, embedding array<double>"), QUERY))
+    assert all(want[q] == got[q] for q in want if q % 3 == 0)
