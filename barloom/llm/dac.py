@@ -113,7 +113,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = 1) -> Da
     Returns the files' segments.  Documents are range-partitioned by doc_id;
     a partition makes its segments one after the other, so memory holds one
     segment.  Null texts are empty; null doc_ids come first; rows that repeat a
-    doc_id lie side by side, ordered by text.
+    doc_id lie side by side, ordered by a hash of the text, and may fill several
+    partitions however alike they are.
     """
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = 1) -> Da
         if docs_:
             yield segment()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange("doc_id", "h", "nth").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return written(ordered.mapInArrow(job, SEGMENT), "tokens")
 
 

@@ -13,14 +13,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """At most ``per_class`` texts of label 0 and of label 1, in hash order.
 
     Returns ``doc_id, text, y`` and the number of labelled rows of each class.
-    Null and contradictory labels are left out.  The bound makes the ids small
+    Null and contradictory labels are left out; of the texts of a repeated id the one with
+    the smallest hash is taken.  The bound makes the ids small
     enough to broadcast; everything but the fit covers all rows.
     """
     clean = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select("doc_id", F.col("y").cast("int").alias("y"))
     totals = {r.y: r.n for r in clean.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = clean.where("y = 0").orderBy(*order).limit(per_class).unionByName(clean.where("y = 1").orderBy(*order).limit(per_class))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
     # a few tasks, since each sends a partial sum of fixed size to the driver
     return written(sample, "labelled").coalesce(8), totals
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import written
+from barloom.llm.common import left_lookup, written
 
 SPACE = " \t\n\v\f\r"
 KEY = ["h1", "h2"]
@@ -131,7 +131,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
             others = [b.column(3 + i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), *others], names=["doc_id", "n_lines", "n_dropped", "kept", *keep])
 
-    wide = docs.join(drops, "doc_id", "left").select("doc_id", "text", "drops", *keep)
+    wide = left_lookup(docs, drops).select("doc_id", "text", "drops", *keep)
     schema = wide.select("doc_id").schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
     for name in keep:
         schema = schema.add(wide.schema[name])

@@ -5,8 +5,10 @@ cumulative targets: slot j belongs to that source, and slots of all sources
 interleave evenly.  Each source's documents, in a hashed order, lie on a line
 of words that is cut into blocks of equal size; the r-th slot of a source joins
 block r modulo the number of blocks, so the line is passed over again until the
-target is reached.  Ranks and places on the line are sums over small chunks
-plus sums over chunks, so no task holds a source.
+target is reached.  Ranks and places on the line are sums over small chunks,
+over steps of chunks and over steps, so no task holds a source.  Rows alike in
+id, text and source are counted first and lie on the line in lots, so no chunk
+takes all copies of a row.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import word_count, written
+from barloom.llm.common import sums_before, word_count, written
 
 BLOCK_WORDS = 64
 SLOTS_IN_CHUNK = 4096
@@ -44,7 +46,8 @@ def source_targets(sources: DataFrame, weights: list[int], share: float, most: f
     Sources by code point (null last) take the weights in turn and share
     ``share`` of all sizes by weight; where a target would pass ``most`` times its
     source's size it stops there and the others share the excess: sources fill
-    in the order of limit to weight, up to a level common to the rest.
+    in the order of limit to weight, up to a level common to the rest.  These
+    windows run over the sources in one task (one short row for each).
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     table = sources.withColumn("sid", F.row_number().over(by_name).cast("long") - 1)
@@ -64,16 +67,20 @@ def source_targets(sources: DataFrame, weights: list[int], share: float, most: f
 
 def _places(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Each row's place (``at``) on its source's line of words, in hashed order."""
-    h = F.xxhash64(F.col("doc_id"), F.lit("mix"))
-    rows = rows.withColumn("h", h).join(sources.select("sid", "source", "n_rows"), rows.source.eqNullSafe(sources.source)).drop("source")
+    lots = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DOCS_IN_BUCKET).cast("long"))
+    rows = rows.groupBy("doc_id", "mark", "source", "size").agg(F.count("*").alias("n")).withColumn("lot", F.explode(lots))
+    rows = rows.withColumn("n", F.least(F.lit(DOCS_IN_BUCKET), F.col("n") - F.col("lot"))).withColumn("h", F.xxhash64("doc_id", "mark", "lot"))
+    rows = rows.join(sources.select("sid", "source", "n_rows"), rows.source.eqNullSafe(sources.source)).drop("source", "lot")
     buckets = F.ceil(F.col("n_rows") / DOCS_IN_BUCKET)
     rows = rows.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 11) / F.lit(2.0**53)) * buckets)).drop("n_rows")
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size")
-    rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn("at", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).drop("h")
+    words = F.col("size") * F.col("n")
+    rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn("at", F.sum(words).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - words).drop("h")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    rows = rows.withColumn("at", F.col("at") + F.col("copy") * F.col("size")).withColumn("nth", F.col("nth") * DOCS_IN_BUCKET + F.col("copy")).drop("n", "copy")
     rows = written(rows, "places")
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    along = Window.partitionBy("sid").orderBy("bucket")
-    sums = sums.select("sid", "bucket", (F.sum("words").over(along) - F.col("words")).alias("base"))
+    sums = sums_before(sums, "sid", "bucket", "words").drop("words")
     return rows.join(sums, ["sid", "bucket"]).withColumn("at", F.col("at") + F.col("base")).drop("base")
 
 
@@ -95,7 +102,7 @@ def _schedule(sources: DataFrame, block: int) -> DataFrame:
     slots = slots.select("position", "sid", F.floor(F.col("position") / SLOTS_IN_CHUNK).alias("chunk"))
     slots = slots.withColumn("nth", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("position")) - 1)
     counts = written(slots.groupBy("sid", "chunk").agg(F.count("*").alias("n")), "counts")
-    base = counts.select("sid", "chunk", (F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("base"))
+    base = sums_before(counts, "sid", "chunk", "n").drop("n")
     ranked = slots.join(base, ["sid", "chunk"]).select("position", "sid", (F.col("nth") + F.col("base")).alias("rank"))
     # the points miss a source's share by a few slots; those come last
     got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
@@ -115,11 +122,13 @@ def mix_sources(docs: DataFrame, weights: list[int] | tuple[int, ...] = (3, 1, 2
     are never taken.  A null source is a source of its own, after all others.
     Each source is taken to its target, rounded to a word; only where a target
     ends inside a document is a part of it (its first words) taken.  A row is
-    taken at most ``most`` times, rounded up.  The order depends on doc_id alone,
-    so reruns agree; repeated rows lie side by side.  An empty table gives
+    taken at most ``most`` times, rounded up.  The order depends on doc_id and
+    text alone, so reruns agree.  A column ``mark`` of longs tells apart rows of
+    one doc_id and source (by default a hash of the text).  An empty table gives
     empty results.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count("text").alias("size"))
+    mark = F.col("mark").cast("long") if "mark" in docs.columns else F.xxhash64(F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), mark.alias("mark"), word_count("text").alias("size"))
     docs = written(docs, "sizes")
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     sources = written(source_targets(sources, list(weights), share, most).withColumn("words", F.round("target").cast("long")), "targets")

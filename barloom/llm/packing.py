@@ -42,18 +42,17 @@ class _Left:
         if not self.count[x]:
             del self.known[bisect_left(self.known, x)]
 
-    def fill(self, room: int, steps: int = 6) -> int:
-        """Tokens that the largest pieces that fit, one after the other, put in."""
-        full, used = 0, {}
-        for _ in range(steps):
-            i = bisect_right(self.known, room - full) - 1
-            while i >= 0 and used.get(self.known[i], 0) >= self.count[self.known[i]]:
-                i -= 1
+    def fill(self, room: int) -> int:
+        """Tokens that the largest pieces that fit, one after the other, put in
+        until none fits."""
+        full, end = 0, len(self.known)
+        while True:
+            i = bisect_right(self.known, room - full, 0, end) - 1
             if i < 0:
-                break
-            used[self.known[i]] = used.get(self.known[i], 0) + 1
-            full += self.known[i]
-        return full
+                return full
+            x = self.known[i]
+            full += x * min(self.count[x], (room - full) // x)
+            end = i
 
 
 def pack(lengths: list[int], permitted: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
@@ -84,8 +83,10 @@ def best_fit_packing(items: DataFrame, permitted: tuple[int, ...] = LENGTHS, in_
 
     Items longer than the longest permitted length are cut into pieces of that
     length and a rest.  Items of length zero or null come out with length 0 and
-    no bin.  Repeated rows are packed each; an empty table gives no rows.
-    Pieces of one bin lie one after the other from place 0.
+    no bin.  Repeated rows are packed each, and rows alike in every column are
+    told apart by their place in the written table, so no shard takes more than
+    its share of them; an empty table gives no rows.  Pieces of one bin lie one
+    after the other from place 0.  Other columns of ``items`` are left out.
     """
     longest = max(permitted)
     items = items.select(F.col("doc_id").cast("long"), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("total"))
@@ -95,7 +96,7 @@ def best_fit_packing(items: DataFrame, permitted: tuple[int, ...] = LENGTHS, in_
     pieces = written(pieces, "pieces")
     n = pieces.count()
     shards = max(1, -(-n // in_shard))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id()), F.lit(shards)))
 
     def job(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")

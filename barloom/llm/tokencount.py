@@ -9,6 +9,10 @@ unknown score and counts one for each of its bytes (byte fallback).
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``.  Distinct words of a slice are counted
 once, all together: the automaton steps through the n-th byte of every word.
+Long words (scripts without spaces) lie one after the other; there the automaton
+steps through the n-th byte of every stretch, after as many bytes before it as
+the longest piece has, which put it into the right state, and the scores that
+the longest piece can reach back to are carried from character to character.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.textkit import slices
+from barloom.llm.textkit import ranges, slices
 from barloom.llm.vocabulary import SLICE, WordCache
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
+#: Words of more bytes are counted by stretches of so many bytes, in blocks.
+LONG, STRETCH, BLOCK = 128, 1 << 10, 1 << 18
 
 
 class Automaton:
@@ -69,21 +75,86 @@ class Automaton:
                 self.output[state] = state if self.ends[state] else self.output[back]
             queue.extend(children[state].values())
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
+        self.longest = int(self.length[self.ends].max(initial=1))
 
     def counts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Pieces of the best cut of each word ``data[start:start+length]``."""
         out = np.zeros(len(starts), np.int64)
         # words of like length together, so that short ones don't wait for long
-        for lo, hi in ((1, 8), (9, 16), (17, 32), (33, 128), (129, 1 << 62)):
+        for lo, hi in ((1, 8), (9, 16), (17, 32), (33, LONG)):
             some = np.flatnonzero((lengths >= lo) & (lengths <= hi))
             for a in range(0, len(some), 1 << 16):
                 rows = some[a : a + (1 << 16)]
-                if hi > 1 << 20:  # long words one by one: memory follows the word
-                    for r in rows:
-                        out[r] = self._run(data, starts[r : r + 1], lengths[r : r + 1])[0]
-                else:
-                    rows = rows[np.argsort(-lengths[rows], kind="stable")]
-                    out[rows] = self._run(data, starts[rows], lengths[rows])
+                rows = rows[np.argsort(-lengths[rows], kind="stable")]
+                out[rows] = self._run(data, starts[rows], lengths[rows])
+        some = np.flatnonzero(lengths > LONG)
+        if len(some):
+            m = len(MARK)
+            size = lengths[some] + m
+            begins = np.cumsum(size) - size
+            stream = np.empty(int(size.sum()), np.uint8)
+            for i, byte in enumerate(MARK):
+                stream[begins + i] = byte
+            stream[ranges(begins + m, size - m)] = data[ranges(starts[some], size - m)]
+            out[some] = self._long(stream, begins)
+        return out
+
+    def _states(self, stream: np.ndarray, fresh: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """States after each byte lo..hi-1; words begin where ``fresh``."""
+        rows = np.arange(lo, hi, STRETCH)
+        out = np.zeros((len(rows), STRETCH), np.int32)
+        state = np.zeros(len(rows), np.int32)
+        for j in range(-self.longest, STRETCH):
+            at = np.clip(rows + j, 0, len(stream) - 1)
+            state = self.step[np.where(fresh[at], 0, state), stream[at]]
+            if j >= 0:
+                out[:, j] = state
+        return out.ravel()[: hi - lo]
+
+    def _long(self, stream: np.ndarray, begins: np.ndarray) -> list[int]:
+        """Pieces of the best cuts of words that fill ``stream`` from ``begins``."""
+        fresh = np.zeros(len(stream) + 1, bool)
+        fresh[begins] = fresh[-1] = True
+        mask = (1 << self.longest.bit_length() + 1) - 1  # scores are kept in a ring
+        best, pieces = [0.0] * (mask + 1), [0] * (mask + 1)
+        unknown, out, start = self.unknown, [], 0
+        for lo in range(0, len(stream), BLOCK):
+            hi = min(lo + BLOCK, len(stream))
+            state = self._states(stream, fresh, lo, hi)
+            piece, at, found = self.output[state], np.arange(hi - lo), []
+            while True:
+                at, piece = at[piece > 0], piece[piece > 0]
+                if not len(at):
+                    break
+                found.append((at, self.length[piece], self.score[piece]))
+                piece = self.shorter[piece]
+            where = np.concatenate([x for x, _, _ in found] or [np.zeros(0, np.int64)])
+            order = np.argsort(where, kind="stable")  # longest first at each place
+            size = np.concatenate([x for _, x, _ in found] or [np.zeros(0, np.int32)])[order].tolist()
+            score = np.concatenate([x for _, _, x in found] or [np.zeros(0)])[order].tolist()
+            after = stream[lo + 1 : hi + 1]
+            last = fresh[lo + 1 : hi + 1].copy()  # of its character, then of its word
+            words = last.copy()
+            last[: len(after)] |= (after & 0xC0) != 0x80
+            last = np.flatnonzero(last)
+            a, z = np.searchsorted(where[order], last, "left").tolist(), np.searchsorted(where[order], last, "right").tolist()
+            for p, x, y, word in zip((last + lo + 1).tolist(), a, z, words[last].tolist()):
+                top, cut, width, single = 0.0, 0, p - start, False
+                for i in range(x, y):
+                    n = size[i]
+                    s = best[p - n & mask] + score[i]
+                    if i == x or s > top:
+                        top, cut = s, pieces[p - n & mask] + 1
+                    single = single or n == width
+                if not single:
+                    s = best[start & mask] + unknown
+                    if x == y or s > top:
+                        top, cut = s, pieces[start & mask] + width
+                start = p
+                if word:
+                    out.append(cut)
+                    top, cut = 0.0, 0
+                best[p & mask], pieces[p & mask] = top, cut
         return out
 
     def _run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -141,7 +212,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of whole texts.
 
     Null and empty texts have no tokens; rows with a null doc_id and repeated
-    rows are counted like others.  The vocabulary file is read on each worker.
+    rows are counted like others; other columns are left out.  The vocabulary file is read on each worker.
     """
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
