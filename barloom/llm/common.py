@@ -60,13 +60,13 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def left_lookup(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` left-joined with ``found`` on doc_id; rows without an id match
-    nothing and are spread over all tasks."""
+def left_lookup(docs: DataFrame, found: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """``docs`` left-joined with ``found`` on doc_id (and the columns ``also``);
+    rows without an id match nothing and are spread over all tasks."""
     lone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long"))
     left = docs.withColumn("__lone", lone).withColumn("__id", F.coalesce("doc_id", F.lit(0).cast("long")))
     right = found.withColumnRenamed("doc_id", "__id").withColumn("__lone", F.lit(0).cast("long"))
-    return left.join(right, ["__id", "__lone"], "left").drop("__id", "__lone")
+    return left.join(right, ["__id", "__lone", *(also or [])], "left").drop("__id", "__lone")
 
 
 def sums_before(rows: DataFrame, key: str, place: str, value: str, step: int = 4096) -> DataFrame:

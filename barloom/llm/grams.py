@@ -1,4 +1,4 @@
-"""Hash buckets of words and of short byte strings, for the classifiers."""
+"""Hash buckets of words and of short strings, for the classifiers."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np
 
 
 def char_buckets(data: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Bucket of each run of n bytes, by where it starts."""
+    """Bucket of each run of n bytes or code points, by where it starts."""
     size = max(0, len(data) - n + 1)
     h = np.zeros(size, np.uint32)
     for j in range(n):

@@ -6,79 +6,91 @@ holds become a sorted run of their own, with the largest doc_id that has them
 (no later batch can have a larger one); keys that are held only add to a count.
 Two runs of one level are compacted into one of the next, so a batch meets a
 number of runs that is logarithmic in the number of batches.
+
+Batches and runs are tables in as many buckets of the hash, each bucket one
+sorted file: joins and compactions merge them bucket by bucket, and runs are
+never shuffled again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import left_lookup, written
+from barloom.llm.common import left_lookup, run_dir, written
 
 SPACE = " \t\n\v\f\r"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
 HOT_KEYS = 1000
 
 
-def line_key(line: str, min_chars: int) -> bytes | None:
-    """The hash of a line's key, or None if the key is shorter than the limit."""
+def line_key(line: str, min_chars: int) -> tuple[int, int] | None:
+    """The two hashes of a line's key, or None if the key is shorter than the limit."""
     key = line.strip(SPACE)
-    return xxhash.xxh3_128_digest(key.encode().lower()) if len(key) >= min_chars else None
-
-
-def _halves(key: bytes) -> tuple[int, int]:
-    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+    if len(key) < min_chars:
+        return None
+    data = key.encode().lower()
+    return tuple(h - (h >> 63 << 64) for h in (xxhash.xxh64_intdigest(data, 42), xxhash.xxh64_intdigest(data + b"\n", 42)))
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id, h1, h2``: each distinct key of each text."""
-
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, h1, h2 = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys = {line_key(x, min_chars) for x in (text or "").split("\n")} - {None}
-                ids += [doc] * len(keys)
-                for k in keys:
-                    a, z = _halves(k)
-                    h1.append(a)
-                    h2.append(z)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, h1, h2)], names=["doc_id", *KEY])
-
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(job, "doc_id long, h1 long, h2 long")
+    """``doc_id, h1, h2``: the hashes, as in ``line_key``, of each distinct key of each text."""
+    keys = F.transform(F.split("text", "\n"), lambda x: F.translate(F.btrim(x, F.lit(SPACE)), UPPER, LOWER))
+    keys = F.array_distinct(F.filter(keys, lambda k: F.char_length(k) >= min_chars))
+    lines = docs.where("doc_id is not null").select("doc_id", F.explode(keys).alias("key"))
+    return lines.select("doc_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.concat("key", F.lit("\n"))).alias("h2"))
 
 
 class LineRuns:
-    """Sorted runs ``h1, h2, n, last`` by level; no key is in two of them."""
+    """Sorted runs ``h1, h2, n, last`` by level; no key is in two of them.
+
+    The object may be kept and take in further batches, each of smaller ids
+    than all before, at any time while its tables are.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+        self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[DataFrame | None] = []
         self.counted: list[DataFrame] = []
+        # one file a bucket: the scan may tell Spark that its rows are sorted
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def add(self, batch: DataFrame) -> None:
         """Take in a batch ``doc_id, h1, h2`` of smaller ids than all before."""
-        new = written(batch.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("last")), "batch")
+        new = batch.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
         runs = [r for r in self.levels if r is not None]
-        fresh = new
-        for run in runs:
-            fresh = fresh.join(run.select(*KEY), KEY, "left_anti")
         if runs:
-            held = reduce(DataFrame.unionByName, runs).select(*KEY)
-            self.counted.append(new.join(held, KEY, "left_semi").select(*KEY, "n"))
-        run, level = self._sorted(fresh), 0
+            joined, flags = self._bucketed(new, "batch"), []
+            for i, run in enumerate(runs):
+                flags.append(f"held{i}")
+                joined = joined.join(run.select(*KEY, F.lit(True).alias(flags[-1])).hint("merge"), KEY, "left")
+            held = F.coalesce(*flags, F.lit(False))
+            new = joined.where(~held).select(*KEY, "n", "last")
+            self.counted.append(self._bucketed(joined.where(held).select(*KEY, "n"), "counts"))
+        run, level = self._bucketed(new, "run"), 0
         while level < len(self.levels) and self.levels[level] is not None:
-            run, self.levels[level] = self._sorted(self.levels[level].unionByName(run)), None
+            run, self.levels[level] = self._compacted(self.levels[level], run), None
             level += 1
         self.levels[level:level + 1] = [run]
 
-    @staticmethod
-    def _sorted(run: DataFrame) -> DataFrame:
-        return written(run.select(*KEY, "n", "last").repartition(*KEY).sortWithinPartitions(*KEY), "run")
+    def _compacted(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select(*KEY, F.col("n").alias("m"), F.col("last").alias("end"))
+        both = a.join(b.hint("merge"), KEY, "full_outer")
+        return self._bucketed(both.select(*KEY, F.coalesce("n", "m").alias("n"), F.coalesce("last", "end").alias("last")), "run")
+
+    def _bucketed(self, rows: DataFrame, name: str) -> DataFrame:
+        table = f"barloom_{name}_{uuid.uuid4().hex}"
+        writer = rows.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY)
+        writer.option("path", f"{run_dir(self.spark)}/{table}").saveAsTable(table)
+        return self.spark.table(table)
 
     def totals(self) -> DataFrame:
         """``h1, h2, n, last`` over all batches."""
@@ -104,7 +116,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     place = reduce(lambda a, c: a + (F.col("doc_id") > int(c)).cast("int"), cuts, F.lit(0))
     lines = written(line_hashes(docs, min_chars).withColumn("batch", place), "lines", "batch")
-    runs = LineRuns()
+    runs = LineRuns(docs.sparkSession)
     for i in reversed(range(len(cuts) + 1)):
         runs.add(lines.where(F.col("batch") == i).select("doc_id", *KEY).distinct())
     common = written(runs.totals().where(F.col("n") >= min_docs), "common")
@@ -125,7 +137,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
                 total.append(len(parts))
                 if keys:
                     out = {(k["h1"], k["h2"]) for k in keys}
-                    parts = [x for x in parts if (k := line_key(x, min_chars)) is None or _halves(k) not in out]
+                    parts = [x for x in parts if line_key(x, min_chars) not in out]
                 gone.append(total[-1] - len(parts))
                 kept.append("\n".join(parts))
             others = [b.column(3 + i) for i in range(len(keep))]

@@ -1,7 +1,9 @@
 """Quality rules: countable signs of junk, then a calibrated n-gram model.
 
-The model is a logistic regression over the shares of hashed words, word
-pairs, and strings of three and of five bytes of UTF-8.  It is trained on a
+The model is a logistic regression over hashed words, word pairs, and strings
+of three and of five characters (code points); an input is the square root of a
+bucket's share of the text's grams of its kind, so that inputs of a kind have
+length one and many different grams weigh more than few.  It is trained on a
 bounded sample of labelled rows, calibrated (slope and offset) on a fold that
 training leaves out, and scored in Arrow batches against fixed thresholds.
 """
@@ -20,8 +22,10 @@ from barloom.llm.grams import char_buckets, word_buckets
 from barloom.llm.labelled import adam, class_weights, labelled_sample, scale_and_shift, sigmoid
 from barloom.llm.textkit import Slice, byte_prefix, gram_hash, mix, slices, span_hash
 
-BITS = 11
+#: Buckets of each kind: words, pairs of words, three and five characters.
+BITS = 13
 KINDS = 4
+RIDGE = 1e-4
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -44,68 +48,86 @@ class NgramModel:
     offset: float
 
 
-def _grams(part: Slice, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each kind: buckets, and for each text the bounds of its grams."""
-    first = part.first
-    yield word_buckets(hashes, BITS), first[:-1], first[1:]
-    yield word_buckets(gram_hash(hashes, 2), BITS), first[:-1], np.maximum(first[1:] - 1, first[:-1])
+def _grams(part: Slice, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each kind: the text and the bucket of each gram."""
+    yield part.doc, word_buckets(hashes, BITS)
+    pairs = word_buckets(gram_hash(hashes, 2), BITS)
+    inside = part.doc[: len(pairs)] == part.doc[1:]
+    yield part.doc[: len(pairs)][inside], pairs[inside]
+    chars = np.frombuffer(part.data.tobytes().decode().encode("utf-32-le"), "<u4")
+    owner = np.repeat(np.arange(part.n), part.per_text((part.data & 0xC0) != 0x80))
     for n in (3, 5):
-        yield char_buckets(part.data, n, BITS), part.offsets[:-1], np.maximum(part.offsets[1:] - n + 1, part.offsets[:-1])
+        bucket = char_buckets(chars, n, BITS)
+        inside = owner[: len(bucket)] == owner[len(owner) - len(bucket) :]
+        yield owner[: len(bucket)][inside], bucket[inside]
 
 
-def _shares(part: Slice) -> np.ndarray:
-    """The share of each bucket among a text's grams, for each kind."""
-    out = np.zeros((part.n, KINDS, 1 << BITS), np.float32)
-    for k, (bucket, lo, hi) in enumerate(_grams(part, part.hashes())):
-        for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
-            if b > a:
-                out[i, k] = np.bincount(bucket[a:b], minlength=1 << BITS) / (b - a)
-    return out.reshape(part.n, -1)
+def inputs(part: Slice, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, inputs (kind and bucket) and values that aren't zero, by text and kind."""
+    rows, places, values = [], [], []
+    for kind, (doc, bucket) in enumerate(_grams(part, hashes)):
+        key, n = np.unique((doc.astype(np.int64) << BITS) + bucket, return_counts=True)
+        row = key >> BITS
+        rows.append(row)
+        places.append((kind << BITS) + (key & (1 << BITS) - 1))
+        values.append(np.sqrt(n / np.bincount(doc, minlength=part.n)[row]))
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(values).astype(np.float32)
 
 
 def _logits(part: Slice, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    out = np.zeros(part.n)
-    for k, (bucket, lo, hi) in enumerate(_grams(part, hashes)):
-        total = np.zeros(len(bucket) + 1)
-        np.cumsum(weights[k][bucket], out=total[1:], dtype=np.float64)
-        lo, hi = np.minimum(lo, len(bucket)), np.minimum(hi, len(bucket))
-        out += (total[hi] - total[lo]) / np.maximum(hi - lo, 1)
-    return out
+    row, place, value = inputs(part, hashes)
+    return np.bincount(row, weights.ravel()[place] * value, minlength=part.n)
 
 
 def train_ngram_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> NgramModel:
     """Fit on at most ``per_class`` labelled rows of each quality.
 
-    Without rows of both qualities the model gives 1 to every text if there
-    is no label 0, else 0.
+    The driver gets six bytes for each input of these texts that isn't zero, at
+    most 4 x 2**13 a text.  Without rows of both qualities the model gives 1 to
+    every text if there is no label 0, else 0.
     """
     sample, totals = labelled_sample(docs, labels, "quality", per_class)
+    size = KINDS << BITS
     if not totals.get(0) or not totals.get(1):
         return NgramModel(np.zeros((KINDS, 1 << BITS), np.float32), 0.0, -9.0 if totals.get(0) else 9.0)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, part in slices(b.column(1)):
-                rows = [x.astype(np.float16).tobytes() for x in _shares(part)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
+                row, place, value = inputs(part, part.hashes())
+                order = np.argsort(row, kind="stable")
+                cut = np.searchsorted(row[order], np.arange(part.n + 1))
+                place, value = place[order].astype("<u2"), value[order].astype("<f4")
+                some = [(place[a:z].tobytes(), value[a:z].tobytes()) for a, z in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([p for p, _ in some], pa.binary()), pa.array([v for _, v in some], pa.binary())],
+                    names=["doc_id", "y", "places", "values"],
+                )
 
-    rows = sorted(sample.select("doc_id", "text", "y").mapInArrow(job, "doc_id long, y int, x binary").collect())
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)
+    rows = sorted(sample.select("doc_id", "text", "y").mapInArrow(job, "doc_id long, y int, places binary, values binary").collect())
     y = np.array([r.y for r in rows])
+    place = [np.frombuffer(r.places, "<u2") for r in rows]
+    row, value = np.repeat(np.arange(len(rows)), [len(p) for p in place]), np.concatenate([np.frombuffer(r["values"], "<f4") for r in rows])
+    place = np.concatenate(place).astype(np.int32)
     fold = np.arange(len(rows)) % 4 == 3
-    scale = 1 / (np.sqrt((x[~fold] ** 2).mean(axis=0)) + 1e-4)
-    xs = x[~fold] * scale
-    ys, ws = y[~fold].astype(np.float32), (0.5 / np.maximum(np.bincount(y[~fold], minlength=2), 1))[y[~fold]].astype(np.float32)
+    w, b = _fit(row, place, value, y, ~fold, size)
+    held = fold if len(set(y[fold])) == 2 else np.ones(len(y), bool)
+    logit = np.bincount(row, w[place] * value, minlength=len(rows)) + b
+    slope, offset = scale_and_shift(logit[held], y[held], class_weights(y[held], totals))
+    return NgramModel(w.reshape(KINDS, -1).astype(np.float32), slope, float(slope * b + offset))
+
+
+def _fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, use: np.ndarray, size: int, steps: int = 120) -> tuple[np.ndarray, float]:
+    """Weights and offset of a balanced logistic regression on sparse inputs."""
+    share = np.where(use, 0.5 / np.maximum(np.bincount(y[use], minlength=2), 1)[y], 0)
+    n = len(y)
 
     def grads(p):
-        error = ws * (sigmoid(xs @ p[0] + p[1]) - ys)
-        return xs.T @ error + 2e-4 * p[0], error.sum()
+        error = share * (sigmoid(np.bincount(row, p[0][place] * value, minlength=n) + p[1]) - y)
+        return np.bincount(place, error[row] * value, minlength=size) + RIDGE * p[0], error.sum()
 
-    w, b = adam([np.zeros(x.shape[1], np.float32), np.float32(0)], grads, 200, 0.01)
-    w = w * scale
-    held = fold if len(set(y[fold])) == 2 else np.ones(len(y), bool)
-    slope, offset = scale_and_shift(x[held] @ w + b, y[held], class_weights(y[held], totals))
-    return NgramModel(w.reshape(KINDS, -1).astype(np.float32), slope, float(slope * b + offset))
+    w, b = adam([np.zeros(size), np.float64(0)], grads, steps, 0.1)
+    return w, float(b)
 
 
 def _repeats(part: Slice, hashes: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from barloom.llm.substring import _leftmost_min, substring_dedup
+from barloom.llm.substring import _leftmost_min, repeated_spans, substring_dedup
 
 from .cases import SCHEMA, documents
 
@@ -39,6 +39,20 @@ def test_like_brute_force(spark, window, k):
             assert (r.n_words, r.n_removed, r.kept) == want[r.doc_id], r.doc_id
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    w = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(w[:60])), (2, " ".join(["x"] + w[:60])), (2, " ".join(["y"] + w[100:190])), (2, " ".join(w[100:190])), (3, " ".join(w[90:200])), (None, " ".join(w))] + [(None, "")] * 3
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, 0)] * 3 + [(0, 300, 0), (1, 60, 0), (2, 61, 60), (2, 90, 0), (2, 91, 0), (3, 110, 90)]
+
+
+def test_repeats_are_maximal(spark):
+    w = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(w)), (2, " ".join(["a"] * 7 + w[20:90] + ["b"] + w[200:249] + ["c"] + w[300:]))]
+    got = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.stop) for r in got) == [(2, 7, 77), (2, 128, 228)]
+
+
 def test_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
