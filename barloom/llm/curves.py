@@ -40,13 +40,18 @@ SAME = 1e12
 class Curves:
     """``count`` curves; a window holds at least ``window`` of all points.
 
-    ``chunk`` bounds a chunk's points; ``sample`` those that fit split points.
+    Without ``window`` the least one is taken that finds a share of ``recall`` of
+    the nearest pairs of the sample.  ``chunk`` bounds a chunk's points; the
+    sample that fits split points and window has ``sample`` points, or eight for
+    each chunk, in at most ``sample_bytes``.
     """
 
     count: int = 18
-    window: float = 0.045
+    window: float | None = None
+    recall: float = 0.955
     chunk: int = 16384
     sample: int = 20000
+    sample_bytes: int = 1 << 26
     seed: int = 11
 
 
@@ -119,6 +124,22 @@ class _Order:
         whole = np.concatenate([hilbert_bytes(cells, LEVELS), tail.astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
         return np.ascontiguousarray(whole).view(f"S{whole.shape[1]}")[:, 0]
 
+    def window(self, sample: np.ndarray, k: int, recall: float, queries: int = 400) -> float:
+        """The share of the points that a window needs: twice the distance along
+        the best curve, in ranks, of ``recall`` of the sample's nearest pairs."""
+        n, asked = len(sample), min(queries, len(sample))
+        if n <= k + 1:
+            return 1.0
+        near = sample[:asked] @ sample.T
+        near[np.arange(asked), np.arange(asked)] = -2
+        true = np.argpartition(-near, k, axis=1)[:, :k]
+        best = np.full(true.shape, n)
+        for c in range(len(self.axes)):
+            rank = np.empty(n, np.int64)
+            rank[np.argsort(self.keys(c, sample, np.arange(n)), kind="stable")] = np.arange(n)
+            best = np.minimum(best, np.abs(rank[true] - rank[:asked, None]))
+        return min(1.0, 2 * float(np.quantile(best, recall)) / n)
+
     def chunk(self, curve: int, unit: np.ndarray, node: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.splits[curve], self.keys(curve, unit, node), "right")
 
@@ -166,27 +187,31 @@ def nearest(vectors: DataFrame, is_query: F.Column | str, k: int = 5, setting: C
     vec_id, score``; all other rows are candidates.
 
     Vectors that are null, zero, not finite or of an odd length take no part.
-    Rows that repeat a vec_id and a direction count once.  Scores that agree to
+    Rows that repeat a vec_id and a direction count once; a row of the query's
+    vec_id with another direction is a candidate.  Scores that agree to
     twelve decimals tie, and go by vec_id.  With fewer than k
     candidates all are returned; an empty table gives no rows.  ``window`` is a
     share of the points because in data without structure (unit vectors at
-    random) a fixed number of neighbours would lose recall as points are added.
+    random) a fixed number of neighbours would lose recall as points are added;
+    it is measured on the sample.  Other columns are left out.
     """
     rows = written(_ways(usable(vectors)).dropDuplicates(["vec_id", "h", "h2"]), "vectors")
     few = k + 1
     points = written(_points(rows, few), "points")
-    asks = rows.where(is_query).join(points.select("h", "h2", "node"), ["h", "h2"]).select(F.col("vec_id").alias("query_id"), "node")
+    asks = rows.where(is_query).join(points.select("h", "h2", "node"), ["h", "h2"]).select(F.col("vec_id").alias("query_id"), "node", "h")
     asks = written(asks, "asks")
     total = points.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return rows.sparkSession.createDataFrame([], schema)
-    sample = points.orderBy(F.xxhash64("node")).limit(setting.sample).select("embedding").collect()
-    unit = _unit(np.array([r.embedding for r in sample], np.float64))
-    size = unit.shape[1]
+    size = points.select(F.size("embedding")).first()[0]
     chunks = max(-(-total // setting.chunk), min(64, -(-total // 128)))
+    some = min(max(setting.sample, 8 * chunks), max(setting.sample_bytes // (8 * size), 1000))
+    sample = points.orderBy(F.xxhash64("node"), "h").limit(some).select("embedding").toArrow()
+    unit = _unit(_matrix(sample.column("embedding").combine_chunks(), size))
     order = _Order(unit, chunks, setting)
-    reach = max(1, int(np.ceil((setting.window * chunks - 1) / 2))) if chunks > 1 else 0
+    window = order.window(unit, k, setting.recall) if setting.window is None else setting.window
+    reach = max(1, int(np.ceil((window * chunks - 1) / 2))) if chunks > 1 else 0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each point to its chunk of every curve, each query to its window."""
@@ -194,6 +219,7 @@ def nearest(vectors: DataFrame, is_query: F.Column | str, k: int = 5, setting: C
             u = _unit(_matrix(b.column("embedding"), size))
             node = b.column("node").to_numpy(zero_copy_only=False)
             asked = np.flatnonzero(b.column("asked").to_numpy(zero_copy_only=False))
+            others = [b.column(x) for x in ("node", "h", "ids", "embedding")]
             for c in range(setting.count):
                 home = order.chunk(c, u, node)
                 for d in range(-reach, reach + 2):
@@ -207,37 +233,38 @@ def nearest(vectors: DataFrame, is_query: F.Column | str, k: int = 5, setting: C
                     pick = pa.array(chosen)
                     n = len(chosen)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, c, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(n, ask)), *(b.column(x).take(pick) for x in ("node", "ids", "embedding"))],
-                        names=["curve", "chunk", "ask", "node", "ids", "embedding"],
+                        [pa.array(np.full(n, c, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(n, ask)), *(x.take(pick) for x in others)],
+                        names=["curve", "chunk", "ask", "node", "h", "ids", "embedding"],
                     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by curve and chunk, points before queries."""
-        where, ids, whole = None, [], []
+        where, ids, whole, marks = None, [], [], []
         matrix = lengths = flat = None
         for b in batches:
             curve, chunk, ask = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             cuts = np.flatnonzero((curve[1:] != curve[:-1]) | (chunk[1:] != chunk[:-1]) | (ask[1:] != ask[:-1])) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)]):
                 if where != (curve[lo], chunk[lo]):
-                    where, ids, whole, matrix = (curve[lo], chunk[lo]), [], [], None
+                    where, ids, whole, marks, matrix = (curve[lo], chunk[lo]), [], [], [], None
                 part = b.slice(lo, hi - lo)
                 x = _matrix(part.column("embedding"), size)
                 if not ask[lo]:
                     whole.append(x)
+                    marks.append(part.column("h").to_numpy(zero_copy_only=False))
                     ids.extend(part.column("ids").to_pylist())
                     continue
                 if not whole:
                     continue
                 if matrix is None:
-                    matrix = np.concatenate(whole)
+                    matrix, mark = np.concatenate(whole), np.concatenate(marks)
                     norms = np.linalg.norm(matrix, axis=1)
                     lengths = np.array([len(i) for i in ids])
                     flat = np.array([y for i in ids for y in i])
                     begin = np.cumsum(lengths) - lengths
                     directions = matrix / norms[:, None]
-                nodes = part.column("node").to_numpy(zero_copy_only=False)
-                out_q, out_v, out_s = [], [], []
+                nodes, ways = (part.column(x).to_numpy(zero_copy_only=False) for x in ("node", "h"))
+                out_q, out_h, out_v, out_s, out_o = [], [], [], [], []
                 for a in range(0, len(x), 256):
                     near = _unit(x[a : a + 256]) @ directions.T
                     cut = max(near.shape[1] - few, 0)
@@ -251,21 +278,27 @@ def nearest(vectors: DataFrame, is_query: F.Column | str, k: int = 5, setting: C
                         q = x[a + i]
                         score = (matrix[some] * q).sum(axis=1) / (norms[some] * np.sqrt((q * q).sum()))
                         level = (-np.rint(score * SAME)).tolist()
-                        found = sorted((r, v, s) for j, r, s in zip(some.tolist(), level, score.tolist()) for v in flat[begin[j] : begin[j] + lengths[j]].tolist())[:few]
+                        same = (mark[some] == ways[a + i]).tolist()
+                        found = sorted((r, v, s, o) for j, r, s, o in zip(some.tolist(), level, score.tolist(), same) for v in flat[begin[j] : begin[j] + lengths[j]].tolist())[:few]
                         out_q += [nodes[a + i]] * len(found)
-                        out_s += [s for _, _, s in found]
-                        out_v += [v for _, v, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["node", "vec_id", "score"])
-
-    marked = points.join(asks.select("node").distinct().withColumn("asked", F.lit(True)), "node", "left").select("node", "ids", "embedding", F.coalesce("asked", F.lit(False)).alias("asked"))
-    dealt = marked.mapInArrow(deal, "curve int, chunk int, ask boolean, node long, ids array<long>, embedding array<double>")
+                        out_h += [ways[a + i]] * len(found)
+                        out_v += [v for _, v, _, _ in found]
+                        out_s += [s for _, _, s, _ in found]
+                        out_o += [o for _, _, _, o in found]
+                values = zip((out_q, out_h, out_v, out_s, out_o), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], names=["node", "h", "vec_id", "score", "own"])
+
+    point = ["node", "h"]
+    marked = points.join(asks.select(*point).distinct().withColumn("asked", F.lit(True)), point, "left")
+    marked = marked.select(*point, "ids", "embedding", F.coalesce("asked", F.lit(False)).alias("asked"))
+    dealt = marked.mapInArrow(deal, "curve int, chunk int, ask boolean, node long, h long, ids array<long>, embedding array<double>")
     dealt = dealt.repartition("curve", "chunk").sortWithinPartitions("curve", "chunk", "ask")
-    pairs = dealt.mapInArrow(compare, "node long, vec_id long, score double")
-    pairs = pairs.groupBy("node", "vec_id").agg(F.max("score").alias("score"))
+    pairs = dealt.mapInArrow(compare, "node long, h long, vec_id long, score double, own boolean")
+    pairs = pairs.groupBy(*point, "vec_id", "own").agg(F.max("score").alias("score"))
     pairs = pairs.withColumn("far", -F.rint(F.col("score") * SAME))
     by_score = [F.col("far"), F.col("vec_id")]
-    best = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(*by_score))).where(F.col("nth") <= few).drop("nth")
-    best = best.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("far", "vec_id", "score"))).alias("best"))
-    own = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    listed = asks.join(best, "node").select("query_id", F.posexplode(own).alias("at", "hit"))
+    best = pairs.withColumn("nth", F.row_number().over(Window.partitionBy(*point).orderBy(*by_score))).where(F.col("nth") <= few).drop("nth")
+    best = best.groupBy(*point).agg(F.sort_array(F.collect_list(F.struct("far", "vec_id", "score", "own"))).alias("best"))
+    own = F.slice(F.filter("best", lambda x: ~x["own"] | (x["vec_id"] != F.col("query_id"))), 1, k)
+    listed = asks.join(best, point).select("query_id", F.posexplode(own).alias("at", "hit"))
     return listed.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

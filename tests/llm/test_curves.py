@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm.curves import hilbert_bytes, hilbert_keys, nearest
+from barloom.llm.curves import Curves, _Order, hilbert_bytes, hilbert_keys, nearest
 
 QUERY = "vec_id % 50 = 0"
 
@@ -96,3 +96,21 @@ def test_rescaled_copies_tie_by_id(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     want, got = brute(rows), found(nearest(spark.createDataFrame(rows + [(0, (7 * x[0]).tolist())], "vec_id long, embedding array<double>"), QUERY))
     assert all(want[q] == got[q] for q in want if q % 3 == 0)
+
+
+def test_another_vector_of_the_querys_id_is_a_candidate(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.1]), (7, [1.0, 0.5]), (None, [1.0, 0.0]), (8, [0.0, 1.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), QUERY).collect())
+    near = round(1 / 1.01**0.5, 6)
+    assert [g for g in got if g[1] == 1] == [(50, 1, 50, near)] * 2 and len(got) == 6
+    assert {g[2] for g in got if g[1] == 2} == {7} and {g[2] for g in got if g[1] == 3} == {8}
+
+
+def test_the_window_follows_the_data():
+    """Clusters need a small share of the points, random directions a large one."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    loose = unit(rng.normal(size=(6000, 64)))
+    tight = unit(np.repeat(rng.normal(size=(400, 64)), 15, axis=0) + 0.05 * rng.normal(size=(6000, 64)))
+    shares = [_Order(x, 16, Curves()).window(x[rng.permutation(6000)], 5, 0.955) for x in (loose, tight)]
+    assert shares[1] < 0.01 < shares[0] < 0.12
