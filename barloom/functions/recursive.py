@@ -55,26 +55,35 @@ def supertrend(f: pd.DataFrame, n: int, k: float) -> tuple[np.ndarray, np.ndarra
 INDICATORS = ["ema8", "ema21", "ema50", "rsi", "atr", "macd", "signal", "hist"]
 
 
-def with_indicators(bars: DataFrame) -> DataFrame:
-    """Bars with EMA 8, 21 and 50, RSI 14, ATR 14 and MACD 12/26/9 of the close.
+def with_indicators(bars: DataFrame, names: list[str] | None = None, last: int | None = None) -> DataFrame:
+    """Bars with the indicators ``names`` (all): EMA 8, 21 and 50, RSI 14, ATR 14
+    and MACD 12/26/9 of the close; with ``last``, only that many rows a symbol
+    come back.
 
     Values are null until their window is full.
     """
+    names = names or INDICATORS
 
     def job(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("date", ignore_index=True)
         close = f["close"]
         for n in (8, 21, 50):
-            f[f"ema{n}"] = ema(close, n)
-        f["rsi"], f["atr"] = rsi(close), atr(f)
-        f["macd"] = ema(close, 12) - ema(close, 26)
-        f["signal"] = ema(f["macd"], 9)
-        f["hist"] = f["macd"] - f["signal"]
-        return f
+            if f"ema{n}" in names:
+                f[f"ema{n}"] = ema(close, n)
+        if "rsi" in names:
+            f["rsi"] = rsi(close)
+        if "atr" in names:
+            f["atr"] = atr(f)
+        if {"macd", "signal", "hist"} & set(names):
+            f["macd"] = ema(close, 12) - ema(close, 26)
+            f["signal"] = ema(f["macd"], 9)
+            f["hist"] = f["macd"] - f["signal"]
+        return (f if last is None else f.tail(last))[kept]
 
     schema = T.StructType(list(bars.schema.fields))
-    for name in INDICATORS:
+    for name in names:
         schema = schema.add(name, "double")
+    kept = schema.fieldNames()
     return bars.groupBy("symbol").applyInPandas(job, schema)
 
 

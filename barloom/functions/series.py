@@ -64,6 +64,12 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("i", F.row_number().over(w()).cast("long")).withColumn("is_last", F.lead("date").over(w()).isNull())
 
 
+def tail(df: DataFrame, n: int) -> DataFrame:
+    """The last n rows of each symbol, before any window runs over the rest."""
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
+    return df.withColumn("__back", back).where(F.col("__back") <= n).drop("__back")
+
+
 def latest(df: DataFrame, gate: int = 1) -> DataFrame:
     """The last row of each symbol with at least ``gate`` rows."""
     return df.where(F.col("is_last") & (F.col("i") >= gate))

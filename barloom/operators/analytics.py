@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.series import lag, latest, numbered, r6, so_far, w, whole
+from barloom.functions.series import lag, latest, numbered, r6, so_far, tail, w, whole
 
 c = F.col
 DAYS = 252
@@ -14,7 +14,7 @@ RISK_FREE = 4.5
 
 def snapshot(bars: DataFrame, points: int = 30) -> DataFrame:
     """Latest price, change from the one before, and the last prices in order."""
-    df = numbered(bars).withColumn("previous", lag("adjusted_close"))
+    df = numbered(tail(bars, max(points, 2))).withColumn("previous", lag("adjusted_close"))
     df = df.withColumn("spark", F.collect_list("adjusted_close").over(w().rowsBetween(-(points - 1), 0)))
     change = c("adjusted_close") - c("previous")
     return latest(df, 2).select("symbol", "date", c("adjusted_close").alias("price"), r6(change).alias("change"), r6(change / c("previous") * 100).alias("change_percent"), F.array_join(F.transform("spark", lambda x: x.cast("decimal(18,4)").cast("string")), " ").alias("sparkline"))
@@ -22,7 +22,7 @@ def snapshot(bars: DataFrame, points: int = 30) -> DataFrame:
 
 def quote(bars: DataFrame) -> DataFrame:
     """The last bar against the adjusted close before it."""
-    df = numbered(bars).withColumn("previous_close", lag("adjusted_close"))
+    df = numbered(tail(bars, 2)).withColumn("previous_close", lag("adjusted_close"))
     return latest(df).select("symbol", "date", "open", "high", "low", "close", "volume", "previous_close", r6((c("adjusted_close") / c("previous_close") - 1) * 100).alias("change_percent"))
 
 

@@ -58,19 +58,25 @@ def seasonal_summary(bars: DataFrame, as_of: str) -> DataFrame:
 
 
 def annual_cells(bars: DataFrame, as_of: str, price: str = "adjusted_close") -> DataFrame:
-    """``symbol, year, status, r``: calendar-year returns on the year before."""
-    ends = bars.groupBy("symbol", F.year("date").alias("year")).agg(F.max_by(price, "date").alias("p"))
+    """``symbol, year, status, r``: calendar-year returns on the year before.
+
+    A year is complete if ``as_of`` is past it and its last bar is at most four
+    days before the year's last weekday, else partial.
+    """
+    ends = bars.groupBy("symbol", F.year("date").alias("year")).agg(F.max_by(price, "date").alias("p"), F.max("date").alias("last"))
     by_year = Window.partitionBy("symbol").orderBy("year")
     ends = ends.withColumn("before", F.lag("p").over(by_year)).withColumn("before_year", F.lag("year").over(by_year))
     years = ends.select("year").distinct()
     grid = ends.select("symbol").distinct().join(years, F.lit(True))  # symbols by years
     df = grid.join(ends, ["symbol", "year"], "left")
     first = F.min(F.when(c("p").isNotNull(), c("year"))).over(Window.partitionBy("symbol"))
+    end = F.make_date("year", F.lit(12), F.lit(31))
+    last_weekday = F.when(F.dayofweek(end) == 1, F.date_sub(end, 2)).when(F.dayofweek(end) == 7, F.date_sub(end, 1)).otherwise(end)
     status = (
         F.when(c("p").isNull(), F.when(c("year") < first, "not_listed").otherwise("missing"))
         .when(c("before").isNull(), "no_base")
         .when(c("before_year") != c("year") - 1, "prior_year_missing")
-        .when(F.make_date("year", F.lit(12), F.lit(31)) >= F.lit(as_of).cast("date"), "partial")
+        .when((end >= F.lit(as_of).cast("date")) | (c("last") < F.date_sub(last_weekday, 4)), "partial")
         .otherwise("complete")
     )
     df = df.withColumn("status", status)
@@ -90,13 +96,13 @@ def diversification(bars: DataFrame, weights: dict[str, float], as_of: str) -> D
     return both.select("symbol", "year", r6(c("r") * 100).alias("return_percent"), rank.cast("long").alias("rank"))
 
 
-def adjustment_warnings(bars: DataFrame) -> DataFrame:
-    """Jumps of more than 20% in adjusted to raw close, or a ratio that never
-    moves over two years."""
-    df = numbered(bars).withColumn("ratio", c("adjusted_close") / c("close"))
+def adjustment_warnings(bars: DataFrame, most: float = 0.20) -> DataFrame:
+    """Jumps of more than ``most`` in adjusted to raw close, or a ratio that never
+    moves over two years; symbols with fewer than three such ratios give no row."""
+    df = numbered(bars.where("close > 0 and adjusted_close > 0")).withColumn("ratio", c("adjusted_close") / c("close"))
     df = df.withColumn("jump", F.abs(c("ratio") / lag("ratio") - 1))
-    g = df.groupBy("symbol").agg(F.count_if(c("jump") > 0.04).alias("jumps"), r6(F.max("jump") * 100).alias("largest_percent"), (F.max("ratio") - F.min("ratio")).alias("spread"), F.datediff(F.max("date"), F.min("date")).alias("days"))
-    return g.select("symbol", "jumps", "largest_percent", ((c("spread") <= 1e-4) & (c("days") > 730)).alias("constant_ratio"))
+    g = df.groupBy("symbol").agg(F.count_if(c("jump") > most).alias("jumps"), r6(F.max("jump") * 100).alias("largest_percent"), (F.max("ratio") - F.min("ratio")).alias("spread"), F.datediff(F.max("date"), F.min("date")).alias("days"), F.count("*").alias("n"))
+    return g.where("n >= 3").select("symbol", "jumps", "largest_percent", ((c("spread") < 1e-9) & (c("days") > 730)).alias("constant_ratio"))
 
 
 def monthly_cycle(bars: DataFrame, gate: int = 5) -> DataFrame:

@@ -69,11 +69,35 @@ def growth(table: DataFrame) -> DataFrame:
     return df.select("symbol", "year", r6("change").alias("change_percent"), kind.alias("kind"), r6("cagr3").alias("cagr3"), r6("cagr5").alias("cagr5"), run.cast("long").alias("increases"))
 
 
+#: Share of changes that must be rises, with no fall, for a rising trend.
+INCREASING = 0.6
+
+
 def trend(table: DataFrame) -> DataFrame:
-    """Class of the last five changes."""
-    g = growth(table).where("change_percent is not null").withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("year")))).where("k <= 5")
-    g = g.groupBy("symbol").agg(F.count("*").alias("changes"), F.count_if(c("kind") == "Positive").alias("up"), F.count_if(c("kind") == "Negative").alias("down"))
-    kind = F.when(c("down") == 0, F.when(c("up") > 0, "Increasing").otherwise("Stable")).when(c("up") == 0, "Decreasing").otherwise("Irregular")
+    """Class of the last five usable changes.
+
+    A change is usable where both years have the usual number of payments, or
+    where payments stop.  Fewer than three paying years, or fewer than two usable
+    changes, are too little history; where half of the last six years or more
+    have another number of payments the trend is irregular.
+    """
+    by = Window.partitionBy("symbol").orderBy("year")
+    df = table.join(modal_counts(table), "symbol", "left").withColumn("usual", F.coalesce(c("n") == c("modal"), F.lit(False)))
+    df = df.withColumn("before", F.lag("total").over(by)).withColumn("change", (c("total") / c("before") - 1) * 100)
+    stop = (c("n") == 0) & (F.lag("n").over(by) > 0)
+    df = df.withColumn("usable", (c("before") > 0) & ((c("usual") & F.lag("usual").over(by)) | stop))
+    back = Window.partitionBy("symbol").orderBy(F.desc("year"))
+    df = df.withColumn("nth", F.row_number().over(back)).withColumn("kth", F.when(c("usable"), F.count(F.when(c("usable"), 1)).over(back)))
+    recent = c("kth") <= 5
+    g = df.groupBy("symbol").agg(
+        F.count_if(c("n") > 0).alias("paying"),
+        F.count_if(recent).alias("changes"),
+        F.count_if(recent & (c("change") > 0.5)).alias("up"),
+        F.count_if(recent & (c("change") < -0.5)).alias("down"),
+        F.avg(F.when(c("nth") <= 6, F.when(c("usual"), 0.0).otherwise(1.0))).alias("unusual"),
+    )
+    kind = F.when(c("down") == 0, F.when(c("up") >= INCREASING * c("changes"), "Increasing").otherwise("Stable")).when(c("up") == 0, "Decreasing").otherwise("Irregular")
+    kind = F.when(c("paying") < 3, "Insufficient History").when(c("unusual") >= 0.5, "Irregular").when(c("changes") < 2, "Insufficient History").otherwise(kind)
     return g.select("symbol", "changes", "up", "down", kind.alias("trend"))
 
 
@@ -87,12 +111,16 @@ def cut_events(pays: DataFrame) -> DataFrame:
     return df.select("symbol", "ex_date", "before", "amount", r6((c("amount") / c("before") - 1) * 100).alias("change_percent"), F.coalesce(c("next") <= 0.95 * c("before"), F.lit(False)).alias("confirmed"))
 
 
+#: Days between payments by their number a year; others are 365.2 over the number.
+INTERVALS = {12: 30.4, 4: 91.3, 2: 182.6, 1: 365.2}
+
+
 def payment_status(pays: DataFrame, as_of: str) -> DataFrame:
     """Days since the last regular payment against the expected interval."""
     day = F.lit(as_of).cast("date")
     modal = modal_counts(annual_table(pays, as_of))
     g = pays.where(~c("is_special")).groupBy("symbol").agg(F.max(F.when(c("ex_date") <= day, c("ex_date"))).alias("last"), F.count_if(c("ex_date") > day).alias("upcoming"))
-    df = g.join(modal, "symbol", "left").withColumn("days", F.datediff(day, "last").cast("long")).withColumn("expected", 365.0 / c("modal"))
+    df = g.join(modal, "symbol", "left").withColumn("days", F.datediff(day, "last").cast("long")).withColumn("expected", F.coalesce(*[F.when(c("modal") == n, days) for n, days in INTERVALS.items()], 365.2 / c("modal")))
     late = F.when(c("upcoming") > 0, "declared").when(c("days") > F.greatest(2 * c("expected"), c("expected") + 90), "suspended").when(c("days") > 1.35 * c("expected") + 15, "delayed").otherwise("on time")
     return df.select("symbol", "last", "days", r6("expected").alias("expected_days"), late.alias("status"))
 

@@ -86,7 +86,7 @@ def covariances(bars: DataFrame, symbols: list[str]) -> DataFrame:
 
     r = common_dates(bars, symbols).select("symbol", "date", (F.log("close") - F.log(lag("close"))).alias("r")).where("r is not null")
     pairs = r.select("date", c("symbol").alias("a"), c("r").alias("x")).join(r.select("date", c("symbol").alias("b"), c("r").alias("y")), "date")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), r6(F.covar_samp("x", "y") * 252).alias("covariance"), r6(F.avg("x") * 252).alias("mean_a"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), (F.covar_samp("x", "y") * 252).alias("covariance"), (F.avg("x") * 252).alias("mean_a"))
 
 
 def whole_shares(bars: DataFrame, initial: float, rate: float, flat: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.recursive import with_indicators
-from barloom.functions.series import lag, latest, numbered, r6, rows, sma, so_far, std, w, whole
+from barloom.functions.series import lag, latest, numbered, r6, rows, sma, so_far, std, tail, w, whole
 
 c = F.col
 
@@ -18,7 +18,8 @@ def evar_risk(bars: DataFrame, gate: int = 180) -> DataFrame:
 
     Spark's kurtosis is the population's; the sample-corrected one feeds q.
     """
-    df = numbered(bars).withColumn("r", F.log("close") - F.log(lag("close")))
+    # the rank sees 120 values of windows of 252 returns
+    df = numbered(tail(bars, max(gate, 372))).withColumn("r", F.log("close") - F.log(lag("close")))
     over, n = rows(252), F.count("r").over(rows(252)).cast("double")
     g2 = F.kurtosis("r").over(over)
     k = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
@@ -53,8 +54,11 @@ def avalanches(bars: DataFrame) -> DataFrame:
     return df.where("fall > 0").groupBy("symbol", "run").agg(F.min("date").alias("start"), F.max("fall").alias("size")).select("symbol", "start", "size")
 
 
-def avalanche_power_law(bars: DataFrame, bins: int = 12, at_least: int = 15) -> DataFrame:
-    """Slope of log density on log size over log-spaced bins of avalanche sizes."""
+def avalanche_power_law(bars: DataFrame, bins: int = 12, at_least: int = 15, gate: int = 300) -> DataFrame:
+    """Slope of log density on log size over log-spaced bins of avalanche sizes,
+    and the fall from the peak at the last bar.  Symbols with fewer bars than
+    ``gate`` or fewer avalanches than ``at_least`` give no row."""
+    now = bars.groupBy("symbol").agg(F.count("close").alias("bars"), ((F.max_by("close", "date") / F.max("close") - 1) * 100).alias("drawdown")).where(c("bars") >= gate)
     a = avalanches(bars).withColumn("x", F.log10("size"))
     edges = a.groupBy("symbol").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).where((c("n") >= at_least) & (c("hi") > c("lo")))
     step = (c("hi") - c("lo")) / bins
@@ -66,7 +70,8 @@ def avalanche_power_law(bars: DataFrame, bins: int = 12, at_least: int = 15) ->
     g = b.groupBy("symbol", "n").agg(F.count("*").alias("bins"), F.regr_slope("ly", "lx").alias("slope"), F.regr_r2("ly", "lx").alias("r2")).where("bins >= 3")
     alpha = -c("slope")
     regime = F.when(alpha >= 2.8, "Gaussian").when(alpha >= 1.8, "Transitional").when(alpha >= 1.0, "Critical").otherwise("Super-critical")
-    return g.select("symbol", c("n").alias("avalanches"), c("bins"), r6(alpha).alias("alpha"), r6("r2").alias("r_squared"), regime.alias("regime"))
+    g = g.join(now, "symbol")
+    return g.select("symbol", c("n").alias("avalanches"), c("bins"), r6(alpha).alias("alpha"), r6("r2").alias("r_squared"), regime.alias("regime"), r6("drawdown").alias("drawdown_percent"))
 
 
 def ricker(scale: int) -> list[float]:
@@ -90,10 +95,10 @@ def wavelet_trend(bars: DataFrame, scales: tuple[int, ...] = (5, 10, 20), gate:
     return latest(df, gate).select("symbol", "date", *[r6(f"f{s}").alias(f"filter{s}") for s in scales], state.alias("state"))
 
 
-def with_crash_flags(bars: DataFrame) -> DataFrame:
+def with_crash_flags(bars: DataFrame, last: int | None = None) -> DataFrame:
     """Bars with five warning flags, their count and the drawdown from the high
-    of 252 bars (60 at least)."""
-    df = numbered(with_indicators(bars)).withColumn("sma50", sma("close", 50)).withColumn("sma200", sma("close", 200))
+    of 252 bars (60 at least); with ``last``, only that many rows a symbol."""
+    df = numbered(with_indicators(bars, ["rsi", "signal", "hist"], last)).withColumn("sma50", sma("close", 50)).withColumn("sma200", sma("close", 200))
     df = df.withColumn("h1", lag("hist")).withColumn("h2", lag("hist", 2)).withColumn("h3", lag("hist", 3))
     df = df.withColumn("cross", F.when((c("hist") < 0) & (c("h1") >= 0), 1).otherwise(0))
     df = df.withColumn("crossed", F.max("cross").over(rows(10)) == 1)
@@ -110,6 +115,7 @@ def with_crash_flags(bars: DataFrame) -> DataFrame:
         "fading": (c("hist") < c("h1")) & (c("h1") < c("h2")) & (c("h2") < c("h3")),
         "divergence": (c("new.close") > c("old.close")) & (c("new.rsi") < c("old.rsi")),
     }
+    df = df.withColumn("usable", usable)
     for name, rule in flags.items():
         df = df.withColumn(name, F.coalesce(usable & rule, F.lit(False)))
     df = df.withColumn("flags", sum((c(x).cast("long") for x in flags), F.lit(0).cast("long")))
@@ -121,21 +127,44 @@ def crash_warning(bars: DataFrame, gate: int = 260) -> DataFrame:
     """Flags at the last bar; three or more are a warning."""
     level = F.when(c("flags") <= 1, "Low").when(c("flags") <= 3, "Elevated").otherwise("High")
     names = ["below_sma200", "death_cross", "macd_down", "fading", "divergence"]
-    return latest(with_crash_flags(bars), gate).select("symbol", "date", *names, "flags", level.alias("level"), (c("flags") >= 3).alias("warning"), r6("drawdown").alias("drawdown_percent"))
+    return latest(with_crash_flags(bars, max(gate, 252)), gate).select("symbol", "date", *names, "flags", level.alias("level"), (c("flags") >= 3).alias("warning"), r6("drawdown").alias("drawdown_percent"))
+
 
+def crash_validation(bars: DataFrame, fall: float = 0.10, horizon: int = 20, train: float = 0.6, least: int = 100) -> DataFrame:
+    """How warnings foretold falls of ``fall`` within ``horizon`` bars, beside a
+    baseline that warns below the 200-day mean.
 
-def crash_validation(bars: DataFrame, fall: float = 0.10, horizon: int = 20) -> DataFrame:
-    """How warnings foretold falls of ``fall`` within ``horizon`` bars, in the first
-    60% of each history and after it (a gap as long as the horizon between)."""
+    Bars count from the first with all indicators to the last with a whole
+    horizon after it (``least`` of them at least): the first ``train`` of that
+    span but for a gap as long as the horizon, and the rest.  Episodes are runs of
+    bars before a fall; one is detected if any of its bars warns, and its lead is
+    the number of bars from the first such bar to the fall.
+    """
     df = with_crash_flags(bars).withColumn("n", F.count("*").over(whole()))
-    ahead = w().rowsBetween(1, horizon)
-    df = df.withColumn("label", F.min("close").over(ahead) <= c("close") * (1 - fall)).where(c("i") + horizon <= c("n"))
-    cut = F.floor(c("n") * 0.6)
-    df = df.withColumn("segment", F.when(c("i") <= cut - horizon, "train").when(c("i") > cut, "test")).where("segment is not null")
-    warn, label = c("flags") >= 3, c("label")
-    g = df.groupBy("symbol", "segment").agg(F.count_if(warn & label).alias("tp"), F.count_if(warn & ~label).alias("fp"), F.count_if(~warn & label).alias("fn"), F.count_if(~warn & ~label).alias("tn"))
+    breach = F.coalesce(*[F.when(F.lead("close", k).over(w()) <= c("close") * (1 - fall), k) for k in range(1, horizon + 1)])
+    df = df.withColumn("breach", breach).withColumn("label", breach.isNotNull())
+    fit = F.when(c("usable") & (c("i") + horizon <= c("n")), c("i"))
+    df = df.withColumn("a", F.min(fit).over(whole())).withColumn("z", F.max(fit).over(whole())).withColumn("fits", F.count(fit).over(whole()))
+    cut = c("a") + F.floor((c("z") - c("a") + 1) * train)
+    part = F.when(c("i") < F.greatest(c("a") + 1, cut - horizon), "train").when(c("i") >= cut, "test")
+    df = df.where((c("fits") >= least) & c("i").between(c("a"), c("z"))).withColumn("segment", part).where("segment is not null")
+    df = df.withColumn("warn", c("flags") >= 3)
+    inside = Window.partitionBy("symbol", "segment").orderBy("i")
+    df = df.withColumn("run", F.when(c("label"), F.sum(F.when(c("label"), 0).otherwise(1)).over(inside.rowsBetween(Window.unboundedPreceding, 0))))
+    episodes = df.where("label").groupBy("symbol", "segment", "run").agg(F.min_by("breach", F.when(c("warn"), c("i"))).alias("lead"), F.max("warn").alias("hit"))
+    episodes = episodes.groupBy("symbol", "segment").agg(F.count("*").alias("episodes"), F.count_if("hit").alias("detected"), F.percentile(F.when(c("hit"), c("lead")), F.lit(0.5)).alias("median_lead"))
+    counts = {"tp": (c("warn"), c("label")), "fp": (c("warn"), ~c("label")), "fn": (~c("warn"), c("label")), "tn": (~c("warn"), ~c("label"))}
+    base = {"base_tp": (c("below_sma200"), c("label")), "base_fp": (c("below_sma200"), ~c("label"))}
+    g = df.groupBy("symbol", "segment").agg(*[F.count_if(x & y).alias(k) for k, (x, y) in (counts | base).items()])
+    g = g.join(episodes, ["symbol", "segment"], "left").withColumn("episodes", F.coalesce("episodes", F.lit(0).cast("long"))).withColumn("detected", F.coalesce("detected", F.lit(0).cast("long")))
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6))
-    return g.select("*", ratio(c("tp"), c("tp") + c("fp")).alias("precision"), ratio(c("tp"), c("tp") + c("fn")).alias("recall"), ratio(c("fp"), c("fp") + c("tn")).alias("false_rate"))
+    return g.select(
+        "*",
+        ratio(c("tp"), c("tp") + c("fp")).alias("precision"),
+        ratio(c("tp"), c("tp") + c("fn")).alias("recall"),
+        ratio(c("fp"), c("fp") + c("tn")).alias("false_rate"),
+        ratio(c("base_tp"), c("base_tp") + c("base_fp")).alias("base_precision"),
+    )
 
 
 def autocorrelation(bars: DataFrame, lags: int = 10, squared: bool = True) -> DataFrame:
@@ -159,7 +188,7 @@ def shock_asymmetry(bars: DataFrame, sigmas: float = 1.0, horizon: int = 5) -> D
     df = numbered(bars).withColumn("r", F.log("close") - F.log(lag("close"))).where("r is not null")
     df = df.withColumn("r2", c("r") * c("r")).withColumn("limit", sigmas * F.stddev_samp("r").over(Window.partitionBy("symbol")))
     df = df.withColumn("next", F.lead("r2").over(w())).withColumn("ahead", F.when(F.count("r2").over(w().rowsBetween(1, horizon)) == horizon, F.avg("r2").over(w().rowsBetween(1, horizon))))
-    kind = F.when(c("r") <= -c("limit"), "negative").when(c("r") >= c("limit"), "positive").otherwise("quiet")
+    kind = F.when(c("r") < -c("limit"), "negative").when(c("r") > c("limit"), "positive").otherwise("quiet")
     vol = lambda x: F.round(F.sqrt(F.avg(x) * 252) * 100, 6)
     g = df.withColumn("kind", kind).groupBy("symbol", "kind").agg(F.count("*").alias("n"), r6(F.avg("r") * 100).alias("mean_percent"), vol("next").alias("next_vol"), vol("ahead").alias("forward_vol"))
     return g.withColumn("sufficient", c("n") >= 10)

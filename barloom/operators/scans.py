@@ -45,8 +45,11 @@ def weekly(bars: DataFrame) -> DataFrame:
 
 
 def ingest(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Valid new bars that aren't stored yet (existing keys are left alone)."""
-    valid = new.where((c("close") > 0) & (c("high") >= c("low"))).dropDuplicates(["symbol", "date"])
+    """Valid new bars that aren't stored yet (existing keys are left alone); of
+    several for one key the last in the order of their prices."""
+    order = F.struct("close", "open", "high", "low", "adjusted_close", "volume")
+    others = [x for x in new.columns if x not in ("symbol", "date")]
+    valid = new.where((c("close") > 0) & (c("high") >= c("low"))).groupBy("symbol", "date").agg(F.max_by(F.struct(*others), order).alias("bar")).select("symbol", "date", "bar.*")
     for x in ("open", "high", "low"):
         valid = valid.withColumn(x, F.coalesce(x, F.lit(0.0)))
     valid = valid.withColumn("volume", F.coalesce("volume", F.lit(0))).withColumn("adjusted_close", F.coalesce("adjusted_close", "close"))

@@ -50,7 +50,7 @@ def annual_growth(eps: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
     g = known.groupBy("symbol").agg(F.count("*").alias("years"), F.min_by("eps", "year").alias("first"), F.max_by("eps", "year").alias("last"), F.min("year").alias("y0"), F.max("year").alias("y1"))
     ok = (c("years") >= least) & (c("first") > 0)
     rate = F.when(ok & (c("last") > 0), F.pow(c("last") / c("first"), 1 / (c("y1") - c("y0"))) - 1)
-    return g.select("symbol", "years", F.when(ok, c("last") / c("first") - 1).alias("growth"), rate.alias("cagr"))
+    return g.select("symbol", "years", "first", F.when(ok, c("last") / c("first") - 1).alias("growth"), rate.alias("cagr"))
 
 
 def _status(rule, known, applies=None) -> F.Column:
@@ -63,14 +63,14 @@ def _status(rule, known, applies=None) -> F.Column:
 def canslim_stocks(bars: DataFrame, facts: DataFrame, eps: DataFrame, members: DataFrame, index_up: DataFrame) -> DataFrame:
     """Seven criteria for each member; members without any data stay, unknown."""
     strength = relative_strength(bars).select("symbol", "percentile")
-    growth = annual_growth(eps).select("symbol", c("growth").alias("eps_growth"))
+    growth = annual_growth(eps).select("symbol", c("growth").alias("eps_growth"), c("years").alias("eps_years"), c("first").alias("eps_first"))
     df = members.join(facts, "symbol", "left").join(price_inputs(bars).select("symbol", "close", "high"), "symbol", "left")
     df = df.join(strength, "symbol", "left").join(growth, "symbol", "left")
     df = df.join(index_up.select("confirmed_up"), F.lit(True), "left")  # at most one row
     both = c("eps_now").isNotNull() & c("eps_ago").isNotNull()
     checks = {
         "c": _status((c("eps_now") / c("eps_ago") - 1) >= 0.25, both, c("eps_ago") > 0),
-        "a": _status((c("eps_growth") >= 0.25) & (c("roe") >= 0.17), c("eps_growth").isNotNull() & c("roe").isNotNull()),
+        "a": _status((c("eps_growth") >= 0.25) & (c("roe") >= 0.17), F.coalesce(c("eps_years") >= 3, F.lit(False)) & c("roe").isNotNull(), c("eps_first") > 0),
         "n": _status(c("close") / c("high") >= 0.85, c("close").isNotNull()),
         "s": _status(c("shares_float") < 25000000, c("shares_float").isNotNull()),
         "l": _status(c("percentile") >= 80, c("percentile").isNotNull()),
@@ -79,8 +79,8 @@ def canslim_stocks(bars: DataFrame, facts: DataFrame, eps: DataFrame, members: D
     }
     df = df.select("symbol", "sector", *[x.alias(k) for k, x in checks.items()])
     how_many = lambda s: F.size(F.filter(F.array(*checks), lambda x: x == s)).cast("long")
-    df = df.withColumn("passed", how_many("PASS")).withColumn("unavailable", how_many("UNAVAILABLE"))
-    quality = F.when(c("unavailable") == 0, "COMPLETE").when(c("unavailable") <= 3, "PARTIAL").otherwise("INSUFFICIENT")
+    df = df.withColumn("passed", how_many("PASS")).withColumn("unavailable", how_many("UNAVAILABLE") + how_many("NOT_APPLICABLE"))
+    quality = F.when(c("unavailable") == 0, "COMPLETE").when(c("unavailable") < len(checks), "PARTIAL").otherwise("INSUFFICIENT")
     return df.withColumn("quality", quality).withColumn("qualifies", c("passed") >= 5)
 
 

@@ -1,7 +1,8 @@
 """Technical views: one row for each symbol, at its latest bar.
 
 Each takes bars of all symbols and returns a small flat row for every symbol
-with enough history (``gate`` rows; others give no row).  Descriptive only.
+with enough history (``gate`` rows; others give no row).  Where windows are finite
+only the last rows that they reach are kept.  Descriptive only.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.recursive import with_ema, with_indicators, with_supertrend
-from barloom.functions.series import lag, latest, numbered, r6, rolling, rows, run_length, sma, so_far, std, true_range, whole
+from barloom.functions.series import lag, latest, numbered, r6, rolling, rows, run_length, sma, so_far, std, tail, true_range, whole
 
 c = F.col
 
@@ -21,7 +22,7 @@ def colour(close="close", open_="open") -> F.Column:
 
 def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, gate: int = 30) -> DataFrame:
     """Mean +/- k sample deviations, breakout status and band width."""
-    df = numbered(bars).withColumn("middle", sma("close", n)).withColumn("sd", std("close", n))
+    df = numbered(tail(bars, max(gate, n))).withColumn("middle", sma("close", n)).withColumn("sd", std("close", n))
     df = latest(df, gate).withColumn("upper", c("middle") + k * c("sd")).withColumn("lower", c("middle") - k * c("sd"))
     status = F.when(c("close") > c("upper"), "Above Upper Band").when(c("close") < c("lower"), "Below Lower Band").otherwise("Within Bands")
     near = lambda x: (F.abs(c("close") / c(x) - 1) * 100 <= 1.0).alias(f"near_{x}")
@@ -30,14 +31,14 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, gate: int = 30) -> D
 
 def better_breakout(bars: DataFrame, gate: int = 53) -> DataFrame:
     """Close against the last close plus the mean of three larger wicks."""
-    df = numbered(bars).withColumn("offset", F.greatest(c("high") - c("close"), c("close") - c("low")))
+    df = numbered(tail(bars, max(gate, 41))).withColumn("offset", F.greatest(c("high") - c("close"), c("close") - c("low")))
     df = df.withColumn("level", lag("close") + sma("offset", 3, 1)).withColumn("sma40", sma("close", 40))
     return latest(df, gate).select("symbol", "date", "close", r6("level").alias("breakout_level"), (c("close") > c("level")).alias("is_breakout"), r6(c("close") - c("sma40")).alias("momentum"))
 
 
 def sma_trend(bars: DataFrame, gate: int = 210) -> DataFrame:
     """SMA 20, 50, 100 and 200, their order, and golden and death crosses."""
-    df = numbered(bars)
+    df = numbered(tail(bars, max(gate, 201)))
     for n in (20, 50, 100, 200):
         df = df.withColumn(f"sma{n}", sma("close", n))
     df = df.withColumn("gap", c("sma50") - c("sma200")).withColumn("last_gap", lag("gap"))
@@ -57,7 +58,7 @@ def _position(a, b) -> F.Column:
 def traffic_light(bars: DataFrame, gate: int = 50) -> DataFrame:
     """Order of close and SMA 10, 25 and 50, slopes over 5 bars, and the close
     against closes 10, 25 and 50 bars before (null where there is none)."""
-    df = numbered(bars)
+    df = numbered(tail(bars, max(gate, 56)))
     for n in (10, 25, 50):
         df = df.withColumn(f"sma{n}", sma("close", n))
     for n in (10, 25, 50):
@@ -73,7 +74,7 @@ def traffic_light(bars: DataFrame, gate: int = 50) -> DataFrame:
 
 def sma_crossovers(bars: DataFrame, within: int = 10) -> DataFrame:
     """Changes of sign of fast - slow SMA (10/25, 10/50, 25/50) in the last bars."""
-    df = numbered(bars)
+    df = numbered(tail(bars, within + 51))
     for n in (10, 25, 50):
         df = df.withColumn(f"sma{n}", sma("close", n))
     df = df.withColumn("n", F.count("*").over(whole()))
@@ -100,7 +101,7 @@ def td_setup(bars: DataFrame, gate: int = 13) -> DataFrame:
 
 def pivot_levels(bars: DataFrame, gate: int = 5) -> DataFrame:
     """Floor pivots of the bar before, and the nearest levels around the close."""
-    df = numbered(bars)
+    df = numbered(tail(bars, max(gate, 2)))
     for x in ("high", "low", "close"):
         df = df.withColumn(f"p{x}", lag(x))
     df = latest(df, gate).withColumn("pp", (c("phigh") + c("plow") + c("pclose")) / 3)
@@ -118,7 +119,7 @@ def pivot_levels(bars: DataFrame, gate: int = 5) -> DataFrame:
 
 def central_pivot_range(bars: DataFrame, n: int = 60, gate: int = 61) -> DataFrame:
     """Central pivot range of the bar before; its width's mid-rank over n bars."""
-    df = numbered(bars)
+    df = numbered(tail(bars, max(gate, n + 1)))
     pivot, middle = (lag("high") + lag("low") + lag("close")) / 3, (lag("high") + lag("low")) / 2
     df = df.withColumn("pivot_point", pivot).withColumn("bottom", F.least(middle, 2 * pivot - middle)).withColumn("top", F.greatest(middle, 2 * pivot - middle))
     df = df.withColumn("width", (c("top") - c("bottom")) / c("pivot_point") * 100).withColumn("widths", F.collect_list("width").over(rows(n)))
@@ -132,13 +133,13 @@ def central_pivot_range(bars: DataFrame, n: int = 60, gate: int = 61) -> DataFra
 
 def candle_confirmation(bars: DataFrame, gate: int = 20) -> DataFrame:
     """Colour of the last candle; setups that it would confirm are not defined."""
-    return latest(numbered(bars), gate).select("symbol", "date", colour().alias("candle"), F.lit(False).alias("setup"), F.lit(False).alias("confirmed"))
+    return latest(numbered(tail(bars, gate)), gate).select("symbol", "date", colour().alias("candle"), F.lit(False).alias("setup"), F.lit(False).alias("confirmed"))
 
 
 def squeeze(bars: DataFrame, n: int = 20, gate: int = 40) -> DataFrame:
     """Bollinger bands (population deviation) inside Keltner channels, release,
     and momentum: the fitted end of a line through close - middle."""
-    df = numbered(bars).withColumn("tr", true_range())
+    df = numbered(tail(bars, max(gate, 2 * n + 2))).withColumn("tr", true_range())
     df = df.withColumn("mean", sma("close", n)).withColumn("sd", rolling(F.stddev_pop("close"), "close", n)).withColumn("range", sma("tr", n))
     df = df.withColumn("on", 2 * c("sd") < 1.5 * c("range")).withColumn("off", 2 * c("sd") > 1.5 * c("range"))
     middle = (rolling(F.max("high"), "high", n) + rolling(F.min("low"), "low", n)) / 2
@@ -157,21 +158,21 @@ def squeeze(bars: DataFrame, n: int = 20, gate: int = 40) -> DataFrame:
 
 
 def ema50_rsi_pullback(bars: DataFrame, gate: int = 74) -> DataFrame:
-    df = numbered(with_indicators(bars)).withColumn("last_rsi", lag("rsi"))
+    df = numbered(with_indicators(bars, ["ema50", "rsi"], gate)).withColumn("last_rsi", lag("rsi"))
     df = latest(df, gate).withColumn("distance", (c("close") / c("ema50") - 1) * 100)
     above = c("close") > c("ema50")
     return df.select("symbol", "date", "close", r6("ema50").alias("ema50"), r6("rsi").alias("rsi"), r6("distance").alias("distance_percent"), F.when(above, "Bullish").otherwise("Bearish").alias("trend"), (c("rsi") > c("last_rsi")).alias("rsi_turning_up"), (above & (F.abs(c("distance")) <= 2)).alias("is_pullback"))
 
 
 def ema8_21_pullback(bars: DataFrame, gate: int = 31) -> DataFrame:
-    df = numbered(with_indicators(bars)).withColumn("gap", c("ema8") - c("ema21")).withColumn("last_gap", lag("gap"))
+    df = numbered(with_indicators(bars, ["ema8", "ema21"], gate)).withColumn("gap", c("ema8") - c("ema21")).withColumn("last_gap", lag("gap"))
     df = latest(df, gate)
     both = (c("close") > c("ema8")) & (c("close") > c("ema21"))
     return df.select("symbol", "date", r6("ema8").alias("ema8"), r6("ema21").alias("ema21"), ((c("gap") > 0) & (c("last_gap") <= 0)).alias("cross_up"), ((c("gap") < 0) & (c("last_gap") >= 0)).alias("cross_down"), F.when(c("gap") > 0, "Bullish").otherwise("Bearish").alias("trend"), both.alias("above_both"), (both & (F.abs((c("close") / c("ema8") - 1) * 100) <= 1.0)).alias("is_pullback"))
 
 
 def macd(bars: DataFrame, gate: int = 45) -> DataFrame:
-    df = numbered(with_indicators(bars)).withColumn("last_hist", lag("hist"))
+    df = numbered(with_indicators(bars, ["macd", "signal", "hist"], gate)).withColumn("last_hist", lag("hist"))
     return latest(df, gate).select(
         "symbol", "date", *[r6(x).alias(x) for x in ("macd", "signal", "hist")], ((c("hist") > 0) & (c("last_hist") <= 0)).alias("cross_up"), ((c("hist") < 0) & (c("last_hist") >= 0)).alias("cross_down"),
         F.when(c("macd") > c("signal"), "Bullish").otherwise("Bearish").alias("trend"),
@@ -180,7 +181,7 @@ def macd(bars: DataFrame, gate: int = 45) -> DataFrame:
 
 def triple_ma_pullback(bars: DataFrame, gate: int = 84) -> DataFrame:
     """SMA 20 of itself three times; entries and exits in ATRs off the 5-bar mean."""
-    df = numbered(with_indicators(bars)).withColumn("ma1", sma("close", 20))
+    df = numbered(with_indicators(bars, ["atr"], gate)).withColumn("ma1", sma("close", 20))
     df = df.withColumn("ma2", sma("ma1", 20)).withColumn("ma3", sma("ma2", 20)).withColumn("mean5", sma("close", 5))
     df = latest(df, gate).withColumn("entry", c("mean5") - c("atr")).withColumn("exit", c("mean5") + 0.5 * c("atr"))
     up = (c("ma1") > c("ma2")) & (c("ma2") > c("ma3")) & (c("close") > c("ma3"))
@@ -253,7 +254,7 @@ def swing_momentum(bars: DataFrame, index: str | None = None, gate: int = 69) ->
 
 def candlestick_patterns(bars: DataFrame, lookback: int = 120) -> DataFrame:
     """Patterns of one to three candles in the last bars (trend by ATR)."""
-    df = numbered(with_indicators(bars)).withColumn("body", F.abs(c("close") - c("open"))).withColumn("span", c("high") - c("low"))
+    df = numbered(with_indicators(bars, ["atr"], lookback + 14)).withColumn("body", F.abs(c("close") - c("open"))).withColumn("span", c("high") - c("low"))
     df = df.withColumn("upper", c("high") - F.greatest("open", "close")).withColumn("lower", F.least("open", "close") - c("low"))
     df = df.withColumn("move", lag("close") - lag("close", 6)).withColumn("one_atr", lag("atr")).withColumn("usual", sma("body", 10, 1))
     df = df.withColumn("up", c("move") >= c("one_atr")).withColumn("down", c("move") <= -c("one_atr"))

@@ -171,7 +171,7 @@ def _stamp(*names: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def _averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = st.run_to_memory(st.running_average(st.event_stream(spark, sf_dir)), f"averages_{uuid.uuid4().hex}")
+    out = st.run_to_memory(st.running_average(st.event_stream(spark, sf_dir)), f"averages_{uuid.uuid4().hex}", shared_dir(spark))
     return out.select("symbol", F.round("average", 6).alias("average"), "n")
 
 
@@ -184,10 +184,17 @@ def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = spark.createDataFrame([(a, b) for a in (1.5, 2.0, 2.5, 3.0) for b in (1.0, 1.5, 2.0, 3.0)], "stop double, target double")
+    settings = spark.createDataFrame([(a, b) for a in m.STOPS for b in m.TARGETS], "stop double, target double")
     return m.band_backtest(bars(spark, sf_dir), settings)
 
 
+def _rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two portfolios of three symbols each."""
+    rows = [("first", "AF", "NO", "RF"), ("second", "RF", "AF", "NO")]
+    named = spark.createDataFrame(rows, "portfolio string, risky string, hedge string, shelter string")
+    return m.rotation_backtests(bars(spark, sf_dir), named)
+
+
 QUERIES: dict[str, Query] = {
     "bars_daily": lambda spark, d: bars(spark, d),
     "bars_stock_daily": lambda spark, d: bars_stock(spark, d).drop("adjusted_close"),
@@ -241,7 +248,7 @@ QUERIES: dict[str, Query] = {
     "evar_risk": on_bars(q.evar_risk),
     "momentum_reversal": on_bars(q.momentum_reversal),
     "avalanches": lambda spark, d: q.avalanches(bars(spark, d)).withColumn("size", F.round("size", 6)),
-    "soc_avalanche": on_bars(q.avalanche_power_law, at_least=5),
+    "soc_avalanche": on_bars(q.avalanche_power_law),
     "wavelet_trend": on_bars(q.wavelet_trend),
     "crash_warning": on_bars(q.crash_warning),
     "crash_validation": on_bars(q.crash_validation),
@@ -267,7 +274,7 @@ QUERIES: dict[str, Query] = {
     "volatility_harvesting": on_bars(p.harvest_path, weights=MIX, frequency="quarter", cost=0.001),
     "vol_harvest_frequency_grid": on_bars(p.frequency_grid, weights=MIX),
     "vol_harvest_cost_grid": on_bars(p.cost_grid, weights=MIX),
-    "covariances": on_bars(p.covariances, symbols=list(MIX)),
+    "covariances": lambda spark, d: p.covariances(bars(spark, d), list(MIX)).withColumns({x: F.round(x, 6) for x in ("covariance", "mean_a")}),
     "canslim_etf": on_bars(sc.canslim_etf),
     "relative_strength_rank": lambda spark, d: sc.relative_strength(bars_stock(spark, d)),
     "market_direction": lambda spark, d: sc.market_direction(bars_stock(spark, d), "Brand#1"),
@@ -294,10 +301,13 @@ QUERIES: dict[str, Query] = {
     "garch_fit": on_bars(m.garch),
     "first_passage_time": on_bars(m.first_passage),
     "ema_bollinger_atr_backtest": _grid,
-    "rotation_backtest": on_bars(m.rotation_backtest, risky="AF", hedge="NO", shelter="RF"),
+    "ema_bollinger_atr_trades": on_bars(m.band_trades),
+    "rotation_backtest": _rotations,
+    "rotation_summary": lambda spark, d: m.rotation_summary(_rotations(spark, d)),
     "randomized_simulation": on_bars(m.random_portfolios, symbol="NO"),
     "simulation_summary": lambda spark, d: m.simulation_summary(m.random_portfolios(bars(spark, d), "NO")),
     "portfolio_optimization": on_bars(m.optimize, symbols=list(MIX)),
+    "portfolio_statistics": on_bars(m.portfolio_statistics, symbols=list(MIX)),
     "market_regime": lambda spark, d: m.market_regime(k.standardized(features(spark, d))),
     "stream_hourly_ohlcv": _streamed(st.hourly_bars, _stamp("ts")),
     "stream_dedup_ingest": _streamed(st.unique_events, lambda df: df.select("event_id", "user_id", "event_type", "value")),

@@ -14,12 +14,12 @@ MONTHS = f"""ends_m AS (SELECT symbol, year(date) * 12 + month(date) - 1 AS m, a
         FROM spine s LEFT JOIN e1 USING (symbol, m)),
     e3 AS (SELECT *, CASE WHEN p IS NULL THEN 'missing' WHEN before IS NULL THEN 'no_base' WHEN before_m <> m - 1 THEN 'prior_month_missing' WHEN is_last AND NOT whole THEN 'partial_month' ELSE 'ok' END AS status FROM e2),
     months AS (SELECT symbol, m, status, CASE WHEN status IN ('ok', 'partial_month') THEN p / before - 1 END AS r FROM e3)"""
-YEARS = f"""ends_y AS (SELECT symbol, year(date) AS year, arg_max(adjusted_close, date) AS p FROM bars GROUP BY ALL),
+YEARS = f"""ends_y AS (SELECT symbol, year(date) AS year, arg_max(adjusted_close, date) AS p, max(date) AS last FROM bars GROUP BY ALL),
     y1 AS (SELECT *, lag(p) OVER v AS before, lag(year) OVER v AS before_year FROM ends_y WINDOW v AS (PARTITION BY symbol ORDER BY year)),
     grid AS (SELECT * FROM (SELECT DISTINCT symbol FROM ends_y) CROSS JOIN (SELECT DISTINCT year FROM ends_y)),
-    y2 AS (SELECT g.symbol, g.year, p, before, before_year, min(CASE WHEN p IS NOT NULL THEN g.year END) OVER (PARTITION BY g.symbol) AS f FROM grid g LEFT JOIN y1 USING (symbol, year)),
+    y2 AS (SELECT g.symbol, g.year, p, last, make_date(g.year::INTEGER, 12, 31) AS fin, before, before_year, min(CASE WHEN p IS NOT NULL THEN g.year END) OVER (PARTITION BY g.symbol) AS f FROM grid g LEFT JOIN y1 USING (symbol, year)),
     y3 AS (SELECT *, CASE WHEN p IS NULL THEN CASE WHEN year < f THEN 'not_listed' ELSE 'missing' END WHEN before IS NULL THEN 'no_base' WHEN before_year <> year - 1 THEN 'prior_year_missing'
-        WHEN make_date(year::INTEGER, 12, 31) >= DATE '{AS_OF}' THEN 'partial' ELSE 'complete' END AS status FROM y2),
+        WHEN fin >= DATE '{AS_OF}' OR last < fin - CASE isodow(fin) WHEN 7 THEN 2 WHEN 6 THEN 1 ELSE 0 END::INTEGER - 4 THEN 'partial' ELSE 'complete' END AS status FROM y2),
     cells AS (SELECT symbol, year, status, CASE WHEN status IN ('complete', 'partial') THEN p / before - 1 END AS r FROM y3)"""
 WEEKS = "weeks AS (SELECT symbol, CAST(date + (12 - isodow(date))::INTEGER % 7 AS DATE) AS date, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM bars GROUP BY ALL)"
 _NAMES = ["rsi", "macd_hist", "ppo", "cmf", "percent_b", "volatility", "downside", "scaled_return", "adx"]
@@ -82,7 +82,7 @@ ORACLES = {
     ),
     "corporate_action_warnings": steps(
         f"a AS (SELECT *, adjusted_close / close AS ratio, abs(adjusted_close / close / ({lag('adjusted_close')} / {lag('close')}) - 1) AS jump FROM numbered {W})",
-        "SELECT symbol, count_if(jump > 0.04)::BIGINT AS jumps, round(max(jump) * 100, 6) AS largest_percent, max(ratio) - min(ratio) <= 1e-4 AND max(date) - min(date) > 730 AS constant_ratio FROM a GROUP BY symbol",
+        "SELECT symbol, count_if(jump > 0.2::DOUBLE)::BIGINT AS jumps, round(max(jump) * 100, 6) AS largest_percent, max(ratio) - min(ratio) < 1e-9 AND max(date) - min(date) > 730 AS constant_ratio FROM a GROUP BY symbol HAVING count(*) >= 3",
     ),
     "tlt_cycle": steps(
         "l AS (SELECT symbol, date, list_filter(list_transform(range(0, day(last_day(date))), lambda k: CAST(date_trunc('month', date) AS DATE) + k::INTEGER), lambda d: isodow(d) < 6) AS days, list_min(list_filter(list_transform(range(1, 8), lambda k: last_day(date) + k::INTEGER), lambda d: isodow(d) < 6)) AS nxt FROM numbered WHERE is_last AND i >= 5)",

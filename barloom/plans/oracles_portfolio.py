@@ -46,10 +46,10 @@ RS = "rs AS (SELECT symbol, ret, row_number() OVER (ORDER BY ret DESC, symbol) A
 EPS = f"eps AS (SELECT symbol, y AS year, {EPS_SQL} AS eps FROM (SELECT p_brand AS symbol, CAST(sum(p_size) AS BIGINT) AS s FROM part GROUP BY p_brand) CROSS JOIN range(1997, 2002) t(y))"
 GROWTH = """gk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS k FROM eps WHERE eps IS NOT NULL),
     gg AS (SELECT symbol, count(*) AS years, arg_min(eps, year) AS f, arg_max(eps, year) AS l, max(year) - min(year) AS span FROM gk WHERE k <= 5 GROUP BY symbol),
-    eps_growth AS (SELECT symbol, years, CASE WHEN years >= 3 AND f > 0 THEN l / f - 1 END AS growth, CASE WHEN years >= 3 AND f > 0 AND l > 0 THEN pow(l / f, 1.0::DOUBLE / span) - 1 END AS cagr FROM gg)"""
+    eps_growth AS (SELECT symbol, years, f, CASE WHEN years >= 3 AND f > 0 THEN l / f - 1 END AS growth, CASE WHEN years >= 3 AND f > 0 AND l > 0 THEN pow(l / f, 1.0::DOUBLE / span) - 1 END AS cagr FROM gg)"""
 _CRIT = {
     "c": ("eps_now IS NOT NULL AND eps_ago IS NOT NULL", "eps_ago > 0", "eps_now / eps_ago - 1 >= 0.25"),
-    "a": ("growth_ IS NOT NULL AND roe IS NOT NULL", "true", "growth_ >= 0.25 AND roe >= 0.17"),
+    "a": ("eps_years >= 3 AND roe IS NOT NULL", "eps_first > 0", "growth_ >= 0.25 AND roe >= 0.17"),
     "n": ("close IS NOT NULL", "true", "close / high >= 0.85"),
     "s": ("shares_float IS NOT NULL", "true", "shares_float < 25000000"),
     "l": ("percentile IS NOT NULL", "true", "percentile >= 80"),
@@ -60,9 +60,9 @@ _MEMBERS = "members AS (SELECT DISTINCT p_brand AS symbol FROM part UNION ALL SE
 _CANSLIM = [
     STOCK_NUMBERED, PRICES, RS, FUNDAMENTALS_SQL, EPS, GROWTH, _MEMBERS,
     "idx AS (SELECT close > sma200 AS up FROM pn WHERE symbol = 'Brand#1' AND is_last)",
-    "j AS (SELECT m.symbol, f.* EXCLUDE (symbol), p.close, p.high, r.percentile, g.growth AS growth_, (SELECT up FROM idx) AS up FROM members m LEFT JOIN facts f USING (symbol) LEFT JOIN price p USING (symbol) LEFT JOIN rsp r USING (symbol) LEFT JOIN eps_growth g USING (symbol))",
+    "j AS (SELECT m.symbol, f.* EXCLUDE (symbol), p.close, p.high, r.percentile, g.growth AS growth_, g.years AS eps_years, g.f AS eps_first, (SELECT up FROM idx) AS up FROM members m LEFT JOIN facts f USING (symbol) LEFT JOIN price p USING (symbol) LEFT JOIN rsp r USING (symbol) LEFT JOIN eps_growth g USING (symbol))",
     "k AS (SELECT symbol, sector, " + ", ".join(f"CASE WHEN NOT coalesce({known}, false) THEN 'UNAVAILABLE' WHEN NOT ({fits}) THEN 'NOT_APPLICABLE' WHEN {rule} THEN 'PASS' ELSE 'FAIL' END AS {x}" for x, (known, fits, rule) in _CRIT.items()) + " FROM j)",
-    "scan AS (SELECT *, " + ", ".join(f"CAST({' + '.join(f'({x} = {v!r})::INTEGER' for x in _CRIT)} AS BIGINT) AS {name}" for v, name in (("PASS", "passed"), ("UNAVAILABLE", "unavailable"))) + " FROM k)",
+    "scan AS (SELECT *, " + ", ".join(f"CAST({' + '.join(f'({x} IN {v})::INTEGER' for x in _CRIT)} AS BIGINT) AS {name}" for v, name in (("('PASS')", "passed"), ("('UNAVAILABLE', 'NOT_APPLICABLE')", "unavailable"))) + " FROM k)",
 ]
 PAYS = """mon AS (SELECT symbol, max(date) AS ex_date, arg_max(close, date) AS close FROM bars GROUP BY symbol, date_trunc('month', date)),
     pays AS (SELECT symbol, ex_date, CAST(floor(close) / 100.0 AS DOUBLE) AS amount, month(ex_date) = 6 AND year(ex_date) % 3 = 0 AS is_special FROM mon WHERE month(ex_date) % 3 = 0)"""
@@ -76,13 +76,18 @@ GROWTHS = """g1 AS (SELECT *, CASE WHEN lag(total) OVER v > 0 THEN (total / lag(
     grows AS (SELECT symbol, year, round(change, 6) AS change_percent, CASE WHEN change > 0.5 THEN 'Positive' WHEN change < -0.5 THEN 'Negative' WHEN change IS NOT NULL THEN 'Flat' END AS kind,
         round(CASE WHEN o3 > 0 AND total > 0 THEN (pow(total / o3, 1.0::DOUBLE / 3) - 1) * 100 END, 6) AS cagr3, round(CASE WHEN o5 > 0 AND total > 0 THEN (pow(total / o5, 1.0::DOUBLE / 5) - 1) * 100 END, 6) AS cagr5,
         CAST(sum(CASE WHEN change > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, isle ORDER BY year) AS BIGINT) AS increases FROM g2)"""
-TREND = """tk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS k FROM grows WHERE change_percent IS NOT NULL),
-    trends AS (SELECT symbol, count(*) AS changes, count_if(kind = 'Positive')::BIGINT AS up, count_if(kind = 'Negative')::BIGINT AS down,
-        CASE WHEN count_if(kind = 'Negative') = 0 THEN CASE WHEN count_if(kind = 'Positive') > 0 THEN 'Increasing' ELSE 'Stable' END WHEN count_if(kind = 'Positive') = 0 THEN 'Decreasing' ELSE 'Irregular' END AS trend FROM tk WHERE k <= 5 GROUP BY symbol)"""
+TREND = """t1 AS (SELECT *, coalesce(n = modal, false) AS usual FROM annual LEFT JOIN modal USING (symbol)),
+    t2 AS (SELECT *, lag(total) OVER v AS before, lag(usual) OVER v AS usual1, lag(n) OVER v AS n1 FROM t1 WINDOW v AS (PARTITION BY symbol ORDER BY year)),
+    t3 AS (SELECT *, (total / before - 1) * 100 AS change, before > 0 AND (usual AND usual1 OR n = 0 AND n1 > 0) AS usable FROM t2),
+    t4 AS (SELECT *, row_number() OVER v AS nth, CASE WHEN usable THEN count_if(usable) OVER v END AS kth FROM t3 WINDOW v AS (PARTITION BY symbol ORDER BY year DESC)),
+    t5 AS (SELECT symbol, count_if(n > 0) AS paying, count_if(kth <= 5)::BIGINT AS changes, count_if(kth <= 5 AND change > 0.5)::BIGINT AS up, count_if(kth <= 5 AND change < -0.5)::BIGINT AS down,
+        avg(CASE WHEN usual THEN 0 ELSE 1 END) FILTER (WHERE nth <= 6) AS unusual FROM t4 GROUP BY symbol),
+    trends AS (SELECT symbol, changes, up, down, CASE WHEN paying < 3 THEN 'Insufficient History' WHEN unusual >= 0.5 THEN 'Irregular' WHEN changes < 2 THEN 'Insufficient History'
+        WHEN down = 0 THEN CASE WHEN up >= 0.6 * changes THEN 'Increasing' ELSE 'Stable' END WHEN up = 0 THEN 'Decreasing' ELSE 'Irregular' END AS trend FROM t5)"""
 CUTS = """c1 AS (SELECT *, lag(amount) OVER v AS before, ex_date - lag(ex_date) OVER v AS gap, least(lead(amount, 1) OVER v, lead(amount, 2) OVER v) AS nxt FROM pays WHERE NOT is_special WINDOW v AS (PARTITION BY symbol ORDER BY ex_date)),
     cuts AS (SELECT symbol, ex_date, before, amount, round((amount / before - 1) * 100, 6) AS change_percent, coalesce(nxt <= 0.95::DOUBLE * before, false) AS confirmed FROM c1 WHERE gap <= 400 AND amount <= 0.9::DOUBLE * before)"""
 STATUS = f"""s1 AS (SELECT symbol, max(ex_date) FILTER (WHERE ex_date <= DATE '{AS_OF}') AS last, count_if(ex_date > DATE '{AS_OF}') AS upcoming FROM pays WHERE NOT is_special GROUP BY symbol),
-    s2 AS (SELECT *, CAST(DATE '{AS_OF}' - last AS BIGINT) AS days, 365.0::DOUBLE / modal AS expected FROM s1 LEFT JOIN modal USING (symbol)),
+    s2 AS (SELECT *, CAST(DATE '{AS_OF}' - last AS BIGINT) AS days, CASE modal WHEN 12 THEN 30.4::DOUBLE WHEN 4 THEN 91.3::DOUBLE WHEN 2 THEN 182.6::DOUBLE WHEN 1 THEN 365.2::DOUBLE ELSE 365.2::DOUBLE / modal END AS expected FROM s1 LEFT JOIN modal USING (symbol)),
     statuses AS (SELECT symbol, last, days, round(expected, 6) AS expected_days, CASE WHEN upcoming > 0 THEN 'declared' WHEN days > greatest(2 * expected, expected + 90) THEN 'suspended' WHEN days > 1.35::DOUBLE * expected + 15 THEN 'delayed' ELSE 'on time' END AS status FROM s2)"""
 PAYOUT = """feps AS (SELECT symbol, year(date) AS year, CAST(floor(max(close)) / 50.0 AS DOUBLE) AS eps FROM bars GROUP BY ALL),
     po AS (SELECT e.symbol, e.year, CASE WHEN e.eps > 0 THEN coalesce(p.paid, 0) / e.eps * 100 END AS ratio FROM feps e LEFT JOIN (SELECT symbol, year(ex_date) AS year, sum(amount) AS paid FROM pays GROUP BY ALL) p USING (symbol, year)),
@@ -126,7 +131,7 @@ ORACLES = {
     "relative_strength_rank": steps(PRICES, RS, "SELECT symbol, round(ret, 6) AS ret, rank, percentile FROM rsp", base=STOCK_NUMBERED),
     "market_direction": steps(f"a AS (SELECT *, {sma('close', 200)} AS s FROM numbered WHERE symbol = 'Brand#1')", "SELECT symbol, date, close, round(s, 6) AS sma200, close > s AS confirmed_up FROM a WHERE is_last", base=STOCK_NUMBERED),
     "annual_eps_growth": _with(EPS, GROWTH, "SELECT symbol, years, round(growth, 6) AS growth, round(cagr, 6) AS cagr FROM eps_growth"),
-    "canslim_stock": steps(*_CANSLIM[1:], "SELECT *, CASE WHEN unavailable = 0 THEN 'COMPLETE' WHEN unavailable <= 3 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS quality, passed >= 5 AS qualifies FROM scan", base=STOCK_NUMBERED),
+    "canslim_stock": steps(*_CANSLIM[1:], "SELECT *, CASE WHEN unavailable = 0 THEN 'COMPLETE' WHEN unavailable < 7 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS quality, passed >= 5 AS qualifies FROM scan", base=STOCK_NUMBERED),
     "canslim_page": steps(*_CANSLIM[1:], "SELECT symbol, passed, count(*) OVER () AS total FROM scan WHERE passed >= 2 ORDER BY passed DESC, symbol LIMIT 10 OFFSET 5", base=STOCK_NUMBERED),
     "magic_formula": _with(
         FUNDAMENTALS_SQL, "a AS (SELECT *, coalesce(enterprise_value, market_cap + total_debt - total_cash) AS ev, CASE WHEN net_ppe >= 0 THEN current_assets - cash - (current_liabilities - current_debt) + net_ppe END AS cap FROM facts)",

@@ -23,7 +23,7 @@ CRASH = [
     f"c3 AS (SELECT *, max(cr) OVER {_w(10)} = 1 AS crossed, CASE WHEN close = max(close) OVER {_AROUND} AND count(close) OVER {_AROUND} = 11 AND rsi IS NOT NULL THEN {{'i': i, 'close': close, 'rsi': rsi}} END AS swing, CASE WHEN count(close) OVER {_w(252)} >= 60 THEN max(close) OVER {_w(252)} END AS high252 FROM c2)",
     "c3b AS (SELECT *, list_filter(list(swing) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 59 PRECEDING AND 5 PRECEDING), lambda x: x IS NOT NULL) AS swings FROM c3)",
     "c3d AS (SELECT *, swings[-1] AS new, list_filter(swings, lambda x: swings[-1].i - x.i >= 5)[-1] AS old FROM c3b)",
-    "c4 AS (SELECT *, " + ", ".join(f"coalesce({_USABLE} AND {rule}, false) AS {name}" for name, rule in _FLAGS.items()) + " FROM c3d)",
+    "c4 AS (SELECT *, " + ", ".join(f"coalesce({_USABLE} AND {rule}, false) AS {name}" for name, rule in _FLAGS.items()) + f", {_USABLE} AS usable FROM c3d)",
     "crash AS (SELECT *, CAST(" + " + ".join(f"{x}::BIGINT" for x in _FLAGS) + " AS BIGINT) AS flags, (close / high252 - 1) * 100 AS drawdown FROM c4)",
 ]
 
@@ -66,11 +66,11 @@ ORACLES = {
         f"a AS (SELECT *, (1 - close / max(close) OVER w) * 100 AS fall FROM numbered {W})",
         f"b AS (SELECT *, sum(CASE WHEN fall = 0 THEN 1 ELSE 0 END) OVER w AS run FROM a {W})",
         "s AS (SELECT symbol, log10(max(fall)) AS x FROM b WHERE fall > 0 GROUP BY symbol, run)",
-        "e AS (SELECT symbol, min(x) AS lo, max(x) AS hi, count(*) AS n FROM s GROUP BY symbol HAVING count(*) >= 5 AND max(x) > min(x))",
+        "e AS (SELECT symbol, min(x) AS lo, max(x) AS hi, count(*) AS n FROM s GROUP BY symbol HAVING count(*) >= 15 AND max(x) > min(x))",
         "k AS (SELECT symbol, least(CAST(floor((x - lo) / ((hi - lo) / 12)) AS BIGINT), 11) AS bin, lo, hi, n, count(*) AS k FROM s JOIN e USING (symbol) GROUP BY ALL)",
         "p AS (SELECT *, pow(10.0::DOUBLE, lo + bin * ((hi - lo) / 12)) AS l, pow(10.0::DOUBLE, lo + (bin + 1) * ((hi - lo) / 12)) AS h FROM k)",
         "g AS (SELECT symbol, n, count(*) AS bins, regr_slope(log10(k / (h - l)), (log10(l) + log10(h)) / 2) AS slope, regr_r2(log10(k / (h - l)), (log10(l) + log10(h)) / 2) AS r2 FROM p GROUP BY symbol, n HAVING count(*) >= 3)",
-        "SELECT symbol, n AS avalanches, bins, round(-slope, 6) AS alpha, round(r2, 6) AS r_squared, CASE WHEN -slope >= 2.8 THEN 'Gaussian' WHEN -slope >= 1.8 THEN 'Transitional' WHEN -slope >= 1.0 THEN 'Critical' ELSE 'Super-critical' END AS regime FROM g",
+        "SELECT symbol, n AS avalanches, bins, round(-slope, 6) AS alpha, round(r2, 6) AS r_squared, CASE WHEN -slope >= 2.8 THEN 'Gaussian' WHEN -slope >= 1.8 THEN 'Transitional' WHEN -slope >= 1.0 THEN 'Critical' ELSE 'Super-critical' END AS regime, round(dd, 6) AS drawdown_percent FROM g JOIN (SELECT symbol, (arg_max(close, date) / max(close) - 1) * 100 AS dd FROM numbered GROUP BY symbol HAVING count(close) >= 300) USING (symbol)",
     ),
     "wavelet_trend": steps(
         _LOG,
@@ -86,11 +86,18 @@ ORACLES = {
     ),
     "crash_validation": steps(
         *CRASH,
-        f"a AS (SELECT *, min(close) OVER {_AHEAD.format(n=20)} <= close * 0.9::DOUBLE AS label FROM crash)",
-        "b AS (SELECT *, CASE WHEN i <= floor(n * 0.6) - 20 THEN 'train' WHEN i > floor(n * 0.6) THEN 'test' END AS segment, flags >= 3 AS warn FROM a WHERE i + 20 <= n)",
-        "g AS (SELECT symbol, segment, count_if(warn AND label)::BIGINT AS tp, count_if(warn AND NOT label)::BIGINT AS fp, count_if(NOT warn AND label)::BIGINT AS fn, count_if(NOT warn AND NOT label)::BIGINT AS tn FROM b WHERE segment IS NOT NULL GROUP BY ALL)",
-        """SELECT *, CASE WHEN tp + fp > 0 THEN round(tp::DOUBLE / (tp + fp), 6) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp::DOUBLE / (tp + fn), 6) END AS recall,
-        CASE WHEN fp + tn > 0 THEN round(fp::DOUBLE / (fp + tn), 6) END AS false_rate FROM g""",
+        f"a0 AS (SELECT *, coalesce({', '.join(f'CASE WHEN lead(close, {k}) OVER w <= close * 0.9::DOUBLE THEN {k} END' for k in range(1, 21))}) AS breach FROM crash {W})",
+        "a1 AS (SELECT *, breach IS NOT NULL AS label, flags >= 3 AS warn, CASE WHEN usable AND i + 20 <= n THEN i END AS fit FROM a0)",
+        "a2 AS (SELECT *, min(fit) OVER (PARTITION BY symbol) AS a, max(fit) OVER (PARTITION BY symbol) AS z, count(fit) OVER (PARTITION BY symbol) AS fits FROM a1)",
+        "a3 AS (SELECT *, a + floor((z - a + 1) * 0.6) AS cut FROM a2 WHERE fits >= 100 AND i BETWEEN a AND z)",
+        "b AS (SELECT *, CASE WHEN i < greatest(a + 1, cut - 20) THEN 'train' WHEN i >= cut THEN 'test' END AS segment FROM a3)",
+        "d AS (SELECT *, sum(CASE WHEN label THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, segment ORDER BY i) AS run FROM b WHERE segment IS NOT NULL)",
+        "e AS (SELECT symbol, segment, run, bool_or(warn) AS hit, arg_min(breach, i) FILTER (WHERE warn) AS ld FROM d WHERE label GROUP BY ALL)",
+        "f AS (SELECT symbol, segment, count(*) AS episodes, count_if(hit)::BIGINT AS detected, median(ld) FILTER (WHERE hit) AS median_lead FROM e GROUP BY ALL)",
+        """g AS (SELECT symbol, segment, count_if(warn AND label)::BIGINT AS tp, count_if(warn AND NOT label)::BIGINT AS fp, count_if(NOT warn AND label)::BIGINT AS fn, count_if(NOT warn AND NOT label)::BIGINT AS tn,
+            count_if(below_sma200 AND label)::BIGINT AS base_tp, count_if(below_sma200 AND NOT label)::BIGINT AS base_fp FROM d GROUP BY ALL)""",
+        """SELECT g.*, coalesce(episodes, 0) AS episodes, coalesce(detected, 0) AS detected, median_lead, CASE WHEN tp + fp > 0 THEN round(tp::DOUBLE / (tp + fp), 6) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp::DOUBLE / (tp + fn), 6) END AS recall,
+        CASE WHEN fp + tn > 0 THEN round(fp::DOUBLE / (fp + tn), 6) END AS false_rate, CASE WHEN base_tp + base_fp > 0 THEN round(base_tp::DOUBLE / (base_tp + base_fp), 6) END AS base_precision FROM g LEFT JOIN f USING (symbol, segment)""",
         recursive=True,
     ),
     "acf_squared_returns": steps(
@@ -104,7 +111,7 @@ ORACLES = {
         _LOG, _LR,
         f"""a AS (SELECT *, stddev_samp(r) OVER (PARTITION BY symbol) AS lim, lead(r2) OVER w AS nxt,
             CASE WHEN count(r2) OVER {_AHEAD.format(n=5)} = 5 THEN avg(r2) OVER {_AHEAD.format(n=5)} END AS ahead FROM l {W})""",
-        "b AS (SELECT *, CASE WHEN r <= -lim THEN 'negative' WHEN r >= lim THEN 'positive' ELSE 'quiet' END AS kind FROM a)",
+        "b AS (SELECT *, CASE WHEN r < -lim THEN 'negative' WHEN r > lim THEN 'positive' ELSE 'quiet' END AS kind FROM a)",
         """SELECT symbol, kind, count(*) AS n, round(avg(r) * 100, 6) AS mean_percent, round(sqrt(avg(nxt) * 252) * 100, 6) AS next_vol,
         round(sqrt(avg(ahead) * 252) * 100, 6) AS forward_vol, count(*) >= 10 AS sufficient FROM b GROUP BY symbol, kind""",
     ),

@@ -3,14 +3,22 @@
 A bar has one row for each symbol and date: ``symbol, date, open, high, low,
 close, adjusted_close, volume``.  Prices have two decimals, so sums of them are
 exact enough to compare across engines.
+
+Bars are made once for each version of the trades and kept as a table in buckets
+of the symbol, each one file in date order: work by symbol then needs neither a
+shuffle nor a sort.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.sources.scratch import shared_dir
+
 BAR = T.StructType(
     [T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType())]
     + [T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "adjusted_close")]
@@ -20,7 +28,7 @@ DIVIDEND = "symbol string, ex_date date, payment_date date, declaration_date dat
 FUNDAMENTALS = "symbol string, annual_eps array<struct<year:int,eps:double>>, return_on_equity double, shares_float double, institutional_holders int, percent_institutions double"
 
 #: Closes before this date are adjusted by this factor.
-SPLIT_DATE, SPLIT_FACTOR = "1998-06-01", 0.95
+SPLIT_DATE, SPLIT_FACTOR = "1998-06-01", 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +52,41 @@ def cents(amount: Column) -> Column:
     return (10000 + F.floor(amount)) / 100.0
 
 
+#: Tables of bars that this process has made, by application, source and version.
+_STORE: dict[tuple, str] = {}
+
+
+def _version(spark: SparkSession, path: str) -> tuple:
+    """Time and size of a file, or of a folder's files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    listed = files.listStatus(where)
+    return tuple(sorted((x.getPath().getName(), x.getModificationTime(), x.getLen()) for x in listed))
+
+
+def stored(spark: SparkSession, name: str, sources: list[str], make) -> DataFrame:
+    """The bars that ``make()`` gives, from a bucketed table if ``sources`` are
+    what they were when it was written."""
+    key = (spark.conf.get("spark.app.id"), name, *sources, *(_version(spark, x) for x in sources))
+    if key not in _STORE or not spark.catalog.tableExists(_STORE[key]):
+        made, n = f"barloom_{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = make().repartition(n, "symbol").write.format("parquet").bucketBy(n, "symbol").sortBy("symbol", "date")
+        writer.option("path", f"{shared_dir(spark)}/{made}").saveAsTable(made)
+        _STORE[key] = made
+    # one file a bucket: the scan may tell Spark that its rows are sorted
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    return spark.table(_STORE[key])
+
+
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the six return-flag and line-status symbols (the fund universe)."""
+    return stored(spark, "bars", [f"{sf_dir}/lineitem.parquet"], lambda: _fund_bars(spark, sf_dir))
+
+
+def _fund_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     trades = t.select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.to_date("l_shipdate").alias("date"), cents(F.col("l_extendedprice") / 10).alias("price"), F.col("l_quantity").alias("quantity"), F.struct(*LINE_KEY).alias("k"))
     return _bars(trades, F.col("k"))
@@ -56,6 +94,10 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the part brands (the stock universe)."""
+    return stored(spark, "stocks", [f"{sf_dir}/{x}.parquet" for x in ("lineitem", "part")], lambda: _stock_bars(spark, sf_dir))
+
+
+def _stock_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     brand = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
     trades = t.join(brand, "l_partkey").select("symbol", F.to_date("l_shipdate").alias("date"), cents(F.col("l_extendedprice") / 10).alias("price"), F.col("l_quantity").alias("quantity"), F.struct(*LINE_KEY).alias("k"))

@@ -15,8 +15,20 @@ from barloom.sources.bars import cents
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(EVENT).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the table ``name`` in ``folder``, a file or a folder of files.
+
+    Without ``files_per_batch`` the files that are there make one batch, so that
+    a watermark drops none of them whatever order their events are in.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    reader = spark.readStream.schema(EVENT)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if files.getFileStatus(where).isDirectory():
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def hourly_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -63,9 +75,10 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_to_memory(stream: DataFrame, name: str) -> DataFrame:
-    """Take in all there is in update mode; for a few rows of running state."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
+def run_to_memory(stream: DataFrame, name: str, folder: str) -> DataFrame:
+    """Take in all there is in update mode, with the state in ``folder``; for a few
+    rows of running state."""
+    q = stream.writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/{name}").start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
 
