@@ -63,9 +63,10 @@ def word_count(text) -> F.Column:
 def left_lookup(docs: DataFrame, found: DataFrame, also: list[str] | None = None) -> DataFrame:
     """``docs`` left-joined with ``found`` on doc_id (and the columns ``also``);
     rows without an id match nothing and are spread over all tasks."""
-    lone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long"))
+    none = F.col("doc_id") % 1  # zero, but no constant that the planner would take out of the join's keys
+    lone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() + 1).otherwise(none)
     left = docs.withColumn("__lone", lone).withColumn("__id", F.coalesce("doc_id", F.lit(0).cast("long")))
-    right = found.withColumnRenamed("doc_id", "__id").withColumn("__lone", F.lit(0).cast("long"))
+    right = found.withColumn("__lone", none).withColumnRenamed("doc_id", "__id")
     return left.join(right, ["__id", "__lone", *(also or [])], "left").drop("__id", "__lone")
 
 

@@ -5,7 +5,8 @@ side by side at any size of the input.  In a shard, pieces go from long to
 short into the open bin that they fill best.  Where none has room a bin is
 opened, of the length whose cost for each token put in is least when the pieces
 still to come fill it greedily.  At the end each bin shrinks to the shortest
-permitted length that holds its contents.
+permitted length that holds its contents.  A shard for which bins of one length
+alone come out cheaper takes those.
 """
 
 from __future__ import annotations
@@ -55,9 +56,11 @@ class _Left:
             end = i
 
 
-def pack(lengths: list[int], permitted: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """Bins, places and capacities for pieces sorted from long to short."""
+def pack(lengths: list[int], permitted: tuple[int, ...] = LENGTHS, opening: tuple[int, ...] | None = None) -> tuple[list[int], list[int], list[int]]:
+    """Bins, places and capacities for pieces sorted from long to short; bins are
+    opened in the lengths ``opening`` (all that are permitted)."""
     permitted, left = tuple(sorted(permitted)), _Left(lengths)
+    opening = permitted if opening is None else opening
     open_bins: list[tuple[int, int]] = []  # room, bin
     used, bins, places = [], [], []
     for x in lengths:
@@ -66,7 +69,7 @@ def pack(lengths: list[int], permitted: tuple[int, ...] = LENGTHS) -> tuple[list
         if i < len(open_bins):
             room, b = open_bins.pop(i)
         else:
-            costs = [(bin_cost(c, permitted[-1]) / (x + left.fill(c - x)), c) for c in permitted if c >= x]
+            costs = [(bin_cost(c, permitted[-1]) / (x + left.fill(c - x)), c) for c in opening if c >= x]
             room, b = min(costs)[1], len(used)
             used.append(0)
         bins.append(b)
@@ -78,6 +81,18 @@ def pack(lengths: list[int], permitted: tuple[int, ...] = LENGTHS) -> tuple[list
     return bins, places, [shrunk[b] for b in bins]
 
 
+def cheapest(lengths: list[int], permitted: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
+    """The cheapest of packing with all lengths chosen as bins are opened and of
+    opening bins of one length alone."""
+    longest = max(permitted)
+    found = []
+    for opening in (None, *((c,) for c in permitted if lengths and c >= lengths[0])):
+        bins, places, caps = pack(lengths, permitted, opening)
+        cost = sum(bin_cost(c, longest) for c in dict(zip(bins, caps)).values())
+        found.append((cost, len(found), (bins, places, caps)))
+    return min(found)[2]
+
+
 def best_fit_packing(items: DataFrame, permitted: tuple[int, ...] = LENGTHS, in_shard: int = IN_SHARD) -> DataFrame:
     """``doc_id, length`` -> ``doc_id, piece, length, bin, capacity, place``.
 
@@ -101,7 +116,7 @@ def best_fit_packing(items: DataFrame, permitted: tuple[int, ...] = LENGTHS, in_
     def job(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         some = rows[rows.length > 0]
-        bins, places, caps = pack(some.length.tolist(), permitted)
+        bins, places, caps = cheapest(some.length.tolist(), permitted)
         out = rows[["doc_id", "piece", "length"]].copy()
         out["bin"] = pd.array([key[0] * 2**32 + b for b in bins] + [None] * (len(rows) - len(some)), "Int64")
         out["capacity"] = pd.array(caps + [None] * (len(rows) - len(some)), "Int64")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as h
 
 from barloom.llm.mixing import mix_sources, source_targets, taken_words
-from barloom.llm.packing import LENGTHS, best_fit_packing, pack
+from barloom.llm.packing import LENGTHS, best_fit_packing, bin_cost, cheapest, pack
 
 from .cases import SCHEMA, documents
 
@@ -85,6 +86,47 @@ def test_bins_hold_their_pieces(lengths):
         assert parts[0][2] == min(c for c in permitted if c >= at)
 
 
+def naive(lengths, permitted):
+    """Every open bin and every length looked at, one piece at a time."""
+    bins, out = [], []  # a bin: room, used
+    for k, x in enumerate(lengths):
+        able = [(room, b) for b, (room, _) in enumerate(bins) if room >= x]
+        if able:
+            room, b = min(able)
+        else:
+            costs = []
+            for cap in (c for c in permitted if c >= x):
+                full, rest = x, sorted(lengths[k + 1 :], reverse=True)
+                for y in rest:  # the largest that fits, again and again
+                    full += y if full + y <= cap else 0
+                costs.append((bin_cost(cap, permitted[-1]) / full, cap))
+            room, b = min(costs)[1], len(bins)
+            bins.append((0, 0))
+        used = bins[b][1]
+        bins[b] = (room - x, used + x)
+        out.append((b, used))
+    caps = [min(c for c in permitted if c >= used) for _, used in bins]
+    return [b for b, _ in out], [at for _, at in out], [caps[b] for b, _ in out]
+
+
+@given(h.lists(h.integers(1, 300), max_size=40))
+def test_packs_like_a_naive_version(lengths):
+    lengths, permitted = sorted(lengths, reverse=True), (64, 100, 300)
+    assert pack(lengths, permitted) == naive(lengths, permitted)
+
+
+def test_lengths_chosen_together_cost_no_more_than_one():
+    rng = random.Random(3)
+    permitted = (512, 1024, 2048, 4096, 8192)
+    for high in (60, 500, 3000, 8000):
+        lengths = sorted((rng.randrange(1, high) for _ in range(400)), reverse=True)
+        total = lambda bins, caps: sum(bin_cost(c, 8192) for c in dict(zip(bins, caps)).values())
+        bins, _, caps = cheapest(lengths, permitted)
+        fixed = [len(set(pack(lengths, (c,))[0])) * bin_cost(c, 8192) for c in permitted if c >= high]
+        joint = pack(lengths, permitted)
+        assert total(bins, caps) <= min([*fixed, total(joint[0], joint[2])])
+
+
 def test_packing_keeps_every_token(spark):
     rows = [(i % 90 if i else None, n) for i, n in enumerate([0, 5, None, 8192, 8193, 40_000, 1, 1, 700, 700] * 30)]
     got = best_fit_packing(spark.createDataFrame(rows, "doc_id long, length long"), in_shard=64).collect()
