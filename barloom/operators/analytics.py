@@ -83,9 +83,10 @@ def risk_metrics(bars: DataFrame, benchmark: str) -> DataFrame:
     return own.join(beta, "symbol", "left").select("symbol", r6("vol").alias("volatility_percent"), r6("beta").alias("beta"), r6((c("mean") - RISK_FREE) / c("vol")).alias("sharpe"), score.cast("long").alias("risk_score"))
 
 
-def correlation_matrix(bars: DataFrame, at_least: int = 10) -> DataFrame:
-    """Correlation of returns for each pair a < b on their common dates."""
-    r = returns(bars)
+def correlation_matrix(bars: DataFrame, at_least: int = 10, symbols: list[str] | None = None) -> DataFrame:
+    """Correlation of returns for each pair a < b of ``symbols`` (all) on their
+    common dates; rows before aggregation are symbols squared for each date."""
+    r = returns(bars if symbols is None else bars.where(c("symbol").isin(symbols)))
     pairs = r.select("date", c("symbol").alias("a"), c("r").alias("x")).join(r.select("date", c("symbol").alias("b"), c("r").alias("y")), "date").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho")).select("a", "b", "n", r6(F.when(c("n") >= at_least, c("rho")).otherwise(0.0)).alias("correlation"))
 
@@ -132,6 +133,33 @@ def buy_and_hold_comparison(bars: DataFrame, one: str, split: dict[str, float],
     return df.select("date", r6(initial * c(one) / c(f"{one}_0")).alias("single_value"), r6(held).alias("split_value"))
 
 
+def details(bars: DataFrame, benchmark: str) -> DataFrame:
+    """One wide row a symbol: price and change, returns, risk and drawdown."""
+    out = snapshot(bars).select("symbol", "date", "price", "change", "change_percent")
+    for part in (performance_stats(bars), risk_metrics(bars, benchmark), max_drawdown(bars)):
+        out = out.join(part, "symbol")
+    return out
+
+
+def compare(bars: DataFrame, symbols: list[str], benchmark: str) -> DataFrame:
+    """The details of two to four symbols, each beside its correlations with the
+    others as ``symbol value`` in their order."""
+    if not 2 <= len(set(symbols)) <= 4:
+        raise ValueError("compare two to four different symbols")
+    rho = correlation_matrix(bars, symbols=symbols).select("a", "b", "correlation")
+    both = rho.unionByName(rho.select(c("b").alias("a"), c("a").alias("b"), "correlation"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("b", "correlation"))), lambda x: F.concat_ws(" ", x["b"], x["correlation"].cast("decimal(8,4)")))
+    lists = both.groupBy(c("a").alias("symbol")).agg(F.array_join(line, ", ").alias("correlations"))
+    wanted = bars.where(c("symbol").isin([*symbols, benchmark]))
+    return details(wanted, benchmark).where(c("symbol").isin(symbols)).join(lists, "symbol", "left")
+
+
+def listed(bars: DataFrame, tags: DataFrame, tag: str) -> DataFrame:
+    """Price and change of the symbols that carry a tag, in order of the symbol."""
+    some = tags.where(F.array_contains("tags", tag)).select("symbol", F.array_join(F.array_sort("tags"), ", ").alias("tags"))
+    return snapshot(bars).select("symbol", "price", "change_percent").join(some, "symbol").orderBy("symbol")
+
+
 def movers(bars: DataFrame) -> DataFrame:
     """Best and worst change of the last bar, and the mean change."""
     s = snapshot(bars)

@@ -54,19 +54,21 @@ def yields(pays: DataFrame, bars: DataFrame, as_of: str) -> DataFrame:
 
 
 def growth(table: DataFrame) -> DataFrame:
-    """Change on the year before, growth rates over 3 and 5 years, and the run of
-    increases, for each year."""
+    """Change on the year before, growth rates over 3, 5 and 10 years, and the runs
+    of increases and of years with payments, for each year."""
     by = Window.partitionBy("symbol").orderBy("year")
     df = table.withColumn("before", F.lag("total").over(by))
     df = df.withColumn("change", F.when(c("before") > 0, (c("total") / c("before") - 1) * 100))
-    for n in (3, 5):
+    for n in (3, 5, 10):
         old = F.lag("total", n).over(by)
         df = df.withColumn(f"cagr{n}", F.when((old > 0) & (c("total") > 0), (F.pow(c("total") / old, F.lit(1.0 / n)) - 1) * 100))
     df = df.withColumn("up", F.coalesce(c("change") > 0, F.lit(False)))
     df = df.withColumn("isle", F.sum(F.when(c("up"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     run = F.sum(F.when(c("up"), 1).otherwise(0)).over(Window.partitionBy("symbol", "isle").orderBy("year").rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("gap", F.sum(F.when(c("n") > 0, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    paid = F.sum(F.when(c("n") > 0, 1).otherwise(0)).over(Window.partitionBy("symbol", "gap").orderBy("year").rowsBetween(Window.unboundedPreceding, 0))
     kind = F.when(c("change") > 0.5, "Positive").when(c("change") < -0.5, "Negative").when(c("change").isNotNull(), "Flat")
-    return df.select("symbol", "year", r6("change").alias("change_percent"), kind.alias("kind"), r6("cagr3").alias("cagr3"), r6("cagr5").alias("cagr5"), run.cast("long").alias("increases"))
+    return df.select("symbol", "year", r6("change").alias("change_percent"), kind.alias("kind"), *[r6(f"cagr{n}").alias(f"cagr{n}") for n in (3, 5, 10)], run.cast("long").alias("increases"), paid.cast("long").alias("paying_years"))
 
 
 #: Share of changes that must be rises, with no fall, for a rising trend.
@@ -198,3 +200,15 @@ def cut_risk(pays: DataFrame, health: DataFrame, as_of: str) -> DataFrame:
         .otherwise("Few risk indicators")
     )
     return df.select("symbol", *signs, "known", "high", "medium", level.alias("level"))
+
+
+def analysis(pays: DataFrame, bars: DataFrame, health: DataFrame, as_of: str) -> DataFrame:
+    """The whole dividend picture, one row a symbol: yield, growth of the last
+    complete year, trend, status, sustainability and risk of a cut."""
+    table = annual_table(pays, as_of)
+    years = growth(table)
+    last = years.groupBy("symbol").agg(F.max_by(F.struct("year", "change_percent", "kind", "cagr3", "cagr5", "cagr10", "increases", "paying_years"), "year").alias("g")).select("symbol", "g.*")
+    out = yields(pays, bars, as_of).join(last, "symbol", "left")
+    for part in (trend(table).select("symbol", "trend"), payment_status(pays, as_of).select("symbol", "last", "days", "status"), health.select("symbol", "assessment"), cut_risk(pays, health, as_of).select("symbol", "level")):
+        out = out.join(part, "symbol", "left")
+    return out

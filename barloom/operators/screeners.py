@@ -84,8 +84,13 @@ def canslim_stocks(bars: DataFrame, facts: DataFrame, eps: DataFrame, members: D
     return df.withColumn("quality", quality).withColumn("qualifies", c("passed") >= 5)
 
 
-def page(scan: DataFrame, least: int, offset: int, limit: int) -> DataFrame:
-    """A page of a scan with the number of rows that match in all."""
+def page(scan: DataFrame, least: int, offset: int, limit: int, sectors: list[str] | None = None, complete_only: bool = False) -> DataFrame:
+    """A page of a scan with the number of rows that match in all; ``sectors``
+    and ``complete_only`` narrow it."""
+    if sectors:
+        scan = scan.where(F.lower("sector").isin([x.lower() for x in sectors]))
+    if complete_only:
+        scan = scan.where(c("quality") == "COMPLETE")
     df = scan.where(c("passed") >= least).withColumn("total", F.count("*").over(Window.partitionBy()))
     return df.orderBy(F.desc("passed"), "symbol").offset(offset).limit(limit).select("symbol", "passed", "total")
 
@@ -111,6 +116,17 @@ def magic_formula(facts: DataFrame) -> DataFrame:
     return ok.select(*out).unionByName(gone.select(*out))
 
 
+def magic_formula_top(ranked: DataFrame, n: int = 25, also: list[str] | None = None) -> DataFrame:
+    """The first ``n`` places, and the rows of the symbols asked for."""
+    return ranked.where((c("place") <= n) | c("symbol").isin(also or []))
+
+
+def distribution(scan: DataFrame, column: str) -> DataFrame:
+    """How many rows have each value of a column, and their share in percent."""
+    g = scan.groupBy(c(column).alias("value")).agg(F.count("*").alias("n"))
+    return g.withColumn("percent", F.round(c("n") / F.sum("n").over(Window.partitionBy()) * 100, 6))
+
+
 def graham(facts: DataFrame, prices: DataFrame, aaa_yield: float = 4.8) -> DataFrame:
     """EPS x (8.5 + 2g) x 4.4 / Y with growth capped at 15, the upside, the price
     with a margin of safety, and the value at half and no growth."""

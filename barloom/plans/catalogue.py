@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.operators import analytics as a
 from barloom.operators import calendars as k
 from barloom.operators import dividends as dv
+from barloom.operators import facts as fx
 from barloom.operators import models as m
 from barloom.operators import portfolio as p
 from barloom.operators import quant as q
@@ -22,7 +23,8 @@ from barloom.plans.oracles_analytics import MIX, TRIO
 from barloom.plans.oracles_calendar import AS_OF
 from barloom.plans.oracles_portfolio import STATEMENTS
 from barloom.sources.bars import bars, bars_hourly, bars_stock, table
-from barloom.sources.fundamentals import annual_eps, fundamentals
+from barloom.sources.documents import parsed
+from barloom.sources.fundamentals import annual_eps, documents, fund_documents, fundamentals
 from barloom.sources.scratch import shared_dir
 from barloom.streaming import bars as st
 
@@ -136,6 +138,29 @@ def on_payments(operator: Callable[..., DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(payments(bars(spark, sf_dir)))
 
 
+def on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(parsed(documents(spark, sf_dir)))
+
+
+def _payout_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir)
+    return fx.payout_bases(parsed(fund_documents(b)), payments(b), AS_OF)
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir)
+    return dv.analysis(payments(b), b, _health(b), AS_OF)
+
+
+def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir)
+    return a.details(b, benchmark="NO")
+
+
+def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a.compare(bars(spark, sf_dir), TRIO, benchmark="NO")
+
+
 def _canslim(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars_stock(spark, sf_dir)
     members = table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")).distinct()
@@ -292,6 +317,18 @@ QUERIES: dict[str, Query] = {
     "dividend_trend": on_payments(lambda x: dv.trend(dv.annual_table(x, AS_OF))),
     "dividend_cut_events": on_payments(dv.cut_events),
     "dividend_status": on_payments(lambda x: dv.payment_status(x, AS_OF)),
+    "facts_quarters": on_documents(fx.quarters),
+    "facts_ebit": on_documents(fx.ebit),
+    "facts_balance": on_documents(fx.balance),
+    "facts_valuation": fundamentals,
+    "payout_bases": _payout_bases,
+    "dividend_analysis": _analysis,
+    "details": _details,
+    "compare": _compare,
+    "listed_by_tag": _tagged(lambda b, tagged: a.listed(b, tagged, "fixed")),
+    "magic_formula_top": lambda spark, d: sc.magic_formula_top(sc.magic_formula(fundamentals(spark, d)), 5, ["Brand#1"]),
+    "canslim_filtered": lambda spark, d: sc.page(_canslim(spark, d), 1, 0, 50, sectors=["Technology", "Energy"], complete_only=False),
+    "canslim_quality_counts": lambda spark, d: sc.distribution(_canslim(spark, d), "quality"),
     "payout_ratio": lambda spark, d: dv.payout(payments(bars(spark, d)), fund_eps(bars(spark, d))),
     "sustainability": lambda spark, d: _health(bars(spark, d)),
     "cut_risk": lambda spark, d: dv.cut_risk(payments(bars(spark, d)), _health(bars(spark, d)), AS_OF),

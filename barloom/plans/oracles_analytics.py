@@ -132,3 +132,14 @@ ORACLES = {
         "SELECT arg_max(symbol, row(ch, symbol)) AS top, max(ch) AS top_percent, arg_min(symbol, row(ch, symbol)) AS worst, min(ch) AS worst_percent, count(*) AS n FROM a WHERE is_last AND i >= 2",
     ),
 }
+
+_DETAILS = f"""SELECT symbol, date, price, change, change_percent, p.* EXCLUDE (symbol), r.* EXCLUDE (symbol), max_drawdown_percent
+    FROM ({ORACLES['snapshot']}) JOIN ({ORACLES['performance_stats']}) p USING (symbol) JOIN ({ORACLES['risk_metrics']}) r USING (symbol) JOIN ({ORACLES['max_drawdown']}) USING (symbol)"""
+_TRIO = "(" + ", ".join(repr(x) for x in TRIO) + ")"
+ORACLES["details"] = _DETAILS
+ORACLES["compare"] = f"""
+    WITH rho AS (SELECT a, b, correlation FROM ({ORACLES['correlation_matrix']}) WHERE a IN {_TRIO} AND b IN {_TRIO}),
+    both_ways AS (SELECT * FROM rho UNION ALL SELECT b, a, correlation FROM rho),
+    lists AS (SELECT a AS symbol, string_agg(b || ' ' || CAST(CAST(correlation AS DECIMAL(8, 4)) AS VARCHAR), ', ' ORDER BY b) AS correlations FROM both_ways GROUP BY a)
+    SELECT d.*, correlations FROM ({_DETAILS}) d LEFT JOIN lists USING (symbol) WHERE symbol IN {_TRIO}"""
+ORACLES["listed_by_tag"] = f"""SELECT symbol, price, change_percent, 'all, fixed, letter ' || substr(symbol, 1, 1) AS tags FROM ({ORACLES['snapshot']}) WHERE symbol LIKE '%F'"""

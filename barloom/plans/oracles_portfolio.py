@@ -71,10 +71,11 @@ ANNUAL = f"""an AS (SELECT symbol, year(ex_date) AS year, sum(amount) FILTER (WH
         FROM (SELECT symbol, unnest(range(min(year), year(DATE '{AS_OF}'))) AS year FROM an GROUP BY symbol) s LEFT JOIN an USING (symbol, year)),
     modal AS (SELECT symbol, arg_max(n, row(times, last)) AS modal FROM (SELECT symbol, n, count(*) AS times, max(year) AS last FROM
         (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS k FROM annual WHERE n > 0) WHERE k <= 5 GROUP BY symbol, n) GROUP BY symbol)"""
-GROWTHS = """g1 AS (SELECT *, CASE WHEN lag(total) OVER v > 0 THEN (total / lag(total) OVER v - 1) * 100 END AS change, lag(total, 3) OVER v AS o3, lag(total, 5) OVER v AS o5 FROM annual WINDOW v AS (PARTITION BY symbol ORDER BY year)),
-    g2 AS (SELECT *, sum(CASE WHEN change > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY year) AS isle FROM g1),
+GROWTHS = """g1 AS (SELECT *, CASE WHEN lag(total) OVER v > 0 THEN (total / lag(total) OVER v - 1) * 100 END AS change, lag(total, 3) OVER v AS o3, lag(total, 5) OVER v AS o5, lag(total, 10) OVER v AS o10 FROM annual WINDOW v AS (PARTITION BY symbol ORDER BY year)),
+    g2 AS (SELECT *, sum(CASE WHEN change > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY year) AS isle, sum(CASE WHEN n > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY year) AS gap FROM g1),
     grows AS (SELECT symbol, year, round(change, 6) AS change_percent, CASE WHEN change > 0.5 THEN 'Positive' WHEN change < -0.5 THEN 'Negative' WHEN change IS NOT NULL THEN 'Flat' END AS kind,
-        round(CASE WHEN o3 > 0 AND total > 0 THEN (pow(total / o3, 1.0::DOUBLE / 3) - 1) * 100 END, 6) AS cagr3, round(CASE WHEN o5 > 0 AND total > 0 THEN (pow(total / o5, 1.0::DOUBLE / 5) - 1) * 100 END, 6) AS cagr5,
+        round(CASE WHEN o3 > 0 AND total > 0 THEN (pow(total / o3, 1.0::DOUBLE / 3) - 1) * 100 END, 6) AS cagr3, round(CASE WHEN o5 > 0 AND total > 0 THEN (pow(total / o5, 1.0::DOUBLE / 5) - 1) * 100 END, 6) AS cagr5, round(CASE WHEN o10 > 0 AND total > 0 THEN (pow(total / o10, 1.0::DOUBLE / 10) - 1) * 100 END, 6) AS cagr10,
+        CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, gap ORDER BY year) AS BIGINT) AS paying_years,
         CAST(sum(CASE WHEN change > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, isle ORDER BY year) AS BIGINT) AS increases FROM g2)"""
 TREND = """t1 AS (SELECT *, coalesce(n = modal, false) AS usual FROM annual LEFT JOIN modal USING (symbol)),
     t2 AS (SELECT *, lag(total) OVER v AS before, lag(usual) OVER v AS usual1, lag(n) OVER v AS n1 FROM t1 WINDOW v AS (PARTITION BY symbol ORDER BY year)),
@@ -119,7 +120,31 @@ HEALTH = [
         WHEN len(list_filter(fs, lambda x: x = 'concern')) = 0 AND len(list_filter(fs, lambda x: x = 'supportive')) >= 2 THEN 'Supportive' ELSE 'Mixed' END AS assessment FROM h5)""",
 ]
 
+_QUARTERS = "q AS (SELECT symbol, eps_now, CASE WHEN eps_now IS NOT NULL THEN DATE '2001-09-30' END AS eps_day, CASE WHEN eps_now IS NOT NULL THEN eps_ago END AS eps_ago, CASE WHEN eps_now IS NOT NULL AND eps_ago IS NOT NULL THEN DATE '2000-09-30' END AS ago_day FROM facts)"
+_FUND_YEARS = "fy AS (SELECT symbol, year(date) AS year, CAST(floor(max(close)) AS BIGINT) AS m FROM bars GROUP BY ALL)"
+_PAYOUT_BASES = [
+    _FUND_YEARS,
+    "fq AS (SELECT symbol, last_day(CAST(date_trunc('quarter', date) + INTERVAL 2 MONTH AS DATE)) AS day, CAST(floor(max(close)) AS BIGINT) / 200 AS eps FROM bars WHERE symbol IN ('AF', 'NO', 'RO') GROUP BY ALL)",
+    f"fis AS (SELECT symbol, make_date(max(year)::INTEGER, 12, 31) AS stop, arg_max((m - 1500) / 20, year) AS eps FROM fy WHERE symbol IN ('AF', 'NF') AND year < year(DATE '{AS_OF}') GROUP BY symbol)",
+    f"four AS (SELECT symbol, max(day) AS stop, sum(eps) AS eps FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS k FROM fq WHERE day <= DATE '{AS_OF}') WHERE k <= 4 GROUP BY symbol HAVING count(*) = 4 AND max(day) - min(day) BETWEEN 200 AND 330)",
+    f"fp AS (SELECT symbol, eps, CASE WHEN eps > 0 THEN coalesce((SELECT sum(amount) FROM pays p WHERE p.symbol = e.symbol AND ex_date > stop - INTERVAL 1 YEAR AND ex_date <= stop AND ex_date <= DATE '{AS_OF}'), 0) / eps * 100 END AS r FROM fis e)",
+    f"tp AS (SELECT symbol, eps, CASE WHEN eps > 0 THEN coalesce((SELECT sum(amount) FROM pays p WHERE p.symbol = e.symbol AND ex_date > stop - INTERVAL 1 YEAR AND ex_date <= stop AND ex_date <= DATE '{AS_OF}'), 0) / eps * 100 END AS r FROM four e)",
+    "cp AS (SELECT symbol, CASE WHEN arg_max(m, year) % 97 > 0 THEN (arg_max(m, year) % 29 + 1) / (arg_max(m, year) % 97) * 100 END AS r FROM fy GROUP BY symbol)",
+    "pb AS (SELECT symbol, fp.r AS f, tp.r AS t, cp.r AS c, coalesce(fp.eps <= 0, false) OR coalesce(tp.eps <= 0, false) AS lost FROM cp LEFT JOIN fp USING (symbol) LEFT JOIN tp USING (symbol))",
+    "pc AS (SELECT *, CASE WHEN f IS NOT NULL THEN 'fiscal_year' WHEN t IS NOT NULL THEN 'trailing_twelve_months' WHEN NOT lost AND c IS NOT NULL THEN 'aggregate_cash_basis' END AS basis FROM pb)",
+    "pd AS (SELECT *, CASE basis WHEN 'fiscal_year' THEN f WHEN 'trailing_twelve_months' THEN t WHEN 'aggregate_cash_basis' THEN c END AS v FROM pc)",
+    """SELECT symbol, round(f, 6) AS fiscal_payout, round(t, 6) AS ttm_payout, round(c, 6) AS cash_payout, basis, round(v, 6) AS payout_percent, CASE WHEN basis IS NOT NULL THEN 'available' WHEN lost THEN 'not_meaningful' ELSE 'unavailable' END AS status,
+    CASE WHEN round(v, 2) <= 60 THEN 'Moderate' WHEN round(v, 2) <= 80 THEN 'Elevated' WHEN round(v, 2) <= 100 THEN 'High' WHEN v IS NOT NULL THEN 'Exceeds earnings' END AS band FROM pd""",
+]
+
 ORACLES = {
+    "facts_quarters": _with(FUNDAMENTALS_SQL, _QUARTERS, "SELECT * FROM q WHERE eps_now IS NOT NULL"),
+    "facts_ebit": _with(FUNDAMENTALS_SQL, "SELECT symbol, DATE '2001-12-31' AS ebit_day, ebit::DOUBLE AS ebit, CASE WHEN s % 2 = 0 THEN 'ebit' ELSE 'operatingIncome' END AS ebit_item FROM facts JOIN (SELECT p_brand AS symbol, sum(p_size)::BIGINT AS s FROM part GROUP BY p_brand) USING (symbol) WHERE ebit IS NOT NULL"),
+    "facts_balance": _with(FUNDAMENTALS_SQL, "SELECT symbol, DATE '2000-12-31' AS balance_day, " + ", ".join(f"{x}::DOUBLE AS {x}" for x in ("current_assets", "cash", "current_liabilities", "current_debt", "net_ppe")) + " FROM facts"),
+    "facts_valuation": _with(FUNDAMENTALS_SQL, "SELECT * REPLACE (CASE WHEN eps_now IS NOT NULL THEN eps_ago END AS eps_ago) FROM facts"),
+    "payout_bases": _with(BARS_SQL, PAYS, *_PAYOUT_BASES),
+    "canslim_filtered": steps(*_CANSLIM[1:], "SELECT symbol, passed, count(*) OVER () AS total FROM scan WHERE passed >= 1 AND sector IN ('Technology', 'Energy') ORDER BY passed DESC, symbol LIMIT 50", base=STOCK_NUMBERED),
+    "canslim_quality_counts": steps(*_CANSLIM[1:], "g AS (SELECT CASE WHEN unavailable = 0 THEN 'COMPLETE' WHEN unavailable < 7 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS value, count(*) AS n FROM scan GROUP BY 1)", "SELECT value, n, round(n / sum(n) OVER () * 100, 6) AS percent FROM g", base=STOCK_NUMBERED),
     "volatility_harvesting": _with(*harvest("quarter", 0.001), "SELECT date, round(ln(rebalanced), 6) AS log_rebalanced, round(ln(held), 6) AS log_held, is_rebalance, round(turnover, 6) AS turnover FROM h"),
     "vol_harvest_frequency_grid": " UNION ALL ".join(f"({metrics(f, 0.001, f', {f!r} AS frequency')})" for f in ("month", "quarter", "half", "year")),
     "vol_harvest_cost_grid": " UNION ALL ".join(f"({metrics('quarter', x, f', {x}::DOUBLE AS cost')})" for x in (0.0, 0.001, 0.005)),
@@ -196,3 +221,10 @@ ORACLES = {
         CASE WHEN known < 3 OR ff = 0 THEN 'Insufficient Data' WHEN high >= 2 OR (high >= 1 AND medium >= 2) THEN 'Elevated risk indicators' WHEN high = 1 OR medium >= 2 THEN 'Moderate risk indicators' ELSE 'Few risk indicators' END AS level FROM b""",
     ),
 }
+
+ORACLES["magic_formula_top"] = f"SELECT * FROM ({ORACLES['magic_formula']}) WHERE place <= 5 OR symbol = 'Brand#1'"
+ORACLES["dividend_analysis"] = f"""
+    SELECT y.*, g.* EXCLUDE (symbol), trend, last, days, status, assessment, level FROM ({ORACLES['dividend_yield']}) y
+    LEFT JOIN (SELECT * FROM ({ORACLES['dividend_growth']}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY year DESC) = 1) g USING (symbol)
+    LEFT JOIN (SELECT symbol, trend FROM ({ORACLES['dividend_trend']})) USING (symbol) LEFT JOIN (SELECT symbol, last, days, status FROM ({ORACLES['dividend_status']})) USING (symbol)
+    LEFT JOIN (SELECT symbol, assessment FROM ({ORACLES['sustainability']})) USING (symbol) LEFT JOIN (SELECT symbol, level FROM ({ORACLES['cut_risk']})) USING (symbol)"""

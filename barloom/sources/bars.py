@@ -64,14 +64,15 @@ def _version(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((x.getPath().getName(), x.getModificationTime(), x.getLen()) for x in listed))
 
 
-def stored(spark: SparkSession, name: str, sources: list[str], make) -> DataFrame:
-    """The bars that ``make()`` gives, from a bucketed table if ``sources`` are
-    what they were when it was written."""
+def stored(spark: SparkSession, name: str, sources: list[str], make, bucketed: bool = True) -> DataFrame:
+    """The rows that ``make()`` gives, from a table (in buckets of the symbol) if
+    ``sources`` are what they were when it was written."""
     key = (spark.conf.get("spark.app.id"), name, *sources, *(_version(spark, x) for x in sources))
     if key not in _STORE or not spark.catalog.tableExists(_STORE[key]):
         made, n = f"barloom_{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-        writer = make().repartition(n, "symbol").write.format("parquet").bucketBy(n, "symbol").sortBy("symbol", "date")
-        writer.option("path", f"{shared_dir(spark)}/{made}").saveAsTable(made)
+        rows = make()
+        writer = rows.repartition(n, "symbol").write.bucketBy(n, "symbol").sortBy("symbol", "date") if bucketed else rows.write
+        writer.format("parquet").option("path", f"{shared_dir(spark)}/{made}").saveAsTable(made)
         _STORE[key] = made
     # one file a bucket: the scan may tell Spark that its rows are sorted
     spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")

@@ -1,7 +1,10 @@
-"""Fundamentals of the stock universe, derived from the part table.
+"""Company documents of the stock universe, made from the part table.
 
 Each field is one expression over a brand's ``n`` parts and total size ``s``,
 the same text in Spark SQL and DuckDB; some fields are missing for some brands.
+``documents`` puts the fields into JSON as a provider would (numbers as texts,
+marks of absence, older periods beside the latest), and ``fundamentals`` reads
+them back through the operators on documents.
 """
 
 from __future__ import annotations
@@ -9,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.sources.bars import table
+from barloom.operators import facts
+from barloom.sources.bars import stored, table
+from barloom.sources.documents import parsed
 
 FIELDS = {
     "sector": "CASE s % 6 WHEN 0 THEN 'Financials' WHEN 1 THEN 'Utilities' WHEN 2 THEN 'Energy' WHEN 3 THEN 'Technology' WHEN 4 THEN 'Industrials' END",
@@ -45,11 +50,83 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.agg(F.count("*").alias("n"), F.sum(F.col("p_size").cast("long")).alias("s"))
 
 
+def _map(**items: str) -> str:
+    return "map(" + ", ".join(f"'{k}', CAST({x} AS STRING)" for k, x in items.items()) + ")"
+
+
+_NONE = "CAST(NULL AS STRING)"
+_EVEN = "s % 2 = 0"
+#: Sections of a document as Spark SQL over the fields.
+SECTIONS = {
+    "General": _map(Sector="sector", CurrencyCode="financial_currency", PriceCurrency="price_currency"),
+    "Highlights": _map(ReturnOnEquityTTM="coalesce(CAST(roe AS STRING), 'NA')", MarketCapitalization="market_cap", PERatio="pe", DebtToEquity="debt_to_equity", TotalDebt="total_debt", TotalCash="total_cash"),
+    "Valuation": _map(EnterpriseValue="coalesce(CAST(enterprise_value AS STRING), 'None')", ForwardPE="forward_pe"),
+    "SharesStats": _map(SharesFloat="shares_float"),
+    "Holders": _map(Institutions="holders"),
+    "Financials": f"""named_struct(
+        'Income_Statement', named_struct('yearly', map(
+            '2000-12-31', {_map(ebit="ebit + 77", operatingIncome="ebit + 99")},
+            '2001-12-31', {_map(ebit=f"CASE WHEN {_EVEN} THEN CAST(ebit AS STRING) ELSE 'NA' END", operatingIncome=f"CASE WHEN {_EVEN} THEN CAST(ebit + 5 AS STRING) ELSE CAST(ebit AS STRING) END")},
+            'not a date', {_map(ebit="1")})),
+        'Balance_Sheet', named_struct('yearly', map(
+            '2001-12-31', {_map(totalCurrentAssets="'None'", cash=_NONE, inventory="5")},
+            '1999-12-31', {_map(totalCurrentAssets="1", cash="1", totalCurrentLiabilities="1")},
+            '2000-12-31', {_map(totalCurrentAssets="current_assets", cashAndShortTermInvestments=f"CASE WHEN {_EVEN} THEN CAST(cash AS STRING) ELSE '-' END", cash=f"CASE WHEN {_EVEN} THEN '3' ELSE CAST(cash AS STRING) END",
+                totalCurrentLiabilities="current_liabilities", shortTermDebt="current_debt", propertyPlantEquipment="net_ppe")})))""",
+    "Earnings": f"""named_struct(
+        'History', map_filter(map(
+            '2001-12-31', {_map(date="'2001-12-31'", epsActual=_NONE)},
+            '2001-09-30', {_map(date="'2001-09-30'", epsActual="eps_now")},
+            'latest but two', {_map(date="'2001-06-30'", epsActual="'0.5'")},
+            '2000-09-30', {_map(epsActual="coalesce(CAST(eps_ago AS STRING), 'n/a')")}), (k, v) -> eps_now IS NOT NULL OR k = '2001-12-31'),
+        'Annual', map_from_entries(transform(sequence(1997L, 2001L), y -> struct(concat(y, '-12-31'), map('epsActual', CAST({EPS_SQL} AS STRING))))),
+        'Trend', map('0y', map('growth', '0.5'), '+5y', map('growth', CAST(growth / 100 AS STRING))))""",
+}
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``symbol, doc``: one JSON document for each brand, made once."""
+    return stored(spark, "documents", [f"{sf_dir}/part.parquet"], lambda: _documents(spark, sf_dir), bucketed=False)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = _sizes(spark, sf_dir).selectExpr("symbol", "s", *[f"{x} AS {k}" for k, x in FIELDS.items()])
+    return fields.selectExpr("symbol", f"to_json(named_struct({', '.join(f'{k!r}, {x}' for k, x in SECTIONS.items())})) AS doc")
+
+
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sizes(spark, sf_dir).selectExpr("symbol", *[f"{x} AS {k}" for k, x in FIELDS.items()])
+    """The fields, read from the documents and kept."""
+    return stored(spark, "facts", [f"{sf_dir}/part.parquet"], lambda: _facts(spark, sf_dir), bucketed=False)
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = _sizes(spark, sf_dir).selectExpr(*[f"{x} AS {k}" for k, x in FIELDS.items()]).schema
+    found = facts.valuation(parsed(documents(spark, sf_dir)))
+    return found.select("symbol", *[F.col(k).cast(types[k].dataType).alias(k) for k in FIELDS])
 
 
 def annual_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``symbol, year, eps``."""
-    years = _sizes(spark, sf_dir).selectExpr("symbol", "s", "explode(sequence(1997L, 2001L)) AS y")
-    return years.selectExpr("symbol", "y AS year", f"{EPS_SQL} AS eps")
+    return facts.annual_history(parsed(documents(spark, sf_dir)))
+
+
+#: Funds whose document has yearly earnings, and those that have quarters.
+YEARLY, QUARTERLY = ("AF", "NF"), ("AF", "NO", "RO")
+
+
+def fund_documents(bars: DataFrame) -> DataFrame:
+    """``symbol, doc`` of the funds: earnings and cash flow from highest closes."""
+    m = F.floor(F.max("close"))
+    years = bars.groupBy("symbol", F.year("date").alias("y")).agg(m.alias("m"))
+    fiscal = years.where(F.col("symbol").isin(*YEARLY)).selectExpr("symbol", "concat(y, '-12-31') AS k", "map('epsActual', CAST((m - 1500) / 20 AS STRING)) AS v")
+    ends = F.last_day(F.add_months(F.date_trunc("quarter", "date").cast("date"), 2))
+    four = bars.where(F.col("symbol").isin(*QUARTERLY)).groupBy("symbol", ends.alias("q")).agg(m.alias("m")).selectExpr("symbol", "CAST(q AS STRING) AS k", "map('epsActual', CAST(m / 200 AS STRING)) AS v")
+    cash = years.selectExpr("symbol", "concat(y, '-12-31') AS k", "map('dividendsPaid', CAST(-(m % 29) - 1 AS STRING), 'netIncome', CASE WHEN m % 2 = 0 THEN CAST(m % 97 AS STRING) END) AS v")
+    income = years.selectExpr("symbol", "concat(y, '-12-31') AS k", "map('netIncome', CAST(m % 97 AS STRING)) AS v")
+    out = bars.select("symbol").distinct()
+    for name, rows in (("fiscal", fiscal), ("four", four), ("cash", cash), ("income", income)):
+        out = out.join(rows.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(name)), "symbol", "left")
+    return out.selectExpr(
+        "symbol",
+        "to_json(named_struct('Earnings', named_struct('Annual', fiscal, 'History', four), 'Financials', named_struct('Cash_Flow', named_struct('yearly', cash), 'Income_Statement', named_struct('yearly', income)))) AS doc",
+    )
