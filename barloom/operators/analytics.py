@@ -98,10 +98,6 @@ def common_dates(bars: DataFrame, symbols: list[str]) -> DataFrame:
     return df.join(full, "date", "left_semi")
 
 
-def _product(x) -> F.Column:
-    return F.exp(F.sum(F.log1p(x)))
-
-
 def mix_returns(bars: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Daily rebalanced returns of a mix on common dates."""
     total = sum(weights.values())

@@ -336,12 +336,14 @@ QUERIES: dict[str, Query] = {
     "dividend_parse": _parse,
     "hmm_regime": on_bars(m.hmm_regime),
     "garch_fit": on_bars(m.garch),
+    "garch_leverage_test": on_bars(m.leverage_test),
     "first_passage_time": on_bars(m.first_passage),
     "ema_bollinger_atr_backtest": _grid,
     "ema_bollinger_atr_trades": on_bars(m.band_trades),
     "rotation_backtest": _rotations,
     "rotation_summary": lambda spark, d: m.rotation_summary(_rotations(spark, d)),
-    "randomized_simulation": on_bars(m.random_portfolios, symbol="NO"),
+    "randomized_simulation": lambda spark, d: m.random_portfolios(bars(spark, d), "NO", flat=1.0).drop("path"),
+    "simulation_paths": lambda spark, d: m.simulation_paths(m.random_portfolios(bars(spark, d), "NO", flat=1.0)),
     "simulation_summary": lambda spark, d: m.simulation_summary(m.random_portfolios(bars(spark, d), "NO")),
     "portfolio_optimization": on_bars(m.optimize, symbols=list(MIX)),
     "portfolio_statistics": on_bars(m.portfolio_statistics, symbols=list(MIX)),

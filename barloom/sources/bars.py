@@ -24,8 +24,6 @@ BAR = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "adjusted_close")]
     + [T.StructField("volume", T.LongType())]
 )
-DIVIDEND = "symbol string, ex_date date, payment_date date, declaration_date date, record_date date, amount double, unadjusted_amount double, period string, currency string, is_special boolean"
-FUNDAMENTALS = "symbol string, annual_eps array<struct<year:int,eps:double>>, return_on_equity double, shares_float double, institutional_holders int, percent_institutions double"
 
 #: Closes before this date are adjusted by this factor.
 SPLIT_DATE, SPLIT_FACTOR = "1998-06-01", 0.5
