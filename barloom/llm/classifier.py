@@ -25,6 +25,8 @@ from barloom.llm.textkit import Slice, slices
 BITS, DIMS = 12, 64
 HIDDEN = 24
 SLICE = 1 << 20
+#: Texts that are worked on at once: each has a row of 2**BITS counts.
+TEXTS = 1 << 9
 
 
 def index_vectors(seed: int, nonzero: int = 8) -> np.ndarray:
@@ -106,7 +108,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, per_class: int = 300
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, part in slices(b.column(1), SLICE):
+            for lo, hi, part in slices(b.column(1), SLICE, TEXTS):
                 rows = [x.tobytes() for x in pooled_vectors(part, contexts, forms)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
@@ -150,7 +152,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None =
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, part in slices(b.column(len(keep)), SLICE):
+            for lo, hi, part in slices(b.column(len(keep)), SLICE, TEXTS):
                 pooled = pooled_vectors(part, model.contexts, forms) if model.layers else np.zeros((part.n, 1))
                 score = model.probability(pooled)
                 columns = [b.column(i).slice(lo, hi - lo) for i in range(len(keep))]

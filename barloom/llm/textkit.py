@@ -29,7 +29,7 @@ _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of an odd base and of its inverse modulo 2**64."""
     if kind not in _POWERS or len(_POWERS[kind][0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << max(n, 1 << 16).bit_length()
         rows = []
         for base in (_BASES[kind], pow(_BASES[kind], -1, 2**64)):
             steps = np.full(size, base, U64)
@@ -140,12 +140,13 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Slice]]:
-    """The texts in slices of at most ``limit`` bytes (one text at least)."""
+def slices(texts: pa.Array, limit: int = SLICE_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, int, Slice]]:
+    """The texts in slices of at most ``limit`` bytes (one text at least) and
+    ``most`` texts."""
     data, offsets = raw(texts)
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = max(lo + 1, min(lo + most, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
         part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends = spans(part, offs)
         first = np.searchsorted(starts, offs)
