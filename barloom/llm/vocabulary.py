@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from barloom.llm.textkit import _LOWER, Slice, byte_prefix, ranges, slices, span_hash
+from barloom.llm.textkit import Slice, byte_prefix, ranges, slices, span_hash
 
 SLICE = 1 << 22
 CACHE_BITS = 22
