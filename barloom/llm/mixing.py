@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import sums_before, word_count, written
 
-BLOCK_WORDS = 64
+#: Words of a slot; the targets are met to the word at any length.
+BLOCK_WORDS = 1024
 SLOTS_IN_CHUNK = 4096
 DOCS_IN_BUCKET = 256
 CELLS = 1024
@@ -115,7 +116,7 @@ def _schedule(sources: DataFrame, block: int) -> DataFrame:
     return slots.select("position", "sid", "block", "pass", F.least(F.lit(block), F.col("source_size") - begin, left).alias("words"))
 
 
-def mix_sources(docs: DataFrame, weights: list[int] | tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS) -> Mix:
+def mix_sources(docs: DataFrame, weights: list[int] | tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, mark: Column | None = None) -> Mix:
     """Mix ``doc_id, text, source`` to target weights (see ``source_targets``).
 
     A row's size is its number of words; null and empty texts have none and
@@ -123,11 +124,12 @@ def mix_sources(docs: DataFrame, weights: list[int] | tuple[int, ...] = (3, 1, 2
     Each source is taken to its target, rounded to a word; only where a target
     ends inside a document is a part of it (its first words) taken.  A row is
     taken at most ``most`` times, rounded up.  The order depends on doc_id and
-    text alone, so reruns agree.  A column ``mark`` of longs tells apart rows of
-    one doc_id and source (by default a hash of the text).  An empty table gives
-    empty results.
+    text alone, so reruns agree.  ``mark``, a column of longs, tells apart rows of
+    one doc_id and source (by default a hash of the text); columns of the input
+    that happen to have the name of one made here are left out.  An empty table
+    gives empty results.
     """
-    mark = F.col("mark").cast("long") if "mark" in docs.columns else F.xxhash64(F.col("text").cast("string"))
+    mark = F.xxhash64(F.col("text").cast("string")) if mark is None else mark
     docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), mark.alias("mark"), word_count("text").alias("size"))
     docs = written(docs, "sizes")
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))

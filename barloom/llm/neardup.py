@@ -10,11 +10,13 @@ table of distances to a few of its own sketches (pivots) discards pairs that the
 triangle inequality rules out, and Hamming distance verifies the rest.  Each
 candidate is checked on the whole sets.
 
-Dense groups are kept cheap in two rounds.  Where most pairs of a key are
-candidates, the first round checks each sketch with its nearest one and with
-the one that is near to most; the second takes up such keys again with sketches
-of 1024 bits and checks every candidate whose ends are still in different
-components, once.
+Two rounds keep dense and crowded keys cheap.  The first compares keys block by
+block; where most pairs of a block are candidates, it checks each sketch with its
+nearest one and with the one that is near to most.  The second takes up all dense
+keys and all keys of several blocks again with sketches of 1024 bits: every block
+meets every other one, but for blocks of the key's largest component, whose pairs
+are decided; candidates whose ends are still in different components are checked,
+once.  Keys of very many blocks are first split by views of the longer sketch.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import written
 from barloom.llm.components import components
-from barloom.llm.textkit import _prefix, mix, slices, span_hash
+from barloom.llm.textkit import gram_hash, mix, slices
 
 U64 = np.uint64
 SHINGLE, WORDS = 5, 4
@@ -46,7 +48,7 @@ BLOCK = 1024
 DENSE = 3
 #: Words of the second round's sketches, and their radius (0.8: 155, deviation 11.5).
 LONG, LONG_RADIUS = 16, 186
-#: In keys of more blocks, sketches that the check has bound to another leave.
+#: Keys of more blocks are split by views of the long sketch.
 MANY = 64
 #: Pivots of a group's distance table.
 PIVOTS = 8
@@ -58,18 +60,23 @@ PAIR = "u long, v long, far short"
 
 
 def _marks(docs: DataFrame, width: int = WORDS, sets: bool = False) -> DataFrame:
-    """``doc_id, node, s0, s1, ...``: a hash of the shingle set and its sketch of so
-    many words; with ``sets``, ``doc_id, node, grams``: the hash and the set itself."""
+    """``doc_id, version, node, s0, s1, ...``: hashes of the text and of its shingle
+    set, and a sketch of so many words; with ``sets``, ``doc_id, version, node, grams``:
+    the hashes and the set itself."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, part in slices(b.column(1)):
-                words = _prefix(replace(part, data=part.lower()).hashes(), "word")
+                words = replace(part, data=part.lower()).hashes()
                 counts = part.counts
                 shingles = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
                 owner = np.repeat(np.arange(part.n), shingles)
                 first = part.first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-                h = span_hash(words, first, first + np.minimum(counts[owner], SHINGLE), "word")
+                h = np.zeros(len(owner), U64)
+                for k in range(1, SHINGLE + 1):
+                    of = np.flatnonzero(np.minimum(counts[owner], SHINGLE) == k)
+                    if len(of):
+                        h[of] = gram_hash(words, k)[first[of]]
                 order = np.lexsort((h, owner))
                 h, owner = h[order], owner[order]
                 new = np.ones(len(h), bool)
@@ -83,11 +90,12 @@ def _marks(docs: DataFrame, width: int = WORDS, sets: bool = False) -> DataFrame
                     values = [pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(h.view(np.int64)))]
                 else:
                     values = [pa.array(x.view(np.int64)) for x in _sketches(h, n, width)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(node.view(np.int64)), *values], names=["doc_id", "node", *names])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(node.view(np.int64)), *values], names=["doc_id", "version", "node", *names])
 
     names = ["grams"] if sets else [f"s{k}" for k in range(width)]
     kinds = "grams array<long>" if sets else ", ".join(f"{s} long" for s in names)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(job, f"doc_id long, node long, {kinds}")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("version", F.xxhash64("text"))
+    return rows.mapInArrow(job, f"doc_id long, version long, node long, {kinds}")
 
 
 def _sketches(h: np.ndarray, n: np.ndarray, words: int) -> list[np.ndarray]:
@@ -263,21 +271,88 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
 
 
+def _split(rows: DataFrame, most: int, block: int) -> DataFrame:
+    """Rows of keys with up to ``most`` sketches, once for each of some views of the
+    long sketch; ``key`` becomes a hash of the old one and the view's bits."""
+    wide = min(max(6, ceil(log2(most / block))), 24)
+    rng = np.random.default_rng(21)
+    views = [rng.choice(64 * LONG, wide, replace=False) for _ in range(ceil(5 / AGREE**wide))]
+    power = 1 << np.arange(wide, dtype=np.int64)
+    names = [f"s{k}" for k in range(LONG)]
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sketch = np.stack([b.column(s).to_numpy(zero_copy_only=False) for s in names], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(sketch).astype("<i8").view(np.uint8), axis=1, bitorder="little")
+            old = mix(b.column("key").to_numpy(zero_copy_only=False).view(U64))
+            for v, at in enumerate(views):
+                key = mix(old + (bits[:, at].astype(np.int64) @ power + (v << 32)).view(U64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns[1:]], names=b.schema.names)
+
+    return rows.select("key", "view", "node", "comp", *names).mapInArrow(job, f"key long, view int, node long, comp long, {', '.join(f'{s} long' for s in names)}")
+
+
+def _shares(rows: DataFrame, block: int) -> DataFrame:
+    """For each key with several components: the largest one (``main``), its blocks
+    (``mains``) and the blocks of all others (``minors``)."""
+    each = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    keys = each.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    up = lambda n: F.ceil(n / block)
+    return keys.select("key", F.col("top.comp").alias("main"), up(F.col("top.n")).alias("mains"), up(F.col("n") - F.col("top.n")).alias("minors"))
+
+
+def _block_pairs(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """``g, side`` and the rows' columns: a group for each two blocks of a key that
+    have pairs of different components.  Blocks of the largest component meet
+    the others' alone."""
+    rows = rows.join(shares, "key").withColumn("is_main", F.expr("comp = main"))
+    rows = rows.withColumn("home", F.expr("pmod(xxhash64(node), if(is_main, mains, minors))"))
+    to_minors = "transform(sequence(0L, minors - 1), x -> {})"
+    main = to_minors.format("struct(1 AS kind, home AS a, x AS b, 1 AS side)")
+    own = to_minors.format("struct(0 AS kind, least(home, x) AS a, greatest(home, x) AS b, CASE WHEN home = x THEN 0 WHEN home < x THEN 1 ELSE 2 END AS side)")
+    minor = f"concat({own}, transform(sequence(0L, mains - 1), x -> struct(1 AS kind, x AS a, home AS b, 2 AS side)))"
+    rows = rows.withColumn("at", F.explode(F.expr(f"if(is_main, {main}, {minor})")))
+    return rows.select(F.xxhash64("key", "at.kind", "at.a", "at.b").alias("g"), F.col("at.side").alias("side"), "view", "node", "comp", *[f"s{k}" for k in range(LONG)])
+
+
+def _taken_up(docs: DataFrame, ids: DataFrame, sketches: DataFrame, keys: DataFrame, edges: DataFrame, choices: list[np.ndarray], block: int) -> DataFrame:
+    """The second round: candidates ``u, v`` of dense and crowded keys whose ends are
+    in different components."""
+    rows = written(sketches.join(components(edges), "node", "left").withColumn("comp", F.coalesce("low", "node")).select("node", "comp", *BITS), "labels")
+    met = written(_views(rows, choices).join(keys, "key", "left_semi").select("key", "node", "comp"), "met")
+    shares = written(_shares(met, block), "shares")
+    met = met.join(shares.select("key"), "key", "left_semi")
+    wanted = ids.join(met.select("node").distinct(), "node").select("doc_id").distinct()
+    long = _marks(docs.join(wanted, "doc_id", "left_semi"), LONG).drop(*BITS, "doc_id", "version").dropDuplicates(["node"])
+    rows = written(rows.drop("comp").join(long, "node"), "long")
+    views = met.join(rows, "node").withColumn("view", F.shiftright("key", 32).cast("int"))
+    huge = shares.where(F.col("minors") > MANY)
+    dealt = _block_pairs(views, shares.where(F.col("minors") <= MANY))
+    most = huge.agg(F.max(F.col("minors") + F.col("mains"))).first()[0]
+    if most:
+        parts = _split(views.join(huge.select("key"), "key", "left_semi").withColumn("view", F.lit(0)), most * block, block)
+        parts = written(parts, "split")
+        dealt = dealt.unionByName(_block_pairs(parts, _shares(parts, block)))
+    dealt = dealt.repartition("g").sortWithinPartitions("g", "node")
+    second = _second_round(choices)
+    return dealt.mapInArrow(lambda b: _runs(b, second), PAIR).select("u", "v").distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``doc_id, text`` -> ``doc_id, component_id``, the smallest doc_id reached.
+    """``doc_id, text`` -> ``doc_id, version, component_id, kept``, a row for each row:
+    a hash of its text, the smallest doc_id that the text reaches, and whether
+    the row is the one of its group to keep (smallest doc_id, then version).
 
     A-Z are lower-cased; a text of fewer than five words is one shingle, one
     without words has the empty set, which equals itself alone.  Equal sets are
-    one node.  Every candidate is checked unless its ends are in one component
-    already.  A key with more than ``block`` sketches is dealt in blocks, and
-    blocks meet block by block in the second round, so no task holds a key; where
-    there are more than ``MANY`` blocks, sketches that the check has bound to
-    another leave the key first, and a link that only they have may be missed.
-    Rows without a doc_id take no part.
+    one node; rows of one doc_id with several texts are each judged by their text.
+    Every candidate is checked unless its ends are in one component already.  A
+    key with more than ``block`` sketches is dealt in blocks, so no task holds a
+    key, and all its blocks meet.  Rows without a doc_id take no part.
     """
     marks = written(_marks(docs.where("doc_id is not null")), "marks")
-    nodes = marks.groupBy("node").agg(*(F.first(s).alias(s) for s in BITS), F.min("doc_id").alias("doc_id"))
-    nodes = written(nodes, "nodes")
+    nodes = marks.groupBy("node").agg(*(F.first(s).alias(s) for s in BITS), F.min(F.struct("doc_id", "version")).alias("row"))
+    nodes = written(nodes.select("node", "row", F.col("row.doc_id").alias("doc_id"), *BITS), "nodes")
     choices = _choices(nodes.count())
     ids, sketches = nodes.select("node", "doc_id"), nodes.select("node", *BITS)
 
@@ -288,39 +363,22 @@ def near_duplicate_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = dealt.repartition("g").sortWithinPartitions("g", "node")
     found = dealt.mapInArrow(lambda b: _runs(b, _first_round), PAIR)
     pairs = written(found.select("u", "v", (F.col("far") < 0).alias("mark")).distinct(), "pairs")
-    keys = written(pairs.where("mark").select(F.col("u").alias("key")), "dense_keys")
+    keys = written(pairs.where("mark").select(F.col("u").alias("key")).unionByName(crowded.select("key")).distinct(), "keys")
     pairs = pairs.where("not mark").select("u", "v")
     sets = _sets(docs, _ends(pairs).join(ids, "node"))
     tried = written(_checked(pairs, sets), "tried")
     edges = tried.where("alike").select("u", "v")
 
     if keys.limit(1).count():
-        bound = _ends(edges).withColumn("bound", F.lit(True))
-        rows = sketches.join(components(edges), "node", "left").join(bound, "node", "left")
-        rows = written(rows.withColumn("comp", F.coalesce("low", "node")).select("node", "comp", "bound", *BITS), "labels")
-        huge = crowded.where(F.col("n") > MANY * block)
-        met = written(_views(rows, choices).join(keys, "key", "left_semi").select("key", "node"), "met")
-        some = docs.join(ids.join(met.select("node").distinct(), "node").select("doc_id").distinct(), "doc_id", "left_semi")
-        long = _marks(some, LONG).drop(*BITS, "doc_id").dropDuplicates(["node"])
-        rows = written(rows.join(long, "node"), "long")
-        views = met.join(rows, "node").join(huge, "key", "left").where("n is null or bound is null").drop("n")
-        mixed = views.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
-        mixed = written(mixed.select("key", F.ceil(F.col("n") / block).alias("blocks")), "mixed")
-        views = views.join(mixed, "key").withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        views = views.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        side = F.when(F.col("home") == F.col("other"), 0).when(F.col("home") < F.col("other"), 1).otherwise(2)
-        group = F.xxhash64("key", F.least("home", "other"), F.greatest("home", "other"))
-        view = F.shiftright("key", 32).cast("int").alias("view")
-        dealt = views.select(group.alias("g"), side.alias("side"), view, "node", "comp", *[f"s{k}" for k in range(LONG)]).repartition("g").sortWithinPartitions("g", "node")
-        second = _second_round(choices)
-        more = dealt.mapInArrow(lambda b: _runs(b, second), PAIR).select("u", "v").distinct()
+        more = _taken_up(docs, ids, sketches, keys, edges, choices, block)
         more = written(more.join(tried, ["u", "v"], "left_anti"), "pairs")
         new = _ends(more).join(sets.select("node"), "node", "left_anti").join(ids, "node")
         checked = _checked(more, sets.unionByName(_sets(docs, new)))
         edges = edges.unionByName(checked.where("alike").select("u", "v"))
 
-    named = lambda n: ids.select(F.col("node").alias(n), F.col("doc_id").alias("d" + n))
-    edges = edges.join(named("u"), "u").join(named("v"), "v").select(F.col("du").alias("u"), F.col("dv").alias("v"))
-    lows = components(edges).withColumnRenamed("node", "doc_id")
-    groups = ids.join(lows, "doc_id", "left").select("node", F.coalesce("low", "doc_id").alias("component_id"))
-    return marks.select("doc_id", "node").join(groups, "node").select("doc_id", "component_id")
+    of = nodes.select("node", "row").join(components(edges), "node", "left").withColumn("low", F.coalesce("low", "node"))
+    of = written(of, "groups")
+    firsts = of.groupBy("low").agg(F.min("row").alias("first"))
+    groups = of.join(firsts, "low").select("node", "first")
+    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
+    return marks.select("doc_id", "version", "node").join(groups, "node").select("doc_id", "version", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.grams import char_buckets, word_buckets
 from barloom.llm.labelled import adam, class_weights, labelled_sample, scale_and_shift, sigmoid
-from barloom.llm.textkit import Slice, byte_prefix, gram_hash, mix, slices, span_hash
+from barloom.llm.textkit import Slice, gram_hash, mix, slices, span_hash
 
 #: Buckets of each kind: words, pairs of words, three and five characters.
 BITS = 13
@@ -79,12 +79,12 @@ def _logits(part: Slice, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.bincount(row, weights.ravel()[place] * value, minlength=part.n)
 
 
-def train_ngram_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> NgramModel:
+def train_ngram_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most: int = 4096) -> NgramModel:
     """Fit on at most ``per_class`` labelled rows of each quality.
 
-    The driver gets six bytes for each input of these texts that isn't zero, at
-    most 4 x 2**13 a text.  Without rows of both qualities the model gives 1 to
-    every text if there is no label 0, else 0.
+    Of each of these texts the driver gets the ``most`` largest inputs, six bytes
+    each, so at most 74 MB; scoring takes all inputs.  Without rows of both
+    qualities the model gives 1 to every text if there is no label 0, else 0.
     """
     sample, totals = labelled_sample(docs, labels, "quality", per_class)
     size = KINDS << BITS
@@ -95,10 +95,10 @@ def train_ngram_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500)
         for b in batches:
             for lo, hi, part in slices(b.column(1)):
                 row, place, value = inputs(part, part.hashes())
-                order = np.argsort(row, kind="stable")
-                cut = np.searchsorted(row[order], np.arange(part.n + 1))
+                order = np.lexsort((place, -value, row))
                 place, value = place[order].astype("<u2"), value[order].astype("<f4")
-                some = [(place[a:z].tobytes(), value[a:z].tobytes()) for a, z in zip(cut[:-1], cut[1:])]
+                cut = np.searchsorted(row[order], np.arange(part.n + 1))
+                some = [(place[a:z].tobytes(), value[a:z].tobytes()) for a, z in zip(cut[:-1], np.minimum(cut[1:], cut[:-1] + most))]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([p for p, _ in some], pa.binary()), pa.array([v for _, v in some], pa.binary())],
                     names=["doc_id", "y", "places", "values"],
@@ -106,36 +106,48 @@ def train_ngram_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500)
 
     rows = sorted(sample.select("doc_id", "text", "y").mapInArrow(job, "doc_id long, y int, places binary, values binary").collect())
     y = np.array([r.y for r in rows])
-    place = [np.frombuffer(r.places, "<u2") for r in rows]
-    row, value = np.repeat(np.arange(len(rows)), [len(p) for p in place]), np.concatenate([np.frombuffer(r["values"], "<f4") for r in rows])
-    place = np.concatenate(place).astype(np.int32)
+    texts = [(np.frombuffer(r.places, "<u2"), np.frombuffer(r["values"], "<f4")) for r in rows]
     fold = np.arange(len(rows)) % 4 == 3
-    w, b = _fit(row, place, value, y, ~fold, size)
+    w, b = _fit(texts, y, ~fold, size)
     held = fold if len(set(y[fold])) == 2 else np.ones(len(y), bool)
-    logit = np.bincount(row, w[place] * value, minlength=len(rows)) + b
+    logit = np.array([w[place] @ value for place, value in texts]) + b
     slope, offset = scale_and_shift(logit[held], y[held], class_weights(y[held], totals))
     return NgramModel(w.reshape(KINDS, -1).astype(np.float32), slope, float(slope * b + offset))
 
 
-def _fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, use: np.ndarray, size: int, steps: int = 120) -> tuple[np.ndarray, float]:
-    """Weights and offset of a balanced logistic regression on sparse inputs."""
-    share = np.where(use, 0.5 / np.maximum(np.bincount(y[use], minlength=2), 1)[y], 0)
-    n = len(y)
+def _fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, use: np.ndarray, size: int, epochs: int = 24, batch: int = 128) -> tuple[np.ndarray, float]:
+    """Weights and offset of a balanced logistic regression on sparse inputs, by
+    Adam over small batches (300 at least); the mean of the last third of the steps."""
+    rng, use = np.random.default_rng(3), np.flatnonzero(use)
+    epochs = max(epochs, -(-300 * batch // len(use)))
+    share = (0.5 / np.maximum(np.bincount(y[use], minlength=2), 1))[y] * len(use)
+    order = np.concatenate([rng.permutation(use) for _ in range(epochs)])
+    batches = iter([order[a : a + batch] for a in range(0, len(order), batch)])
+    steps = -(-len(order) // batch)
+    mean, at = [np.zeros(size), 0.0], 0
 
     def grads(p):
-        error = share * (sigmoid(np.bincount(row, p[0][place] * value, minlength=n) + p[1]) - y)
+        nonlocal at
+        some = next(batches)
+        place, value = (np.concatenate([texts[i][k] for i in some]) for k in range(2))
+        row = np.repeat(np.arange(len(some)), [len(texts[i][0]) for i in some])
+        if at >= steps - steps // 3:
+            mean[0] += p[0] / (steps // 3)
+            mean[1] += p[1] / (steps // 3)
+        at += 1
+        error = share[some] * (sigmoid(np.bincount(row, p[0][place] * value, minlength=len(some)) + p[1]) - y[some]) / len(some)
         return np.bincount(place, error[row] * value, minlength=size) + RIDGE * p[0], error.sum()
 
-    w, b = adam([np.zeros(size), np.float64(0)], grads, steps, 0.1)
-    return w, float(b)
+    adam([np.zeros(size), np.float64(0)], grads, steps, 0.03)
+    return mean[0], float(mean[1])
 
 
-def _repeats(part: Slice, hashes: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _repeats(part: Slice, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each text: repeated lines, and words in repeated 3-word windows."""
     starts, ends, doc = part.lines()
     solid = np.searchsorted(part.starts, ends) > np.searchsorted(part.starts, starts)
     starts, ends, doc = starts[solid], ends[solid], doc[solid]
-    key = span_hash(prefix, starts, ends, "byte") + mix(doc.astype(np.uint64))
+    key = span_hash(part.data, starts, ends) + mix(doc.astype(np.uint64))
     _, seen = np.unique(key, return_index=True)
     lines = np.bincount(doc, minlength=part.n) - np.bincount(doc[seen], minlength=part.n)
     grams = gram_hash(hashes, 3)
@@ -163,13 +175,12 @@ def quality_rules(docs: DataFrame, model: NgramModel, limits: Limits = Limits())
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, part in slices(b.column(1)):
-                prefix = byte_prefix(part.data)
-                hashes = span_hash(prefix, part.starts, part.ends, "byte")
+                hashes = part.hashes()
                 solid = np.zeros(len(part.data) + 1, np.int8)
                 np.add.at(solid, part.starts, 1)
                 np.add.at(solid, part.ends, -1)
                 chars = part.per_text((np.cumsum(solid[:-1], dtype=np.int8) > 0) & ((part.data & 0xC0) != 0x80))
-                lines, repeats = _repeats(part, hashes, prefix)
+                lines, repeats = _repeats(part, hashes)
                 n = part.counts
                 failed = (n < limits.min_words) | (100 * repeats > limits.repeat_percent * n)
                 probability = sigmoid(model.slope * _logits(part, hashes, model.weights) + model.offset)

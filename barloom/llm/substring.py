@@ -11,8 +11,8 @@ contexts (the ends of a passage, edited copies) it extends word by word: the
 hash of each of its windows is compared.  Windows that meet or overlap merge to
 maximal repeats.  So work and rows follow the text, and never the pairs of
 documents that share it: extending pair by pair would compare all pairs of an
-anchor that many documents hold.  Equality rests on 128 bits of hash (anchor and
-context, anchor and window).
+anchor that many documents hold.  Equality rests on 128 bits of hash: anchors are
+hashed in one lane, contexts and windows in the other, down to the words.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import left_lookup, written
-from barloom.llm.textkit import U64, Slice, _prefix, mix, ranges, slices, span_hash
+from barloom.llm.textkit import U64, Slice, gram_hash, mix, ranges, slices
 
 
 def _leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -43,9 +43,7 @@ def _anchors_of(part: Slice, window: int, k: int) -> tuple[np.ndarray, ...]:
     words = part.hashes()
     if len(words) < window:
         return (np.zeros(0, np.int64),) * 6
-    prefix = _prefix(words, "word")
-    place = np.arange(len(words) - k + 1)
-    grams = span_hash(prefix, place, place + k, "word")
+    grams, whole = gram_hash(words, k), gram_hash(part.hashes(1), window)
     at = _leftmost_min(grams, window - k + 1)
     p = np.flatnonzero(np.arange(len(at)) + window <= part.first[1:][part.doc[: len(at)]])
     if not len(p):
@@ -54,7 +52,8 @@ def _anchors_of(part: Slice, window: int, k: int) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1) | (part.doc[p[1:]] != part.doc[p[:-1]])]))
     n = np.diff(np.append(begin, len(p)))
     lo, a = p[begin], a[begin]
-    context = mix(span_hash(prefix, lo, lo + n - 1 + window, "word") ^ mix((n * 1024 + a - lo).astype(U64)))
+    # the first and the last window cover the context
+    context = mix(whole[lo] + mix(whole[lo + n - 1]) + mix((n * 1024 + a - lo).astype(U64)))
     doc = part.doc[lo]
     return grams[a].view(np.int64), context.view(np.int64), doc, (lo - part.first[doc]), n, a - lo
 
@@ -87,11 +86,11 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 of = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy(zero_copy_only=False))
                 flat = lists.flatten()
                 gram, start, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                prefix = _prefix(part.hashes(), "word")
+                whole = gram_hash(part.hashes(1), window)
                 at = ranges(part.first[of] + start, n)
                 fits = at + window <= np.repeat(part.first[of + 1], n)
                 at, who, gram = at[fits], np.repeat(of, n)[fits], np.repeat(gram, n)[fits]
-                h = span_hash(prefix, at, at + window, "word")
+                h = whole[at]
                 ids, versions = (b.column(i).to_numpy(zero_copy_only=False)[lo:hi] for i in range(2))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(gram), pa.array(h.view(np.int64)), pa.array(ids[who]), pa.array(versions[who]), pa.array((at - part.first[who]).astype(np.int32))],

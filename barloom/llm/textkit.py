@@ -1,4 +1,4 @@
-"""Words, lines and rolling hashes of many texts at once, in numpy.
+"""Words, lines and their hashes of many texts at once, in numpy.
 
 Texts lie one after the other in one byte array.  A word is a run of bytes
 other than ``20`` and ``09-0D`` (hex); that equals ``[^\\x20\\x09-\\x0D]+`` on code
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 21
@@ -21,22 +22,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_CODE = np.random.default_rng(20240607).integers(1, 2**64, 256, dtype=np.uint64)
-_BASES = {"byte": 0x9E3779B97F4A7C15 | 1, "word": 0xD6E8FEB86659FD93 | 1}
-_POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of an odd base and of its inverse modulo 2**64."""
-    if kind not in _POWERS or len(_POWERS[kind][0]) < n:
-        size = 1 << max(n, 1 << 16).bit_length()
-        rows = []
-        for base in (_BASES[kind], pow(_BASES[kind], -1, 2**64)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            rows.append(np.cumprod(steps))
-        _POWERS[kind] = (rows[0], rows[1])
-    return _POWERS[kind]
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 512
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -49,28 +38,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _prefix(values: np.ndarray, kind: str) -> np.ndarray:
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * _powers(kind, len(values) + 1)[0][: len(values)], out=out[1:])
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of spans of bytes by their contents; lanes differ in every step.
+
+    Eight bytes at a time are taken in and mixed, so no arrangement of parts
+    cancels out; spans over ``LONG_SPAN`` bytes are hashed by xxHash.
+    """
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(_ODD[lane]))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left, h = starts[live], size[live], out[live]
+    while len(live):
+        h = mix((h ^ (words[at] & _LOW_BYTES[np.minimum(left, 8)])) + U64(_ODD[lane]))
+        over = left <= 8
+        out[live[over]] = h[over]
+        more = ~over
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), _ODD[lane])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str) -> np.ndarray:
-    """Hashes of spans that depend on their contents, not on their places."""
-    return mix((prefix[ends] - prefix[starts]) * _powers(kind, len(prefix))[1][starts])
-
-
-def byte_prefix(data: np.ndarray) -> np.ndarray:
-    return _prefix(_BYTE_CODE[data], "byte")
-
-
 def gram_hash(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of words i..i+k-1 for each i."""
-    if len(words) < k:
+    """Hash of words i..i+k-1 for each i, from hashes of 1, 2, 4, ... words."""
+    n = len(words) - k + 1
+    if n <= 0:
         return np.zeros(0, U64)
-    prefix = _prefix(words, "word")
-    at = np.arange(len(words) - k + 1)
-    return span_hash(prefix, at, at + k, "word")
+    out, at, size, level = None, 0, 1, words
+    while True:
+        if k & size:
+            piece = level[at : at + n]
+            out = piece if out is None else mix(out * U64(_ODD[0]) + piece)
+            at += size
+        if 2 * size > k:
+            return mix(out + U64(k))
+        level = mix(level[:-size] * U64(_ODD[1]) + level[size:])
+        size *= 2
 
 
 @dataclass
@@ -92,8 +98,8 @@ class Slice:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return span_hash(byte_prefix(self.data), self.starts, self.ends, "byte")
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        return span_hash(self.data, self.starts, self.ends, lane)
 
     def lower(self) -> np.ndarray:
         return _LOWER[self.data]

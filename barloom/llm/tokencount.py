@@ -219,7 +219,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
         cutter, cache = automaton(vocabulary), counted(vocabulary)
         for b in batches:
             for lo, hi, part in slices(b.column(1), SLICE):
-                per_word = cache.get(part.hashes(), lambda i: cutter.counts(part.data, part.starts[i], part.ends[i] - part.starts[i]))
+                per_word = cache.get(part.hashes(), part.hashes(1), lambda i: cutter.counts(part.data, part.starts[i], part.ends[i] - part.starts[i]))
                 total = np.concatenate([[0], np.cumsum(per_word)])
                 tokens = total[part.first[1:]] - total[part.first[:-1]]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(part.counts.astype(np.int64)), pa.array(tokens.astype(np.int64))], names=["doc_id", "n_words", "n_tokens"])

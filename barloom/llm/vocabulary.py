@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from barloom.llm.textkit import Slice, byte_prefix, ranges, slices, span_hash
+from barloom.llm.textkit import Slice, ranges, slices, span_hash
 
 SLICE = 1 << 22
 CACHE_BITS = 22
@@ -32,19 +32,24 @@ class WordCache:
     def __init__(self, bits: int = CACHE_BITS) -> None:
         self.mask = np.uint64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
+        self.checks = np.zeros(1 << bits, np.uint64)
         self.values = np.full(1 << bits, -1, np.int32)
 
-    def get(self, hashes: np.ndarray, compute: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """The number of each word; ``compute`` gets places of unknown words."""
+    def get(self, hashes: np.ndarray, checks: np.ndarray, compute: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The number of each word, told apart by both hashes (128 bits);
+        ``compute`` gets places of unknown words."""
         slot = (hashes & self.mask).astype(np.int64)
         value = self.values[slot]
-        miss = np.flatnonzero((self.keys[slot] != hashes) | (value < 0))
+        miss = np.flatnonzero((self.keys[slot] != hashes) | (self.checks[slot] != checks) | (value < 0))
         if len(miss):
-            keys, first, which = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            new = compute(miss[first]).astype(np.int32)
-            value[miss] = new[which]
-            at = (keys & self.mask).astype(np.int64)
-            self.keys[at], self.values[at] = keys, new
+            order = miss[np.lexsort((checks[miss], hashes[miss]))]
+            key, check = hashes[order], checks[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+            found = compute(order[new]).astype(np.int32)
+            value[order] = found[np.cumsum(new) - 1]
+            at = (key[new] & self.mask).astype(np.int64)
+            self.keys[at], self.checks[at], self.values[at] = key[new], check[new], found
         return value
 
     def clear(self) -> None:
@@ -108,7 +113,8 @@ class WordEncoder:
                 self._clear()
             data, starts, ends = units(part)
             raw = data.tobytes()
-            row = self.cache.get(span_hash(byte_prefix(data), starts, ends, "byte"), lambda i: self._learn(raw, starts[i].tolist(), ends[i].tolist()))
+            lanes = (span_hash(data, starts, ends, lane) for lane in range(2))
+            row = self.cache.get(*lanes, lambda i: self._learn(raw, starts[i].tolist(), ends[i].tolist()))
             size = self.begin[row + 1] - self.begin[row]
             flat = self.ids[ranges(self.begin[row], size)]
             total = np.concatenate([[0], np.cumsum(size)])
