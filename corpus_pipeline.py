@@ -37,9 +37,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or
-    more) the smallest doc_id stays, in one row; rows without an id belong to no group and stay."""
-    first = near_duplicate_groups(docs).where("doc_id = component_id").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    more) the row of the smallest doc_id stays; groups are of texts, so an id with
+    several texts may stay with some of them.  Rows without an id belong to no group and stay."""
+    first = near_duplicate_groups(docs).where("kept").select("doc_id", "version").distinct()
+    told = docs.withColumn("version", F.xxhash64(F.col("text").cast("string")))
+    kept = told.join(first, ["doc_id", "version"], "left_semi").groupBy("doc_id", "version").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
     return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
@@ -47,11 +49,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document once for each pass that
     takes it; where a target ends inside one, its first words.
 
-    Ids are unique after the stage before; rows without one are told apart by a
-    hash of their contents, beside the id and never in its place.
+    Rows without an id or with the same one are told apart by a hash of their
+    contents, beside the id and never in its place.
     """
     docs = docs.withColumn("mark", F.xxhash64("text", "lang", "source")).withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("lone", F.col("doc_id").isNull())
-    mix = mix_sources(docs.select("doc_id", "text", "source", "mark"))
+    mix = mix_sources(docs.select("doc_id", "text", "source", "mark"), mark=F.col("mark"))
     passes = mix.taken.join(mix.rows, ["sid", "bucket", "nth"])
     passes = passes.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("lone"), "mark", "size", "got")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("got").cast("int")), " ")
