@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from barloom.operators import quant as q
 from barloom.operators import scans as s
 from barloom.operators import screeners as sc
 from barloom.operators import technical as t
-from barloom.plans import oracles_analytics, oracles_calendar, oracles_portfolio, oracles_quant, oracles_stream, oracles_technical
+from barloom.plans import oracles_analytics, oracles_calendar, oracles_portfolio, oracles_quant, oracles_stored, oracles_stream, oracles_technical, stored
 from barloom.plans.oracles_analytics import MIX, TRIO
 from barloom.plans.oracles_calendar import AS_OF
 from barloom.plans.oracles_portfolio import STATEMENTS
@@ -196,7 +195,7 @@ def _stamp(*names: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def _averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = st.run_to_memory(st.running_average(st.event_stream(spark, sf_dir)), f"averages_{uuid.uuid4().hex}", shared_dir(spark))
+    out = st.run_updates(st.running_average(st.event_stream(spark, sf_dir)), shared_dir(spark), "symbol", "n")
     return out.select("symbol", F.round("average", 6).alias("average"), "n")
 
 
@@ -353,5 +352,6 @@ QUERIES: dict[str, Query] = {
     "stream_session_users": _streamed(st.user_sessions, _stamp("start", "stop")),
     "stream_ema_state": _averages,
     "regime_composite": lambda spark, d: k.composite_scores(features(spark, d)),
+    **stored.QUERIES,
 }
-ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES, **oracles_portfolio.ORACLES, **oracles_stream.ORACLES}
+ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES, **oracles_portfolio.ORACLES, **oracles_stream.ORACLES, **oracles_stored.ORACLES}

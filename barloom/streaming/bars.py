@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barloom.sources.bars import cents
+from barloom.sources.versions import BarStore
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -75,12 +76,45 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_to_memory(stream: DataFrame, name: str, folder: str) -> DataFrame:
-    """Take in all there is in update mode, with the state in ``folder``; for a few
-    rows of running state."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/{name}").start()
+def run_updates(stream: DataFrame, folder: str, key: str, order: str) -> DataFrame:
+    """Take in all there is in update mode; of each ``key`` the row with the greatest
+    ``order``.  A batch's rows go to a folder of their own, which a replay writes anew."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    q = stream.writeStream.foreachBatch(put).outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start()
+    q.awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+    others = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("row")).select(key, "row.*")
+
+
+def restating_sink(stream: DataFrame, root: str, checkpoint: str, name: str = "corrections", restate: bool = True) -> BarStore:
+    """Bars from a stream into a store of versions: missing ones are added, stored ones
+    take the adjusted close of late corrections.  A batch makes one version; one that
+    is replayed after a failure makes none again."""
+    store = BarStore(stream.sparkSession, root)
+
+    def put(batch: DataFrame, number: int) -> None:
+        store.upsert(batch, name, number, restate)
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return store
+
+
+def in_order(rows: DataFrame, folder: str, column: str, cuts: list) -> DataFrame:
+    """``rows`` as a stream of files, a batch each: those below the first cut of ``column``,
+    then up to the next, and so on.  Files are written one after the other, since a
+    stream takes them by their time."""
+    edges = [None, *cuts, None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        inside = F.lit(True) if lo is None else F.col(column) >= F.lit(lo)
+        inside = inside if hi is None else inside & (F.col(column) < F.lit(hi))
+        rows.where(inside).coalesce(1).write.mode("append").parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def merge_bars(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
