@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from barloom.plans.oracles_analytics import _with
 from barloom.plans.oracles_stream import ORACLES as STREAMS
-from barloom.sources.bars import BARS_SQL
+from barloom.sources.bars import BARS_SQL, STOCKS_SQL
 
 _BATCH = "CASE WHEN date < DATE '1999-07-01' THEN 0 WHEN date < DATE '2000-01-01' THEN 1 WHEN date < DATE '2001-01-01' THEN 2 ELSE 3 END"
 _TRADES = "trades AS (SELECT event_type AS symbol, ts, event_id AS id, CAST((10000 + floor(value * 100)) / 100.0 AS DOUBLE) AS price FROM events)"
@@ -20,7 +20,41 @@ _OFFSET = "CASE exchange " + " ".join(f"WHEN '{x}' THEN CASE WHEN ts >= TIMESTAM
 _HOURS = "hours(exchange, opens, closes) AS (VALUES ('NEWYORK', 570, 960), ('LONDON', 480, 990), ('TOKYO', 540, 900))"
 _OFF = "off(exchange, date) AS (VALUES ('NEWYORK', DATE '2024-03-29'), ('LONDON', DATE '2024-03-29'), ('TOKYO', DATE '2024-03-20'), ('TOKYO', DATE '2024-11-04'))"
 
+_SNAPSHOTS = """q AS (SELECT symbol, date_trunc('quarter', date) AS q, floor(max(close)) / 50.0::DOUBLE AS eps, count(*) AS n_bars FROM stocks GROUP BY ALL),
+    dated AS (SELECT *, CAST(q + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS valid_from FROM q),
+    codes(symbol, code) AS (SELECT symbol, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(symbol) + 1), lambda i: ascii(symbol[i])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) FROM (SELECT DISTINCT symbol FROM stocks)),
+    late AS (SELECT d.*, CAST(20 + xor(code, 4294967295) % 40 AS INTEGER) AS lag FROM dated d JOIN codes USING (symbol)),
+    snaps AS (
+        SELECT symbol, valid_from, valid_from + lag AS recorded_at, (year(q) + month(q)) % 5 <> 0 AS ok, eps, n_bars FROM late
+        UNION ALL SELECT symbol, valid_from, valid_from + lag + 120, true, eps * 2, n_bars FROM late WHERE n_bars % 3 = 0)"""
+_SEEN = "s.valid_from, CAST(s.recorded_at AS VARCHAR) AS recorded_at, s.eps, s.n_bars"
+#: No later good snapshot that was seen as well: a self-join.
+_NONE_LATER = "NOT EXISTS (FROM snaps t WHERE t.symbol = s.symbol AND t.ok AND {seen} AND (t.valid_from > s.valid_from OR (t.valid_from = s.valid_from AND t.recorded_at > s.recorded_at)))"
+_KNOWN = "t.valid_from <= {v} AND t.recorded_at <= {r}"
+
 ORACLES = {
+    "members_from_pages": """SELECT CAST(page_id AS VARCHAR) AS page_id, upper(substr(n_name, 1, 4)) || '-' || n_nationkey AS symbol, n_name || ' & Co' AS name, 'Sector ' || (n_nationkey % 2) AS sector, n_name || ' works' AS industry
+        FROM pages JOIN nation ON n_regionkey = page_id % 5 WHERE page_id % 3 = 0""",
+    "page_table_counts": """SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(count(n_name) AS INTEGER) AS n_rows, CAST(page_id % 3 = 0 AS INTEGER) AS n_tables, CAST(page_id % 33 = 0 AS INTEGER) AS n_unclosed, 0 AS n_stray, 0 AS n_bad_spans
+        FROM pages LEFT JOIN nation ON n_regionkey = page_id % 5 AND page_id % 3 = 0 GROUP BY page_id""",
+    "snapshots_as_of": _with(
+        STOCKS_SQL,
+        _SNAPSHOTS,
+        "moments(moment, v, r) AS (VALUES (0, DATE '1995-06-30', TIMESTAMP '1995-06-30 12:00:00'), (1, DATE '1996-12-31', TIMESTAMP '1998-01-01'), (2, DATE '1998-09-30', TIMESTAMP '1996-03-31 09:00:00'))",
+        f"SELECT s.symbol, moment, {_SEEN} FROM moments JOIN snaps s ON s.ok AND s.valid_from <= v AND s.recorded_at <= r WHERE {_NONE_LATER.format(seen=_KNOWN.format(v='v', r='r'))}",
+    ),
+    "snapshots_for_bars": _with(
+        STOCKS_SQL,
+        _SNAPSHOTS,
+        f"found AS (SELECT b.symbol, b.date, s.valid_from, s.recorded_at, s.eps, s.n_bars FROM stocks b JOIN snaps s ON s.symbol = b.symbol AND s.ok AND s.valid_from <= b.date AND s.recorded_at <= b.date QUALIFY row_number() OVER (PARTITION BY b.symbol, b.date ORDER BY s.valid_from DESC, s.recorded_at DESC) = 1)",
+        f"SELECT b.symbol, b.date AS valid, {_SEEN} FROM stocks b LEFT JOIN found s USING (symbol, date)",
+    ),
+    "snapshots_latest": _with(STOCKS_SQL, _SNAPSHOTS, f"SELECT s.symbol, {_SEEN} FROM snaps s WHERE s.ok AND {_NONE_LATER.format(seen='true')}"),
+    "snapshot_refreshes": _with(
+        STOCKS_SQL,
+        _SNAPSHOTS,
+        "SELECT strftime(recorded_at, '%Y-%m') AS run, count(DISTINCT symbol) FILTER (WHERE ok) AS succeeded, count(DISTINCT symbol) FILTER (WHERE NOT ok) AS failed FROM snaps GROUP BY 1",
+    ),
     "stream_restatement": _with(
         BARS_SQL,
         """SELECT symbol, date, open, high, low, close, CASE WHEN date >= DATE '1999-01-01' AND day(date) <> 13 THEN round(close / 2, 6) ELSE adjusted_close END AS adjusted_close, volume

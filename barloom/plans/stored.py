@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.sources.bars import bars, cents, table
+from barloom.operators import snapshots as sn
+from barloom.sources.bars import bars, bars_stock, cents, table
+from barloom.sources.markup import index_members, page_tables
 from barloom.sources.scratch import shared_dir
 from barloom.sources.versions import COUNTS, BarStore
 from barloom.streaming import bars as st
@@ -90,7 +92,83 @@ def session_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
+def planted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page; those with an id divisible by 3 end with a table of the nations of
+    one region, sectors in cells over several rows and some names over two columns.
+    Of those divisible by 11 too the table never ends, nor do its rows and cells."""
+    n = table(spark, sf_dir, "nation").withColumn("sector", F.col("n_nationkey") % 2)
+    group, one = Window.partitionBy("n_regionkey", "sector"), Window.partitionBy("n_regionkey", "sector").orderBy("n_nationkey")
+    n = n.withColumn("first", F.row_number().over(one) == 1).withColumn("size", F.count("*").over(group))
+    name = F.concat("n_name", F.lit(" &amp; Co"))
+    security = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit('<td colspan="2">'), name, F.lit("</td>"))).otherwise(F.concat(F.lit("<td>"), name, F.lit("</td><td>filed</td>")))
+    sector = F.when(F.col("first"), F.format_string('<td rowspan="%d">Sector %d</td>', "size", "sector")).otherwise("")
+    row = F.concat(F.lit("<tr><td><a href='/q'> "), F.lower(F.substring("n_name", 1, 4)), F.lit("."), F.col("n_nationkey").cast("string"), F.lit("</a></td>"), security, sector, F.lit("<td>"), "n_name", F.lit(" works</td></tr>"))
+    rows = n.select("n_regionkey", F.struct("sector", "n_nationkey", row.alias("row")).alias("r"))
+    head = "<table class='wide'><tr><th>Symbol</th><th>Security</th><th>Filings</th><th>GICS Sector</th><th>GICS Sub-Industry</th></tr>"
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"]), "")
+    regions = rows.groupBy(F.col("n_regionkey").alias("region")).agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("markup"))
+    pages = table(spark, sf_dir, "pages").withColumn("region", F.col("page_id") % 5).join(regions, "region", "left")
+    markup = F.when(F.col("page_id") % 11 == 0, F.regexp_replace("markup", "</(table|tr|td)>", "")).otherwise(F.col("markup"))
+    return pages.select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat("html", markup)).otherwise(F.col("html")).alias("html"))
+
+
+def members_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_members(page_tables(planted_pages(spark, sf_dir)))
+
+
+def page_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_tables(planted_pages(spark, sf_dir))
+    return found.select("page_id", F.size("rows").alias("n_rows"), "n_tables", "n_unclosed", "n_stray", "n_bad_spans")
+
+
+#: Fixed values: (valid, recorded) of three reads.
+MOMENTS = [("1995-06-30", "1995-06-30 12:00:00"), ("1996-12-31", "1998-01-01 00:00:00"), ("1998-09-30", "1996-03-31 09:00:00")]
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-time facts of each stock and quarter: recorded some weeks later, corrected
+    after four months where the quarter's days allow, and failing now and then."""
+    b = bars_stock(spark, sf_dir)
+    q = b.groupBy("symbol", F.trunc("date", "quarter").alias("q")).agg((F.floor(F.max("close")) / 50.0).alias("eps"), F.count("*").alias("n_bars"))
+    q = q.withColumn("valid_from", F.last_day(F.add_months("q", 2)))
+    lag = (20 + F.crc32(F.col("symbol").cast("binary")) % 40).cast("int")
+    at = lambda days: F.date_add("valid_from", days).cast("timestamp")
+    failed = (F.year("q") + F.month("q")) % 5 == 0
+    first = q.select("symbol", "valid_from", at(lag).alias("recorded_at"), (~failed).alias("ok"), F.when(~failed, F.col("eps")).alias("eps"), F.when(~failed, F.col("n_bars")).alias("n_bars"))
+    again = q.where("n_bars % 3 = 0").select("symbol", "valid_from", at(lag + 120).alias("recorded_at"), F.lit(True).alias("ok"), (F.col("eps") * 2).alias("eps"), "n_bars")
+    return first.unionByName(again)
+
+
+_SEEN = ["valid_from", "recorded_at", "eps", "n_bars"]
+
+
+def snapshots_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sn.as_of(snapshots(spark, sf_dir), MOMENTS)
+    return found.select("symbol", "moment", *_SEEN[:1], F.date_format("recorded_at", "yyyy-MM-dd").alias("recorded_at"), "eps", "n_bars")
+
+
+def snapshots_for_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was known of a stock at the close of each of its bars."""
+    asks = bars_stock(spark, sf_dir).select("symbol", F.col("date").alias("valid"), F.col("date").cast("timestamp").alias("recorded"))
+    found = sn.as_of_join(asks, snapshots(spark, sf_dir))
+    return found.select("symbol", "valid", *_SEEN[:1], F.date_format("recorded_at", "yyyy-MM-dd").alias("recorded_at"), "eps", "n_bars")
+
+
+def snapshots_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sn.latest(snapshots(spark, sf_dir)).select("symbol", "valid_from", F.date_format("recorded_at", "yyyy-MM-dd").alias("recorded_at"), "eps", "n_bars")
+
+
+def snapshot_refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sn.refresh_counts(snapshots(spark, sf_dir), F.date_format("recorded_at", "yyyy-MM"))
+
+
 QUERIES = {
+    "members_from_pages": members_from_pages,
+    "page_table_counts": page_table_counts,
+    "snapshots_as_of": snapshots_as_of,
+    "snapshots_for_bars": snapshots_for_bars,
+    "snapshots_latest": snapshots_latest,
+    "snapshot_refreshes": snapshot_refreshes,
     "stream_restatement": restated,
     "ingest_runs": ingest_runs,
     "stream_ema_batches": averages_in_batches,
