@@ -21,6 +21,17 @@ def for_symbols(bars: DataFrame, symbols: DataFrame) -> DataFrame:
     return symbols.select("symbol").distinct().join(bars, "symbol", "left")
 
 
+def for_ranges(bars: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Bars of ``symbol`` from ``start`` to ``stop`` (both included) for each row of ``ranges``.
+
+    ``bars`` are in partitions of ``year``; a range meets them on symbol and year, so
+    Spark prunes the years that no range touches while it runs.  Ranges of a symbol
+    that overlap give a bar once for each."""
+    years = F.explode(F.sequence(F.year("start"), F.year("stop")))
+    wanted = ranges.where(c("start") <= c("stop")).withColumn("year", years)
+    return bars.join(wanted, ["symbol", "year"]).where((c("date") >= c("start")) & (c("date") <= c("stop"))).drop("year")
+
+
 def clean_candles(bars: DataFrame) -> DataFrame:
     """Valid candles with their place ``pos`` before the invalid ones went.
 

@@ -17,7 +17,7 @@ from barloom.operators import quant as q
 from barloom.operators import scans as s
 from barloom.operators import screeners as sc
 from barloom.operators import technical as t
-from barloom.plans import oracles_analytics, oracles_calendar, oracles_portfolio, oracles_quant, oracles_stored, oracles_stream, oracles_technical, stored
+from barloom.plans import cleaned, oracles_analytics, oracles_calendar, oracles_cleaned, oracles_portfolio, oracles_quant, oracles_stored, oracles_stream, oracles_technical, stored
 from barloom.plans.oracles_analytics import MIX, TRIO
 from barloom.plans.oracles_calendar import AS_OF
 from barloom.plans.oracles_portfolio import STATEMENTS
@@ -272,7 +272,6 @@ QUERIES: dict[str, Query] = {
     "evar_risk": on_bars(q.evar_risk),
     "momentum_reversal": on_bars(q.momentum_reversal),
     "avalanches": lambda spark, d: q.avalanches(bars(spark, d)).withColumn("size", F.round("size", 6)),
-    "soc_avalanche": on_bars(q.avalanche_power_law),
     "wavelet_trend": on_bars(q.wavelet_trend),
     "crash_warning": on_bars(q.crash_warning),
     "crash_validation": on_bars(q.crash_validation),
@@ -338,7 +337,6 @@ QUERIES: dict[str, Query] = {
     "garch_leverage_test": on_bars(m.leverage_test),
     "first_passage_time": on_bars(m.first_passage),
     "ema_bollinger_atr_backtest": _grid,
-    "ema_bollinger_atr_trades": on_bars(m.band_trades),
     "rotation_backtest": _rotations,
     "rotation_summary": lambda spark, d: m.rotation_summary(_rotations(spark, d)),
     "randomized_simulation": lambda spark, d: m.random_portfolios(bars(spark, d), "NO", flat=1.0).drop("path"),
@@ -353,5 +351,6 @@ QUERIES: dict[str, Query] = {
     "stream_ema_state": _averages,
     "regime_composite": lambda spark, d: k.composite_scores(features(spark, d)),
     **stored.QUERIES,
+    **cleaned.QUERIES,
 }
-ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES, **oracles_portfolio.ORACLES, **oracles_stream.ORACLES, **oracles_stored.ORACLES}
+ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES, **oracles_portfolio.ORACLES, **oracles_stream.ORACLES, **oracles_stored.ORACLES, **oracles_cleaned.ORACLES}

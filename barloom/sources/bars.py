@@ -55,21 +55,27 @@ _STORE: dict[tuple, str] = {}
 
 
 def _version(spark: SparkSession, path: str) -> tuple:
-    """Time and size of a file, or of a folder's files."""
+    """Time and size of a file, or of all files in a folder and its folders."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    listed = files.listStatus(where)
-    return tuple(sorted((x.getPath().getName(), x.getModificationTime(), x.getLen()) for x in listed))
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(where, True)
+    found = []
+    while files.hasNext():
+        x = files.next()
+        found.append((x.getPath().toString(), x.getModificationTime(), x.getLen()))
+    return tuple(sorted(found))
 
 
-def stored(spark: SparkSession, name: str, sources: list[str], make, bucketed: bool = True) -> DataFrame:
-    """The rows that ``make()`` gives, from a table (in buckets of the symbol) if
-    ``sources`` are what they were when it was written."""
+def stored(spark: SparkSession, name: str, sources: list[str], make, bucketed: bool = True, by_year: bool = False) -> DataFrame:
+    """The rows that ``make()`` gives, from a table (in buckets of the symbol; ``by_year``:
+    in partitions of ``year`` too) if ``sources`` are what they were when it was written."""
     key = (spark.conf.get("spark.app.id"), name, *sources, *(_version(spark, x) for x in sources))
     if key not in _STORE or not spark.catalog.tableExists(_STORE[key]):
         made, n = f"barloom_{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = make()
-        writer = rows.repartition(n, "symbol").write.bucketBy(n, "symbol").sortBy("symbol", "date") if bucketed else rows.write
+        if by_year:
+            writer = rows.withColumn("year", F.year("date")).repartition(n, "symbol").write.partitionBy("year").bucketBy(n, "symbol").sortBy("symbol", "date")
+        else:
+            writer = rows.repartition(n, "symbol").write.bucketBy(n, "symbol").sortBy("symbol", "date") if bucketed else rows.write
         writer.format("parquet").option("path", f"{shared_dir(spark)}/{made}").saveAsTable(made)
         _STORE[key] = made
     # one file a bucket: the scan may tell Spark that its rows are sorted
@@ -77,6 +83,19 @@ def stored(spark: SparkSession, name: str, sources: list[str], make, bucketed: b
     return spark.table(_STORE[key])
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Drop the tables of this application, with their files, and the setting that reading
+    them needs; gives their number."""
+    mine = [k for k in _STORE if k[0] == spark.conf.get("spark.app.id")]
+    for key in mine:
+        name = _STORE.pop(key)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    return len(mine)
+
+
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
@@ -85,6 +104,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, "bars", [f"{sf_dir}/lineitem.parquet"], lambda: _fund_bars(spark, sf_dir))
 
 
+def bars_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars in partitions of ``year``, for reads of a range of dates."""
+    return stored(spark, "years", [f"{sf_dir}/lineitem.parquet"], lambda: bars(spark, sf_dir), by_year=True)
+
+
 def _fund_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     trades = t.select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.to_date("l_shipdate").alias("date"), cents(F.col("l_extendedprice") / 10).alias("price"), F.col("l_quantity").alias("quantity"), F.struct(*LINE_KEY).alias("k"))
