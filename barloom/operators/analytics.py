@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +87,59 @@ def risk_metrics(bars: DataFrame, benchmark: str) -> DataFrame:
     return own.join(beta, "symbol", "left").select("symbol", r6("vol").alias("volatility_percent"), r6("beta").alias("beta"), r6((c("mean") - RISK_FREE) / c("vol")).alias("sharpe"), score.cast("long").alias("risk_score"))
 
 
+#: Symbols and days on the sides of a tile of returns.
+TILE = 64
+
+
+def _tile(symbols: list[str], days: list[int], values: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tile's symbols, and its days by symbols: values (0 where absent) and presence."""
+    names, at = np.unique(np.array(symbols, object), return_inverse=True)
+    x, there = np.zeros((TILE, len(names))), np.zeros((TILE, len(names)))
+    x[days, at], there[days, at] = values, 1
+    return names, x, there
+
+
+def pair_moments(r: DataFrame, blocks: int) -> DataFrame:
+    """``a, b, n, x, y, xx, yy, xy``: for each pair a < b of ``r(symbol, date, r)`` the number of common
+    dates and sums of both returns, their squares and products.
+
+    Returns lie in tiles of about 64 symbols by 64 days; tiles of the same days meet, and
+    the sums of all their pairs are matrix products.  So a row goes out once for each
+    block of symbols, and a pair makes a row for each 64 days, not for each day.
+    """
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    rows = r.select("symbol", F.floor(day / TILE).alias("t"), F.pmod(day, F.lit(TILE)).alias("d"), "r", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("home"))
+    tiles = rows.groupBy("t", "home").agg(F.collect_list("symbol").alias("s"), F.collect_list("d").alias("d"), F.collect_list("r").alias("r"))
+    dealt = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("i", F.least("home", "other")).withColumn("j", F.greatest("home", "other"))
+    left = dealt.where("home = i").select("t", "i", "j", c("s").alias("s1"), c("d").alias("d1"), c("r").alias("r1"))
+    right = dealt.where("home = j").select("t", "i", "j", c("s").alias("s2"), c("d").alias("d2"), c("r").alias("r2"))
+    names = ["a", "b", "n", "x", "y", "xx", "yy", "xy"]
+
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            for row in f.itertuples(index=False):
+                one, x, p = _tile(row.s1, row.d1, row.r1)
+                two, y, q = _tile(row.s2, row.d2, row.r2)
+                sums = [p.T @ q, x.T @ q, p.T @ y, (x * x).T @ q, p.T @ (y * y), x.T @ y]
+                u, v = np.nonzero((sums[0] > 0) & ((one[:, None] < two[None, :]) if row.i == row.j else (one[:, None] != two[None, :])))
+                a, b, flip = one[u], two[v], one[u] > two[v]
+                n, sx, sy, sxx, syy, sxy = (m[u, v] for m in sums)
+                yield pd.DataFrame(dict(zip(names, (np.where(flip, b, a), np.where(flip, a, b), n.astype(int), np.where(flip, sy, sx), np.where(flip, sx, sy), np.where(flip, syy, sxx), np.where(flip, sxx, syy), sxy))))
+
+    parts = left.join(right, ["t", "i", "j"]).mapInPandas(job, "a string, b string, n long, x double, y double, xx double, yy double, xy double")
+    return parts.groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in names[2:]])
+
+
 def correlation_matrix(bars: DataFrame, at_least: int = 10, symbols: list[str] | None = None) -> DataFrame:
-    """Correlation of returns for each pair a < b of ``symbols`` (all) on their
-    common dates; rows before aggregation are symbols squared for each date."""
+    """Correlation of returns for each pair a < b of ``symbols`` (all) on their common dates;
+    0 on fewer than ``at_least`` dates, null where one of the two doesn't move."""
     r = returns(bars if symbols is None else bars.where(c("symbol").isin(symbols)))
-    pairs = r.select("date", c("symbol").alias("a"), c("r").alias("x")).join(r.select("date", c("symbol").alias("b"), c("r").alias("y")), "date").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho")).select("a", "b", "n", r6(F.when(c("n") >= at_least, c("rho")).otherwise(0.0)).alias("correlation"))
+    count = len(set(symbols)) if symbols is not None else bars.agg(F.approx_count_distinct("symbol")).first()[0]
+    g = pair_moments(r, max(1, -(-count // TILE)))
+    spread = lambda s, ss: ss - c(s) * c(s) / c("n")
+    x, y = spread("x", c("xx")), spread("y", c("yy"))
+    rho = F.when((x > 1e-14 * c("xx")) & (y > 1e-14 * c("yy")), (c("xy") - c("x") * c("y") / c("n")) / F.sqrt(x * y))
+    return g.select("a", "b", "n", r6(F.when(c("n") >= at_least, rho).otherwise(0.0)).alias("correlation"))
 
 
 def common_dates(bars: DataFrame, symbols: list[str]) -> DataFrame:
