@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from barloom.functions.series import numbered, so_far
 from barloom.operators import cleaning as cl
+from barloom.operators import cuts as cu
+from barloom.operators import facts as fx
+from barloom.operators import fund_screen as fs
 from barloom.operators import models as m
 from barloom.operators import quant as q
 from barloom.operators import scans as s
+from barloom.operators import screeners as sc
 from barloom.operators import tails
 from barloom.operators import technical as t
 from barloom.plans.results import Results, newest_date
-from barloom.sources.bars import bars, bars_by_year, table
+from barloom.sources.bars import bars, bars_by_year, bars_stock, table
+from barloom.sources.documents import parsed
+from barloom.sources.fundamentals import fund_documents
 from barloom.sources.scratch import shared_dir
 
 c = F.col
@@ -106,7 +112,80 @@ def model_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def labelled_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funds' payments with period labels and currencies: some funds pay half from a
+    date on, one changes its label then, one has stopped, one pays in another currency."""
+    from barloom.plans.catalogue import payments
+
+    late = c("ex_date") >= "1997-01-01"
+    p = payments(bars(spark, sf_dir)).where((c("symbol") != "RO") | (c("ex_date") < "1996-01-01"))
+    half = late & c("symbol").isin("AF", "NF")
+    period = F.when((c("symbol") == "NF") & late, "Semi-Annual").when(c("symbol") != "AO", "Quarterly")
+    return p.withColumn("amount", F.when(half, c("amount") / 2).otherwise(c("amount"))).withColumn("period", period).withColumn("currency", F.when(c("symbol") == "NO", "eur").when(c("symbol") != "RF", "USD"))
+
+
+#: Days on which payments are looked at: after a cut, and long after.
+CUT_DAYS = ("1998-03-31", "2001-06-30")
+
+
+def dividend_cut_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = labelled_payments(spark, sf_dir)
+    parts = [cu.cut_status(p, d).withColumn("as_of", F.lit(d)) for d in CUT_DAYS]
+    return parts[0].unionByName(parts[1])
+
+
+def payout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payouts where the statements of some funds name a currency and the provider's ratio."""
+    b = bars(spark, sf_dir)
+    more = F.expr("concat('{\"General\":{\"CurrencyCode\":\"usd\"},\"SplitsDividends\":{\"PayoutRatio\":\"0.4567\"},', substring(doc, 2))")
+    docs = parsed(fund_documents(b).withColumn("doc", F.when(c("symbol").isin("AF", "NO", "RF"), more).otherwise(c("doc"))))
+    p = labelled_payments(spark, sf_dir)
+    return cu.payout_report(fx.payout_bases(docs, p, PAYOUT_DAY), docs, p, PAYOUT_DAY)
+
+
+PAYOUT_DAY = "2001-06-30"
+
+
+def fund_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of the stocks as funds, and inputs made from their parts, some of them missing."""
+    p = sc.price_inputs(bars_stock(spark, sf_dir)).select("symbol", "close", "high", "low", "sma200")
+    size = table(spark, sf_dir, "part").groupBy(c("p_brand").alias("symbol")).agg(F.sum(c("p_size").cast("long")).alias("s"))
+    some = lambda k, x, name: F.expr(f"CASE WHEN s % {k} <> 0 THEN {x} END").alias(name)
+    return p.join(size, "symbol").select("symbol", "close", "high", "low", "sma200", *[some(k, x, name) for name, (k, x) in FUND_FIELDS.items()])
+
+
+#: Inputs of the funds over a brand's total size ``s``; missing where s is a multiple of the number.
+FUND_FIELDS = {
+    "earnings_growth": (5, "CAST(s % 60 AS DOUBLE) / 100"),
+    "revenue_growth": (7, "CAST(s % 45 AS DOUBLE) / 100"),
+    "roe": (4, "CAST(s % 33 AS DOUBLE) / 100"),
+    "float_shares": (6, "(s % 100) * 10000000"),
+    "institutional": (9, "CAST(s % 100 AS DOUBLE) / 100"),
+}
+
+
+def fund_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = fund_inputs(spark, sf_dir)
+    members = table(spark, sf_dir, "part").select(c("p_brand").alias("symbol")).distinct().unionByName(spark.createDataFrame([("Nobody",)], "symbol string"))
+    return fs.ranked(fs.scored(inputs), members)
+
+
+def simulation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows inside the history, wider than it, too short, and with a benchmark without prices."""
+    b = bars(spark, sf_dir)
+    asks = [("NO", "AF", "1994-01-01", "1996-12-31"), ("NO", "AF", "1990-01-01", "2010-01-01"), ("NO", "NO", "1995-01-01", "1995-01-15"), ("RF", "ZZ", None, "1995-12-31")]
+    parts = [m.simulation_window(b, x, y, start, stop, flat=1.0).withColumn("ask", F.lit(k)) for k, (x, y, start, stop) in enumerate(asks)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 QUERIES = {
+    "dividend_cut_status": dividend_cut_status,
+    "payout_report": payout_report,
+    "fund_ranking": fund_ranking,
+    "simulation_windows": simulation_windows,
     "clean_prices": lambda spark, d: cl.price_series(dirty(spark, d)),
     "clean_basis": lambda spark, d: cl.basis_series(dirty(spark, d)),
     "clean_candles": lambda spark, d: cl.candles(cl.marked_candles(dirty(spark, d))),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from barloom.plans.oracles_portfolio import PRICES, STOCK_NUMBERED
 from barloom.plans.oracles_quant import ORACLES as QUANT
 from barloom.plans.oracles_technical import INDICATORS, NUMBERED, ORACLES as TECHNICAL, r6, steps
 from barloom.sources.bars import BARS_SQL
@@ -16,7 +17,54 @@ _MARKED = f"""marked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER
         open > 0 AND high > 0 AND low > 0 AND close > 0 AND high >= greatest(open, close, low) - {_ROOM} AND low <= least(open, close, high) + {_ROOM} AS ok FROM day_last)"""
 _DRIFT = """steps_of AS (SELECT symbol, date, volume, round(100 * exp(sum((close / 150.0::DOUBLE - 1) * 0.02::DOUBLE + 0.0015::DOUBLE) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)), 4) AS close FROM bars)"""
 
+_PAYS = """mon AS (SELECT symbol, max(date) AS ex_date, arg_max(close, date) AS close FROM bars GROUP BY symbol, date_trunc('month', date)),
+    pays AS (SELECT symbol, ex_date, CAST(floor(close) / 100.0 AS DOUBLE) / CASE WHEN symbol IN ('AF', 'NF') AND ex_date >= DATE '1997-01-01' THEN 2 ELSE 1 END AS amount, month(ex_date) = 6 AND year(ex_date) % 3 = 0 AS is_special,
+        CASE WHEN symbol = 'NF' AND ex_date >= DATE '1997-01-01' THEN 'semi-annual' WHEN symbol <> 'AO' THEN 'quarterly' END AS label, CASE WHEN symbol = 'NO' THEN 'EUR' WHEN symbol <> 'RF' THEN 'USD' END AS currency
+        FROM mon WHERE month(ex_date) % 3 = 0 AND (symbol <> 'RO' OR ex_date < DATE '1996-01-01'))"""
+_DAYS = "asks(as_of) AS (VALUES (DATE '1998-03-31'), (DATE '2001-06-30'))"
+_CUT = [
+    "past AS (SELECT * FROM asks JOIN pays ON ex_date <= as_of)",
+    "e1 AS (SELECT *, lag(amount) OVER v AS b, lag(label) OVER v AS l, ex_date - lag(ex_date) OVER v AS gap, least(lead(amount, 1) OVER v, lead(amount, 2) OVER v) AS nxt FROM past WHERE NOT is_special WINDOW v AS (PARTITION BY as_of, symbol ORDER BY ex_date))",
+    "e2 AS (SELECT *, ex_date >= as_of - 729 AS recent, coalesce(nxt <= 0.95::DOUBLE * b, false) AS sure FROM e1 WHERE gap <= 400 AND amount <= 0.9::DOUBLE * b AND NOT coalesce(label <> l, false))",
+    "e3 AS (SELECT as_of, symbol, count(*) AS cut_events, count_if(recent)::BIGINT AS recent_events, count_if(recent AND sure)::BIGINT AS confirmed_events FROM e2 GROUP BY ALL)",
+    "y0 AS (SELECT as_of, symbol, unnest(range(min(year(ex_date)), year(as_of))) AS year FROM past GROUP BY as_of, symbol)",
+    "y1 AS (SELECT as_of, symbol, year, round(coalesce(sum(amount) FILTER (WHERE NOT is_special), 0), 6) AS total, count(*) FILTER (WHERE NOT is_special) AS n FROM y0 LEFT JOIN (SELECT *, year(ex_date) AS year FROM past) USING (as_of, symbol, year) GROUP BY ALL)",
+    "y2 AS (SELECT *, row_number() OVER (PARTITION BY as_of, symbol ORDER BY year DESC) AS nth, row_number() OVER (PARTITION BY as_of, symbol, n > 0 ORDER BY year DESC) AS kth FROM y1)",
+    "md AS (SELECT as_of, symbol, arg_max(n, row(times, last)) AS modal FROM (SELECT as_of, symbol, n, count(*) AS times, max(year) AS last FROM y2 WHERE n > 0 AND kth <= 5 GROUP BY ALL) GROUP BY ALL)",
+    "y3 AS (SELECT y2.*, modal, coalesce(n = modal, false) AS usual FROM y2 LEFT JOIN md USING (as_of, symbol))",
+    "y4 AS (SELECT *, lag(total) OVER v AS t1, lag(n) OVER v AS n1, lag(usual) OVER v AS u1 FROM y3 WINDOW v AS (PARTITION BY as_of, symbol ORDER BY year))",
+    """y5 AS (SELECT as_of, symbol, max(modal) AS modal, bool_or(coalesce(nth = 1 AND t1 > 0 AND total < 0.995::DOUBLE * t1, false)) AS fell, bool_or(coalesce(nth = 1 AND t1 > 0 AND total < 0.995::DOUBLE * t1 AND (usual AND u1 OR n = 0), false)) AS alike,
+        count_if(nth <= 3 AND usual) = 3 AS reg, count_if(t1 > 0 AND NOT (usual AND u1) AND NOT (n = 0 AND n1 > 0))::BIGINT AS excluded FROM y4 GROUP BY as_of, symbol)""",
+    "l1 AS (SELECT as_of, symbol, arg_max(ex_date, row(NOT is_special, ex_date)) AS last, arg_max(coalesce(label, ''), row(NOT is_special, ex_date)) AS label FROM past GROUP BY as_of, symbol)",
+    "up AS (SELECT as_of, symbol, count(*) AS upcoming FROM asks JOIN pays ON ex_date > as_of GROUP BY ALL)",
+    """f AS (SELECT *, CAST(as_of - last AS BIGINT) AS days, coalesce(CASE modal WHEN 12 THEN 30.4::DOUBLE WHEN 4 THEN 91.3::DOUBLE WHEN 2 THEN 182.6::DOUBLE WHEN 1 THEN 365.2::DOUBLE END, 365.2::DOUBLE / modal, CASE label WHEN 'quarterly' THEN 91.3 WHEN 'semi-annual' THEN 182.6 END) AS expected
+        FROM l1 LEFT JOIN y5 USING (as_of, symbol) LEFT JOIN e3 USING (as_of, symbol) LEFT JOIN up USING (as_of, symbol))""",
+]
+
 ORACLES = {
+    "dividend_cut_status": f"WITH {BARS_SQL},\n{_PAYS},\n{_DAYS},\n" + ",\n".join(_CUT) + """
+        SELECT CAST(as_of AS VARCHAR) AS as_of, symbol, CASE WHEN coalesce(confirmed_events, 0) > 0 OR coalesce(alike, false) THEN 'observed' WHEN coalesce(recent_events, 0) > 0 OR coalesce(fell, false) THEN 'possible' ELSE 'none' END AS cut_status,
+            coalesce(cut_events, 0) AS cut_events, coalesce(recent_events, 0) AS recent_events, coalesce(confirmed_events, 0) AS confirmed_events, coalesce(fell, false) AS annual_decline, CASE WHEN coalesce(reg, false) THEN 'Regular' ELSE 'Irregular' END AS regularity,
+            coalesce(excluded, 0) AS excluded_changes, CASE WHEN upcoming > 0 THEN 'none' WHEN days > greatest(2 * expected, expected + 90) THEN 'possible_suspension' WHEN days > 1.35::DOUBLE * expected + 15 THEN 'possible_delay'
+            WHEN expected IS NULL AND days > 730 THEN 'possible_suspension' ELSE 'none' END AS suspension, days AS days_since, round(expected, 6) AS expected_days FROM f""",
+    "fund_ranking": f"""WITH {STOCK_NUMBERED}, {PRICES}, s AS (SELECT p_brand AS symbol, CAST(sum(p_size) AS BIGINT) AS s FROM part GROUP BY p_brand),
+        inputs AS (SELECT symbol, close, high, low, sma200, CASE WHEN s % 5 <> 0 THEN s % 60 / 100.0::DOUBLE END AS eg, CASE WHEN s % 7 <> 0 THEN s % 45 / 100.0::DOUBLE END AS rg, CASE WHEN s % 4 <> 0 THEN s % 33 / 100.0::DOUBLE END AS roe,
+            CASE WHEN s % 6 <> 0 THEN s % 100 * 10000000 END AS fl, CASE WHEN s % 9 <> 0 THEN s % 100 / 100.0::DOUBLE END AS inst FROM price JOIN s USING (symbol)),
+        flags AS (SELECT *, eg >= 0.25::DOUBLE AS c_pass, CASE WHEN rg IS NOT NULL AND roe IS NOT NULL THEN rg >= 0.2::DOUBLE AND roe >= 0.17::DOUBLE END AS a_pass, close / high >= 0.85::DOUBLE AS n_pass, fl < 500000000 AS s_pass, (close - low) / low * 100 >= 30 AS l_pass,
+            inst BETWEEN 0.3::DOUBLE AND 0.85::DOUBLE AS i_pass, close > sma200 AS m_pass FROM inputs),
+        sums AS (SELECT *, CAST(len(list_filter([c_pass, a_pass, n_pass, s_pass, l_pass, i_pass, m_pass], lambda x: x)) AS BIGINT) AS score, CAST(len(list_filter([c_pass, a_pass, n_pass, s_pass, l_pass, i_pass, m_pass], lambda x: x IS NOT NULL)) AS BIGINT) AS evaluated FROM flags)
+        SELECT m.symbol, c_pass, a_pass, n_pass, s_pass, l_pass, i_pass, m_pass, score, evaluated,
+            CASE WHEN score IS NOT NULL THEN concat_ws(',', CASE WHEN c_pass IS NULL THEN 'c' END, CASE WHEN a_pass IS NULL THEN 'a' END, CASE WHEN n_pass IS NULL THEN 'n' END, CASE WHEN s_pass IS NULL THEN 's' END, CASE WHEN l_pass IS NULL THEN 'l' END, CASE WHEN i_pass IS NULL THEN 'i' END, CASE WHEN m_pass IS NULL THEN 'm' END) END AS unavailable,
+            score >= 5 AS meets_minimum, round(close / high, 6) AS to_high, round((close - low) / low * 100, 6) AS from_low_percent, CASE WHEN score IS NOT NULL THEN row_number() OVER (ORDER BY score DESC NULLS LAST, m.symbol) END AS rank, CASE WHEN score IS NULL THEN 'UNAVAILABLE' ELSE 'OK' END AS status
+        FROM (SELECT DISTINCT p_brand AS symbol FROM part UNION ALL SELECT 'Nobody') m LEFT JOIN sums USING (symbol)""",
+    "simulation_windows": f"""WITH {BARS_SQL}, asks(ask, symbol, other, a, z) AS (VALUES (0, 'NO', 'AF', DATE '1994-01-01', DATE '1996-12-31'), (1, 'NO', 'AF', DATE '1990-01-01', DATE '2010-01-01'), (2, 'NO', 'NO', DATE '1995-01-01', DATE '1995-01-15'), (3, 'RF', 'ZZ', NULL, DATE '1995-12-31')),
+        w AS (SELECT ask, k.symbol, other, a, z, date, adjusted_close AS p, (SELECT arg_max(o.adjusted_close, o.date) FROM bars o WHERE o.symbol = other AND o.date <= b.date) AS q FROM asks k JOIN bars b ON b.symbol = k.symbol AND (a IS NULL OR date >= a) AND date <= z),
+        g AS (SELECT ask, symbol, other, a, z, count(*) AS days, min(date) AS first, max(date) AS last, arg_min(p, date) AS p0, arg_max(p, date) AS p1, arg_min(coalesce(q, 0), date) AS b0, arg_max(coalesce(q, 0), date) AS b1 FROM w GROUP BY ALL),
+        h AS (SELECT *, floor(9999.0::DOUBLE / (p0 * 1.001::DOUBLE)) AS ps, CASE WHEN b0 > 0 THEN floor(9999.0::DOUBLE / (b0 * 1.001::DOUBLE)) END AS bs, days >= 20 AS ok FROM g)
+        SELECT ask, symbol, CASE WHEN ok THEN 'OK' ELSE 'UNAVAILABLE' END AS status, CASE WHEN NOT ok THEN days || ' days in the window, 20 are needed' END AS reason, days, first, last,
+            CASE WHEN ok THEN round(10000 - (ps * p0 * 1.001::DOUBLE + 1) + ps * p1, 4) END AS hold_final, CASE WHEN ok AND b0 > 0 THEN round(10000 - (bs * b0 * 1.001::DOUBLE + 1) + bs * b1, 4) END AS benchmark_final,
+            CASE WHEN ok THEN concat_ws('; ', CASE WHEN a < first THEN 'starts at the first price' END, CASE WHEN z > last THEN 'ends at the last price' END, CASE WHEN last - first < 365.25 THEN 'shorter than a year' END,
+                CASE WHEN NOT EXISTS (FROM bars o WHERE o.symbol = other) THEN 'benchmark has no prices' WHEN b0 = 0 THEN 'benchmark starts later' END) END AS notes FROM h""",
     "clean_prices": steps(
         _DIRTY,
         "p AS (SELECT symbol, date, CASE WHEN adjusted_close IS NULL OR adjusted_close = 0 THEN close ELSE adjusted_close END AS price, close, volume FROM day_last)",
