@@ -69,6 +69,44 @@ def harvest_metrics(bars: DataFrame, weights: dict[str, float], frequency: str =
     return df.agg(*out)
 
 
+#: Fixed values of comparisons: fewest years of a growth rate, and what counts as no difference.
+LEAST_YEARS, FLAT_POINTS, NO_VOLATILITY = 1.0, 0.005, 1e-12
+_UNITS = {"final_value": 2, "return_percent": 4, "cagr_percent": 4, "volatility_percent": 4, "sharpe": 4, "drawdown_percent": 4}
+
+
+def _path_metrics(df: DataFrame, x: str, initial: float, rf_percent: float) -> DataFrame:
+    """One row on the path ``x``; the peak is the first highest value up to the trough."""
+    by = Window.partitionBy("one").orderBy("date")
+    high = F.struct(c(x), -F.unix_date("date"))  # the first of equal peaks
+    df = df.withColumn("r", c(x) / F.lag(x).over(by) - 1).withColumn("top", F.max(high).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("fall", c(x) / F.col(f"top.{x}") - 1)
+    trough = F.struct("fall", "date")
+    g = df.agg(
+        F.max_by(x, "date").alias("last"), F.min_by(x, "date").alias("first"), F.datediff(F.max("date"), F.min("date")).alias("days"), F.stddev_samp("r").alias("sd"), F.avg("r").alias("mean"),
+        F.min("fall").alias("fall"), F.min_by("date", trough).alias("trough"), F.min_by(F.date_from_unix_date((-c("top.col2")).cast("int")), trough).alias("peak"),
+    )
+    years = c("days") / 365.25
+    vol = F.when(c("sd") > NO_VOLATILITY, c("sd") * F.sqrt(F.lit(252.0)))
+    return g.select(
+        F.lit(x).alias("path"), F.round(initial * c("last"), 2).alias("final_value"), F.round((c("last") / c("first") - 1) * 100, 4).alias("return_percent"),
+        F.when(years >= LEAST_YEARS, F.round((F.pow(c("last") / c("first"), 1 / years) - 1) * 100, 4)).alias("cagr_percent"), F.round(vol * 100, 4).alias("volatility_percent"),
+        F.round((c("mean") * 252 - rf_percent / 100) / vol, 4).alias("sharpe"), F.round(c("fall") * 100, 4).alias("drawdown_percent"), "peak", "trough",
+    )
+
+
+def harvest_comparison(bars: DataFrame, weights: dict[str, float], frequency: str = "quarter", cost: float = 0.0, initial: float = 10000.0, rf_percent: float = 4.5) -> DataFrame:
+    """The rebalanced path, the held one and their difference, a row each: value, return,
+    growth a year (from one year on), volatility, Sharpe ratio, deepest fall with its peak
+    and trough, and which of the two is ahead.  A portfolio is one series of days."""
+    df = harvest(bars, weights, frequency, cost).withColumn("one", F.lit(1))
+    a, b = (_path_metrics(df, x, initial, rf_percent) for x in ("rebalanced", "held"))
+    both = a.select(*[c(x).alias(f"a_{x}") for x in _UNITS]).join(b.select(*[c(x).alias(f"b_{x}") for x in _UNITS]), F.lit(True))  # one row each
+    gap = [F.round(c(f"a_{x}") - c(f"b_{x}"), digits).alias(x) for x, digits in _UNITS.items()]
+    gap = both.select(F.lit("difference").alias("path"), *gap, F.lit(None).cast("date").alias("peak"), F.lit(None).cast("date").alias("trough"))
+    ahead = F.when(c("path") == "difference", F.when(F.abs("return_percent") < FLAT_POINTS, "No material difference").when(c("return_percent") > 0, "Rebalanced ahead").otherwise("Buy-and-hold ahead"))
+    return a.unionByName(b).unionByName(gap).withColumn("direction", ahead)
+
+
 def frequency_grid(bars: DataFrame, weights: dict[str, float], cost: float = 0.001) -> DataFrame:
     parts = [harvest_metrics(bars, weights, f, cost).withColumn("frequency", F.lit(f)) for f in FREQUENCIES]
     return reduce(DataFrame.unionByName, parts)

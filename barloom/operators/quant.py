@@ -130,6 +130,45 @@ def crash_warning(bars: DataFrame, gate: int = 260) -> DataFrame:
     return latest(with_crash_flags(bars, max(gate, 252)), gate).select("symbol", "date", *names, "flags", level.alias("level"), (c("flags") >= 3).alias("warning"), r6("drawdown").alias("drawdown_percent"))
 
 
+def _evaluable(bars: DataFrame, fall: float, horizon: int, train: float, least: int) -> DataFrame:
+    """Bars that count in an evaluation of warnings, with ``label`` (a fall follows), ``breach`` (after
+    how many bars) and ``segment``."""
+    df = with_crash_flags(bars).withColumn("n", F.count("*").over(whole()))
+    breach = F.coalesce(*[F.when(F.lead("close", k).over(w()) <= c("close") * (1 - fall), k) for k in range(1, horizon + 1)])
+    df = df.withColumn("breach", breach).withColumn("label", breach.isNotNull())
+    fit = F.when(c("usable") & (c("i") + horizon <= c("n")), c("i"))
+    df = df.withColumn("a", F.min(fit).over(whole())).withColumn("z", F.max(fit).over(whole())).withColumn("fits", F.count(fit).over(whole()))
+    cut = c("a") + F.floor((c("z") - c("a") + 1) * train)
+    part = F.when(c("i") < F.greatest(c("a") + 1, cut - horizon), "train").when(c("i") >= cut, "test")
+    return df.where((c("fits") >= least) & c("i").between(c("a"), c("z"))).withColumn("segment", part).where("segment is not null")
+
+
+def crash_evaluation(bars: DataFrame, fall: float = 0.10, horizon: int = 20, train: float = 0.6, least: int = 100, few: int = 5) -> DataFrame:
+    """``crash_validation`` for the warning and for the baseline alike, a row for each symbol,
+    segment and ``rule``: counts, rates in percent, episodes found and missed, the median
+    lead, the precision over the base rate (``lift``), and whether the test segment has
+    too ``few`` episodes to be believed."""
+    rules = F.array(F.struct(F.lit("warning").alias("rule"), (c("flags") >= 3).alias("warn")), F.struct(F.lit("baseline").alias("rule"), c("below_sma200").alias("warn")))
+    df = _evaluable(bars, fall, horizon, train, least).select("symbol", "segment", "i", "label", "breach", F.explode(rules).alias("x"))
+    df = df.select("symbol", "segment", "i", "label", "breach", "x.rule", "x.warn")
+    key = ["symbol", "segment", "rule"]
+    so_far_in = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("run", F.when(c("label"), F.sum(F.when(c("label"), 0).otherwise(1)).over(so_far_in)))
+    runs = df.where("label").groupBy(*key, "run").agg(F.min_by("breach", F.when(c("warn"), c("i"))).alias("lead"), F.max("warn").alias("hit"))
+    runs = runs.groupBy(*key).agg(F.count("*").alias("episodes"), F.count_if("hit").alias("detected"), F.percentile(F.when(c("hit"), c("lead")), F.lit(0.5)).alias("median_lead"))
+    counts = {"tp": c("warn") & c("label"), "fp": c("warn") & ~c("label"), "fn": ~c("warn") & c("label"), "tn": ~c("warn") & ~c("label")}
+    g = df.groupBy(*key).agg(F.count("*").alias("bars"), *[F.count_if(x).alias(k) for k, x in counts.items()])
+    zero = F.lit(0).cast("long")
+    g = g.join(runs, key, "left").withColumn("episodes", F.coalesce("episodes", zero)).withColumn("detected", F.coalesce("detected", zero))
+    percent = lambda a, b: F.when(b > 0, F.round(a / b * 100, 1))
+    g = g.withColumn("base_rate_percent", percent(c("tp") + c("fn"), c("bars"))).withColumn("precision_percent", percent(c("tp"), c("tp") + c("fp")))
+    return g.select(
+        *key, "bars", *counts, "episodes", "detected", (c("episodes") - c("detected")).alias("missed"), "median_lead", "base_rate_percent", "precision_percent",
+        percent(c("tp"), c("tp") + c("fn")).alias("recall_percent"), percent(c("fp"), c("fp") + c("tn")).alias("false_rate_percent"),
+        F.when(c("base_rate_percent") > 0, F.round(c("precision_percent") / c("base_rate_percent"), 2)).alias("lift"), ((c("segment") == "test") & (c("episodes") < few)).alias("too_few_episodes"),
+    )
+
+
 def crash_validation(bars: DataFrame, fall: float = 0.10, horizon: int = 20, train: float = 0.6, least: int = 100) -> DataFrame:
     """How warnings foretold falls of ``fall`` within ``horizon`` bars, beside a
     baseline that warns below the 200-day mean.
@@ -140,14 +179,7 @@ def crash_validation(bars: DataFrame, fall: float = 0.10, horizon: int = 20, tra
     bars before a fall; one is detected if any of its bars warns, and its lead is
     the number of bars from the first such bar to the fall.
     """
-    df = with_crash_flags(bars).withColumn("n", F.count("*").over(whole()))
-    breach = F.coalesce(*[F.when(F.lead("close", k).over(w()) <= c("close") * (1 - fall), k) for k in range(1, horizon + 1)])
-    df = df.withColumn("breach", breach).withColumn("label", breach.isNotNull())
-    fit = F.when(c("usable") & (c("i") + horizon <= c("n")), c("i"))
-    df = df.withColumn("a", F.min(fit).over(whole())).withColumn("z", F.max(fit).over(whole())).withColumn("fits", F.count(fit).over(whole()))
-    cut = c("a") + F.floor((c("z") - c("a") + 1) * train)
-    part = F.when(c("i") < F.greatest(c("a") + 1, cut - horizon), "train").when(c("i") >= cut, "test")
-    df = df.where((c("fits") >= least) & c("i").between(c("a"), c("z"))).withColumn("segment", part).where("segment is not null")
+    df = _evaluable(bars, fall, horizon, train, least)
     df = df.withColumn("warn", c("flags") >= 3)
     inside = Window.partitionBy("symbol", "segment").orderBy("i")
     df = df.withColumn("run", F.when(c("label"), F.sum(F.when(c("label"), 0).otherwise(1)).over(inside.rowsBetween(Window.unboundedPreceding, 0))))

@@ -81,6 +81,15 @@ def refresh_members(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("universe", "symbol", F.coalesce("now", F.lit(False)).alias("is_current"), c("was").isNull().alias("is_new"))
 
 
+def universe_summary(members: DataFrame, bars: DataFrame) -> DataFrame:
+    """For each universe: all and current members, current ones with bars, and the last day
+    that any of them has.  Bars are one row a symbol before they meet members."""
+    last = bars.groupBy("symbol").agg(F.max("date").alias("last"))
+    df = members.select("universe", "symbol", "is_current").distinct().join(last, "symbol", "left")
+    now = c("is_current")
+    return df.groupBy("universe").agg(F.count("*").alias("members"), F.count_if(now).alias("current"), F.count_if(now & c("last").isNotNull()).alias("with_bars"), F.max(F.when(now, c("last"))).alias("last"))
+
+
 def aligned_returns(bars: DataFrame, symbols: list[str]) -> DataFrame:
     """Returns of several symbols between dates that all of them have."""
     from barloom.operators.analytics import common_dates, returns

@@ -72,6 +72,20 @@ def traffic_light(bars: DataFrame, gate: int = 50) -> DataFrame:
     return out.select("symbol", "date", "state", *[_position("close", f"sma{n}").alias(f"position{n}") for n in (10, 25, 50)], *[direction(n).alias(f"direction{n}") for n in (10, 25, 50)], *[r6(f"change{n}").alias(f"change{n}") for n in (10, 25, 50)])
 
 
+def sma_ordering(bars: DataFrame, gate: int = 50) -> DataFrame:
+    """Close and SMA 10, 25 and 50 from high to low, as ``A > B = C`` (equal up to 1e-12;
+    equal ones in this order), and whether any are equal."""
+    df = numbered(tail(bars, max(gate, 56)))
+    for n in (10, 25, 50):
+        df = df.withColumn(f"sma{n}", sma("close", n))
+    named = F.array(*[F.struct((-c(x.lower())).alias("v"), F.lit(k).alias("k"), F.lit(x).alias("name")) for k, x in enumerate(("Close", "SMA10", "SMA25", "SMA50"))])
+    df = latest(df, gate).withColumn("order", F.array_sort(named))
+    tied = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.abs(F.get("order", k)["v"] - F.get("order", k - 1)["v"]) <= 1e-12)
+    steps = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.concat(F.when(F.get("tied", k - 1), " = ").otherwise(" > "), F.get("order", k)["name"]))
+    df = df.withColumn("tied", tied)
+    return df.select("symbol", "date", F.concat(F.get("order", F.lit(0))["name"], F.array_join(steps, "")).alias("ordering"), F.exists("tied", lambda x: x).alias("has_ties"))
+
+
 def sma_crossovers(bars: DataFrame, within: int = 10) -> DataFrame:
     """Changes of sign of fast - slow SMA (10/25, 10/50, 25/50) in the last bars."""
     df = numbered(tail(bars, within + 51))

@@ -13,15 +13,17 @@ from barloom.operators import cuts as cu
 from barloom.operators import facts as fx
 from barloom.operators import fund_screen as fs
 from barloom.operators import models as m
+from barloom.operators import portfolio as p
 from barloom.operators import quant as q
 from barloom.operators import scans as s
 from barloom.operators import screeners as sc
 from barloom.operators import tails
 from barloom.operators import technical as t
+from barloom.plans.oracles_analytics import MIX
 from barloom.plans.results import Results, newest_date
 from barloom.sources.bars import bars, bars_by_year, bars_stock, table
-from barloom.sources.documents import parsed
-from barloom.sources.fundamentals import fund_documents
+from barloom.sources.documents import parse_dividends, parsed, read_bars, read_dividends
+from barloom.sources.fundamentals import fund_documents, fundamentals
 from barloom.sources.scratch import shared_dir
 
 c = F.col
@@ -118,10 +120,10 @@ def labelled_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.plans.catalogue import payments
 
     late = c("ex_date") >= "1997-01-01"
-    p = payments(bars(spark, sf_dir)).where((c("symbol") != "RO") | (c("ex_date") < "1996-01-01"))
+    paid = payments(bars(spark, sf_dir)).where((c("symbol") != "RO") | (c("ex_date") < "1996-01-01"))
     half = late & c("symbol").isin("AF", "NF")
     period = F.when((c("symbol") == "NF") & late, "Semi-Annual").when(c("symbol") != "AO", "Quarterly")
-    return p.withColumn("amount", F.when(half, c("amount") / 2).otherwise(c("amount"))).withColumn("period", period).withColumn("currency", F.when(c("symbol") == "NO", "eur").when(c("symbol") != "RF", "USD"))
+    return paid.withColumn("amount", F.when(half, c("amount") / 2).otherwise(c("amount"))).withColumn("period", period).withColumn("currency", F.when(c("symbol") == "NO", "eur").when(c("symbol") != "RF", "USD"))
 
 
 #: Days on which payments are looked at: after a cut, and long after.
@@ -129,8 +131,8 @@ CUT_DAYS = ("1998-03-31", "2001-06-30")
 
 
 def dividend_cut_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = labelled_payments(spark, sf_dir)
-    parts = [cu.cut_status(p, d).withColumn("as_of", F.lit(d)) for d in CUT_DAYS]
+    paid = labelled_payments(spark, sf_dir)
+    parts = [cu.cut_status(paid, d).withColumn("as_of", F.lit(d)) for d in CUT_DAYS]
     return parts[0].unionByName(parts[1])
 
 
@@ -139,8 +141,8 @@ def payout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     more = F.expr("concat('{\"General\":{\"CurrencyCode\":\"usd\"},\"SplitsDividends\":{\"PayoutRatio\":\"0.4567\"},', substring(doc, 2))")
     docs = parsed(fund_documents(b).withColumn("doc", F.when(c("symbol").isin("AF", "NO", "RF"), more).otherwise(c("doc"))))
-    p = labelled_payments(spark, sf_dir)
-    return cu.payout_report(fx.payout_bases(docs, p, PAYOUT_DAY), docs, p, PAYOUT_DAY)
+    paid = labelled_payments(spark, sf_dir)
+    return cu.payout_report(fx.payout_bases(docs, paid, PAYOUT_DAY), docs, paid, PAYOUT_DAY)
 
 
 PAYOUT_DAY = "2001-06-30"
@@ -148,10 +150,10 @@ PAYOUT_DAY = "2001-06-30"
 
 def fund_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of the stocks as funds, and inputs made from their parts, some of them missing."""
-    p = sc.price_inputs(bars_stock(spark, sf_dir)).select("symbol", "close", "high", "low", "sma200")
+    prices = sc.price_inputs(bars_stock(spark, sf_dir)).select("symbol", "close", "high", "low", "sma200")
     size = table(spark, sf_dir, "part").groupBy(c("p_brand").alias("symbol")).agg(F.sum(c("p_size").cast("long")).alias("s"))
     some = lambda k, x, name: F.expr(f"CASE WHEN s % {k} <> 0 THEN {x} END").alias(name)
-    return p.join(size, "symbol").select("symbol", "close", "high", "low", "sma200", *[some(k, x, name) for name, (k, x) in FUND_FIELDS.items()])
+    return prices.join(size, "symbol").select("symbol", "close", "high", "low", "sma200", *[some(k, x, name) for name, (k, x) in FUND_FIELDS.items()])
 
 
 #: Inputs of the funds over a brand's total size ``s``; missing where s is a multiple of the number.
@@ -181,7 +183,53 @@ def simulation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def magic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the value screen by the reason that keeps them out, ranked ones among them."""
+    found = sc.magic_formula(fundamentals(spark, sf_dir))
+    return sc.distribution(found.withColumn("outcome", F.coalesce("excluded", F.lit("ranked"))), "outcome")
+
+
+def universes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each universe with its members, how many of them have bars, and their last day."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), c("r_regionkey") == c("n_regionkey"))
+    symbol = F.element_at(F.array(*map(F.lit, ("AF", "NO", "RF", "RO", "ZZ"))), (c("n_nationkey") % 5 + 1).cast("int"))
+    members = n.select(c("r_name").alias("universe"), symbol.alias("symbol"), (c("n_nationkey") % 7 != 0).alias("is_current"))
+    return s.universe_summary(members, bars(spark, sf_dir))
+
+
+def bars_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty bars written as a provider's lines and read back."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    rows = dirty(spark, sf_dir).drop("arrival")
+    text = [F.when(c(x).isNull(), "NA").otherwise(c(x).cast("string")).alias(x) for x in ("open", "high", "low", "close", "adjusted_close", "volume")]
+    rows.select("symbol", F.concat(c("date").cast("string"), F.lit("T00:00:00")).alias("date"), *text).write.json(folder)
+    found, quality = read_bars(spark, folder)
+    sums = found.groupBy("symbol").agg(F.count("*").alias("kept"), F.count_if(c("adjusted_close") == c("close")).alias("stand_in"), F.sum("volume").alias("volume"), F.max("close").alias("highest"))
+    return quality.join(sums, "symbol")
+
+
+def dividends_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funds' payments as a provider's lines, every fifth twice, and read back."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    paid, day = labelled_payments(spark, sf_dir), F.dayofmonth("ex_date")
+    lines = paid.select(
+        "symbol", F.when(day != 28, c("ex_date").cast("string")).otherwise("unknown").alias("date"), F.when(day == 30, "NA").otherwise(c("amount").cast("string")).alias("value"), c("amount").cast("string").alias("unadjustedValue"),
+        F.when(c("is_special"), "Special cash").otherwise(c("period")).alias("period"), F.concat(F.lit(" "), "currency").alias("currency"),
+    )
+    lines.unionByName(lines.where(F.dayofmonth(F.try_to_date("date")) % 5 == 0)).write.json(folder)
+    found = parse_dividends(read_dividends(spark, folder))
+    return found.select("symbol", "ex_date", F.round("amount", 6).alias("amount"), "period", "currency", "is_special")
+
+
 QUERIES = {
+    "magic_formula_counts": magic_counts,
+    "universes": universes,
+    "bars_from_json": bars_from_json,
+    "dividends_from_json": dividends_from_json,
+    "sma_ordering": lambda spark, d: t.sma_ordering(bars(spark, d)),
+    "crash_evaluation": lambda spark, d: q.crash_evaluation(bars(spark, d)),
+    "harvest_comparison": lambda spark, d: p.harvest_comparison(bars(spark, d), MIX, cost=0.001),
+    "first_passage_curve": lambda spark, d: m.first_passage_curve(bars(spark, d)),
     "dividend_cut_status": dividend_cut_status,
     "payout_report": payout_report,
     "fund_ranking": fund_ranking,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from barloom.plans.oracles_portfolio import PRICES, STOCK_NUMBERED
+from barloom.plans.oracles_portfolio import ORACLES as PORTFOLIO
+from barloom.plans.oracles_portfolio import PRICES, STOCK_NUMBERED, harvest
 from barloom.plans.oracles_quant import ORACLES as QUANT
-from barloom.plans.oracles_technical import INDICATORS, NUMBERED, ORACLES as TECHNICAL, r6, steps
+from barloom.plans.oracles_technical import INDICATORS, NUMBERED, r6, sma, steps
+from barloom.plans.oracles_technical import ORACLES as TECHNICAL
 from barloom.sources.bars import BARS_SQL
 
 _DIRTY = """dirty AS (
@@ -41,7 +43,42 @@ _CUT = [
         FROM l1 LEFT JOIN y5 USING (as_of, symbol) LEFT JOIN e3 USING (as_of, symbol) LEFT JOIN up USING (as_of, symbol))""",
 ]
 
+_HARVEST = harvest("quarter", 0.001)
+_SIDE = """SELECT '{x}' AS path, round(10000 * arg_max({x}, date), 2) AS final_value, round((arg_max({x}, date) / arg_min({x}, date) - 1) * 100, 4) AS return_percent,
+    round((pow(arg_max({x}, date) / arg_min({x}, date), 365.25::DOUBLE / (max(date) - min(date))) - 1) * 100, 4) AS cagr_percent, round(stddev_samp(r_{x}) * sqrt(252.0::DOUBLE) * 100, 4) AS volatility_percent,
+    round((avg(r_{x}) * 252 - 0.045::DOUBLE) / (stddev_samp(r_{x}) * sqrt(252.0::DOUBLE)), 4) AS sharpe, round(min(f_{x}) * 100, 4) AS drawdown_percent,
+    arg_min(p_{x}, row(f_{x}, date)) AS peak, arg_min(date, row(f_{x}, date)) AS trough FROM sides"""
+
 ORACLES = {
+    "magic_formula_counts": f"SELECT coalesce(excluded, 'ranked') AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 6) AS percent FROM ({PORTFOLIO['magic_formula']}) GROUP BY 1",
+    "universes": f"""WITH {BARS_SQL}, m AS (SELECT DISTINCT r_name AS universe, ['AF', 'NO', 'RF', 'RO', 'ZZ'][n_nationkey % 5 + 1] AS symbol, n_nationkey % 7 <> 0 AS is_current FROM nation JOIN region ON r_regionkey = n_regionkey),
+        l AS (SELECT symbol, max(date) AS last FROM bars GROUP BY symbol)
+        SELECT universe, count(*) AS members, count_if(is_current)::BIGINT AS current, count_if(is_current AND last IS NOT NULL)::BIGINT AS with_bars, max(last) FILTER (WHERE is_current) AS last FROM m LEFT JOIN l USING (symbol) GROUP BY universe""",
+    "bars_from_json": steps(
+        _DIRTY,
+        """SELECT symbol, count(*) AS received, count_if(date IS NULL OR close <= 0)::BIGINT AS refused, count_if(date IS NOT NULL AND close > 0)::BIGINT AS kept, count_if(date IS NOT NULL AND close > 0 AND coalesce(adjusted_close, close) = close)::BIGINT AS stand_in,
+            CAST(sum(volume) FILTER (WHERE date IS NOT NULL AND close > 0) AS BIGINT) AS volume, max(close) FILTER (WHERE date IS NOT NULL AND close > 0) AS highest FROM dirty GROUP BY symbol""",
+    ),
+    "dividends_from_json": f"""WITH {BARS_SQL}, {_PAYS} SELECT symbol, ex_date, round(amount, 6) AS amount, CASE WHEN is_special THEN 'Special cash' WHEN label = 'semi-annual' THEN 'Semi-Annual' WHEN label = 'quarterly' THEN 'Quarterly' END AS period, currency, is_special
+        FROM pays WHERE day(ex_date) <> 28""",
+    "sma_ordering": steps(
+        "s AS (SELECT symbol, date, i, is_last, close AS \"Close\", " + ", ".join(f'{sma("close", n)} AS "SMA{n}"' for n in (10, 25, 50)) + " FROM numbered)",
+        "o AS (SELECT symbol, date, list_sort([{'v': -\"Close\", 'k': 0, 'name': 'Close'}, {'v': -\"SMA10\", 'k': 1, 'name': 'SMA10'}, {'v': -\"SMA25\", 'k': 2, 'name': 'SMA25'}, {'v': -\"SMA50\", 'k': 3, 'name': 'SMA50'}]) AS x FROM s WHERE is_last AND i >= 50)",
+        "SELECT symbol, date, x[1].name || " + " || ".join(f"CASE WHEN abs(x[{k}].v - x[{k - 1}].v) <= 1e-12 THEN ' = ' ELSE ' > ' END || x[{k}].name" for k in (2, 3, 4)) + " AS ordering, " + " OR ".join(f"abs(x[{k}].v - x[{k - 1}].v) <= 1e-12" for k in (2, 3, 4)) + " AS has_ties FROM o",
+    ),
+    "crash_evaluation": QUANT["crash_validation"].split("d AS (SELECT *, sum")[0] + """b2 AS (SELECT symbol, segment, i, label, breach, 'warning' AS rule, warn FROM b WHERE segment IS NOT NULL UNION ALL SELECT symbol, segment, i, label, breach, 'baseline', below_sma200 FROM b WHERE segment IS NOT NULL),
+        d AS (SELECT *, sum(CASE WHEN label THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, segment, rule ORDER BY i) AS run FROM b2),
+        e AS (SELECT symbol, segment, rule, run, bool_or(warn) AS hit, arg_min(breach, i) FILTER (WHERE warn) AS ld FROM d WHERE label GROUP BY ALL),
+        f AS (SELECT symbol, segment, rule, count(*) AS episodes, count_if(hit)::BIGINT AS detected, median(ld) FILTER (WHERE hit) AS median_lead FROM e GROUP BY ALL),
+        g AS (SELECT symbol, segment, rule, count(*) AS bars, count_if(warn AND label)::BIGINT AS tp, count_if(warn AND NOT label)::BIGINT AS fp, count_if(NOT warn AND label)::BIGINT AS fn, count_if(NOT warn AND NOT label)::BIGINT AS tn FROM d GROUP BY ALL),
+        h AS (SELECT g.*, coalesce(episodes, 0) AS episodes, coalesce(detected, 0) AS detected, median_lead, round((tp + fn)::DOUBLE / bars * 100, 1) AS base_rate_percent, CASE WHEN tp + fp > 0 THEN round(tp::DOUBLE / (tp + fp) * 100, 1) END AS precision_percent,
+            CASE WHEN tp + fn > 0 THEN round(tp::DOUBLE / (tp + fn) * 100, 1) END AS recall_percent, CASE WHEN fp + tn > 0 THEN round(fp::DOUBLE / (fp + tn) * 100, 1) END AS false_rate_percent FROM g LEFT JOIN f USING (symbol, segment, rule))
+        SELECT *, episodes - detected AS missed, CASE WHEN base_rate_percent > 0 THEN round(precision_percent / base_rate_percent, 2) END AS lift, segment = 'test' AND episodes < 5 AS too_few_episodes FROM h""",
+    "harvest_comparison": "WITH " + ",\n".join(_HARVEST) + ",\nsides AS (SELECT *, " + ", ".join(f"{x} / lag({x}) OVER (ORDER BY date) - 1 AS r_{x}, {x} / max({x}) OVER (ORDER BY date) - 1 AS f_{x}, arg_max(date, {x}) OVER (ORDER BY date) AS p_{x}" for x in ("rebalanced", "held")) + " FROM h),"
+    + f"a AS ({_SIDE.format(x='rebalanced')}), b AS ({_SIDE.format(x='held')}), " + """
+        d AS (SELECT 'difference' AS path, round(a.final_value - b.final_value, 2) AS final_value, round(a.return_percent - b.return_percent, 4) AS return_percent, round(a.cagr_percent - b.cagr_percent, 4) AS cagr_percent,
+            round(a.volatility_percent - b.volatility_percent, 4) AS volatility_percent, round(a.sharpe - b.sharpe, 4) AS sharpe, round(a.drawdown_percent - b.drawdown_percent, 4) AS drawdown_percent, NULL::DATE AS peak, NULL::DATE AS trough FROM a CROSS JOIN b)
+        SELECT *, CASE WHEN path = 'difference' THEN CASE WHEN abs(return_percent) < 0.005 THEN 'No material difference' WHEN return_percent > 0 THEN 'Rebalanced ahead' ELSE 'Buy-and-hold ahead' END END AS direction FROM (FROM a UNION ALL FROM b UNION ALL FROM d)""",
     "dividend_cut_status": f"WITH {BARS_SQL},\n{_PAYS},\n{_DAYS},\n" + ",\n".join(_CUT) + """
         SELECT CAST(as_of AS VARCHAR) AS as_of, symbol, CASE WHEN coalesce(confirmed_events, 0) > 0 OR coalesce(alike, false) THEN 'observed' WHEN coalesce(recent_events, 0) > 0 OR coalesce(fell, false) THEN 'possible' ELSE 'none' END AS cut_status,
             coalesce(cut_events, 0) AS cut_events, coalesce(recent_events, 0) AS recent_events, coalesce(confirmed_events, 0) AS confirmed_events, coalesce(fell, false) AS annual_decline, CASE WHEN coalesce(reg, false) THEN 'Regular' ELSE 'Irregular' END AS regularity,
