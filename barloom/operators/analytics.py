@@ -157,10 +157,11 @@ def mix_returns(bars: DataFrame, weights: dict[str, float]) -> DataFrame:
     return df.groupBy("date").agg(F.sum(c("r") * share[c("symbol")]).alias("r"))
 
 
-def allocation_mix(bars: DataFrame, weights: dict[str, float]) -> DataFrame:
+def allocation_mix(bars: DataFrame, weights: dict[str, float], zeros: bool = False) -> DataFrame:
     """Growth, volatility, Sharpe ratio and drawdown of a daily rebalanced mix.
 
-    A mix is one series of days, so its window is one task's.
+    A mix is one series of days, so its window is one task's.  Under 30 common
+    dates there is no row, or with ``zeros`` one of zeros.
     """
     df = mix_returns(bars, weights).withColumn("mix", F.lit("mix"))
     along = Window.partitionBy("mix").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -168,13 +169,18 @@ def allocation_mix(bars: DataFrame, weights: dict[str, float]) -> DataFrame:
     df = df.withColumn("fall", c("growth") / F.greatest(F.max("growth").over(along), F.lit(1.0)) - 1)
     g = df.groupBy("mix").agg(F.count("*").alias("n"), F.max_by("growth", "date").alias("growth"), F.stddev_samp("r").alias("sd"), F.avg("r").alias("mean"), F.min("fall").alias("fall"))
     vol = c("sd") * F.sqrt(F.lit(DAYS)) * 100
+    if zeros:
+        short = common_dates(bars, list(weights)).agg((F.count_distinct("date") - 1).alias("n")).where("n < 29")  # one row
+        none = [F.lit(0.0).alias(x) for x in ("log_growth", "cagr_percent", "volatility_percent", "sharpe", "max_drawdown_percent")]
+        return allocation_mix(bars, weights).unionByName(short.select(F.greatest("n", F.lit(0)).alias("n"), *none))
     return g.where("n >= 29").select("n", r6(F.log("growth")).alias("log_growth"), r6((F.pow("growth", DAYS / c("n")) - 1) * 100).alias("cagr_percent"), r6(vol).alias("volatility_percent"), r6((c("mean") * DAYS * 100 - RISK_FREE) / vol).alias("sharpe"), r6(c("fall") * 100).alias("max_drawdown_percent"))
 
 
-def buy_and_hold_comparison(bars: DataFrame, one: str, split: dict[str, float], initial: float = 10000.0) -> DataFrame:
-    """Value by date of one symbol against a split that is never rebalanced."""
-    prices = common_dates(bars, [one, *split]).groupBy("date").pivot("symbol", [one, *split]).agg(F.first("adjusted_close")).withColumn("k", F.lit(1))
-    first = prices.agg(*[F.min_by(s, "date").alias(f"{s}_0") for s in (one, *split)])
+def buy_and_hold_comparison(bars: DataFrame, one: str, split: dict[str, float], initial: float = 10000.0, start: str | None = None) -> DataFrame:
+    """Value by date of one symbol against a split that is never rebalanced, bought on
+    the first common date from ``start`` on; under two such dates there is no row."""
+    prices = common_dates(bars if start is None else bars.where(c("date") >= F.lit(start).cast("date")), [one, *split]).groupBy("date").pivot("symbol", [one, *split]).agg(F.first("adjusted_close")).withColumn("k", F.lit(1))
+    first = prices.agg(F.count("*").alias("days"), *[F.min_by(s, "date").alias(f"{s}_0") for s in (one, *split)]).where("days >= 2")
     df = prices.crossJoin(F.broadcast(first))  # one row
     held = sum((initial * v * c(s) / c(f"{s}_0") for s, v in split.items()), F.lit(0.0))
     return df.select("date", r6(initial * c(one) / c(f"{one}_0")).alias("single_value"), r6(held).alias("split_value"))

@@ -99,7 +99,7 @@ def yield_series(rows: DataFrame, arrival: str = "arrival") -> tuple[DataFrame,
     counts = last.groupBy("symbol").agg(F.count("*").alias("observations"), F.count_if(~ok).alias("dropped"))
     counts = rows.select("symbol").distinct().join(counts, "symbol", "left").select("symbol", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("observations", "dropped")])
     none = c("observations") == c("dropped")
-    off = c("dropped") / c("observations") > BAD_SHARE
+    off = F.try_divide("dropped", "observations") > BAD_SHARE
     reason = F.when(none, "no valid observations").when(off, F.format_string("%d of %d observations out of range", "dropped", "observations"))
     verdict = counts.withColumn("status", F.when(none | off, "UNAVAILABLE").otherwise("OK")).withColumn("reason", reason)
     trusted = verdict.where("status = 'OK'").select("symbol")

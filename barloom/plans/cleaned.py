@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.series import numbered, so_far
+from barloom.operators import analytics as a
 from barloom.operators import cleaning as cl
 from barloom.operators import cuts as cu
 from barloom.operators import facts as fx
@@ -19,11 +20,12 @@ from barloom.operators import scans as s
 from barloom.operators import screeners as sc
 from barloom.operators import tails
 from barloom.operators import technical as t
+from barloom.operators import views as v
 from barloom.plans.oracles_analytics import MIX
 from barloom.plans.results import Results, newest_date
 from barloom.sources.bars import bars, bars_by_year, bars_stock, table
-from barloom.sources.documents import parse_dividends, parsed, read_bars, read_dividends
-from barloom.sources.fundamentals import fund_documents, fundamentals
+from barloom.sources.documents import components, parse_dividends, parsed, read_bars, read_dividends
+from barloom.sources.fundamentals import annual_eps, fund_documents, fundamentals
 from barloom.sources.scratch import shared_dir
 
 c = F.col
@@ -40,6 +42,12 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
+def tags(b: DataFrame) -> DataFrame:
+    from barloom.plans.catalogue import tags as made
+
+    return made(b)
+
+
 def candle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dirty(spark, sf_dir)
     found = cl.candle_report(rows, cl.marked_candles(rows), 5)
@@ -221,7 +229,51 @@ def dividends_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", "ex_date", F.round("amount", 6).alias("amount"), "period", "currency", "is_special")
 
 
+#: The day of the valuation report.
+REPORT_DAY = "2001-06-30"
+
+
+def fed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stocks as funds of several kinds against a dirty series of yields."""
+    f = fundamentals(spark, sf_dir)
+    n = F.crc32(c("symbol").cast("binary"))
+    tags = F.array(F.when(n % 4 == 0, "Bond").when(n % 4 == 1, "growth").otherwise("EQUITY"))
+    profiles = f.select("symbol", tags.alias("tags"), F.when(n % 3 == 0, "US Equity").when(n % 5 == 0, "Gold trust").otherwise("Broad").alias("asset_class"))
+    rates = dirty(spark, sf_dir).where("symbol = 'AF'").withColumn("close", c("close") / 40)
+    return v.fed_report(profiles, f, rates, REPORT_DAY, "1996-01-01")
+
+
+def graham_with_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = v.graham_inputs(fundamentals(spark, sf_dir), annual_eps(spark, sf_dir))
+    price = numbered(bars_stock(spark, sf_dir)).where("is_last").select("symbol", "close")
+    return sc.graham(f, price).join(f.select("symbol", "eps_basis", "growth_basis"), "symbol")
+
+
+def index_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each region as an index, with its nations as members."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), c("r_regionkey") == c("n_regionkey"))
+    code = F.when(c("n_nationkey") % 8 == 0, " ").otherwise(F.concat(F.lower(F.substring("n_name", 1, 3)), F.lit("."), (c("n_nationkey") % 2).cast("string")))
+    item = F.create_map(F.lit("Code"), code, F.lit("Name"), "n_name", F.lit("Sector"), F.when(c("n_nationkey") % 5 != 0, "Trade"), F.lit("Exchange"), F.lit("US"))
+    docs = n.groupBy(c("r_name").alias("symbol")).agg(F.map_from_entries(F.collect_list(F.struct(c("n_nationkey").cast("string"), item))).alias("m"))
+    return components(parsed(docs.select("symbol", F.to_json(F.struct(c("m").alias("Components"))).alias("doc"))))
+
+
+def first_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of corrections into a store that never restates."""
+    from barloom.plans import stored
+
+    return stored.corrected(spark, sf_dir, restate=False).read()
+
+
 QUERIES = {
+    "fed_report": fed_report,
+    "graham_with_proxy": graham_with_proxy,
+    "index_components": index_components,
+    "stream_first_write": first_write_wins,
+    "factor_exposure": lambda spark, d: v.factor_exposure(bars(spark, d), tags(bars(spark, d))),
+    "vt_comparison_from": lambda spark, d: a.buy_and_hold_comparison(bars(spark, d), one="AF", split={"NO": 0.6, "RF": 0.4}, start="1996-06-01"),
+    "allocation_of_few_days": lambda spark, d: a.allocation_mix(bars(spark, d).where("date between '1998-12-01' and '1998-12-20'"), MIX, zeros=True),
+    "composite_counts": lambda spark, d: sc.distribution(sc.composite(bars_stock(spark, d), fundamentals(spark, d)), "status"),
     "magic_formula_counts": magic_counts,
     "universes": universes,
     "bars_from_json": bars_from_json,

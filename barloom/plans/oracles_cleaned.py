@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from barloom.plans.oracles_calendar import ORACLES as CALENDAR
 from barloom.plans.oracles_portfolio import ORACLES as PORTFOLIO
-from barloom.plans.oracles_portfolio import PRICES, STOCK_NUMBERED, harvest
+from barloom.plans.oracles_portfolio import EPS, FUNDAMENTALS_SQL, PRICES, STOCK_NUMBERED, harvest
 from barloom.plans.oracles_quant import ORACLES as QUANT
 from barloom.plans.oracles_technical import INDICATORS, NUMBERED, r6, sma, steps
 from barloom.plans.oracles_technical import ORACLES as TECHNICAL
@@ -49,7 +50,47 @@ _SIDE = """SELECT '{x}' AS path, round(10000 * arg_max({x}, date), 2) AS final_v
     round((avg(r_{x}) * 252 - 0.045::DOUBLE) / (stddev_samp(r_{x}) * sqrt(252.0::DOUBLE)), 4) AS sharpe, round(min(f_{x}) * 100, 4) AS drawdown_percent,
     arg_min(p_{x}, row(f_{x}, date)) AS peak, arg_min(date, row(f_{x}, date)) AS trough FROM sides"""
 
+_CODES = """codes(symbol, code) AS (SELECT symbol, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(symbol) + 1), lambda i: ascii(symbol[i])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) FROM facts)"""
+
 ORACLES = {
+    "fed_report": steps(
+        _DIRTY,
+        FUNDAMENTALS_SQL,
+        _CODES,
+        "y AS (SELECT date, close / 40 AS y FROM day_last WHERE symbol = 'AF' AND date BETWEEN DATE '1996-01-01' AND DATE '2001-06-30')",
+        "t AS (SELECT arg_max(y, date) FILTER (WHERE y > 0 AND y <= 20) AS now, max(date) FILTER (WHERE y > 0 AND y <= 20) AS newest, count_if(y > 0 AND y <= 20)::BIGINT AS n, min(y) FILTER (WHERE y > 0) AS low, max(y) AS high, avg(y) FILTER (WHERE y > 0 AND y <= 20) AS mean, count_if(NOT (y > 0 AND y <= 20))::BIGINT AS dropped FROM y)",
+        "u AS (SELECT count_if(y > 0 AND y <= now) / count_if(y > 0) * 100 AS share FROM y CROSS JOIN t)",
+        "p AS (SELECT symbol, pe, CASE WHEN code % 4 = 0 THEN 'bond' WHEN code % 4 = 1 THEN 'growth' ELSE 'equity' END AS tag, CASE WHEN code % 3 = 0 THEN 'us equity' WHEN code % 5 = 0 THEN 'gold trust' ELSE 'broad' END AS kind FROM facts JOIN codes USING (symbol))",
+        "k AS (SELECT *, tag = 'bond' OR kind = 'gold trust' AS other, tag = 'equity' OR kind = 'us equity' AS eq FROM p)",
+        "s AS (SELECT *, CASE WHEN other OR NOT eq THEN 'NOT_APPLICABLE' WHEN coalesce(pe > 0, false) THEN 'OK' ELSE 'UNAVAILABLE' END AS status FROM k CROSS JOIN t CROSS JOIN u)",
+        """SELECT symbol, status, CASE WHEN other THEN 'not an equity fund' WHEN NOT eq THEN 'not known to be an equity fund' WHEN status <> 'OK' THEN 'no positive P/E' END AS reason, CASE WHEN status = 'OK' THEN round(100 / pe, 4) END AS earnings_yield,
+            CASE WHEN status = 'OK' THEN round(now, 4) END AS treasury, CASE WHEN status = 'OK' THEN round(100 / pe - now, 4) END AS spread, CASE WHEN status = 'OK' THEN CASE WHEN 100 / pe - now > 0.25 THEN 'equities' WHEN 100 / pe - now < -0.25 THEN 'bonds' ELSE 'equal' END END AS more_attractive,
+            CASE WHEN status = 'OK' THEN n END AS observations, CASE WHEN status = 'OK' THEN round(low, 4) END AS low, CASE WHEN status = 'OK' THEN round(high, 4) END AS high, CASE WHEN status = 'OK' THEN round(mean, 4) END AS mean, CASE WHEN status = 'OK' THEN round(share, 2) END AS share,
+            CASE WHEN status = 'OK' THEN dropped END AS dropped, CASE WHEN status = 'OK' THEN CAST(DATE '2001-06-30' - newest AS INTEGER) END AS days_apart FROM s""",
+    ),
+    "graham_with_proxy": steps(
+        FUNDAMENTALS_SQL.replace("facts AS", "facts0 AS", 1),
+        EPS,
+        "l AS (SELECT symbol, arg_max(eps, year) AS last_eps, max(year) AS last_year, arg_min(eps, year) AS f, count(*) AS k, max(year) - min(year) AS span FROM eps WHERE eps IS NOT NULL GROUP BY symbol)",
+        "facts AS (SELECT f0.* REPLACE (coalesce(eps_now, last_eps) AS eps_now, coalesce(growth::DOUBLE, CASE WHEN k >= 3 AND f > 0 AND last_eps > 0 THEN (pow(last_eps / f, 1.0::DOUBLE / span) - 1) * 100 END) AS growth), CASE WHEN eps_now IS NOT NULL THEN 'trailing' WHEN last_eps IS NOT NULL THEN 'FY' || last_year END AS eps_basis, CASE WHEN growth IS NOT NULL THEN 'forward estimate' WHEN k >= 3 AND f > 0 AND last_eps > 0 THEN 'historical proxy' END AS growth_basis FROM facts0 f0 LEFT JOIN l USING (symbol))",
+        "px AS (SELECT symbol, close FROM numbered WHERE is_last)",
+        "a AS (SELECT *, least(growth, 15)::DOUBLE AS g FROM facts LEFT JOIN px USING (symbol))",
+        "b AS (SELECT *, CASE WHEN eps_now > 0 AND g IS NOT NULL THEN eps_now * (8.5::DOUBLE + 2 * g) * (4.4::DOUBLE / 4.8::DOUBLE) END AS v, CASE WHEN eps_now > 0 AND g IS NOT NULL THEN eps_now * (8.5::DOUBLE + g) * (4.4::DOUBLE / 4.8::DOUBLE) END AS h, CASE WHEN eps_now > 0 THEN eps_now * 8.5::DOUBLE * (4.4::DOUBLE / 4.8::DOUBLE) END AS z FROM a)",
+        """SELECT symbol, round(v, 6) AS value, round(h, 6) AS half_growth, round(z, 6) AS no_growth, round(v * 0.7::DOUBLE, 6) AS with_margin, round((v - close) / close * 100, 6) AS upside_percent, eps_basis, growth_basis,
+        CASE WHEN eps_now IS NULL THEN 'no earnings' WHEN eps_now <= 0 THEN 'earnings not positive' WHEN growth IS NULL THEN 'no growth' WHEN close IS NULL THEN 'no price' END AS unavailable FROM b""",
+        base=STOCK_NUMBERED,
+    ),
+    "index_components": """WITH m AS (SELECT r_name AS symbol, n_nationkey, upper(substr(n_name, 1, 3)) || '-' || (n_nationkey % 2) AS code, n_name AS name, CASE WHEN n_nationkey % 5 <> 0 THEN 'Trade' END AS sector FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 8 <> 0)
+        SELECT symbol, code, arg_min(name, n_nationkey) AS name, nullif(arg_min(coalesce(sector, ''), n_nationkey), '') AS sector, NULL::VARCHAR AS industry, 'US' AS exchange FROM m GROUP BY symbol, code""",
+    "stream_first_write": f"WITH {BARS_SQL} SELECT symbol, date, open, high, low, close, CASE WHEN date >= DATE '2000-01-01' THEN round(close / 2, 6) ELSE adjusted_close END AS adjusted_close, volume FROM bars WHERE date < DATE '2000-01-01' OR day(date) <> 13",
+    "factor_exposure": CALENDAR["factor_scores"].replace("SELECT symbol, round(max(month), 6)", """, s AS (SELECT symbol, round(max(month), 6)""", 1).replace("\n, s AS", ", s AS") + """),
+        e AS (SELECT arg_max(tag, row(mean, -tagrank)) AS first_tag, arg_min(tag, row(mean, -tagrank)) AS last_tag FROM (SELECT *, row_number() OVER (ORDER BY tag) AS tagrank FROM t)),
+        h AS (SELECT s.*, cume_dist() OVER (ORDER BY score) * 100 AS share, list_contains((SELECT list(tag) FROM tags g WHERE g.symbol = s.symbol), first_tag) AS up, list_contains((SELECT list(tag) FROM tags g WHERE g.symbol = s.symbol), last_tag) AS down FROM s CROSS JOIN e)
+        SELECT symbol, month_percent, score, round(share, 2) AS share_at_or_below, round(30 + 70 * share / 100, 2) AS exposure_percent, CASE WHEN up THEN 'Maintain / Increase Exposure' WHEN down THEN 'Reduce Exposure' ELSE 'Neutral' END AS guidance FROM h""",
+    "vt_comparison_from": f"""WITH {BARS_SQL}, p AS (SELECT date, max(CASE WHEN symbol = 'AF' THEN adjusted_close END) AS x, max(CASE WHEN symbol = 'NO' THEN adjusted_close END) AS y, max(CASE WHEN symbol = 'RF' THEN adjusted_close END) AS z FROM bars WHERE date >= DATE '1996-06-01' GROUP BY date),
+        q AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL)
+        SELECT date, round(10000 * x / first_value(x) OVER (ORDER BY date), 6) AS single_value, round(10000 * 0.6::DOUBLE * y / first_value(y) OVER (ORDER BY date) + 10000 * 0.4::DOUBLE * z / first_value(z) OVER (ORDER BY date), 6) AS split_value FROM q""",
+    "composite_counts": f"SELECT status AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 6) AS percent FROM ({PORTFOLIO['composite_score']}) GROUP BY 1",
     "magic_formula_counts": f"SELECT coalesce(excluded, 'ranked') AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 6) AS percent FROM ({PORTFOLIO['magic_formula']}) GROUP BY 1",
     "universes": f"""WITH {BARS_SQL}, m AS (SELECT DISTINCT r_name AS universe, ['AF', 'NO', 'RF', 'RO', 'ZZ'][n_nationkey % 5 + 1] AS symbol, n_nationkey % 7 <> 0 AS is_current FROM nation JOIN region ON r_regionkey = n_regionkey),
         l AS (SELECT symbol, max(date) AS last FROM bars GROUP BY symbol)

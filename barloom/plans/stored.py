@@ -19,7 +19,7 @@ from barloom.streaming import sessions as ss
 STORED, CUTS = "2000-01-01", ["1999-07-01", "2000-01-01", "2001-01-01"]
 
 
-def _corrected(spark: SparkSession, sf_dir: str) -> BarStore:
+def corrected(spark: SparkSession, sf_dir: str, restate: bool = True) -> BarStore:
     """A store of the older bars after a stream of corrections to the newer half of
     them and of later bars: adjusted closes are halved, closes of each 13th are
     missing, bars of Decembers come twice."""
@@ -30,15 +30,15 @@ def _corrected(spark: SparkSession, sf_dir: str) -> BarStore:
     late = late.withColumn("close", F.when(F.dayofmonth("date") != 13, F.col("close")))
     late = late.unionByName(late.where(F.month("date") == 12))
     stream = st.in_order(late, f"{folder}/landing", "date", CUTS)
-    return st.restating_sink(stream, f"{folder}/store", f"{folder}/state")
+    return st.restating_sink(stream, f"{folder}/store", f"{folder}/state", restate=restate)
 
 
 def restated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _corrected(spark, sf_dir).read()
+    return corrected(spark, sf_dir).read()
 
 
 def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _corrected(spark, sf_dir).runs().select("version", "stream", "batch", "status", *COUNTS)
+    return corrected(spark, sf_dir).runs().select("version", "stream", "batch", "status", *COUNTS)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

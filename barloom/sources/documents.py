@@ -19,7 +19,7 @@ DOCUMENT = (
     "struct<General:map<string,string>,Highlights:map<string,string>,Valuation:map<string,string>,SharesStats:map<string,string>,"
     "SplitsDividends:map<string,string>,Holders:map<string,string>,"
     f"Financials:struct<Income_Statement:{_STATEMENT},Balance_Sheet:{_STATEMENT},Cash_Flow:{_STATEMENT}>,"
-    f"Earnings:struct<History:{_ITEMS},Annual:{_ITEMS},Trend:{_ITEMS}>>"
+    f"Earnings:struct<History:{_ITEMS},Annual:{_ITEMS},Trend:{_ITEMS}>,Components:{_ITEMS}>"
 )
 BAR_FILE = "symbol string, date string, open string, high string, low string, close string, adjusted_close string, volume string"
 DIVIDEND_FILE = "symbol string, date string, paymentDate string, declarationDate string, recordDate string, value string, unadjustedValue string, period string, currency string"
@@ -115,3 +115,14 @@ def earnings(docs: DataFrame, part: str = "History") -> DataFrame:
     """``symbol, day, eps`` that have been reported: quarters (History) or years
     (Annual)."""
     return _dated(docs, f"d.Earnings.{part}").select("symbol", "day", number(c("items")["epsActual"]).alias("eps")).where("eps is not null")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """``symbol, code, name, sector, industry, exchange`` of the members that parsed documents of
+    indices list; codes are upper case with a hyphen for a dot, the first of each counts,
+    and members without one are left out."""
+    rows = docs.select("symbol", F.explode("d.Components").alias("key", "m"))
+    text = lambda k: F.nullif(F.trim(c("m")[k]), F.lit(""))
+    rows = rows.select("symbol", F.replace(F.upper(text("Code")), F.lit("."), F.lit("-")).alias("code"), number("key").alias("n"), "key", *[text(k).alias(k.lower()) for k in ("Name", "Sector", "Industry", "Exchange")])
+    first = rows.where("code is not null").groupBy("symbol", "code").agg(F.min_by(F.struct("name", "sector", "industry", "exchange"), F.struct("n", "key")).alias("m"))
+    return first.select("symbol", "code", "m.*")
