@@ -266,8 +266,16 @@ def swing_momentum(bars: DataFrame, index: str | None = None, gate: int = 69) ->
     return df.select("symbol", "date", *[r6(x).alias(x) for x in ("swing", "average", "sma50")], state.alias("state"), *[F.coalesce(x, F.lit(False)).alias(k) for k, x in crosses.items()], (above & strong & high).alias("bullish"), (~above | ~high | (c("swing") >= 4)).alias("exit"), r6(c("swing") - c("index_swing")).alias("relative_strength"))
 
 
+#: Patterns by the number of their candles.
+ONE = ("Doji", "Hammer", "Hanging Man", "Shooting Star")
+TWO = ("Bullish Engulfing", "Bearish Engulfing", "Bullish Harami", "Bearish Harami")
+THREE = ("Morning Star", "Evening Star", "Three Black Crows")
+
+
 def candlestick_patterns(bars: DataFrame, lookback: int = 120) -> DataFrame:
-    """Patterns of one to three candles in the last bars (trend by ATR)."""
+    """Patterns of one to three candles in the last bars (trend by ATR).  Where bars have ``pos``, their
+    place before invalid ones went, the candles of a pattern must be neighbours there."""
+    placed = "pos" in bars.columns
     df = numbered(with_indicators(bars, ["atr"], lookback + 14)).withColumn("body", F.abs(c("close") - c("open"))).withColumn("span", c("high") - c("low"))
     df = df.withColumn("upper", c("high") - F.greatest("open", "close")).withColumn("lower", F.least("open", "close") - c("low"))
     df = df.withColumn("move", lag("close") - lag("close", 6)).withColumn("one_atr", lag("atr")).withColumn("usual", sma("body", 10, 1))
@@ -275,6 +283,7 @@ def candlestick_patterns(bars: DataFrame, lookback: int = 120) -> DataFrame:
     for k in (1, 2):
         for x in ("open", "close", "body", "usual", "low", "span", "up", "down"):
             df = df.withColumn(f"{x}{k}", lag(x, k))
+        df = df.withColumn(f"near{k}", c("pos") - lag("pos", k) == k if placed else F.lit(True))
     df = df.withColumn("n", F.count("*").over(whole())).where(c("n") - c("i") < lookback)
     doji = (c("span") > 0) & (c("body") <= 0.1 * c("span"))
     solid = c("body") > 0.1 * c("span")
@@ -301,5 +310,15 @@ def candlestick_patterns(bars: DataFrame, lookback: int = 120) -> DataFrame:
         ("Evening Star", green[2] & long[2] & small1 & (F.least("open1", "close1") >= c("close2")) & red[0] & (c("close") < middle) & c("up2")),
         ("Three Black Crows", crow("") & crow(1) & crow(2) & falling & opens & c("up2")),
     ]
-    hits = F.filter(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in found]), lambda x: x.isNotNull())
+    several = {name: c("near2") if name in THREE else c("near1") for name, _ in found if name in (*TWO, *THREE)}
+    rules = [(name, rule & several[name] if name in several else rule) for name, rule in found]
+    hits = F.filter(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules]), lambda x: x.isNotNull())
     return df.select("symbol", "date", F.explode(hits).alias("pattern"))
+
+
+def pattern_counts(found: DataFrame, symbols: DataFrame) -> DataFrame:
+    """How often each symbol shows each pattern (0 for the others) and when last."""
+    names = F.explode(F.array(*map(F.lit, (*ONE, *TWO, *THREE))))
+    g = found.groupBy("symbol", "pattern").agg(F.count("*").alias("n"), F.max("date").alias("last"))
+    every = symbols.select("symbol").distinct().withColumn("pattern", names)
+    return every.join(g, ["symbol", "pattern"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -27,6 +27,7 @@ from barloom.sources.bars import bars, bars_by_year, bars_stock, table
 from barloom.sources.documents import components, parse_dividends, parsed, read_bars, read_dividends
 from barloom.sources.fundamentals import annual_eps, fund_documents, fundamentals
 from barloom.sources.scratch import shared_dir
+from barloom.streaming.sessions import complete_bars
 
 c = F.col
 
@@ -265,7 +266,24 @@ def first_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.corrected(spark, sf_dir, restate=False).read()
 
 
+#: A moment in the last session of most funds, in UTC.
+NOW = "1998-11-27 20:59:00"
+
+
+def _clean_patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = cl.date_window(dirty(spark, sf_dir), None, "1998-11-27")
+    whole = complete_bars(cl.candles(cl.marked_candles(rows)), NOW).withColumn("adjusted_close", c("close"))
+    return t.candlestick_patterns(whole), rows
+
+
+def patterns_of_clean_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns in cleaned candles up to a moment when the last session was still open."""
+    return _clean_patterns(spark, sf_dir)[0]
+
+
 QUERIES = {
+    "patterns_of_clean_candles": patterns_of_clean_candles,
+    "pattern_counts": lambda spark, d: t.pattern_counts(*_clean_patterns(spark, d)),
     "fed_report": fed_report,
     "graham_with_proxy": graham_with_proxy,
     "index_components": index_components,

@@ -6,7 +6,7 @@ from barloom.plans.oracles_calendar import ORACLES as CALENDAR
 from barloom.plans.oracles_portfolio import ORACLES as PORTFOLIO
 from barloom.plans.oracles_portfolio import EPS, FUNDAMENTALS_SQL, PRICES, STOCK_NUMBERED, harvest
 from barloom.plans.oracles_quant import ORACLES as QUANT
-from barloom.plans.oracles_technical import INDICATORS, NUMBERED, r6, sma, steps
+from barloom.plans.oracles_technical import INDICATORS, NUMBERED, lag, r6, sma, steps
 from barloom.plans.oracles_technical import ORACLES as TECHNICAL
 from barloom.sources.bars import BARS_SQL
 
@@ -52,7 +52,20 @@ _SIDE = """SELECT '{x}' AS path, round(10000 * arg_max({x}, date), 2) AS final_v
 
 _CODES = """codes(symbol, code) AS (SELECT symbol, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(symbol) + 1), lambda i: ascii(symbol[i])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) FROM facts)"""
 
+_SOURCE = NUMBERED.replace("bars AS", "bars0 AS", 1).replace("FROM bars ", "FROM bars0 ").replace("numbered AS", "numbered0 AS", 1)
+_CLEAN = f"""{_SOURCE}, {_DIRTY.replace("FROM numbered", "FROM numbered0").replace("WHERE date IS NOT NULL", "WHERE date <= DATE '1998-11-27'")}, {_MARKED},
+    bars AS (SELECT symbol, date, pos, open, greatest(high, open, close) AS high, least(low, open, close) AS low, close, volume FROM marked WHERE ok AND date <> DATE '1998-11-27')"""
+_THREE, _TWO = "('Morning Star', 'Evening Star', 'Three Black Crows')", "('Bullish Engulfing', 'Bearish Engulfing', 'Bullish Harami', 'Bearish Harami')"
+_PATTERNS_CLEAN = (
+    TECHNICAL["candlestick_patterns"].replace(BARS_SQL, _CLEAN, 1).replace(",\nd AS (SELECT *, ", f",\nd AS (SELECT *, {lag('pos', 1)} AS pos1, {lag('pos', 2)} AS pos2, ", 1)
+    + f" AND (pattern NOT IN {_TWO} OR pos - pos1 = 1) AND (pattern NOT IN {_THREE} OR pos - pos2 = 2)"
+)
+_NAMES = "['Doji', 'Hammer', 'Hanging Man', 'Shooting Star', 'Bullish Engulfing', 'Bearish Engulfing', 'Bullish Harami', 'Bearish Harami', 'Morning Star', 'Evening Star', 'Three Black Crows']"
+
 ORACLES = {
+    "patterns_of_clean_candles": _PATTERNS_CLEAN,
+    "pattern_counts": f"""SELECT symbol, pattern, coalesce(n, 0) AS n, last FROM (SELECT symbol, unnest({_NAMES}) AS pattern FROM (SELECT DISTINCT l_returnflag || l_linestatus AS symbol FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-11-27'))
+        LEFT JOIN (SELECT symbol, pattern, count(*) AS n, max(date) AS last FROM ({_PATTERNS_CLEAN}) GROUP BY symbol, pattern) USING (symbol, pattern)""",
     "fed_report": steps(
         _DIRTY,
         FUNDAMENTALS_SQL,

@@ -89,3 +89,21 @@ def test_universes(spark):
     bars = frame(spark, "A", [1.0, 2.0]).union(frame(spark, "B", [1.0] * 9))
     got = {r.universe: tuple(r)[1:] for r in scans.universe_summary(members, bars).collect()}
     assert got == {"u": (3, 2, 1, datetime.date(2019, 1, 2)), "v": (1, 1, 0, None)}
+
+
+def test_a_pattern_does_not_form_across_a_dropped_candle(spark):
+    """A falling market, then a green candle that engulfs the red one before it."""
+    rows = [(100.0 - k, 100.2 - k, 98.8 - k, 99.0 - k) for k in range(40)]
+    rows.append((58.9, 62.5, 58.5, 62.0))
+    days = pd.bdate_range("2020-01-01", periods=41).date
+    frames = []
+    for symbol, gap in (("whole", 0), ("gap", 1)):
+        for k, (o, h, low, close) in enumerate(rows):
+            frames.append((symbol, days[k], o, h, low, close, close, 1, k + (gap if k == 40 else 0)))
+    df = spark.createDataFrame(frames, "symbol string, date date, open double, high double, low double, close double, adjusted_close double, volume long, pos long")
+    found = technical.candlestick_patterns(df)
+    got = {(r.symbol, r.pattern) for r in found.where("pattern like '%Engulfing'").collect()}
+    assert got == {("whole", "Bullish Engulfing")}
+    assert {r.symbol for r in technical.candlestick_patterns(df.drop("pos")).where("pattern like '%Engulfing'").collect()} == {"whole", "gap"}
+    counts = {(r.symbol, r.pattern): (r.n, r.last) for r in technical.pattern_counts(found, df).collect()}
+    assert len(counts) == 22 and counts["whole", "Bullish Engulfing"] == (1, days[40]) and counts["gap", "Bullish Engulfing"] == (0, None)
