@@ -6,7 +6,7 @@ from barloom.plans.oracles_calendar import ORACLES as CALENDAR
 from barloom.plans.oracles_portfolio import ORACLES as PORTFOLIO
 from barloom.plans.oracles_portfolio import EPS, FUNDAMENTALS_SQL, PRICES, STOCK_NUMBERED, harvest
 from barloom.plans.oracles_quant import ORACLES as QUANT
-from barloom.plans.oracles_technical import INDICATORS, NUMBERED, lag, r6, sma, steps
+from barloom.plans.oracles_technical import INDICATORS, NUMBERED, W, lag, r6, sma, steps
 from barloom.plans.oracles_technical import ORACLES as TECHNICAL
 from barloom.sources.bars import BARS_SQL
 
@@ -62,7 +62,21 @@ _PATTERNS_CLEAN = (
 )
 _NAMES = "['Doji', 'Hammer', 'Hanging Man', 'Shooting Star', 'Bullish Engulfing', 'Bearish Engulfing', 'Bullish Harami', 'Bearish Harami', 'Morning Star', 'Evening Star', 'Three Black Crows']"
 
+_CENTRED = "xx AS (SELECT symbol, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(x, z) AS xz, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM pairs GROUP BY symbol)"
+
 ORACLES = {
+    "volatility_report": steps(
+        f"lr AS (SELECT symbol, date, n, 100 * (ln(close) - ln({lag('close')})) AS r FROM numbered {W})",
+        f"lq AS (SELECT symbol, n, r, {lag('r')} AS q FROM lr {W})",
+        "pairs AS (SELECT symbol, r * r AS y, q * q AS x, CASE WHEN q < 0 THEN q * q ELSE 0 END AS z FROM lq WHERE q IS NOT NULL AND n >= 61)",
+        _CENTRED,
+        "co AS (SELECT *, xx * zz - xz * xz AS d, xy / xx AS ar1 FROM xx)",
+        "cf AS (SELECT *, (zz * xy - xz * zy) / d AS b, (xx * zy - xz * xy) / d AS c FROM co)",
+        "v AS (SELECT symbol, sum(pow((xx * (z - mz) - xz * (x - mx)) / d / n * (y - my - b * (x - mx) - c * (z - mz)), 2)) AS v FROM pairs JOIN cf USING (symbol) GROUP BY symbol)",
+        f"""SELECT symbol, ljung_box, round(exp(-ljung_box / 2) * (1 + ljung_box / 2 + pow(ljung_box / 2, 2) / 2 + pow(ljung_box / 2, 3) / 6 + pow(ljung_box / 2, 4) / 24), 6) AS p_value, round(ar1, 6) AS ar1,
+            round(CASE WHEN ar1 > 0 AND ar1 < 1 THEN ln(0.5) / ln(ar1) END, 4) AS half_life, round(c, 6) AS asymmetry, round(c / sqrt(v * n / (n - 3)), 4) AS asymmetry_t
+        FROM cf JOIN v USING (symbol) JOIN (SELECT symbol, ljung_box FROM ({QUANT["acf_squared_returns"]}) WHERE lag = 10) USING (symbol)""",
+    ),
     "patterns_of_clean_candles": _PATTERNS_CLEAN,
     "pattern_counts": f"""SELECT symbol, pattern, coalesce(n, 0) AS n, last FROM (SELECT symbol, unnest({_NAMES}) AS pattern FROM (SELECT DISTINCT l_returnflag || l_linestatus AS symbol FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-11-27'))
         LEFT JOIN (SELECT symbol, pattern, count(*) AS n, max(date) AS last FROM ({_PATTERNS_CLEAN}) GROUP BY symbol, pattern) USING (symbol, pattern)""",
