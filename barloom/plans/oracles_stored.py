@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from barloom.plans.oracles_analytics import _with
 from barloom.plans.oracles_stream import ORACLES as STREAMS
+from barloom.plans.oracles_technical import INDICATORS, NUMBERED, r6, steps
 from barloom.sources.bars import BARS_SQL, STOCKS_SQL
 
 _BATCH = "CASE WHEN date < DATE '1999-07-01' THEN 0 WHEN date < DATE '2000-01-01' THEN 1 WHEN date < DATE '2001-01-01' THEN 2 ELSE 3 END"
@@ -32,7 +33,17 @@ _SEEN = "s.valid_from, CAST(s.recorded_at AS VARCHAR) AS recorded_at, s.eps, s.n
 _NONE_LATER = "NOT EXISTS (FROM snaps t WHERE t.symbol = s.symbol AND t.ok AND {seen} AND (t.valid_from > s.valid_from OR (t.valid_from = s.valid_from AND t.recorded_at > s.recorded_at)))"
 _KNOWN = "t.valid_from <= {v} AND t.recorded_at <= {r}"
 
+_UNTIL = BARS_SQL.replace("bars AS", "all_bars AS", 1) + ", bars AS (SELECT * FROM all_bars WHERE date <= DATE '1998-08-12')"
+
 ORACLES = {
+    "stream_months": _with(
+        _UNTIL,
+        "m AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS month, arg_max(close, date) AS close, max(date) AS last, count(*) AS n FROM bars GROUP BY ALL)",
+        "e AS (SELECT *, last_day(month) - CASE isodow(last_day(month)) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END AS weekday FROM m)",
+        "f AS (SELECT *, lead(month) OVER w IS NOT NULL OR last >= weekday - 4 AS is_complete, CASE WHEN lag(month) OVER w = month - INTERVAL 1 MONTH THEN close / lag(close) OVER w - 1 END AS r FROM e WINDOW w AS (PARTITION BY symbol ORDER BY month))",
+        """SELECT symbol, month, close, n, is_complete, round(r * 100, 6) AS return_percent, CASE WHEN is_complete AND r IS NOT NULL THEN rank() OVER (PARTITION BY symbol, is_complete AND r IS NOT NULL ORDER BY r DESC) END AS rank FROM f""",
+    ),
+    "stream_indicators": steps(f"SELECT symbol, date, i, close, {r6('ema8', 'ema21', 'ema50', 'rsi', 'atr', 'macd', 'signal', 'hist')} FROM ind WHERE is_last", base=f"{NUMBERED.replace(BARS_SQL, _UNTIL)}, {INDICATORS}", recursive=True),
     "members_from_pages": """SELECT CAST(page_id AS VARCHAR) AS page_id, upper(substr(n_name, 1, 4)) || '-' || n_nationkey AS symbol, n_name || ' & Co' AS name, 'Sector ' || (n_nationkey % 2) AS sector, n_name || ' works' AS industry
         FROM pages JOIN nation ON n_regionkey = page_id % 5 WHERE page_id % 3 = 0""",
     "page_table_counts": """SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(count(n_name) AS INTEGER) AS n_rows, CAST(page_id % 3 = 0 AS INTEGER) AS n_tables, CAST(page_id % 33 = 0 AS INTEGER) AS n_unclosed, 0 AS n_stray, 0 AS n_bad_spans

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import snapshots as sn
+from barloom.operators.tails import VIEW
 from barloom.sources.bars import bars, bars_stock, cents, table
 from barloom.sources.markup import index_members, page_tables
 from barloom.sources.scratch import shared_dir
@@ -162,7 +163,28 @@ def snapshot_refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sn.refresh_counts(snapshots(spark, sf_dir), F.date_format("recorded_at", "yyyy-MM"))
 
 
+#: Dates that begin a new file of bars; the last month of the stream is cut short.
+BAR_FILES, STREAM_END = ["1994-03-10", "1996-07-17", "1997-12-31"], "1998-08-12"
+
+
+def _bar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bars(spark, sf_dir).where(F.col("date") <= STREAM_END)
+    return st.in_order(rows, f"{shared_dir(spark)}/{uuid.uuid4().hex}", "date", BAR_FILES)
+
+
+def stream_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closes = st.run_updates(st.monthly_closes(_bar_stream(spark, sf_dir)), shared_dir(spark), ["symbol", "month"], "n")
+    return st.months_so_far(closes)
+
+
+def stream_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = st.run_updates(st.running_indicators(_bar_stream(spark, sf_dir)), shared_dir(spark), "symbol", "i")
+    return found.select("symbol", "date", "i", "close", *[F.round(x, 6).alias(x) for x in VIEW])
+
+
 QUERIES = {
+    "stream_months": stream_months,
+    "stream_indicators": stream_indicators,
     "members_from_pages": members_from_pages,
     "page_table_counts": page_table_counts,
     "snapshots_as_of": snapshots_as_of,

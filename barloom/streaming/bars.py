@@ -6,10 +6,11 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from barloom.operators import tails
 from barloom.sources.bars import cents
 from barloom.sources.versions import BarStore
 
@@ -76,7 +77,48 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_updates(stream: DataFrame, folder: str, key: str, order: str) -> DataFrame:
+def monthly_closes(bars: DataFrame) -> DataFrame:
+    """Each symbol's last close of a month so far, its date, and the number of bars, from a stream of
+    bars in update mode.  State is a row for each symbol and month."""
+    month = F.trunc("date", "month").alias("month")
+    return bars.groupBy("symbol", month).agg(F.max_by("close", "date").alias("close"), F.max("date").alias("last"), F.count("*").alias("n"))
+
+
+def months_so_far(closes: DataFrame) -> DataFrame:
+    """Returns of months on the month just before (null where that is missing), with ``is_complete``: a
+    later month of the symbol has begun, or the last bar is at most four days before the
+    month's last weekday.  Only complete months have a ``rank`` among the symbol's returns."""
+    order = Window.partitionBy("symbol").orderBy("month")
+    end = F.last_day("month")
+    weekday = F.dayofweek(end)  # 1 is Sunday
+    last_weekday = F.when(weekday == 1, F.date_sub(end, 2)).when(weekday == 7, F.date_sub(end, 1)).otherwise(end)
+    whole = F.lead("month").over(order).isNotNull() | (F.col("last") >= F.date_sub(last_weekday, 4))
+    df = closes.select("*", whole.alias("is_complete"), F.lag("close").over(order).alias("before"), F.lag("month").over(order).alias("month_before"))
+    r = F.when(F.col("month_before") == F.add_months("month", -1), F.col("close") / F.col("before") - 1)
+    df = df.withColumn("r", r).withColumn("counts", F.col("is_complete") & F.col("r").isNotNull())
+    rank = F.rank().over(Window.partitionBy("symbol", "counts").orderBy(F.desc("r"))).cast("long")
+    return df.select("symbol", "month", "close", "n", "is_complete", F.round(F.col("r") * 100, 6).alias("return_percent"), F.when(F.col("counts"), rank).alias("rank"))
+
+
+def running_indicators(bars: DataFrame) -> DataFrame:
+    """EMA, RSI, ATR and MACD of each symbol's newest bar, from a stream of bars in the order of
+    their dates: ``symbol, date, i, close`` and ``tails.VIEW``.  The state of a symbol is that
+    of ``tails``: a dozen numbers, whatever its history."""
+    numbers = tails.NUMBERS
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = dict(zip(["i", *numbers], state.get)) if state.exists else {"i": 0} | dict.fromkeys(numbers)
+        w = tails.walk(pd.concat(list(frames)), held)
+        last = w.iloc[-1]
+        state.update((int(last["i"]), *(float(last[x]) for x in numbers)))
+        yield pd.concat([w[["date", "i", "close"]], tails.view(w)], axis=1).tail(1).assign(symbol=key[0])[["symbol", "date", "i", "close", *tails.VIEW]]
+
+    out = f"symbol string, date date, i long, close double, {', '.join(f'{x} double' for x in tails.VIEW)}"
+    kept = f"i long, {', '.join(f'{x} double' for x in numbers)}"
+    return bars.groupBy("symbol").applyInPandasWithState(step, out, kept, "update", "NoTimeout")
+
+
+def run_updates(stream: DataFrame, folder: str, key: str | list[str], order: str) -> DataFrame:
     """Take in all there is in update mode; of each ``key`` the row with the greatest
     ``order``.  A batch's rows go to a folder of their own, which a replay writes anew."""
     path = f"{folder}/{uuid.uuid4().hex}"
@@ -87,8 +129,9 @@ def run_updates(stream: DataFrame, folder: str, key: str, order: str) -> DataFra
     q = stream.writeStream.foreachBatch(put).outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start()
     q.awaitTermination()
     rows = stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
-    others = [c for c in stream.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("row")).select(key, "row.*")
+    keys = [key] if isinstance(key, str) else key
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("row")).select(*keys, "row.*")
 
 
 def restating_sink(stream: DataFrame, root: str, checkpoint: str, name: str = "corrections", restate: bool = True) -> BarStore:
