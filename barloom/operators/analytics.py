@@ -21,13 +21,19 @@ def snapshot(bars: DataFrame, points: int = 30) -> DataFrame:
     df = numbered(tail(bars, max(points, 2))).withColumn("previous", lag("adjusted_close"))
     df = df.withColumn("spark", F.collect_list("adjusted_close").over(w().rowsBetween(-(points - 1), 0)))
     change = c("adjusted_close") - c("previous")
-    return latest(df, 2).select("symbol", "date", c("adjusted_close").alias("price"), r6(change).alias("change"), r6(change / c("previous") * 100).alias("change_percent"), F.array_join(F.transform("spark", lambda x: x.cast("decimal(18,4)").cast("string")), " ").alias("sparkline"))
+    return latest(df, 2).select(
+        "symbol", "date", c("adjusted_close").alias("price"), r6(change).alias("change"), r6(change / c("previous") * 100).alias("change_percent"),
+        F.array_join(F.transform("spark", lambda x: x.cast("decimal(18,4)").cast("string")), " ").alias("sparkline")
+    )
 
 
 def quote(bars: DataFrame) -> DataFrame:
     """The last bar against the adjusted close before it."""
     df = numbered(tail(bars, 2)).withColumn("previous_close", lag("adjusted_close"))
-    return latest(df).select("symbol", "date", "open", "high", "low", "close", "volume", "previous_close", r6((c("adjusted_close") / c("previous_close") - 1) * 100).alias("change_percent"))
+    return latest(df).select(
+        "symbol", "date", "open", "high", "low", "close", "volume", "previous_close",
+        r6((c("adjusted_close") / c("previous_close") - 1) * 100).alias("change_percent")
+    )
 
 
 RANGES = {"1M": 1, "3M": 3, "6M": 6, "1Y": 12, "5Y": 60}
@@ -42,7 +48,9 @@ def performance_series(bars: DataFrame, points: int = 30) -> DataFrame:
     inside = Window.partitionBy("symbol", "r").orderBy("date")
     df = df.withColumn("k", F.row_number().over(inside)).withColumn("n", F.count("*").over(Window.partitionBy("symbol", "r")))
     step = F.ceil(c("n") / points)
-    return df.where(((c("k") - 1) % step == 0) | (c("k") == c("n"))).select("symbol", c("r.range").alias("range"), "date", c("adjusted_close").alias("price"))
+    return df.where(((c("k") - 1) % step == 0) | (c("k") == c("n"))).select(
+        "symbol", c("r.range").alias("range"), "date", c("adjusted_close").alias("price")
+    )
 
 
 def performance_stats(bars: DataFrame) -> DataFrame:
@@ -84,7 +92,10 @@ def risk_metrics(bars: DataFrame, benchmark: str) -> DataFrame:
     score = F.lit(10)
     for k, limit in reversed(list(enumerate((3, 6, 9, 12, 15, 18, 22, 27, 33), 1))):
         score = F.when(c("vol") < limit, k).otherwise(score)
-    return own.join(beta, "symbol", "left").select("symbol", r6("vol").alias("volatility_percent"), r6("beta").alias("beta"), r6((c("mean") - RISK_FREE) / c("vol")).alias("sharpe"), score.cast("long").alias("risk_score"))
+    return own.join(beta, "symbol", "left").select(
+        "symbol", r6("vol").alias("volatility_percent"), r6("beta").alias("beta"), r6((c("mean") - RISK_FREE) / c("vol")).alias("sharpe"),
+        score.cast("long").alias("risk_score")
+    )
 
 
 #: Symbols and days on the sides of a tile of returns.
@@ -108,9 +119,14 @@ def pair_moments(r: DataFrame, blocks: int) -> DataFrame:
     block of symbols, and a pair makes a row for each 64 days, not for each day.
     """
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    rows = r.select("symbol", F.floor(day / TILE).alias("t"), F.pmod(day, F.lit(TILE)).alias("d"), "r", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("home"))
+    rows = r.select(
+        "symbol", F.floor(day / TILE).alias("t"), F.pmod(day, F.lit(TILE)).alias("d"), "r",
+        F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("home")
+    )
     tiles = rows.groupBy("t", "home").agg(F.collect_list("symbol").alias("s"), F.collect_list("d").alias("d"), F.collect_list("r").alias("r"))
-    dealt = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("i", F.least("home", "other")).withColumn("j", F.greatest("home", "other"))
+    dealt = tiles.withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    ).withColumn("i", F.least("home", "other")).withColumn("j", F.greatest("home", "other"))
     left = dealt.where("home = i").select("t", "i", "j", c("s").alias("s1"), c("d").alias("d1"), c("r").alias("r1"))
     right = dealt.where("home = j").select("t", "i", "j", c("s").alias("s2"), c("d").alias("d2"), c("r").alias("r2"))
     names = ["a", "b", "n", "x", "y", "xx", "yy", "xy"]
@@ -124,7 +140,17 @@ def pair_moments(r: DataFrame, blocks: int) -> DataFrame:
                 u, v = np.nonzero((sums[0] > 0) & ((one[:, None] < two[None, :]) if row.i == row.j else (one[:, None] != two[None, :])))
                 a, b, flip = one[u], two[v], one[u] > two[v]
                 n, sx, sy, sxx, syy, sxy = (m[u, v] for m in sums)
-                yield pd.DataFrame(dict(zip(names, (np.where(flip, b, a), np.where(flip, a, b), n.astype(int), np.where(flip, sy, sx), np.where(flip, sx, sy), np.where(flip, syy, sxx), np.where(flip, sxx, syy), sxy))))
+                yield pd.DataFrame(
+                    dict(
+                        zip(
+                            names,
+                            (
+                                np.where(flip, b, a), np.where(flip, a, b), n.astype(int), np.where(flip, sy, sx), np.where(flip, sx, sy),
+                                np.where(flip, syy, sxx), np.where(flip, sxx, syy), sxy
+                            )
+                        )
+                    )
+                )
 
     parts = left.join(right, ["t", "i", "j"]).mapInPandas(job, "a string, b string, n long, x double, y double, xx double, yy double, xy double")
     return parts.groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in names[2:]])
@@ -167,19 +193,28 @@ def allocation_mix(bars: DataFrame, weights: dict[str, float], zeros: bool = Fal
     along = Window.partitionBy("mix").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("growth", F.exp(F.sum(F.log1p("r")).over(along)))
     df = df.withColumn("fall", c("growth") / F.greatest(F.max("growth").over(along), F.lit(1.0)) - 1)
-    g = df.groupBy("mix").agg(F.count("*").alias("n"), F.max_by("growth", "date").alias("growth"), F.stddev_samp("r").alias("sd"), F.avg("r").alias("mean"), F.min("fall").alias("fall"))
+    g = df.groupBy("mix").agg(
+        F.count("*").alias("n"), F.max_by("growth", "date").alias("growth"), F.stddev_samp("r").alias("sd"), F.avg("r").alias("mean"),
+        F.min("fall").alias("fall")
+    )
     vol = c("sd") * F.sqrt(F.lit(DAYS)) * 100
     if zeros:
         short = common_dates(bars, list(weights)).agg((F.count_distinct("date") - 1).alias("n")).where("n < 29")  # one row
         none = [F.lit(0.0).alias(x) for x in ("log_growth", "cagr_percent", "volatility_percent", "sharpe", "max_drawdown_percent")]
         return allocation_mix(bars, weights).unionByName(short.select(F.greatest("n", F.lit(0)).alias("n"), *none))
-    return g.where("n >= 29").select("n", r6(F.log("growth")).alias("log_growth"), r6((F.pow("growth", DAYS / c("n")) - 1) * 100).alias("cagr_percent"), r6(vol).alias("volatility_percent"), r6((c("mean") * DAYS * 100 - RISK_FREE) / vol).alias("sharpe"), r6(c("fall") * 100).alias("max_drawdown_percent"))
+    return g.where("n >= 29").select(
+        "n", r6(F.log("growth")).alias("log_growth"), r6((F.pow("growth", DAYS / c("n")) - 1) * 100).alias("cagr_percent"),
+        r6(vol).alias("volatility_percent"), r6((c("mean") * DAYS * 100 - RISK_FREE) / vol).alias("sharpe"),
+        r6(c("fall") * 100).alias("max_drawdown_percent")
+    )
 
 
 def buy_and_hold_comparison(bars: DataFrame, one: str, split: dict[str, float], initial: float = 10000.0, start: str | None = None) -> DataFrame:
     """Value by date of one symbol against a split that is never rebalanced, bought on
     the first common date from ``start`` on; under two such dates there is no row."""
-    prices = common_dates(bars if start is None else bars.where(c("date") >= F.lit(start).cast("date")), [one, *split]).groupBy("date").pivot("symbol", [one, *split]).agg(F.first("adjusted_close")).withColumn("k", F.lit(1))
+    prices = common_dates(
+        bars if start is None else bars.where(c("date") >= F.lit(start).cast("date")), [one, *split]
+    ).groupBy("date").pivot("symbol", [one, *split]).agg(F.first("adjusted_close")).withColumn("k", F.lit(1))
     first = prices.agg(F.count("*").alias("days"), *[F.min_by(s, "date").alias(f"{s}_0") for s in (one, *split)]).where("days >= 2")
     df = prices.crossJoin(F.broadcast(first))  # one row
     held = sum((initial * v * c(s) / c(f"{s}_0") for s, v in split.items()), F.lit(0.0))
@@ -201,7 +236,9 @@ def compare(bars: DataFrame, symbols: list[str], benchmark: str) -> DataFrame:
         raise ValueError("compare two to four different symbols")
     rho = correlation_matrix(bars, symbols=symbols).select("a", "b", "correlation")
     both = rho.unionByName(rho.select(c("b").alias("a"), c("a").alias("b"), "correlation"))
-    line = F.transform(F.array_sort(F.collect_list(F.struct("b", "correlation"))), lambda x: F.concat_ws(" ", x["b"], x["correlation"].cast("decimal(8,4)")))
+    line = F.transform(
+        F.array_sort(F.collect_list(F.struct("b", "correlation"))), lambda x: F.concat_ws(" ", x["b"], x["correlation"].cast("decimal(8,4)"))
+    )
     lists = both.groupBy(c("a").alias("symbol")).agg(F.array_join(line, ", ").alias("correlations"))
     wanted = bars.where(c("symbol").isin([*symbols, benchmark]))
     return details(wanted, benchmark).where(c("symbol").isin(symbols)).join(lists, "symbol", "left")
@@ -216,4 +253,8 @@ def listed(bars: DataFrame, tags: DataFrame, tag: str) -> DataFrame:
 def movers(bars: DataFrame) -> DataFrame:
     """Best and worst change of the last bar, and the mean change."""
     s = snapshot(bars)
-    return s.agg(F.max_by("symbol", F.struct("change_percent", "symbol")).alias("top"), F.max("change_percent").alias("top_percent"), F.min_by("symbol", F.struct("change_percent", "symbol")).alias("worst"), F.min("change_percent").alias("worst_percent"), F.count("*").alias("n"))
+    return s.agg(
+        F.max_by("symbol", F.struct("change_percent", "symbol")).alias("top"), F.max("change_percent").alias("top_percent"),
+        F.min_by("symbol", F.struct("change_percent", "symbol")).alias("worst"), F.min("change_percent").alias("worst_percent"),
+        F.count("*").alias("n")
+    )

@@ -33,19 +33,27 @@ def month_returns(bars: DataFrame, as_of: str, price: str = "adjusted_close") ->
     status = (
         F.when(c("p").isNull(), "missing").when(c("before").isNull(), "no_base").when(c("before_m") != c("m") - 1, "prior_month_missing").when(c("is_last") & ~whole, "partial_month").otherwise("ok")
     )
-    return df.withColumn("status", status).select("symbol", "m", "status", F.when(c("status").isin("ok", "partial_month"), c("p") / c("before") - 1).alias("r"))
+    return df.withColumn("status", status).select(
+        "symbol", "m", "status", F.when(c("status").isin("ok", "partial_month"), c("p") / c("before") - 1).alias("r")
+    )
 
 
 def seasonal_months(bars: DataFrame, as_of: str) -> DataFrame:
     df = month_returns(bars, as_of)
-    return df.select("symbol", F.floor(c("m") / 12).alias("year"), (c("m") % 12 + 1).cast("long").alias("month"), "status", r6(c("r") * 100).alias("return_percent"))
+    return df.select(
+        "symbol", F.floor(c("m") / 12).alias("year"), (c("m") % 12 + 1).cast("long").alias("month"), "status",
+        r6(c("r") * 100).alias("return_percent")
+    )
 
 
 def seasonal_periods(bars: DataFrame, as_of: str, months: int = 3) -> DataFrame:
     """Linked returns of quarters (3) or years (12) whose months are all ok."""
     df = month_returns(bars, as_of).where("status = 'ok'").withColumn("k", F.floor(c("m") / months))
     g = df.groupBy("symbol", "k").agg(F.count("*").alias("n"), (F.exp(F.sum(F.log1p("r"))) - 1).alias("r")).where(c("n") == months)
-    return g.select("symbol", F.floor(c("k") * months / 12).alias("year"), (c("k") % int(12 / months) + 1).cast("long").alias("part"), r6(c("r") * 100).alias("return_percent"))
+    return g.select(
+        "symbol", F.floor(c("k") * months / 12).alias("year"), (c("k") % int(12 / months) + 1).cast("long").alias("part"),
+        r6(c("r") * 100).alias("return_percent")
+    )
 
 
 def seasonal_summary(bars: DataFrame, as_of: str) -> DataFrame:
@@ -80,7 +88,9 @@ def annual_cells(bars: DataFrame, as_of: str, price: str = "adjusted_close") ->
         .otherwise("complete")
     )
     df = df.withColumn("status", status)
-    return df.select("symbol", c("year").cast("long").alias("year"), "status", F.when(c("status").isin("complete", "partial"), c("p") / c("before") - 1).alias("r"))
+    return df.select(
+        "symbol", c("year").cast("long").alias("year"), "status", F.when(c("status").isin("complete", "partial"), c("p") / c("before") - 1).alias("r")
+    )
 
 
 def diversification(bars: DataFrame, weights: dict[str, float], as_of: str) -> DataFrame:
@@ -101,7 +111,10 @@ def adjustment_warnings(bars: DataFrame, most: float = 0.20) -> DataFrame:
     moves over two years; symbols with fewer than three such ratios give no row."""
     df = numbered(bars.where("close > 0 and adjusted_close > 0")).withColumn("ratio", c("adjusted_close") / c("close"))
     df = df.withColumn("jump", F.abs(c("ratio") / lag("ratio") - 1))
-    g = df.groupBy("symbol").agg(F.count_if(c("jump") > most).alias("jumps"), r6(F.max("jump") * 100).alias("largest_percent"), (F.max("ratio") - F.min("ratio")).alias("spread"), F.datediff(F.max("date"), F.min("date")).alias("days"), F.count("*").alias("n"))
+    g = df.groupBy("symbol").agg(
+        F.count_if(c("jump") > most).alias("jumps"), r6(F.max("jump") * 100).alias("largest_percent"),
+        (F.max("ratio") - F.min("ratio")).alias("spread"), F.datediff(F.max("date"), F.min("date")).alias("days"), F.count("*").alias("n")
+    )
     return g.where("n >= 3").select("symbol", "jumps", "largest_percent", ((c("spread") < 1e-9) & (c("days") > 730)).alias("constant_ratio"))
 
 
@@ -112,23 +125,33 @@ def monthly_cycle(bars: DataFrame, gate: int = 5) -> DataFrame:
     weekdays = lambda a, z: F.filter(F.sequence(a, z), lambda d: F.weekday(d) < 5)
     df = df.withColumn("days", weekdays(F.trunc("date", "month"), F.last_day("date"))).withColumn("n", F.size("days").cast("long"))
     soon = F.date_add(F.last_day("date"), 1)
-    df = df.withColumn("next_first", F.array_min(weekdays(soon, F.date_add(soon, 6)))).withColumn("k", (F.size(F.filter("days", lambda d: d < c("date"))) + 1).cast("long"))
+    df = df.withColumn("next_first", F.array_min(weekdays(soon, F.date_add(soon, 6)))).withColumn(
+        "k", (F.size(F.filter("days", lambda d: d < c("date"))) + 1).cast("long")
+    )
     df = df.withColumn("enter", F.least(F.greatest(c("n") - 4, F.lit(4)), c("n")))
     phase = F.when(c("k") <= 3, "Short Window (Start of Month)").when(c("k") < c("enter"), "Mid-Month (No Position)").when(c("k") <= c("n"), "Long Window (End of Month)").otherwise("Post Long-Exit (No Position)")
     position = F.when(c("k") <= 3, "Short").when((c("k") >= c("enter")) & (c("k") <= c("n")), "Long").otherwise("Flat")
     action = F.when(c("k") < 3, "Exit Short").when(c("k") < c("enter"), "Enter Long").when(c("k") < c("n"), "Exit Long").otherwise("Enter Short")
     at = lambda i: F.element_at("days", i.cast("int"))
     when = F.when(c("k") < 3, at(F.lit(3))).when(c("k") < c("enter"), at(c("enter"))).when(c("k") < c("n"), at(c("n"))).otherwise(c("next_first"))
-    return df.select("symbol", "date", c("k").alias("business_day"), c("n").alias("business_days"), phase.alias("phase"), position.alias("position"), action.alias("next_action"), when.alias("next_date"))
+    return df.select(
+        "symbol", "date", c("k").alias("business_day"), c("n").alias("business_days"), phase.alias("phase"), position.alias("position"),
+        action.alias("next_action"), when.alias("next_date")
+    )
 
 
 def factor_momentum(bars: DataFrame, tags: DataFrame) -> DataFrame:
     """Mean 21-bar return of each tag, its rank, and the share of tags below."""
     df = numbered(bars).withColumn("month", (c("close") / lag("close", 21) - 1) * 100)
     own = latest(df, 26).select("symbol", "month")
-    t = own.join(tags.select("symbol", F.explode("tags").alias("tag")), "symbol").groupBy("tag").agg(F.avg("month").alias("mean"), F.count("*").alias("n"))
+    t = own.join(
+        tags.select("symbol", F.explode("tags").alias("tag")), "symbol"
+    ).groupBy("tag").agg(F.avg("month").alias("mean"), F.count("*").alias("n"))
     order = Window.orderBy(F.desc("mean"), "tag")  # a row for each tag
-    return t.select("tag", "n", r6("mean").alias("mean_percent"), F.row_number().over(order).cast("long").alias("rank"), r6(F.cume_dist().over(Window.orderBy("mean"))).alias("share_below"))
+    return t.select(
+        "tag", "n", r6("mean").alias("mean_percent"), F.row_number().over(order).cast("long").alias("rank"),
+        r6(F.cume_dist().over(Window.orderBy("mean"))).alias("share_below")
+    )
 
 
 def symbol_factor_scores(bars: DataFrame, tags: DataFrame) -> DataFrame:
@@ -137,7 +160,9 @@ def symbol_factor_scores(bars: DataFrame, tags: DataFrame) -> DataFrame:
     own = latest(df, 26).select("symbol", "month")
     long = own.join(tags.select("symbol", F.explode("tags").alias("tag")), "symbol")
     means = long.groupBy("tag").agg(F.avg("month").alias("mean"))
-    return long.join(means, "tag").groupBy("symbol").agg(r6(F.max("month")).alias("month_percent"), r6(F.avg("mean")).alias("score"), F.count("*").alias("n_tags"))
+    return long.join(means, "tag").groupBy("symbol").agg(
+        r6(F.max("month")).alias("month_percent"), r6(F.avg("mean")).alias("score"), F.count("*").alias("n_tags")
+    )
 
 
 FEATURES = {"rsi": 1, "macd_hist": 1, "ppo": 1, "cmf": 1, "percent_b": 1, "volatility": -1, "downside": -1, "scaled_return": 1, "adx": 0}
@@ -183,11 +208,16 @@ def composite_scores(features: DataFrame) -> DataFrame:
     df = standardized(features)
     df = df.withColumn("is_last", F.lead("week").over(Window.partitionBy("symbol").orderBy("week")).isNull()).where("is_last")
     score = 100 / (1 + F.exp(-3 * c("composite")))
-    return df.select("symbol", "week", r6("composite").alias("composite"), r6(score).alias("score"), F.when(score >= 50, "Risk-On").otherwise("Risk-Off").alias("regime"))
+    return df.select(
+        "symbol", "week", r6("composite").alias("composite"), r6(score).alias("score"),
+        F.when(score >= 50, "Risk-On").otherwise("Risk-Off").alias("regime")
+    )
 
 
 def composite_chart(features: DataFrame, weeks: int = 104) -> DataFrame:
     """Mean composite and volatility across symbols in the last weeks."""
-    df = standardized(features).groupBy("week").agg(F.avg("composite").alias("composite"), F.avg("volatility").alias("volatility"), F.count("composite").alias("n"))
+    df = standardized(features).groupBy("week").agg(
+        F.avg("composite").alias("composite"), F.avg("volatility").alias("volatility"), F.count("composite").alias("n")
+    )
     df = df.where("n > 0").orderBy(F.desc("week")).limit(weeks)
     return df.select("week", r6("composite").alias("composite"), r6("volatility").alias("volatility"), "n")

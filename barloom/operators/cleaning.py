@@ -35,7 +35,9 @@ def price_series(rows: DataFrame, arrival: str = "arrival") -> DataFrame:
     last = last_of_day(rows, arrival)
     there = F.coalesce((c("adjusted_close") != 0) & ~F.isnan("adjusted_close"), F.lit(False))
     price = F.when(there, c("adjusted_close")).otherwise(c("close"))
-    return last.select("symbol", "date", price.alias("price"), "close", F.coalesce("volume", F.lit(0)).alias("volume")).where(F.coalesce((c("price") > 0) & ~F.isnan("price"), F.lit(False)))
+    return last.select(
+        "symbol", "date", price.alias("price"), "close", F.coalesce("volume", F.lit(0)).alias("volume")
+    ).where(F.coalesce((c("price") > 0) & ~F.isnan("price"), F.lit(False)))
 
 
 def basis_series(rows: DataFrame, basis: str = "adjusted_close", arrival: str = "arrival") -> DataFrame:
@@ -68,7 +70,10 @@ def candles(marked: DataFrame) -> DataFrame:
     """Valid candles: highs and lows take in open and close, bad volumes are null.
     Neighbours in the source have consecutive ``pos``."""
     volume = F.when((c("volume") >= 0), c("volume"))
-    return marked.where("ok").select("symbol", "date", "pos", "open", F.greatest("high", "open", "close").alias("high"), F.least("low", "open", "close").alias("low"), "close", volume.alias("volume"))
+    return marked.where("ok").select(
+        "symbol", "date", "pos", "open", F.greatest("high", "open", "close").alias("high"), F.least("low", "open", "close").alias("low"), "close",
+        volume.alias("volume")
+    )
 
 
 def candle_report(rows: DataFrame, marked: DataFrame, most: int = 20) -> DataFrame:
@@ -77,7 +82,9 @@ def candle_report(rows: DataFrame, marked: DataFrame, most: int = 20) -> DataFra
     source = rows.groupBy("symbol").agg(F.count("*").alias("source_rows"), F.count_if(c("date").isNull()).alias("without_date"))
     bad = Window.partitionBy("symbol", "ok").orderBy("date")
     kept = marked.withColumn("nth", F.row_number().over(bad)).groupBy("symbol").agg(
-        F.count("*").alias("dates"), F.count_if(~c("ok")).alias("invalid"), F.array_sort(F.collect_list(F.when(~c("ok") & (c("nth") <= most), c("date")))).alias("invalid_dates")
+        F.count("*").alias("dates"), F.count_if(~c("ok")).alias("invalid"), F.array_sort(
+            F.collect_list(F.when(~c("ok") & (c("nth") <= most), c("date")))
+        ).alias("invalid_dates")
     )
     both = source.join(kept, "symbol", "left").withColumn("dates", F.coalesce("dates", F.lit(0)))
     return both.select(
@@ -97,7 +104,9 @@ def yield_series(rows: DataFrame, arrival: str = "arrival") -> tuple[DataFrame,
     last = last_of_day(rows, arrival).where(c("close").isNotNull() & ~F.isnan("close"))
     ok = (c("close") > 0) & (c("close") <= YIELD_MOST)
     counts = last.groupBy("symbol").agg(F.count("*").alias("observations"), F.count_if(~ok).alias("dropped"))
-    counts = rows.select("symbol").distinct().join(counts, "symbol", "left").select("symbol", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("observations", "dropped")])
+    counts = rows.select("symbol").distinct().join(counts, "symbol", "left").select(
+        "symbol", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("observations", "dropped")]
+    )
     none = c("observations") == c("dropped")
     off = F.try_divide("dropped", "observations") > BAD_SHARE
     reason = F.when(none, "no valid observations").when(off, F.format_string("%d of %d observations out of range", "dropped", "observations"))

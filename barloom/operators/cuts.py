@@ -27,10 +27,16 @@ def cut_events(pays: DataFrame, as_of: str) -> DataFrame:
     by = Window.partitionBy("symbol").orderBy("ex_date", "amount")
     label = F.lower(F.trim("period"))
     df = pays.where((c("ex_date") <= F.lit(as_of).cast("date")) & ~c("is_special")).withColumn("label", F.when(label != "", label))
-    df = df.select("symbol", "ex_date", "amount", "label", *[F.lag(x).over(by).alias(f"last_{x}") for x in ("ex_date", "amount", "label")], F.least(F.lead("amount", 1).over(by), F.lead("amount", 2).over(by)).alias("next"))
+    df = df.select(
+        "symbol", "ex_date", "amount", "label", *[F.lag(x).over(by).alias(f"last_{x}") for x in ("ex_date", "amount", "label")],
+        F.least(F.lead("amount", 1).over(by), F.lead("amount", 2).over(by)).alias("next")
+    )
     comparable = ~F.coalesce(c("label") != c("last_label"), F.lit(False)) & (F.datediff("ex_date", "last_ex_date") <= GAP_DAYS)
     df = df.where(comparable & (c("amount") <= CUT * c("last_amount")))
-    return df.select("symbol", "ex_date", c("last_amount").alias("before"), "amount", F.coalesce(c("next") <= PERSISTS * c("last_amount"), F.lit(False)).alias("confirmed"))
+    return df.select(
+        "symbol", "ex_date", c("last_amount").alias("before"), "amount",
+        F.coalesce(c("next") <= PERSISTS * c("last_amount"), F.lit(False)).alias("confirmed")
+    )
 
 
 def _years(pays: DataFrame, as_of: str) -> DataFrame:
@@ -40,13 +46,18 @@ def _years(pays: DataFrame, as_of: str) -> DataFrame:
     table = annual_table(pays.where(c("ex_date") <= F.lit(as_of).cast("date")), as_of)
     by = Window.partitionBy("symbol").orderBy("year")
     df = table.join(modal_counts(table), "symbol", "left").withColumn("usual", F.coalesce(c("n") == c("modal"), F.lit(False)))
-    df = df.select("*", *[F.lag(x).over(by).alias(f"last_{x}") for x in ("total", "n", "usual")], F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("year"))).alias("nth"))
+    df = df.select(
+        "*", *[F.lag(x).over(by).alias(f"last_{x}") for x in ("total", "n", "usual")],
+        F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("year"))).alias("nth")
+    )
     stopped = (c("n") == 0) & (c("last_n") > 0)
     fell = (c("nth") == 1) & (c("last_total") > 0) & (c("total") < FLAT * c("last_total"))
     alike = (c("usual") & c("last_usual")) | (c("n") == 0)
     return df.groupBy("symbol").agg(
         F.max("modal").alias("modal"), F.max(F.coalesce(fell, F.lit(False))).alias("fell"), F.max(F.coalesce(fell & alike, F.lit(False))).alias("fell_alike"),
-        (F.count_if((c("nth") <= 3) & c("usual")) == 3).alias("regular"), F.count_if((c("last_total") > 0) & ~(c("usual") & c("last_usual")) & ~stopped).alias("excluded"),
+        (F.count_if((c("nth") <= 3) & c("usual")) == 3).alias("regular"), F.count_if(
+            (c("last_total") > 0) & ~(c("usual") & c("last_usual")) & ~stopped
+        ).alias("excluded"),
     )
 
 
@@ -67,14 +78,23 @@ def cut_status(pays: DataFrame, as_of: str) -> DataFrame:
     """
     day = F.lit(as_of).cast("date")
     events = cut_events(pays, as_of).withColumn("recent", c("ex_date") >= F.date_sub(day, RECENT_DAYS))
-    events = events.groupBy("symbol").agg(F.count("*").alias("cut_events"), F.count_if("recent").alias("recent_events"), F.count_if(c("recent") & c("confirmed")).alias("confirmed_events"))
+    events = events.groupBy("symbol").agg(
+        F.count("*").alias("cut_events"), F.count_if("recent").alias("recent_events"),
+        F.count_if(c("recent") & c("confirmed")).alias("confirmed_events")
+    )
     past = pays.withColumn("past", c("ex_date") <= day)
     order = F.struct(~c("is_special"), "ex_date", "amount")  # a regular payment before any special one
     label = F.lower(F.trim("period"))
-    last = past.groupBy("symbol").agg(F.max_by(F.struct("ex_date", label.alias("label")), F.when(c("past"), order)).alias("last"), F.count_if(~c("past")).alias("upcoming")).where("last.ex_date is not null")
+    last = past.groupBy("symbol").agg(
+        F.max_by(F.struct("ex_date", label.alias("label")), F.when(c("past"), order)).alias("last"), F.count_if(~c("past")).alias("upcoming")
+    ).where("last.ex_date is not null")
     df = last.join(_years(pays, as_of), "symbol", "left").join(events, "symbol", "left")
     zero, no = F.lit(0).cast("long"), F.lit(False)
-    df = df.select("symbol", "last", "upcoming", "modal", *[F.coalesce(x, zero).alias(x) for x in ("cut_events", "recent_events", "confirmed_events", "excluded")], *[F.coalesce(x, no).alias(x) for x in ("fell", "fell_alike", "regular")])
+    df = df.select(
+        "symbol", "last", "upcoming", "modal",
+        *[F.coalesce(x, zero).alias(x) for x in ("cut_events", "recent_events", "confirmed_events", "excluded")],
+        *[F.coalesce(x, no).alias(x) for x in ("fell", "fell_alike", "regular")]
+    )
     cut = F.when((c("confirmed_events") > 0) | c("fell_alike"), "observed").when((c("recent_events") > 0) | c("fell"), "possible").otherwise("none")
     days = F.datediff(day, "last.ex_date").cast("long")
     expected = _expected(c("modal"), c("last.label"))
@@ -95,8 +115,13 @@ def payout_report(bases: DataFrame, docs: DataFrame, pays: DataFrame, as_of: str
 
     day = F.lit(as_of).cast("date")
     money = F.when(F.trim("currency") != "", F.upper(F.trim("currency")))
-    paid = pays.where(c("ex_date") <= day).groupBy("symbol").agg(F.max_by(money, F.when(money.isNotNull(), F.struct("ex_date", "amount"))).alias("paid_in"), F.count("*").alias("payments"))
-    told = docs.select("symbol", F.upper(F.nullif(c("d.General")["CurrencyCode"], F.lit(""))).alias("reported_in"), (number(c("d.SplitsDividends")["PayoutRatio"]) * 100).alias("provider"))
+    paid = pays.where(c("ex_date") <= day).groupBy("symbol").agg(
+        F.max_by(money, F.when(money.isNotNull(), F.struct("ex_date", "amount"))).alias("paid_in"), F.count("*").alias("payments")
+    )
+    told = docs.select(
+        "symbol", F.upper(F.nullif(c("d.General")["CurrencyCode"], F.lit(""))).alias("reported_in"),
+        (number(c("d.SplitsDividends")["PayoutRatio"]) * 100).alias("provider")
+    )
     year = earnings(docs, "Annual").where(c("day") <= day).groupBy("symbol").agg(F.max("day").alias("fiscal_end"))
     df = bases.join(told, "symbol", "left").join(paid, "symbol", "left").join(year, "symbol", "left")
     mixed = F.coalesce(c("paid_in") != c("reported_in"), F.lit(False))

@@ -106,7 +106,9 @@ def payout_bases(docs: DataFrame, pays: DataFrame, as_of: str) -> DataFrame:
     fiscal = _latest(earnings(docs, "Annual").where(c("day") <= day)).select("symbol", c("day").alias("stop"), c("eps").alias("fiscal_eps"))
     back = Window.partitionBy("symbol").orderBy(F.desc("day"))
     four = earnings(docs).where(c("day") <= day).withColumn("k", F.row_number().over(back)).where("k <= 4")
-    four = four.groupBy("symbol").agg(F.count("*").alias("n"), F.max("day").alias("stop"), F.datediff(F.max("day"), F.min("day")).alias("span"), F.sum("eps").alias("ttm_eps"))
+    four = four.groupBy("symbol").agg(
+        F.count("*").alias("n"), F.max("day").alias("stop"), F.datediff(F.max("day"), F.min("day")).alias("span"), F.sum("eps").alias("ttm_eps")
+    )
     four = four.where((c("n") == 4) & c("span").between(200, 330)).select("symbol", "stop", "ttm_eps")
 
     def ratio(eps: DataFrame, name: str) -> DataFrame:
@@ -117,12 +119,19 @@ def payout_bases(docs: DataFrame, pays: DataFrame, as_of: str) -> DataFrame:
         return g.select("symbol", f"{name}_eps", F.when(c(f"{name}_eps") > 0, c("paid") / c(f"{name}_eps") * 100).alias(f"{name}_payout"))
 
     income = statements(docs, "Income_Statement").select("symbol", "day", number(c("items")["netIncome"]).alias("income2"))
-    cash = statements(docs, "Cash_Flow").select("symbol", "day", number(c("items")["dividendsPaid"]).alias("out"), number(c("items")["netIncome"]).alias("income1"))
+    cash = statements(docs, "Cash_Flow").select(
+        "symbol", "day", number(c("items")["dividendsPaid"]).alias("out"), number(c("items")["netIncome"]).alias("income1")
+    )
     cash = cash.join(income, ["symbol", "day"], "left").withColumn("income", F.coalesce("income1", "income2")).where("out is not null and income is not null")
-    cash = _latest(cash.select("symbol", "day", "out", "income")).select("symbol", F.lit(True).alias("has_cash"), F.when(c("income") > 0, F.abs("out") / c("income") * 100).alias("cash_payout"))
+    cash = _latest(cash.select("symbol", "day", "out", "income")).select(
+        "symbol", F.lit(True).alias("has_cash"), F.when(c("income") > 0, F.abs("out") / c("income") * 100).alias("cash_payout")
+    )
     df = docs.select("symbol").join(ratio(fiscal, "fiscal"), "symbol", "left").join(ratio(four, "ttm"), "symbol", "left").join(cash, "symbol", "left")
     lost = (c("fiscal_eps") <= 0) | (c("ttm_eps") <= 0)
     basis = F.when(c("fiscal_payout").isNotNull(), "fiscal_year").when(c("ttm_payout").isNotNull(), "trailing_twelve_months").when(F.coalesce(lost, F.lit(False)), None).when(c("cash_payout").isNotNull(), "aggregate_cash_basis")
     value = F.when(basis == "fiscal_year", c("fiscal_payout")).when(basis == "trailing_twelve_months", c("ttm_payout")).when(basis == "aggregate_cash_basis", c("cash_payout"))
     status = F.when(basis.isNotNull(), "available").when(F.coalesce(lost, F.lit(False)), "not_meaningful").otherwise("unavailable")
-    return df.select("symbol", *[r6(x).alias(x) for x in ("fiscal_payout", "ttm_payout", "cash_payout")], basis.alias("basis"), r6(value).alias("payout_percent"), status.alias("status"), _band(F.round(value, 2)).alias("band"))
+    return df.select(
+        "symbol", *[r6(x).alias(x) for x in ("fiscal_payout", "ttm_payout", "cash_payout")], basis.alias("basis"), r6(value).alias("payout_percent"),
+        status.alias("status"), _band(F.round(value, 2)).alias("band")
+    )

@@ -39,7 +39,9 @@ def scored(inputs: DataFrame, minimum: int = MINIMUM) -> DataFrame:
     unknown = F.concat_ws(",", *[F.when(c(f"{x}_pass").isNull(), x) for x in CRITERIA])
     return df.select(
         "symbol", *flags, total(lambda f: f).alias("score"), total(lambda f: f.isNotNull()).alias("evaluated"), unknown.alias("unavailable"),
-        (total(lambda f: f) >= minimum).alias("meets_minimum"), r6(F.when(c("high") != 0, c("close") / c("high"))).alias("to_high"), r6(F.when(c("low") != 0, (c("close") - c("low")) / c("low") * 100)).alias("from_low_percent"),
+        (total(lambda f: f) >= minimum).alias("meets_minimum"), r6(F.when(c("high") != 0, c("close") / c("high"))).alias("to_high"), r6(
+            F.when(c("low") != 0, (c("close") - c("low")) / c("low") * 100)
+        ).alias("from_low_percent"),
     )
 
 
@@ -47,7 +49,11 @@ def ranked(scores: DataFrame, members: DataFrame) -> DataFrame:
     """All members by score (ties by symbol), those without a score last with no rank.  The
     order is a count of those ahead: eight scores at most, so the counts are broadcast."""
     at = scores.groupBy("score").agg(F.count("*").alias("n"))
-    ahead = at.alias("a").join(F.broadcast(at.alias("b")), c("b.score") > c("a.score"), "left").groupBy("a.score").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("ahead"))
+    ahead = at.alias("a").join(
+        F.broadcast(at.alias("b")), c("b.score") > c("a.score"), "left"
+    ).groupBy("a.score").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("ahead"))
     inside = F.row_number().over(Window.partitionBy("score").orderBy("symbol"))
     ranks = scores.withColumn("inside", inside).join(F.broadcast(ahead), "score").withColumn("rank", (c("ahead") + c("inside")).cast("long")).drop("ahead", "inside")
-    return members.select("symbol").distinct().join(ranks, "symbol", "left").withColumn("status", F.when(c("score").isNull(), "UNAVAILABLE").otherwise("OK"))
+    return members.select("symbol").distinct().join(ranks, "symbol", "left").withColumn(
+        "status", F.when(c("score").isNull(), "UNAVAILABLE").otherwise("OK")
+    )

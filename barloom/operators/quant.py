@@ -32,7 +32,11 @@ def evar_risk(bars: DataFrame, gate: int = 180) -> DataFrame:
     df = latest(df, gate).where(F.size("seen") == 120).withColumn("rank", (below + (same + 1) / 2) / 120 * 100)
     band = lambda *names: F.when(c("rank") < 33, names[0]).when(c("rank") < 66, names[1]).when(c("rank") < 85, names[2]).otherwise(names[3])
     exposure = F.greatest(F.lit(20.0), F.least(F.lit(100.0), 100 - 0.8 * c("rank")))
-    return df.select("symbol", "date", r6("evar").alias("evar_percent"), r6("q").alias("tsallis_q"), r6("rank").alias("percentile"), band("Low", "Moderate", "Elevated", "High").alias("level"), band("Calm", "Normal", "Elevated", "Stressed").alias("regime"), r6(exposure).alias("exposure"))
+    return df.select(
+        "symbol", "date", r6("evar").alias("evar_percent"), r6("q").alias("tsallis_q"), r6("rank").alias("percentile"),
+        band("Low", "Moderate", "Elevated", "High").alias("level"), band("Calm", "Normal", "Elevated", "Stressed").alias("regime"),
+        r6(exposure).alias("exposure")
+    )
 
 
 def momentum_reversal(bars: DataFrame, gate: int = 15) -> DataFrame:
@@ -43,7 +47,10 @@ def momentum_reversal(bars: DataFrame, gate: int = 15) -> DataFrame:
     df = df.withColumn("side", side).withColumn("position", F.coalesce(F.last("side", True).over(so_far()), F.lit("Flat")))
     df = df.withColumn("before", lag("position"))
     signal = F.when(c("side") == "Long", "Bullish Reversal").when(c("side") == "Short", "Bearish Reversal").otherwise("No Signal")
-    return latest(df, gate).select("symbol", "date", r6(c("r") * 100).alias("return_percent"), signal.alias("signal"), "position", (c("position") != c("before")).alias("changed_today"))
+    return latest(df, gate).select(
+        "symbol", "date", r6(c("r") * 100).alias("return_percent"), signal.alias("signal"), "position",
+        (c("position") != c("before")).alias("changed_today")
+    )
 
 
 def avalanches(bars: DataFrame) -> DataFrame:
@@ -58,20 +65,29 @@ def avalanche_power_law(bars: DataFrame, bins: int = 12, at_least: int = 15, gat
     """Slope of log density on log size over log-spaced bins of avalanche sizes,
     and the fall from the peak at the last bar.  Symbols with fewer bars than
     ``gate`` or fewer avalanches than ``at_least`` give no row."""
-    now = bars.groupBy("symbol").agg(F.count("close").alias("bars"), ((F.max_by("close", "date") / F.max("close") - 1) * 100).alias("drawdown")).where(c("bars") >= gate)
+    now = bars.groupBy("symbol").agg(
+        F.count("close").alias("bars"), ((F.max_by("close", "date") / F.max("close") - 1) * 100).alias("drawdown")
+    ).where(c("bars") >= gate)
     a = avalanches(bars).withColumn("x", F.log10("size"))
-    edges = a.groupBy("symbol").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).where((c("n") >= at_least) & (c("hi") > c("lo")))
+    edges = a.groupBy("symbol").agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")
+    ).where((c("n") >= at_least) & (c("hi") > c("lo")))
     step = (c("hi") - c("lo")) / bins
     b = a.join(edges, "symbol").withColumn("bin", F.least(F.floor((c("x") - c("lo")) / step), F.lit(bins - 1)))
     b = b.groupBy("symbol", "bin", "lo", "hi", "n").agg(F.count("*").alias("k"))
     left = F.pow(F.lit(10.0), c("lo") + c("bin") * step)
     right = F.pow(F.lit(10.0), c("lo") + (c("bin") + 1) * step)
     b = b.withColumn("lx", (F.log10(left) + F.log10(right)) / 2).withColumn("ly", F.log10(c("k") / (right - left)))
-    g = b.groupBy("symbol", "n").agg(F.count("*").alias("bins"), F.regr_slope("ly", "lx").alias("slope"), F.regr_r2("ly", "lx").alias("r2")).where("bins >= 3")
+    g = b.groupBy("symbol", "n").agg(
+        F.count("*").alias("bins"), F.regr_slope("ly", "lx").alias("slope"), F.regr_r2("ly", "lx").alias("r2")
+    ).where("bins >= 3")
     alpha = -c("slope")
     regime = F.when(alpha >= 2.8, "Gaussian").when(alpha >= 1.8, "Transitional").when(alpha >= 1.0, "Critical").otherwise("Super-critical")
     g = g.join(now, "symbol")
-    return g.select("symbol", c("n").alias("avalanches"), c("bins"), r6(alpha).alias("alpha"), r6("r2").alias("r_squared"), regime.alias("regime"), r6("drawdown").alias("drawdown_percent"))
+    return g.select(
+        "symbol", c("n").alias("avalanches"), c("bins"), r6(alpha).alias("alpha"), r6("r2").alias("r_squared"), regime.alias("regime"),
+        r6("drawdown").alias("drawdown_percent")
+    )
 
 
 def ricker(scale: int) -> list[float]:
@@ -85,7 +101,9 @@ def wavelet_trend(bars: DataFrame, scales: tuple[int, ...] = (5, 10, 20), gate:
     for s in scales:
         kernel = ricker(s)
         over = rows(len(kernel))
-        dot = F.aggregate(F.zip_with(F.reverse(F.collect_list("r").over(over)), F.array(*map(F.lit, kernel)), lambda x, k: x * k), F.lit(0.0), lambda a, x: a + x)
+        dot = F.aggregate(
+            F.zip_with(F.reverse(F.collect_list("r").over(over)), F.array(*map(F.lit, kernel)), lambda x, k: x * k), F.lit(0.0), lambda a, x: a + x
+        )
         df = df.withColumn(f"f{s}", F.when(F.count("r").over(over) == len(kernel), dot) / std("r", len(kernel)))
     up, down = F.lit(True), F.lit(True)
     for s in scales:
@@ -105,7 +123,9 @@ def with_crash_flags(bars: DataFrame, last: int | None = None) -> DataFrame:
     usable = c("sma200").isNotNull() & c("signal").isNotNull() & c("rsi").isNotNull()
     # swing highs (the top of five bars on either side) count once confirmed
     top = (c("close") == F.max("close").over(w().rowsBetween(-5, 5))) & (F.count("close").over(w().rowsBetween(-5, 5)) == 11) & c("rsi").isNotNull()
-    df = df.withColumn("swing", F.when(top, F.struct("i", "close", "rsi"))).withColumn("swings", F.collect_list("swing").over(w().rowsBetween(-59, -5)))
+    df = df.withColumn("swing", F.when(top, F.struct("i", "close", "rsi"))).withColumn(
+        "swings", F.collect_list("swing").over(w().rowsBetween(-59, -5))
+    )
     df = df.withColumn("new", F.try_element_at("swings", F.lit(-1)))
     df = df.withColumn("old", F.try_element_at(F.filter("swings", lambda x: c("new.i") - x["i"] >= 5), F.lit(-1)))
     flags = {
@@ -127,7 +147,9 @@ def crash_warning(bars: DataFrame, gate: int = 260) -> DataFrame:
     """Flags at the last bar; three or more are a warning."""
     level = F.when(c("flags") <= 1, "Low").when(c("flags") <= 3, "Elevated").otherwise("High")
     names = ["below_sma200", "death_cross", "macd_down", "fading", "divergence"]
-    return latest(with_crash_flags(bars, max(gate, 252)), gate).select("symbol", "date", *names, "flags", level.alias("level"), (c("flags") >= 3).alias("warning"), r6("drawdown").alias("drawdown_percent"))
+    return latest(with_crash_flags(bars, max(gate, 252)), gate).select(
+        "symbol", "date", *names, "flags", level.alias("level"), (c("flags") >= 3).alias("warning"), r6("drawdown").alias("drawdown_percent")
+    )
 
 
 def _evaluable(bars: DataFrame, fall: float, horizon: int, train: float, least: int) -> DataFrame:
@@ -148,14 +170,20 @@ def crash_evaluation(bars: DataFrame, fall: float = 0.10, horizon: int = 20, tra
     segment and ``rule``: counts, rates in percent, episodes found and missed, the median
     lead, the precision over the base rate (``lift``), and whether the test segment has
     too ``few`` episodes to be believed."""
-    rules = F.array(F.struct(F.lit("warning").alias("rule"), (c("flags") >= 3).alias("warn")), F.struct(F.lit("baseline").alias("rule"), c("below_sma200").alias("warn")))
+    rules = F.array(
+        F.struct(F.lit("warning").alias("rule"), (c("flags") >= 3).alias("warn")),
+        F.struct(F.lit("baseline").alias("rule"), c("below_sma200").alias("warn"))
+    )
     df = _evaluable(bars, fall, horizon, train, least).select("symbol", "segment", "i", "label", "breach", F.explode(rules).alias("x"))
     df = df.select("symbol", "segment", "i", "label", "breach", "x.rule", "x.warn")
     key = ["symbol", "segment", "rule"]
     so_far_in = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("run", F.when(c("label"), F.sum(F.when(c("label"), 0).otherwise(1)).over(so_far_in)))
     runs = df.where("label").groupBy(*key, "run").agg(F.min_by("breach", F.when(c("warn"), c("i"))).alias("lead"), F.max("warn").alias("hit"))
-    runs = runs.groupBy(*key).agg(F.count("*").alias("episodes"), F.count_if("hit").alias("detected"), F.percentile(F.when(c("hit"), c("lead")), F.lit(0.5)).alias("median_lead"))
+    runs = runs.groupBy(*key).agg(
+        F.count("*").alias("episodes"), F.count_if("hit").alias("detected"),
+        F.percentile(F.when(c("hit"), c("lead")), F.lit(0.5)).alias("median_lead")
+    )
     counts = {"tp": c("warn") & c("label"), "fp": c("warn") & ~c("label"), "fn": ~c("warn") & c("label"), "tn": ~c("warn") & ~c("label")}
     g = df.groupBy(*key).agg(F.count("*").alias("bars"), *[F.count_if(x).alias(k) for k, x in counts.items()])
     zero = F.lit(0).cast("long")
@@ -165,7 +193,9 @@ def crash_evaluation(bars: DataFrame, fall: float = 0.10, horizon: int = 20, tra
     return g.select(
         *key, "bars", *counts, "episodes", "detected", (c("episodes") - c("detected")).alias("missed"), "median_lead", "base_rate_percent", "precision_percent",
         percent(c("tp"), c("tp") + c("fn")).alias("recall_percent"), percent(c("fp"), c("fp") + c("tn")).alias("false_rate_percent"),
-        F.when(c("base_rate_percent") > 0, F.round(c("precision_percent") / c("base_rate_percent"), 2)).alias("lift"), ((c("segment") == "test") & (c("episodes") < few)).alias("too_few_episodes"),
+        F.when(
+            c("base_rate_percent") > 0, F.round(c("precision_percent") / c("base_rate_percent"), 2)
+        ).alias("lift"), ((c("segment") == "test") & (c("episodes") < few)).alias("too_few_episodes"),
     )
 
 
@@ -183,8 +213,13 @@ def crash_validation(bars: DataFrame, fall: float = 0.10, horizon: int = 20, tra
     df = df.withColumn("warn", c("flags") >= 3)
     inside = Window.partitionBy("symbol", "segment").orderBy("i")
     df = df.withColumn("run", F.when(c("label"), F.sum(F.when(c("label"), 0).otherwise(1)).over(inside.rowsBetween(Window.unboundedPreceding, 0))))
-    episodes = df.where("label").groupBy("symbol", "segment", "run").agg(F.min_by("breach", F.when(c("warn"), c("i"))).alias("lead"), F.max("warn").alias("hit"))
-    episodes = episodes.groupBy("symbol", "segment").agg(F.count("*").alias("episodes"), F.count_if("hit").alias("detected"), F.percentile(F.when(c("hit"), c("lead")), F.lit(0.5)).alias("median_lead"))
+    episodes = df.where("label").groupBy("symbol", "segment", "run").agg(
+        F.min_by("breach", F.when(c("warn"), c("i"))).alias("lead"), F.max("warn").alias("hit")
+    )
+    episodes = episodes.groupBy("symbol", "segment").agg(
+        F.count("*").alias("episodes"), F.count_if("hit").alias("detected"),
+        F.percentile(F.when(c("hit"), c("lead")), F.lit(0.5)).alias("median_lead")
+    )
     counts = {"tp": (c("warn"), c("label")), "fp": (c("warn"), ~c("label")), "fn": (~c("warn"), c("label")), "tn": (~c("warn"), ~c("label"))}
     base = {"base_tp": (c("below_sma200"), c("label")), "base_fp": (c("below_sma200"), ~c("label"))}
     g = df.groupBy("symbol", "segment").agg(*[F.count_if(x & y).alias(k) for k, (x, y) in (counts | base).items()])
@@ -219,10 +254,14 @@ def shock_asymmetry(bars: DataFrame, sigmas: float = 1.0, horizon: int = 5) -> D
     """Volatility after falls, rises and quiet days: next day and over a horizon."""
     df = numbered(bars).withColumn("r", F.log("close") - F.log(lag("close"))).where("r is not null")
     df = df.withColumn("r2", c("r") * c("r")).withColumn("limit", sigmas * F.stddev_samp("r").over(Window.partitionBy("symbol")))
-    df = df.withColumn("next", F.lead("r2").over(w())).withColumn("ahead", F.when(F.count("r2").over(w().rowsBetween(1, horizon)) == horizon, F.avg("r2").over(w().rowsBetween(1, horizon))))
+    df = df.withColumn("next", F.lead("r2").over(w())).withColumn(
+        "ahead", F.when(F.count("r2").over(w().rowsBetween(1, horizon)) == horizon, F.avg("r2").over(w().rowsBetween(1, horizon)))
+    )
     kind = F.when(c("r") < -c("limit"), "negative").when(c("r") > c("limit"), "positive").otherwise("quiet")
     vol = lambda x: F.round(F.sqrt(F.avg(x) * 252) * 100, 6)
-    g = df.withColumn("kind", kind).groupBy("symbol", "kind").agg(F.count("*").alias("n"), r6(F.avg("r") * 100).alias("mean_percent"), vol("next").alias("next_vol"), vol("ahead").alias("forward_vol"))
+    g = df.withColumn("kind", kind).groupBy("symbol", "kind").agg(
+        F.count("*").alias("n"), r6(F.avg("r") * 100).alias("mean_percent"), vol("next").alias("next_vol"), vol("ahead").alias("forward_vol")
+    )
     return g.withColumn("sufficient", c("n") >= 10)
 
 
@@ -240,7 +279,9 @@ def rolling_volatility_rank(bars: DataFrame, n: int = 21) -> DataFrame:
     df = numbered(bars).withColumn("r", F.log("close") - F.log(lag("close")))
     df = df.withColumn("vol", std("r", n) * F.sqrt(F.lit(252.0)) * 100).where("vol is not null")
     now = F.max_by("vol", "date").over(Window.partitionBy("symbol"))
-    return df.withColumn("now", now).groupBy("symbol").agg(r6(F.max("now")).alias("volatility_percent"), r6(F.count_if(c("vol") <= c("now")) / F.count("*")).alias("share_below"))
+    return df.withColumn("now", now).groupBy("symbol").agg(
+        r6(F.max("now")).alias("volatility_percent"), r6(F.count_if(c("vol") <= c("now")) / F.count("*")).alias("share_below")
+    )
 
 
 def linear_channel(bars: DataFrame, n: int = 20) -> DataFrame:

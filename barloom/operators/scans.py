@@ -46,13 +46,18 @@ def clean_candles(bars: DataFrame) -> DataFrame:
         ok = ok & c(x).isNotNull() & ~F.isnan(x) & (c(x) > 0) & (c(x) < float("inf"))
     ok = ok & (c("high") >= F.greatest("open", "close", "low") - tolerance) & (c("low") <= F.least("open", "close", "high") + tolerance)
     df = df.where(ok)
-    return df.select("symbol", "date", "pos", "open", F.greatest("high", "open", "close").alias("high"), F.least("low", "open", "close").alias("low"), "close", "volume")
+    return df.select(
+        "symbol", "date", "pos", "open", F.greatest("high", "open", "close").alias("high"), F.least("low", "open", "close").alias("low"), "close",
+        "volume"
+    )
 
 
 def weekly(bars: DataFrame) -> DataFrame:
     """Weeks that end on Friday: high, low, last close and volume."""
     week = F.next_day(F.date_sub("date", 1), "FRI")
-    return bars.groupBy("symbol", week.alias("week")).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "date").alias("close"), F.sum("volume").alias("volume"))
+    return bars.groupBy("symbol", week.alias("week")).agg(
+        F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "date").alias("close"), F.sum("volume").alias("volume")
+    )
 
 
 def ingest(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -72,12 +77,17 @@ def backfill(stored: DataFrame, new: DataFrame) -> DataFrame:
     a, b = stored.alias("a"), new.alias("b")
     both = a.join(b, ["symbol", "date"], "full_outer")
     keep = [F.coalesce(f"a.{x}", f"b.{x}").alias(x) for x in ("open", "high", "low", "close")]
-    return both.select("symbol", "date", *keep, F.coalesce("b.adjusted_close", "a.adjusted_close").alias("adjusted_close"), F.coalesce("a.volume", "b.volume").alias("volume"))
+    return both.select(
+        "symbol", "date", *keep, F.coalesce("b.adjusted_close", "a.adjusted_close").alias("adjusted_close"),
+        F.coalesce("a.volume", "b.volume").alias("volume")
+    )
 
 
 def refresh_members(old: DataFrame, new: DataFrame) -> DataFrame:
     """Members with ``is_current``: those that are gone stay, marked false."""
-    both = old.select("universe", "symbol").withColumn("was", F.lit(True)).join(new.select("universe", "symbol").withColumn("now", F.lit(True)), ["universe", "symbol"], "full_outer")
+    both = old.select("universe", "symbol").withColumn("was", F.lit(True)).join(
+        new.select("universe", "symbol").withColumn("now", F.lit(True)), ["universe", "symbol"], "full_outer"
+    )
     return both.select("universe", "symbol", F.coalesce("now", F.lit(False)).alias("is_current"), c("was").isNull().alias("is_new"))
 
 
@@ -87,7 +97,10 @@ def universe_summary(members: DataFrame, bars: DataFrame) -> DataFrame:
     last = bars.groupBy("symbol").agg(F.max("date").alias("last"))
     df = members.select("universe", "symbol", "is_current").distinct().join(last, "symbol", "left")
     now = c("is_current")
-    return df.groupBy("universe").agg(F.count("*").alias("members"), F.count_if(now).alias("current"), F.count_if(now & c("last").isNotNull()).alias("with_bars"), F.max(F.when(now, c("last"))).alias("last"))
+    return df.groupBy("universe").agg(
+        F.count("*").alias("members"), F.count_if(now).alias("current"), F.count_if(now & c("last").isNotNull()).alias("with_bars"),
+        F.max(F.when(now, c("last"))).alias("last")
+    )
 
 
 def aligned_returns(bars: DataFrame, symbols: list[str]) -> DataFrame:
@@ -105,7 +118,9 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str)
     """
     order = Window.partitionBy(*by).orderBy(on, "__side") if by else Window.partitionBy(F.lit(0)).orderBy(on, "__side")
     rest = [x for x in left.columns if x not in (*by, on)]
-    a = right.select(*by, on, c(value).alias("__value"), F.lit(0).alias("__side"), *[F.lit(None).cast(left.schema[x].dataType).alias(x) for x in rest])
+    a = right.select(
+        *by, on, c(value).alias("__value"), F.lit(0).alias("__side"), *[F.lit(None).cast(left.schema[x].dataType).alias(x) for x in rest]
+    )
     b = left.select(*by, on, F.lit(None).cast(right.schema[value].dataType).alias("__value"), F.lit(1).alias("__side"), *rest)
     both = a.unionByName(b).withColumn(value, F.last("__value", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return both.where("__side = 1").select(*left.columns, value)
@@ -119,7 +134,9 @@ def nearest_before(df: DataFrame, days: int = 364, tolerance: int = 45) -> DataF
     day = F.datediff("period", F.lit("1970-01-01").cast("date"))
     a = df.withColumn("want", day - days)
     a = a.withColumn("bucket", F.explode(F.array(*[F.floor(c("want") / width) + k for k in (-1, 0, 1)])))
-    b = df.select("symbol", c("period").alias("before"), c("value").alias("before_value"), day.alias("day")).withColumn("bucket", F.floor(c("day") / width))
+    b = df.select(
+        "symbol", c("period").alias("before"), c("value").alias("before_value"), day.alias("day")
+    ).withColumn("bucket", F.floor(c("day") / width))
     hits = a.join(b, ["symbol", "bucket"]).where(F.abs(c("day") - c("want")) <= tolerance)
     best = F.min_by(F.struct("before", "before_value"), F.struct(F.abs(c("day") - c("want")), c("before")))
     found = hits.groupBy("symbol", "period").agg(best.alias("m")).select("symbol", "period", "m.before", "m.before_value")
@@ -134,7 +151,9 @@ def interval_sums(windows: DataFrame, payments: DataFrame) -> DataFrame:
     """
     hits = windows.join(payments, "symbol").where((c("ex_date") > c("start")) & (c("ex_date") <= c("stop")))
     sums = hits.groupBy("symbol", "stop").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
-    return windows.join(sums, ["symbol", "stop"], "left").select("symbol", "stop", r6(F.coalesce("total", F.lit(0.0))).alias("total"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return windows.join(sums, ["symbol", "stop"], "left").select(
+        "symbol", "stop", r6(F.coalesce("total", F.lit(0.0))).alias("total"), F.coalesce("n", F.lit(0)).cast("long").alias("n")
+    )
 
 
 def union_registries(*registries: DataFrame) -> DataFrame:
@@ -174,4 +193,6 @@ def month_ends(bars: DataFrame) -> DataFrame:
 def gaps(bars: DataFrame, days: int = 7) -> DataFrame:
     """Pauses of more than ``days`` between bars."""
     df = bars.withColumn("previous", F.lag("date").over(w()))
-    return df.where(F.datediff("date", "previous") > days).select("symbol", "previous", "date", F.datediff("date", "previous").cast("long").alias("days"))
+    return df.where(F.datediff("date", "previous") > days).select(
+        "symbol", "previous", "date", F.datediff("date", "previous").cast("long").alias("days")
+    )

@@ -35,7 +35,10 @@ def relative_strength(bars: DataFrame) -> DataFrame:
     p = price_inputs(bars).select("symbol", "ret")
     order = Window.orderBy(F.desc("ret"), "symbol")  # one row for each symbol
     p = p.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy()))
-    return p.select("symbol", r6("ret").alias("ret"), "rank", F.round(F.when(c("n") > 1, (c("n") - c("rank")) / (c("n") - 1) * 100).otherwise(100.0), 1).alias("percentile"))
+    return p.select(
+        "symbol", r6("ret").alias("ret"), "rank",
+        F.round(F.when(c("n") > 1, (c("n") - c("rank")) / (c("n") - 1) * 100).otherwise(100.0), 1).alias("percentile")
+    )
 
 
 def market_direction(bars: DataFrame, index: str) -> DataFrame:
@@ -46,8 +49,13 @@ def market_direction(bars: DataFrame, index: str) -> DataFrame:
 
 def annual_growth(eps: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
     """Growth from the first to the last of the latest years of earnings."""
-    known = eps.where("eps is not null").withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("year")))).where(c("k") <= most)
-    g = known.groupBy("symbol").agg(F.count("*").alias("years"), F.min_by("eps", "year").alias("first"), F.max_by("eps", "year").alias("last"), F.min("year").alias("y0"), F.max("year").alias("y1"))
+    known = eps.where("eps is not null").withColumn(
+        "k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("year")))
+    ).where(c("k") <= most)
+    g = known.groupBy("symbol").agg(
+        F.count("*").alias("years"), F.min_by("eps", "year").alias("first"), F.max_by("eps", "year").alias("last"), F.min("year").alias("y0"),
+        F.max("year").alias("y1")
+    )
     ok = (c("years") >= least) & (c("first") > 0)
     rate = F.when(ok & (c("last") > 0), F.pow(c("last") / c("first"), 1 / (c("y1") - c("y0"))) - 1)
     return g.select("symbol", "years", "first", F.when(ok, c("last") / c("first") - 1).alias("growth"), rate.alias("cagr"))
@@ -70,7 +78,9 @@ def canslim_stocks(bars: DataFrame, facts: DataFrame, eps: DataFrame, members: D
     both = c("eps_now").isNotNull() & c("eps_ago").isNotNull()
     checks = {
         "c": _status((c("eps_now") / c("eps_ago") - 1) >= 0.25, both, c("eps_ago") > 0),
-        "a": _status((c("eps_growth") >= 0.25) & (c("roe") >= 0.17), F.coalesce(c("eps_years") >= 3, F.lit(False)) & c("roe").isNotNull(), c("eps_first") > 0),
+        "a": _status(
+            (c("eps_growth") >= 0.25) & (c("roe") >= 0.17), F.coalesce(c("eps_years") >= 3, F.lit(False)) & c("roe").isNotNull(), c("eps_first") > 0
+        ),
         "n": _status(c("close") / c("high") >= 0.85, c("close").isNotNull()),
         "s": _status(c("shares_float") < 25000000, c("shares_float").isNotNull()),
         "l": _status(c("percentile") >= 80, c("percentile").isNotNull()),
@@ -100,7 +110,9 @@ def magic_formula(facts: DataFrame) -> DataFrame:
     ev = F.coalesce(c("enterprise_value"), c("market_cap") + c("total_debt") - c("total_cash"))
     capital = (c("current_assets") - c("cash")) - (c("current_liabilities") - c("current_debt")) + c("net_ppe")
     df = facts.withColumn("ev", ev).withColumn("capital", F.when(c("net_ppe") >= 0, capital))
-    df = df.withColumn("ey", F.when(c("ev") > 0, F.round(c("ebit") / c("ev"), 6))).withColumn("roc", F.when(c("capital") > 0, F.round(c("ebit") / c("capital"), 6)))
+    df = df.withColumn("ey", F.when(c("ev") > 0, F.round(c("ebit") / c("ev"), 6))).withColumn(
+        "roc", F.when(c("capital") > 0, F.round(c("ebit") / c("capital"), 6))
+    )
     reason = (
         F.when(c("ebit").isNull(), "no data").when(c("sector").isin(*EXCLUDED), "sector").when(c("price_currency") != c("financial_currency"), "currency").when(c("ey").isNull() | c("roc").isNull(), "invalid")
     )
@@ -135,19 +147,28 @@ def graham(facts: DataFrame, prices: DataFrame, aaa_yield: float = 4.8) -> DataF
     g = F.least(c("growth"), F.lit(15)).cast("double")
     df = df.withColumn("value", value(g))
     reason = F.when(c("eps_now").isNull(), "no earnings").when(c("eps_now") <= 0, "earnings not positive").when(c("growth").isNull(), "no growth").when(c("close").isNull(), "no price")
-    return df.select("symbol", r6("value").alias("value"), r6(value(g / 2)).alias("half_growth"), r6(value(F.lit(0.0))).alias("no_growth"), r6(c("value") * 0.7).alias("with_margin"), r6((c("value") - c("close")) / c("close") * 100).alias("upside_percent"), reason.alias("unavailable"))
+    return df.select(
+        "symbol", r6("value").alias("value"), r6(value(g / 2)).alias("half_growth"), r6(value(F.lit(0.0))).alias("no_growth"),
+        r6(c("value") * 0.7).alias("with_margin"), r6((c("value") - c("close")) / c("close") * 100).alias("upside_percent"),
+        reason.alias("unavailable")
+    )
 
 
 def fed_model(facts: DataFrame, rates: DataFrame, band: float = 0.25) -> DataFrame:
     """Earnings yield against the latest treasury yield, and where that yield
     stands in its own history (only yields in (0, 20] count)."""
     y = rates.where((c("y") > 0) & (c("y") <= 20))
-    now = y.agg(F.max_by("y", "date").alias("now"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.avg("y").alias("mean"), F.collect_list("y").alias("all"))
+    now = y.agg(
+        F.max_by("y", "date").alias("now"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.avg("y").alias("mean"), F.collect_list("y").alias("all")
+    )
     share = F.size(F.filter("all", lambda x: x <= c("now"))) / F.size("all")
     now = now.select("now", "lo", "hi", "mean", share.alias("share"))
     df = facts.join(now, F.lit(True)).withColumn("ey", F.when(c("pe") > 0, 100 / c("pe"))).withColumn("spread", c("ey") - c("now"))
     kind = F.when(c("spread") > band, "above").when(c("spread") < -band, "below").when(c("spread").isNotNull(), "near")
-    return df.select("symbol", r6("ey").alias("earnings_yield"), r6("now").alias("treasury"), r6("spread").alias("spread"), kind.alias("kind"), r6("mean").alias("treasury_mean"), r6("share").alias("treasury_share"))
+    return df.select(
+        "symbol", r6("ey").alias("earnings_yield"), r6("now").alias("treasury"), r6("spread").alias("spread"), kind.alias("kind"),
+        r6("mean").alias("treasury_mean"), r6("share").alias("treasury_share")
+    )
 
 
 def wilder_last(bars: DataFrame, n: int = 14) -> DataFrame:

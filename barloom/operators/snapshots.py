@@ -19,7 +19,9 @@ def refreshed(fetched: DataFrame, members: DataFrame, recorded_at: Column, value
     whom nothing came or nothing but nulls."""
     got = members.select("symbol").distinct().join(fetched.select("symbol", "valid_from", *values), "symbol", "left")
     ok = F.coalesce(*[F.when(F.col(v).isNotNull(), F.lit(True)) for v in values], F.lit(False)) & F.col("valid_from").isNotNull()
-    return got.select("symbol", "valid_from", recorded_at.cast("timestamp").alias("recorded_at"), ok.alias("ok"), *[F.when(ok, F.col(v)).alias(v) for v in values])
+    return got.select(
+        "symbol", "valid_from", recorded_at.cast("timestamp").alias("recorded_at"), ok.alias("ok"), *[F.when(ok, F.col(v)).alias(v) for v in values]
+    )
 
 
 def _last(snapshots: DataFrame, seen: Column) -> Column:
@@ -62,4 +64,7 @@ def as_of_join(asks: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def refresh_counts(snapshots: DataFrame, run: Column) -> DataFrame:
     """Succeeded and failed symbols of each ``run``."""
-    return snapshots.groupBy(run.alias("run")).agg(F.count_distinct(F.when(F.col("ok"), F.col("symbol"))).alias("succeeded"), F.count_distinct(F.when(~F.col("ok"), F.col("symbol"))).alias("failed"))
+    return snapshots.groupBy(run.alias("run")).agg(
+        F.count_distinct(F.when(F.col("ok"), F.col("symbol"))).alias("succeeded"),
+        F.count_distinct(F.when(~F.col("ok"), F.col("symbol"))).alias("failed")
+    )

@@ -17,7 +17,11 @@ from pyspark.sql import types as T
 c = F.col
 #: After ``i`` bars: the last close, EMAs by span, Wilder means of range, rises and falls, and the MACD's signal.
 NUMBERS = ["close", "e8", "e12", "e21", "e26", "e50", "range", "up", "down", "signal"]
-STATE = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType()), T.StructField("i", T.LongType())] + [T.StructField(x, T.DoubleType()) for x in NUMBERS])
+STATE = T.StructType(
+    [
+        T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType()), T.StructField("i", T.LongType())
+    ] + [T.StructField(x, T.DoubleType()) for x in NUMBERS]
+)
 SPANS = (8, 12, 21, 26, 50)
 VIEW = ["ema8", "ema21", "ema50", "rsi", "atr", "macd", "signal", "hist"]
 
@@ -51,7 +55,10 @@ def view(w: pd.DataFrame) -> pd.DataFrame:
     i, macd = w["i"], w["e12"] - w["e26"]
     rsi = (100 - 100 / (1 + w["up"] / w["down"].where(w["down"] > 0))).where(w["down"] != 0, 100.0)
     columns = {f"ema{n}": w[f"e{n}"].where(i >= n) for n in (8, 21, 50)}
-    columns |= {"rsi": rsi.where(i >= 15), "atr": w["range"].where(i >= 14), "macd": macd.where(i >= 26), "signal": w["signal"].where(i >= 34), "hist": (macd - w["signal"]).where(i >= 34)}
+    columns |= {
+        "rsi": rsi.where(i >= 15), "atr": w["range"].where(i >= 14), "macd": macd.where(i >= 26), "signal": w["signal"].where(i >= 34),
+        "hist": (macd - w["signal"]).where(i >= 34)
+    }
     return pd.DataFrame(columns)
 
 
@@ -97,7 +104,11 @@ def month_states(bars: DataFrame, states: DataFrame | None = None, partitioned:
 def chart_tail(bars: DataFrame, states: DataFrame, n: int = 180, partitioned: bool = False) -> DataFrame:
     """The last ``n`` bars of every symbol with EMA 8, 21 and 50, RSI 14, ATR 14 and MACD
     12/26/9, equal to those of a walk over the whole history."""
-    schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType()), T.StructField("close", T.DoubleType())] + [T.StructField(x, T.DoubleType()) for x in VIEW])
+    schema = T.StructType(
+        [
+            T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType()), T.StructField("close", T.DoubleType())
+        ] + [T.StructField(x, T.DoubleType()) for x in VIEW]
+    )
 
     def job(f: pd.DataFrame) -> pd.DataFrame:
         w = walk(f.drop(columns="state"), f["state"].iloc[0])

@@ -26,14 +26,20 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, gate: int = 30) -> D
     df = latest(df, gate).withColumn("upper", c("middle") + k * c("sd")).withColumn("lower", c("middle") - k * c("sd"))
     status = F.when(c("close") > c("upper"), "Above Upper Band").when(c("close") < c("lower"), "Below Lower Band").otherwise("Within Bands")
     near = lambda x: (F.abs(c("close") / c(x) - 1) * 100 <= 1.0).alias(f"near_{x}")
-    return df.select("symbol", "date", "close", *[r6(x).alias(x) for x in ("middle", "upper", "lower")], r6((c("upper") - c("lower")) / c("middle") * 100).alias("width_percent"), status.alias("status"), near("upper"), near("lower"))
+    return df.select(
+        "symbol", "date", "close", *[r6(x).alias(x) for x in ("middle", "upper", "lower")],
+        r6((c("upper") - c("lower")) / c("middle") * 100).alias("width_percent"), status.alias("status"), near("upper"), near("lower")
+    )
 
 
 def better_breakout(bars: DataFrame, gate: int = 53) -> DataFrame:
     """Close against the last close plus the mean of three larger wicks."""
     df = numbered(tail(bars, max(gate, 41))).withColumn("offset", F.greatest(c("high") - c("close"), c("close") - c("low")))
     df = df.withColumn("level", lag("close") + sma("offset", 3, 1)).withColumn("sma40", sma("close", 40))
-    return latest(df, gate).select("symbol", "date", "close", r6("level").alias("breakout_level"), (c("close") > c("level")).alias("is_breakout"), r6(c("close") - c("sma40")).alias("momentum"))
+    return latest(df, gate).select(
+        "symbol", "date", "close", r6("level").alias("breakout_level"), (c("close") > c("level")).alias("is_breakout"),
+        r6(c("close") - c("sma40")).alias("momentum")
+    )
 
 
 def sma_trend(bars: DataFrame, gate: int = 210) -> DataFrame:
@@ -69,7 +75,10 @@ def traffic_light(bars: DataFrame, gate: int = 50) -> DataFrame:
     df = df.withColumn("state", F.when(up, "Bullish").when(down, "Bearish").otherwise("Mixed"))
     out = latest(df, gate)
     direction = lambda n: F.when(c(f"slope{n}") > 0.05, "Rising").when(c(f"slope{n}") < -0.05, "Falling").when(c(f"slope{n}").isNotNull(), "Flat")
-    return out.select("symbol", "date", "state", *[_position("close", f"sma{n}").alias(f"position{n}") for n in (10, 25, 50)], *[direction(n).alias(f"direction{n}") for n in (10, 25, 50)], *[r6(f"change{n}").alias(f"change{n}") for n in (10, 25, 50)])
+    return out.select(
+        "symbol", "date", "state", *[_position("close", f"sma{n}").alias(f"position{n}") for n in (10, 25, 50)],
+        *[direction(n).alias(f"direction{n}") for n in (10, 25, 50)], *[r6(f"change{n}").alias(f"change{n}") for n in (10, 25, 50)]
+    )
 
 
 def sma_ordering(bars: DataFrame, gate: int = 50) -> DataFrame:
@@ -78,12 +87,22 @@ def sma_ordering(bars: DataFrame, gate: int = 50) -> DataFrame:
     df = numbered(tail(bars, max(gate, 56)))
     for n in (10, 25, 50):
         df = df.withColumn(f"sma{n}", sma("close", n))
-    named = F.array(*[F.struct((-c(x.lower())).alias("v"), F.lit(k).alias("k"), F.lit(x).alias("name")) for k, x in enumerate(("Close", "SMA10", "SMA25", "SMA50"))])
+    named = F.array(
+        *[
+            F.struct((-c(x.lower())).alias("v"), F.lit(k).alias("k"), F.lit(x).alias("name")) for k,
+            x in enumerate(("Close", "SMA10", "SMA25", "SMA50"))
+        ]
+    )
     df = latest(df, gate).withColumn("order", F.array_sort(named))
     tied = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.abs(F.get("order", k)["v"] - F.get("order", k - 1)["v"]) <= 1e-12)
-    steps = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.concat(F.when(F.get("tied", k - 1), " = ").otherwise(" > "), F.get("order", k)["name"]))
+    steps = F.transform(
+        F.sequence(F.lit(1), F.lit(3)), lambda k: F.concat(F.when(F.get("tied", k - 1), " = ").otherwise(" > "), F.get("order", k)["name"])
+    )
     df = df.withColumn("tied", tied)
-    return df.select("symbol", "date", F.concat(F.get("order", F.lit(0))["name"], F.array_join(steps, "")).alias("ordering"), F.exists("tied", lambda x: x).alias("has_ties"))
+    return df.select(
+        "symbol", "date", F.concat(F.get("order", F.lit(0))["name"], F.array_join(steps, "")).alias("ordering"),
+        F.exists("tied", lambda x: x).alias("has_ties")
+    )
 
 
 def sma_crossovers(bars: DataFrame, within: int = 10) -> DataFrame:
@@ -93,24 +112,42 @@ def sma_crossovers(bars: DataFrame, within: int = 10) -> DataFrame:
         df = df.withColumn(f"sma{n}", sma("close", n))
     df = df.withColumn("n", F.count("*").over(whole()))
     pairs = [(10, 25), (10, 50), (25, 50)]
-    gaps = F.array(*[F.struct(F.lit(f"{a}/{b}").alias("pair"), (c(f"sma{a}") - c(f"sma{b}")).alias("gap"), lag(c(f"sma{a}") - c(f"sma{b}")).alias("before")) for a, b in pairs])
+    gaps = F.array(
+        *[
+            F.struct(
+                F.lit(f"{a}/{b}").alias("pair"), (c(f"sma{a}") - c(f"sma{b}")).alias("gap"), lag(c(f"sma{a}") - c(f"sma{b}")).alias("before")
+            ) for a,
+            b in pairs
+        ]
+    )
     out = df.withColumn("bars_ago", c("n") - c("i")).withColumn("gaps", gaps).where(c("bars_ago") < within).select("symbol", "date", "bars_ago", F.explode("gaps").alias("g"))
     crossed = ((c("g.gap") > 0) & (c("g.before") <= 0)) | ((c("g.gap") < 0) & (c("g.before") >= 0))
-    return out.where(crossed).select("symbol", c("g.pair").alias("pair"), "date", "bars_ago", F.when(c("g.gap") > 0, "up").otherwise("down").alias("direction"))
+    return out.where(crossed).select(
+        "symbol", c("g.pair").alias("pair"), "date", "bars_ago", F.when(c("g.gap") > 0, "up").otherwise("down").alias("direction")
+    )
 
 
 def td_setup(bars: DataFrame, gate: int = 13) -> DataFrame:
     """Runs of closes above (bearish) or below (bullish) the close four bars
     before; nine complete a setup."""
     df = numbered(bars).withColumn("before", lag("close", 4))
-    df = df.withColumn("above", F.coalesce(c("close") > c("before"), F.lit(False))).withColumn("below", F.coalesce(c("close") < c("before"), F.lit(False)))
+    df = df.withColumn(
+        "above", F.coalesce(c("close") > c("before"), F.lit(False))
+    ).withColumn("below", F.coalesce(c("close") < c("before"), F.lit(False)))
     df = run_length(run_length(df, "below", "bullish"), "above", "bearish")
-    done = F.when(c("bearish") == 9, F.struct(F.lit("Bearish").alias("kind"), "date")).when(c("bullish") == 9, F.struct(F.lit("Bullish").alias("kind"), "date"))
+    done = F.when(
+        c("bearish") == 9, F.struct(F.lit("Bearish").alias("kind"), "date")
+    ).when(c("bullish") == 9, F.struct(F.lit("Bullish").alias("kind"), "date"))
     df = latest(df.withColumn("done", F.last(done, True).over(so_far())), gate)
     kind = F.when(c("bearish") > 0, "Bearish").when(c("bullish") > 0, "Bullish").otherwise("None")
     run = F.greatest("bearish", "bullish")
-    state = F.when((run >= 9) & (c("bearish") > 0), "Potential Upside Exhaustion").when(run >= 9, "Potential Downside Exhaustion").when(run > 0, "Setup In Progress").otherwise("No Active Setup")
-    return df.select("symbol", "date", kind.alias("setup"), run.alias("run"), F.least(run, F.lit(9)).cast("long").alias("count"), (run >= 9).alias("completed"), state.alias("state"), c("done.kind").alias("last_completed"), c("done.date").alias("last_completed_date"))
+    state = F.when(
+        (run >= 9) & (c("bearish") > 0), "Potential Upside Exhaustion"
+    ).when(run >= 9, "Potential Downside Exhaustion").when(run > 0, "Setup In Progress").otherwise("No Active Setup")
+    return df.select(
+        "symbol", "date", kind.alias("setup"), run.alias("run"), F.least(run, F.lit(9)).cast("long").alias("count"), (run >= 9).alias("completed"),
+        state.alias("state"), c("done.kind").alias("last_completed"), c("done.date").alias("last_completed_date")
+    )
 
 
 def pivot_levels(bars: DataFrame, gate: int = 5) -> DataFrame:
@@ -128,7 +165,10 @@ def pivot_levels(bars: DataFrame, gate: int = 5) -> DataFrame:
     down = F.array_max(F.filter(levels, lambda x: x <= c("close")))
     zone = F.when(c("close") > c("r1"), "Upper Zone").when(c("close") < c("s1"), "Lower Zone").otherwise("Middle Zone")
     away = lambda x: r6(F.abs(x - c("close")) / c("close") * 100)
-    return df.select("symbol", "date", "close", *[r6(x).alias(x) for x in names], r6(up).alias("resistance"), away(up).alias("to_resistance_percent"), r6(down).alias("support"), away(down).alias("to_support_percent"), zone.alias("zone"), (c("close") > c("pp")).alias("above_pivot"))
+    return df.select(
+        "symbol", "date", "close", *[r6(x).alias(x) for x in names], r6(up).alias("resistance"), away(up).alias("to_resistance_percent"),
+        r6(down).alias("support"), away(down).alias("to_support_percent"), zone.alias("zone"), (c("close") > c("pp")).alias("above_pivot")
+    )
 
 
 def central_pivot_range(bars: DataFrame, n: int = 60, gate: int = 61) -> DataFrame:
@@ -142,12 +182,16 @@ def central_pivot_range(bars: DataFrame, n: int = 60, gate: int = 61) -> DataFra
     df = df.withColumn("rank", (below + 0.5 * same) / F.size("widths"))
     kind = F.when(c("rank") <= 0.25, "Narrow").when(c("rank") >= 0.75, "Wide").otherwise("Normal")
     bias = F.when(c("close") > c("top"), "Bullish Day Bias").when(c("close") < c("bottom"), "Bearish Day Bias").otherwise("Neutral")
-    return df.select("symbol", "date", *[r6(x).alias(x) for x in ("pivot_point", "bottom", "top", "width", "rank")], kind.alias("kind"), bias.alias("bias"))
+    return df.select(
+        "symbol", "date", *[r6(x).alias(x) for x in ("pivot_point", "bottom", "top", "width", "rank")], kind.alias("kind"), bias.alias("bias")
+    )
 
 
 def candle_confirmation(bars: DataFrame, gate: int = 20) -> DataFrame:
     """Colour of the last candle; setups that it would confirm are not defined."""
-    return latest(numbered(tail(bars, gate)), gate).select("symbol", "date", colour().alias("candle"), F.lit(False).alias("setup"), F.lit(False).alias("confirmed"))
+    return latest(numbered(tail(bars, gate)), gate).select(
+        "symbol", "date", colour().alias("candle"), F.lit(False).alias("setup"), F.lit(False).alias("confirmed")
+    )
 
 
 def squeeze(bars: DataFrame, n: int = 20, gate: int = 40) -> DataFrame:
@@ -164,8 +208,17 @@ def squeeze(bars: DataFrame, n: int = 20, gate: int = 40) -> DataFrame:
     df = df.withColumn("was_on", lag("on")).withColumn("before", lag("momentum"))
     up = c("momentum") > c("before")
     state = F.when(c("on"), "Squeeze On").when(c("off"), "Squeeze Released").otherwise("No Squeeze")
-    side = F.when(c("momentum") > 0, F.when(up, "Bullish Momentum (Strengthening)").otherwise("Bullish Momentum (Weakening)")).otherwise(F.when(up, "Bearish Momentum (Weakening)").otherwise("Bearish Momentum (Strengthening)"))
-    return latest(df, gate).select("symbol", "date", state.alias("squeeze_state"), (c("was_on") & c("off")).alias("released_today"), r6("momentum").alias("momentum"), F.when(up, "Rising").when(c("momentum") < c("before"), "Falling").otherwise("Flat").alias("direction"), side.alias("momentum_state"), *[r6(c("mean") + k * c(z)).alias(a) for a, k, z in (("upper_bb", 2, "sd"), ("lower_bb", -2, "sd"), ("upper_kc", 1.5, "range"), ("lower_kc", -1.5, "range"))])
+    side = F.when(
+        c("momentum") > 0, F.when(up, "Bullish Momentum (Strengthening)").otherwise("Bullish Momentum (Weakening)")
+    ).otherwise(F.when(up, "Bearish Momentum (Weakening)").otherwise("Bearish Momentum (Strengthening)"))
+    return latest(df, gate).select(
+        "symbol", "date", state.alias("squeeze_state"), (c("was_on") & c("off")).alias("released_today"), r6("momentum").alias("momentum"),
+        F.when(up, "Rising").when(c("momentum") < c("before"), "Falling").otherwise("Flat").alias("direction"), side.alias("momentum_state"),
+        *[
+            r6(c("mean") + k * c(z)).alias(a) for a, k,
+            z in (("upper_bb", 2, "sd"), ("lower_bb", -2, "sd"), ("upper_kc", 1.5, "range"), ("lower_kc", -1.5, "range"))
+        ]
+    )
 
 
 # Recursive averages
@@ -175,14 +228,22 @@ def ema50_rsi_pullback(bars: DataFrame, gate: int = 74) -> DataFrame:
     df = numbered(with_indicators(bars, ["ema50", "rsi"], gate)).withColumn("last_rsi", lag("rsi"))
     df = latest(df, gate).withColumn("distance", (c("close") / c("ema50") - 1) * 100)
     above = c("close") > c("ema50")
-    return df.select("symbol", "date", "close", r6("ema50").alias("ema50"), r6("rsi").alias("rsi"), r6("distance").alias("distance_percent"), F.when(above, "Bullish").otherwise("Bearish").alias("trend"), (c("rsi") > c("last_rsi")).alias("rsi_turning_up"), (above & (F.abs(c("distance")) <= 2)).alias("is_pullback"))
+    return df.select(
+        "symbol", "date", "close", r6("ema50").alias("ema50"), r6("rsi").alias("rsi"), r6("distance").alias("distance_percent"),
+        F.when(above, "Bullish").otherwise("Bearish").alias("trend"), (c("rsi") > c("last_rsi")).alias("rsi_turning_up"),
+        (above & (F.abs(c("distance")) <= 2)).alias("is_pullback")
+    )
 
 
 def ema8_21_pullback(bars: DataFrame, gate: int = 31) -> DataFrame:
     df = numbered(with_indicators(bars, ["ema8", "ema21"], gate)).withColumn("gap", c("ema8") - c("ema21")).withColumn("last_gap", lag("gap"))
     df = latest(df, gate)
     both = (c("close") > c("ema8")) & (c("close") > c("ema21"))
-    return df.select("symbol", "date", r6("ema8").alias("ema8"), r6("ema21").alias("ema21"), ((c("gap") > 0) & (c("last_gap") <= 0)).alias("cross_up"), ((c("gap") < 0) & (c("last_gap") >= 0)).alias("cross_down"), F.when(c("gap") > 0, "Bullish").otherwise("Bearish").alias("trend"), both.alias("above_both"), (both & (F.abs((c("close") / c("ema8") - 1) * 100) <= 1.0)).alias("is_pullback"))
+    return df.select(
+        "symbol", "date", r6("ema8").alias("ema8"), r6("ema21").alias("ema21"), ((c("gap") > 0) & (c("last_gap") <= 0)).alias("cross_up"),
+        ((c("gap") < 0) & (c("last_gap") >= 0)).alias("cross_down"), F.when(c("gap") > 0, "Bullish").otherwise("Bearish").alias("trend"),
+        both.alias("above_both"), (both & (F.abs((c("close") / c("ema8") - 1) * 100) <= 1.0)).alias("is_pullback")
+    )
 
 
 def macd(bars: DataFrame, gate: int = 45) -> DataFrame:
@@ -200,7 +261,10 @@ def triple_ma_pullback(bars: DataFrame, gate: int = 84) -> DataFrame:
     df = latest(df, gate).withColumn("entry", c("mean5") - c("atr")).withColumn("exit", c("mean5") + 0.5 * c("atr"))
     up = (c("ma1") > c("ma2")) & (c("ma2") > c("ma3")) & (c("close") > c("ma3"))
     label = F.when(up & (c("close") < c("entry")), "Pullback Entry Zone").when(up & (c("close") > c("exit")), "Uptrend - Exit Zone").when(up, "Uptrend - No Pullback").otherwise("No Confirmed Uptrend")
-    return df.select("symbol", "date", *[r6(x).alias(x) for x in ("ma1", "ma2", "ma3", "mean5", "atr", "entry", "exit")], up.alias("uptrend"), (c("close") > c("exit")).alias("exit_zone"), label.alias("label"))
+    return df.select(
+        "symbol", "date", *[r6(x).alias(x) for x in ("ma1", "ma2", "ma3", "mean5", "atr", "entry", "exit")], up.alias("uptrend"),
+        (c("close") > c("exit")).alias("exit_zone"), label.alias("label")
+    )
 
 
 def supertrend_confirmation(bars: DataFrame, n: int = 10, k: float = 3.0, gate: int = 30) -> DataFrame:
@@ -209,7 +273,10 @@ def supertrend_confirmation(bars: DataFrame, n: int = 10, k: float = 3.0, gate:
     df = df.withColumn("c1", lag("colour", 1)).withColumn("c2", lag("colour", 2)).withColumn("last_side", lag("side"))
     up = (c("side") == 1) & (c("c1") == "Green") & (c("c2") == "Green") & (c("close") > c("line"))
     down = (c("side") == -1) & (c("c1") == "Red") & (c("c2") == "Red") & (c("close") < c("line"))
-    return latest(df, gate).select("symbol", "date", r6("line").alias("line"), c("side").cast("long").alias("side"), (c("side") != c("last_side")).alias("flipped"), up.alias("confirmed_up"), down.alias("confirmed_down"))
+    return latest(df, gate).select(
+        "symbol", "date", r6("line").alias("line"), c("side").cast("long").alias("side"), (c("side") != c("last_side")).alias("flipped"),
+        up.alias("confirmed_up"), down.alias("confirmed_down")
+    )
 
 
 def heikin_ashi_setup(bars: DataFrame, gate: int = 50) -> DataFrame:
@@ -217,13 +284,18 @@ def heikin_ashi_setup(bars: DataFrame, gate: int = 50) -> DataFrame:
     df = numbered(with_supertrend(bars, 6, 2.0)).withColumn("last_side", lag("side"))
     df = df.withColumn("ha", colour("ha_close", "ha_open")).withColumn("colour", colour())
     flip = (c("side") != c("last_side")) & (c("last_side") != 0)
-    kind = F.when(flip & (c("side") == 1) & (c("ha") == "Green") & (c("colour") == "Green"), "long").when(flip & (c("side") == -1) & (c("ha") == "Red") & (c("colour") == "Red"), "short")
+    kind = F.when(
+        flip & (c("side") == 1) & (c("ha") == "Green") & (c("colour") == "Green"), "long"
+    ).when(flip & (c("side") == -1) & (c("ha") == "Red") & (c("colour") == "Red"), "short")
     setup = F.when(kind.isNotNull(), F.struct(kind.alias("kind"), c("date").alias("on"), c("close").alias("entry"), c("line").alias("stop")))
     df = latest(df.withColumn("setup", F.last(setup, True).over(so_far())), gate)
     s = lambda x: c(f"setup.{x}")
     risk = F.when(s("kind") == "long", s("entry") - s("stop")).otherwise(s("stop") - s("entry"))
     ok = lambda x: r6(F.when(risk > 0, x))
-    return df.select("symbol", "date", "ha", s("kind").alias("setup"), s("on").alias("setup_date"), ok(s("entry")).alias("entry"), ok(s("stop")).alias("stop"), ok(s("entry") + 1.5 * (s("entry") - s("stop"))).alias("target"))
+    return df.select(
+        "symbol", "date", "ha", s("kind").alias("setup"), s("on").alias("setup_date"), ok(s("entry")).alias("entry"), ok(s("stop")).alias("stop"),
+        ok(s("entry") + 1.5 * (s("entry") - s("stop"))).alias("target")
+    )
 
 
 def ta_candles(bars: DataFrame, gate: int = 74) -> DataFrame:
@@ -239,7 +311,10 @@ def ta_candles(bars: DataFrame, gate: int = 74) -> DataFrame:
         df = run_length(df, f"is_{name}", f"run_{name}")
     gap = (c("ema21") / c("ema50") - 1) * 100
     df = latest(df, gate)
-    df = df.withColumn("trend", F.when((gap >= 0.25) & (c("close") > c("ema21")), "Bullish").when((gap <= -0.25) & (c("close") < c("ema21")), "Bearish").otherwise("Mixed"))
+    df = df.withColumn(
+        "trend",
+        F.when((gap >= 0.25) & (c("close") > c("ema21")), "Bullish").when((gap <= -0.25) & (c("close") < c("ema21")), "Bearish").otherwise("Mixed")
+    )
     df = df.withColumn("momentum", F.when(c("roc") > 0, "Positive").when(c("roc") < 0, "Negative").otherwise("Flat"))
     ratio = c("atr_percent") / c("usual")
     calm = F.when(ratio >= 1.25, "Expanding").when(ratio <= 0.75, "Contracting").otherwise("Normal")
@@ -247,8 +322,14 @@ def ta_candles(bars: DataFrame, gate: int = 74) -> DataFrame:
     for side, sign, share in (("Bearish", "Negative", "Red"), ("Bullish", "Positive", "Green")):
         own = c("trend") == side
         weak = (c("momentum") != sign) | (c(share) < 0.5)
-        health = F.when(own & (c("momentum") == sign) & (c(share) >= 0.6), f"Healthy Trend ({side})").when(own & weak, f"Weakening {side} Trend").otherwise(health)
-    return df.select("symbol", "date", "trend", "momentum", r6("roc").alias("roc10"), r6("atr_percent").alias("atr_percent"), calm.alias("volatility"), c("Green").alias("green_ratio"), c("Red").alias("red_ratio"), F.greatest("run_Green", "run_Red").alias("streak"), c("candle").alias("streak_colour"), health.alias("health"))
+        health = F.when(
+            own & (c("momentum") == sign) & (c(share) >= 0.6), f"Healthy Trend ({side})"
+        ).when(own & weak, f"Weakening {side} Trend").otherwise(health)
+    return df.select(
+        "symbol", "date", "trend", "momentum", r6("roc").alias("roc10"), r6("atr_percent").alias("atr_percent"), calm.alias("volatility"),
+        c("Green").alias("green_ratio"), c("Red").alias("red_ratio"), F.greatest("run_Green", "run_Red").alias("streak"),
+        c("candle").alias("streak_colour"), health.alias("health")
+    )
 
 
 def swing_momentum(bars: DataFrame, index: str | None = None, gate: int = 69) -> DataFrame:
@@ -262,8 +343,15 @@ def swing_momentum(bars: DataFrame, index: str | None = None, gate: int = 69) ->
     df = latest(df, gate)
     own = df.where(c("symbol") == index).select(c("swing").alias("index_swing"))  # one row at most
     df = df.join(own, F.lit(True), "left")
-    crosses = {"zero_up": (c("s1") <= 0) & above, "zero_down": (c("s1") >= 0) & (c("swing") < 0), "ema_up": (c("g1") <= 0) & strong, "ema_down": (c("g1") >= 0) & (c("gap") < 0)}
-    return df.select("symbol", "date", *[r6(x).alias(x) for x in ("swing", "average", "sma50")], state.alias("state"), *[F.coalesce(x, F.lit(False)).alias(k) for k, x in crosses.items()], (above & strong & high).alias("bullish"), (~above | ~high | (c("swing") >= 4)).alias("exit"), r6(c("swing") - c("index_swing")).alias("relative_strength"))
+    crosses = {
+        "zero_up": (c("s1") <= 0) & above, "zero_down": (c("s1") >= 0) & (c("swing") < 0), "ema_up": (c("g1") <= 0) & strong,
+        "ema_down": (c("g1") >= 0) & (c("gap") < 0)
+    }
+    return df.select(
+        "symbol", "date", *[r6(x).alias(x) for x in ("swing", "average", "sma50")], state.alias("state"),
+        *[F.coalesce(x, F.lit(False)).alias(k) for k, x in crosses.items()], (above & strong & high).alias("bullish"),
+        (~above | ~high | (c("swing") >= 4)).alias("exit"), r6(c("swing") - c("index_swing")).alias("relative_strength")
+    )
 
 
 #: Patterns by the number of their candles.
@@ -294,7 +382,9 @@ def candlestick_patterns(bars: DataFrame, lookback: int = 120) -> DataFrame:
         green.append(c(f"close{k}") > c(f"open{k}"))
         red.append(c(f"close{k}") < c(f"open{k}"))
     long = [None, (c("body1") > 0) & (c("body1") >= c("usual1")), (c("body2") > 0) & (c("body2") >= c("usual2"))]
-    inside = (c("body") < c("body1")) & (F.greatest("open", "close") < F.greatest("open1", "close1")) & (F.least("open", "close") > F.least("open1", "close1"))
+    inside = (c("body") < c("body1")) & (
+        F.greatest("open", "close") < F.greatest("open1", "close1")
+    ) & (F.least("open", "close") > F.least("open1", "close1"))
     small1 = c("body1") <= 0.5 * c("usual1")
     middle = (c("open2") + c("close2")) / 2
     crow = lambda k: (c(f"close{k}") < c(f"open{k}")) & (c(f"body{k}") >= 0.5 * c(f"span{k}")) & (c(f"close{k}") - c(f"low{k}") <= 0.25 * c(f"span{k}"))

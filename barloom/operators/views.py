@@ -42,7 +42,9 @@ def fed_report(profiles: DataFrame, facts: DataFrame, rates: DataFrame, as_of: s
     kept, verdict = yield_series(date_window(rates, lookback, as_of))
     now = kept.agg(F.max_by("y", "date").alias("now"), F.max("date").alias("newest"))
     stats = kept.join(now, F.lit(True)).agg(  # one series of days, one row
-        F.first("now").alias("treasury"), F.first("newest").alias("newest"), F.count("*").alias("observations"), F.min("y").alias("low"), F.max("y").alias("high"), F.avg("y").alias("mean"), (F.try_divide(F.count_if(c("y") <= c("now")), F.count("*")) * 100).alias("share"),
+        F.first("now").alias("treasury"), F.first("newest").alias("newest"), F.count("*").alias("observations"), F.min("y").alias("low"), F.max("y").alias("high"), F.avg("y").alias("mean"), (
+            F.try_divide(F.count_if(c("y") <= c("now")), F.count("*")) * 100
+        ).alias("share"),
     )
     told = verdict.agg(F.max("dropped").alias("dropped"), F.min("status").alias("rates_ok"), F.max("reason").alias("rates_reason"))
     df = equity_applicable(profiles).join(facts.select("symbol", "pe"), "symbol", "left").join(stats, F.lit(True), "left").join(told, F.lit(True), "left")
@@ -69,7 +71,10 @@ def factor_exposure(bars: DataFrame, tags: DataFrame) -> DataFrame:
     df = scores.withColumn("share", share * 100).join(tags.select("symbol", "tags"), "symbol").join(ends, F.lit(True))
     has = lambda x: F.array_contains(c("tags"), c(x))
     advice = F.when(has("leading"), "Maintain / Increase Exposure").when(has("lagging"), "Reduce Exposure").otherwise("Neutral")
-    return df.select("symbol", "month_percent", "score", F.round("share", 2).alias("share_at_or_below"), F.round(LEAST + (MOST - LEAST) * c("share") / 100, 2).alias("exposure_percent"), advice.alias("guidance"))
+    return df.select(
+        "symbol", "month_percent", "score", F.round("share", 2).alias("share_at_or_below"),
+        F.round(LEAST + (MOST - LEAST) * c("share") / 100, 2).alias("exposure_percent"), advice.alias("guidance")
+    )
 
 
 def graham_inputs(facts: DataFrame, annual: DataFrame) -> DataFrame:
@@ -81,4 +86,6 @@ def graham_inputs(facts: DataFrame, annual: DataFrame) -> DataFrame:
     df = facts.join(last, "symbol", "left").join(past, "symbol", "left")
     eps_basis = F.when(c("eps_now").isNotNull(), "trailing").when(c("last_eps").isNotNull(), F.concat(F.lit("FY"), c("last_year").cast("string")))
     growth_basis = F.when(c("growth").isNotNull(), "forward estimate").when(c("past").isNotNull(), "historical proxy")
-    return df.withColumns({"eps_basis": eps_basis, "growth_basis": growth_basis}).withColumns({"eps_now": F.coalesce("eps_now", "last_eps"), "growth": F.coalesce(c("growth").cast("double"), "past")}).drop("last_eps", "last_year", "past")
+    return df.withColumns({"eps_basis": eps_basis, "growth_basis": growth_basis}).withColumns(
+        {"eps_now": F.coalesce("eps_now", "last_eps"), "growth": F.coalesce(c("growth").cast("double"), "past")}
+    ).drop("last_eps", "last_year", "past")

@@ -35,7 +35,9 @@ def on_bars(operator: Callable[..., DataFrame], **settings) -> Query:
 
 
 def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_hourly(spark, sf_dir).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("hour"), "open", "high", "low", "close", "volume")
+    return bars_hourly(spark, sf_dir).select(
+        "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("hour"), "open", "high", "low", "close", "volume"
+    )
 
 
 def _for_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,9 @@ def payments(b: DataFrame) -> DataFrame:
     """Quarterly payments made from the last bar of every third month."""
     ends = b.groupBy("symbol", F.trunc("date", "month").alias("m")).agg(F.max("date").alias("ex_date"), F.max_by("close", "date").alias("close"))
     special = (F.month("ex_date") == 6) & (F.year("ex_date") % 3 == 0)
-    return ends.where(F.month("ex_date") % 3 == 0).select("symbol", "ex_date", (F.floor("close") / 100.0).alias("amount"), special.alias("is_special"))
+    return ends.where(F.month("ex_date") % 3 == 0).select(
+        "symbol", "ex_date", (F.floor("close") / 100.0).alias("amount"), special.alias("is_special")
+    )
 
 
 def fund_eps(b: DataFrame) -> DataFrame:
@@ -202,8 +206,13 @@ def _averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     value = F.when(F.col("c_custkey") % 5 == 0, "NA").when(F.col("c_custkey") % 7 == 0, None).otherwise((F.col("c_custkey") % 40).cast("string"))
-    date = F.when(F.col("c_custkey") % 11 == 0, "bad").otherwise(F.concat(F.lit("2001-0"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit("-15T00:00")))
-    rows = c.select(F.col("c_mktsegment").alias("symbol"), date.alias("date"), value.alias("value"), (F.col("c_custkey") % 30).cast("string").alias("unadjusted"), (F.col("c_custkey") % 13 == 0).alias("special"))
+    date = F.when(F.col("c_custkey") % 11 == 0, "bad").otherwise(
+        F.concat(F.lit("2001-0"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit("-15T00:00"))
+    )
+    rows = c.select(
+        F.col("c_mktsegment").alias("symbol"), date.alias("date"), value.alias("value"), (F.col("c_custkey") % 30).cast("string").alias("unadjusted"),
+        (F.col("c_custkey") % 13 == 0).alias("special")
+    )
     return dv.parse(rows, "2001-06-30")
 
 
@@ -353,4 +362,7 @@ QUERIES: dict[str, Query] = {
     **stored.QUERIES,
     **cleaned.QUERIES,
 }
-ORACLES: dict[str, str] = {**oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES, **oracles_portfolio.ORACLES, **oracles_stream.ORACLES, **oracles_stored.ORACLES, **oracles_cleaned.ORACLES}
+ORACLES: dict[str, str] = {
+    **oracles_analytics.ORACLES, **oracles_technical.ORACLES, **oracles_quant.ORACLES, **oracles_calendar.ORACLES, **oracles_portfolio.ORACLES,
+    **oracles_stream.ORACLES, **oracles_stored.ORACLES, **oracles_cleaned.ORACLES
+}

@@ -38,8 +38,14 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = numbered(bars(spark, sf_dir))
     i = c("i")
     adjusted = F.when(i % 17 != 0, F.when(i % 19 == 0, 0.0).otherwise(c("adjusted_close")))
-    first = b.select("symbol", F.when(i % 97 != 0, c("date")).alias("date"), "open", "high", "low", F.when(i % 31 == 0, -1.0).otherwise(c("close")).alias("close"), adjusted.alias("adjusted_close"), "volume", F.lit(0).alias("arrival"))
-    again = b.where(i % 29 == 0).select("symbol", "date", "open", "high", "low", (c("close") * 2).alias("close"), F.lit(None).cast("double").alias("adjusted_close"), "volume", F.lit(1).alias("arrival"))
+    first = b.select(
+        "symbol", F.when(i % 97 != 0, c("date")).alias("date"), "open", "high", "low", F.when(i % 31 == 0, -1.0).otherwise(c("close")).alias("close"),
+        adjusted.alias("adjusted_close"), "volume", F.lit(0).alias("arrival")
+    )
+    again = b.where(i % 29 == 0).select(
+        "symbol", "date", "open", "high", "low", (c("close") * 2).alias("close"), F.lit(None).cast("double").alias("adjusted_close"), "volume",
+        F.lit(1).alias("arrival")
+    )
     return first.unionByName(again)
 
 
@@ -59,7 +65,9 @@ def _yields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Closes as yields on three scales, of which the largest is out of range."""
     rows = dirty(spark, sf_dir).where("symbol in ('AF', 'NO')")
     scale = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(x).alias("x")) for n, x in (("low", 40.0), ("edge", 10.0), ("high", 8.0))]))
-    rows = rows.withColumn("scale", scale).select(F.concat_ws(".", "symbol", "scale.n").alias("symbol"), "date", (c("close") / c("scale.x")).alias("close"), "arrival")
+    rows = rows.withColumn("scale", scale).select(
+        F.concat_ws(".", "symbol", "scale.n").alias("symbol"), "date", (c("close") / c("scale.x")).alias("close"), "arrival"
+    )
     return cl.yield_series(rows)
 
 
@@ -110,7 +118,10 @@ def drifting(b: DataFrame) -> DataFrame:
     df = b.select("symbol", "date", close.alias("close"), "volume")
     before = F.coalesce(F.lag("close").over(s.w()), c("close"))
     df = df.withColumn("open", before)
-    return df.select("symbol", "date", "open", F.round(F.greatest("open", "close") * 1.003, 4).alias("high"), F.round(F.least("open", "close") * 0.997, 4).alias("low"), "close", c("close").alias("adjusted_close"), "volume")
+    return df.select(
+        "symbol", "date", "open", F.round(F.greatest("open", "close") * 1.003, 4).alias("high"),
+        F.round(F.least("open", "close") * 0.997, 4).alias("low"), "close", c("close").alias("adjusted_close"), "volume"
+    )
 
 
 def model_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +130,10 @@ def model_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = numbered(bars(spark, sf_dir)).drop("is_last")
     b = b.where("symbol <> 'RF' or i <= 90").withColumn("close", F.when((c("symbol") == "NO") & (c("i") % 100 == 0), 0.0).otherwise(c("close")))
     members = b.select("symbol").distinct().unionByName(spark.createDataFrame([("ZZ",)], "symbol string"))
-    parts = [m.with_absent(made.select("symbol", "status", "reason"), members).withColumn("model", F.lit(name)) for name, made in (("hmm", m.hmm_regime(b, explain=True)), ("garch", m.garch(b, explain=True)))]
+    parts = [
+        m.with_absent(made.select("symbol", "status", "reason"), members).withColumn("model", F.lit(name)) for name,
+        made in (("hmm", m.hmm_regime(b, explain=True)), ("garch", m.garch(b, explain=True)))
+    ]
     return parts[0].unionByName(parts[1])
 
 
@@ -132,7 +146,9 @@ def labelled_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     paid = payments(bars(spark, sf_dir)).where((c("symbol") != "RO") | (c("ex_date") < "1996-01-01"))
     half = late & c("symbol").isin("AF", "NF")
     period = F.when((c("symbol") == "NF") & late, "Semi-Annual").when(c("symbol") != "AO", "Quarterly")
-    return paid.withColumn("amount", F.when(half, c("amount") / 2).otherwise(c("amount"))).withColumn("period", period).withColumn("currency", F.when(c("symbol") == "NO", "eur").when(c("symbol") != "RF", "USD"))
+    return paid.withColumn("amount", F.when(half, c("amount") / 2).otherwise(c("amount"))).withColumn("period", period).withColumn(
+        "currency", F.when(c("symbol") == "NO", "eur").when(c("symbol") != "RF", "USD")
+    )
 
 
 #: Days on which payments are looked at: after a cut, and long after.
@@ -184,7 +200,10 @@ def fund_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simulation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows inside the history, wider than it, too short, and with a benchmark without prices."""
     b = bars(spark, sf_dir)
-    asks = [("NO", "AF", "1994-01-01", "1996-12-31"), ("NO", "AF", "1990-01-01", "2010-01-01"), ("NO", "NO", "1995-01-01", "1995-01-15"), ("RF", "ZZ", None, "1995-12-31")]
+    asks = [
+        ("NO", "AF", "1994-01-01", "1996-12-31"), ("NO", "AF", "1990-01-01", "2010-01-01"), ("NO", "NO", "1995-01-01", "1995-01-15"),
+        ("RF", "ZZ", None, "1995-12-31")
+    ]
     parts = [m.simulation_window(b, x, y, start, stop, flat=1.0).withColumn("ask", F.lit(k)) for k, (x, y, start, stop) in enumerate(asks)]
     out = parts[0]
     for part in parts[1:]:
@@ -213,7 +232,10 @@ def bars_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = [F.when(c(x).isNull(), "NA").otherwise(c(x).cast("string")).alias(x) for x in ("open", "high", "low", "close", "adjusted_close", "volume")]
     rows.select("symbol", F.concat(c("date").cast("string"), F.lit("T00:00:00")).alias("date"), *text).write.json(folder)
     found, quality = read_bars(spark, folder)
-    sums = found.groupBy("symbol").agg(F.count("*").alias("kept"), F.count_if(c("adjusted_close") == c("close")).alias("stand_in"), F.sum("volume").alias("volume"), F.max("close").alias("highest"))
+    sums = found.groupBy("symbol").agg(
+        F.count("*").alias("kept"), F.count_if(c("adjusted_close") == c("close")).alias("stand_in"), F.sum("volume").alias("volume"),
+        F.max("close").alias("highest")
+    )
     return quality.join(sums, "symbol")
 
 
@@ -239,7 +261,9 @@ def fed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fundamentals(spark, sf_dir)
     n = F.crc32(c("symbol").cast("binary"))
     tags = F.array(F.when(n % 4 == 0, "Bond").when(n % 4 == 1, "growth").otherwise("EQUITY"))
-    profiles = f.select("symbol", tags.alias("tags"), F.when(n % 3 == 0, "US Equity").when(n % 5 == 0, "Gold trust").otherwise("Broad").alias("asset_class"))
+    profiles = f.select(
+        "symbol", tags.alias("tags"), F.when(n % 3 == 0, "US Equity").when(n % 5 == 0, "Gold trust").otherwise("Broad").alias("asset_class")
+    )
     rates = dirty(spark, sf_dir).where("symbol = 'AF'").withColumn("close", c("close") / 40)
     return v.fed_report(profiles, f, rates, REPORT_DAY, "1996-01-01")
 
@@ -253,8 +277,12 @@ def graham_with_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each region as an index, with its nations as members."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), c("r_regionkey") == c("n_regionkey"))
-    code = F.when(c("n_nationkey") % 8 == 0, " ").otherwise(F.concat(F.lower(F.substring("n_name", 1, 3)), F.lit("."), (c("n_nationkey") % 2).cast("string")))
-    item = F.create_map(F.lit("Code"), code, F.lit("Name"), "n_name", F.lit("Sector"), F.when(c("n_nationkey") % 5 != 0, "Trade"), F.lit("Exchange"), F.lit("US"))
+    code = F.when(c("n_nationkey") % 8 == 0, " ").otherwise(
+        F.concat(F.lower(F.substring("n_name", 1, 3)), F.lit("."), (c("n_nationkey") % 2).cast("string"))
+    )
+    item = F.create_map(
+        F.lit("Code"), code, F.lit("Name"), "n_name", F.lit("Sector"), F.when(c("n_nationkey") % 5 != 0, "Trade"), F.lit("Exchange"), F.lit("US")
+    )
     docs = n.groupBy(c("r_name").alias("symbol")).agg(F.map_from_entries(F.collect_list(F.struct(c("n_nationkey").cast("string"), item))).alias("m"))
     return components(parsed(docs.select("symbol", F.to_json(F.struct(c("m").alias("Components"))).alias("doc"))))
 

@@ -61,7 +61,9 @@ class Results:
             return None
         return time.time() - self._files.getFileStatus(done).getModificationTime() / 1000
 
-    def get_or_compute(self, name: str, newest: date | str, settings: Mapping[str, Any], make: Callable[[], DataFrame], most_age: float = 86400.0) -> DataFrame:
+    def get_or_compute(
+        self, name: str, newest: date | str, settings: Mapping[str, Any], make: Callable[[], DataFrame], most_age: float = 86400.0
+    ) -> DataFrame:
         """The stored result if it is there and no older than ``most_age`` seconds, else that of
         ``make()``, written beside its place and then moved, so no reader sees a part of it.
         What fails isn't stored."""

@@ -47,7 +47,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("id"), cents(F.col("value") * 100).alias("price"))
+    return events(spark, sf_dir).select(
+        F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("id"), cents(F.col("value") * 100).alias("price")
+    )
 
 
 #: Days of the events' month that begin a new file of the stream.
@@ -74,7 +76,9 @@ def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Exchanges with their zones and hours on the local clock.
-EXCHANGES = [("NEWYORK", "America/New_York", "09:30", "16:00"), ("LONDON", "Europe/London", "08:00", "16:30"), ("TOKYO", "Asia/Tokyo", "09:00", "15:00")]
+EXCHANGES = [
+    ("NEWYORK", "America/New_York", "09:30", "16:00"), ("LONDON", "Europe/London", "08:00", "16:30"), ("TOKYO", "Asia/Tokyo", "09:00", "15:00")
+]
 HOLIDAYS = [("NEWYORK", "2024-03-29"), ("LONDON", "2024-03-29"), ("TOKYO", "2024-03-20"), ("TOKYO", "2024-11-04")]
 #: Days that move the events' month over the clock changes of spring and autumn.
 SPRING, AUTUMN = 65, 290
@@ -101,9 +105,14 @@ def planted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     group, one = Window.partitionBy("n_regionkey", "sector"), Window.partitionBy("n_regionkey", "sector").orderBy("n_nationkey")
     n = n.withColumn("first", F.row_number().over(one) == 1).withColumn("size", F.count("*").over(group))
     name = F.concat("n_name", F.lit(" &amp; Co"))
-    security = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit('<td colspan="2">'), name, F.lit("</td>"))).otherwise(F.concat(F.lit("<td>"), name, F.lit("</td><td>filed</td>")))
+    security = F.when(
+        F.col("n_nationkey") % 3 == 0, F.concat(F.lit('<td colspan="2">'), name, F.lit("</td>"))
+    ).otherwise(F.concat(F.lit("<td>"), name, F.lit("</td><td>filed</td>")))
     sector = F.when(F.col("first"), F.format_string('<td rowspan="%d">Sector %d</td>', "size", "sector")).otherwise("")
-    row = F.concat(F.lit("<tr><td><a href='/q'> "), F.lower(F.substring("n_name", 1, 4)), F.lit("."), F.col("n_nationkey").cast("string"), F.lit("</a></td>"), security, sector, F.lit("<td>"), "n_name", F.lit(" works</td></tr>"))
+    row = F.concat(
+        F.lit("<tr><td><a href='/q'> "), F.lower(F.substring("n_name", 1, 4)), F.lit("."), F.col("n_nationkey").cast("string"), F.lit("</a></td>"),
+        security, sector, F.lit("<td>"), "n_name", F.lit(" works</td></tr>")
+    )
     rows = n.select("n_regionkey", F.struct("sector", "n_nationkey", row.alias("row")).alias("r"))
     head = "<table class='wide'><tr><th>Symbol</th><th>Security</th><th>Filings</th><th>GICS Sector</th><th>GICS Sub-Industry</th></tr>"
     body = F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"]), "")
@@ -135,8 +144,13 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     lag = (20 + F.crc32(F.col("symbol").cast("binary")) % 40).cast("int")
     at = lambda days: F.date_add("valid_from", days).cast("timestamp")
     failed = (F.year("q") + F.month("q")) % 5 == 0
-    first = q.select("symbol", "valid_from", at(lag).alias("recorded_at"), (~failed).alias("ok"), F.when(~failed, F.col("eps")).alias("eps"), F.when(~failed, F.col("n_bars")).alias("n_bars"))
-    again = q.where("n_bars % 3 = 0").select("symbol", "valid_from", at(lag + 120).alias("recorded_at"), F.lit(True).alias("ok"), (F.col("eps") * 2).alias("eps"), "n_bars")
+    first = q.select(
+        "symbol", "valid_from", at(lag).alias("recorded_at"), (~failed).alias("ok"), F.when(~failed, F.col("eps")).alias("eps"),
+        F.when(~failed, F.col("n_bars")).alias("n_bars")
+    )
+    again = q.where("n_bars % 3 = 0").select(
+        "symbol", "valid_from", at(lag + 120).alias("recorded_at"), F.lit(True).alias("ok"), (F.col("eps") * 2).alias("eps"), "n_bars"
+    )
     return first.unionByName(again)
 
 
@@ -156,7 +170,9 @@ def snapshots_for_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sn.latest(snapshots(spark, sf_dir)).select("symbol", "valid_from", F.date_format("recorded_at", "yyyy-MM-dd").alias("recorded_at"), "eps", "n_bars")
+    return sn.latest(snapshots(spark, sf_dir)).select(
+        "symbol", "valid_from", F.date_format("recorded_at", "yyyy-MM-dd").alias("recorded_at"), "eps", "n_bars"
+    )
 
 
 def snapshot_refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:

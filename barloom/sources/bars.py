@@ -111,7 +111,10 @@ def bars_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fund_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
-    trades = t.select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.to_date("l_shipdate").alias("date"), cents(F.col("l_extendedprice") / 10).alias("price"), F.col("l_quantity").alias("quantity"), F.struct(*LINE_KEY).alias("k"))
+    trades = t.select(
+        F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.to_date("l_shipdate").alias("date"),
+        cents(F.col("l_extendedprice") / 10).alias("price"), F.col("l_quantity").alias("quantity"), F.struct(*LINE_KEY).alias("k")
+    )
     return _bars(trades, F.col("k"))
 
 
@@ -123,13 +126,19 @@ def bars_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stock_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     brand = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
-    trades = t.join(brand, "l_partkey").select("symbol", F.to_date("l_shipdate").alias("date"), cents(F.col("l_extendedprice") / 10).alias("price"), F.col("l_quantity").alias("quantity"), F.struct(*LINE_KEY).alias("k"))
+    trades = t.join(brand, "l_partkey").select(
+        "symbol", F.to_date("l_shipdate").alias("date"), cents(F.col("l_extendedprice") / 10).alias("price"), F.col("l_quantity").alias("quantity"),
+        F.struct(*LINE_KEY).alias("k")
+    )
     return _bars(trades, F.col("k"))
 
 
 def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of event types: ``symbol, ts, open, high, low, close, volume``."""
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("hour"), cents(F.col("value") * 100).alias("price"), F.struct("ts", "event_id").alias("k"))
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("hour"), cents(F.col("value") * 100).alias("price"),
+        F.struct("ts", "event_id").alias("k")
+    )
     return e.groupBy("symbol", F.col("hour").alias("ts")).agg(
         F.min_by("price", "k").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "k").alias("close"), F.count("*").alias("volume")
     )

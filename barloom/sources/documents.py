@@ -44,11 +44,17 @@ def read_bars(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     A missing adjusted close is the close; missing opens, highs and lows are 0.
     """
     raw = spark.read.schema(f"{BAR_FILE}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    rows = raw.select("symbol", day("date").alias("date"), *[number(x).alias(x) for x in ("open", "high", "low", "close", "adjusted_close")], number("volume").cast("long").alias("volume"))
+    rows = raw.select(
+        "symbol", day("date").alias("date"), *[number(x).alias(x) for x in ("open", "high", "low", "close", "adjusted_close")],
+        number("volume").cast("long").alias("volume")
+    )
     rows = rows.withColumn("good", c("symbol").isNotNull() & c("date").isNotNull() & F.coalesce(c("close") > 0, F.lit(False)))
     quality = rows.groupBy("symbol").agg(F.count("*").alias("received"), F.count_if(~c("good")).alias("refused"))
     zero = [F.coalesce(x, F.lit(0.0)).alias(x) for x in ("open", "high", "low")]
-    bars = rows.where("good").select("symbol", "date", *zero, "close", F.coalesce("adjusted_close", "close").alias("adjusted_close"), F.coalesce("volume", F.lit(0).cast("long")).alias("volume"))
+    bars = rows.where("good").select(
+        "symbol", "date", *zero, "close", F.coalesce("adjusted_close", "close").alias("adjusted_close"),
+        F.coalesce("volume", F.lit(0).cast("long")).alias("volume")
+    )
     return bars, quality
 
 
@@ -68,9 +74,13 @@ def parse_dividends(raw: DataFrame) -> DataFrame:
     period = F.when(F.trim("period") != "", F.trim("period"))
     currency = F.when(F.trim("currency") != "", F.upper(F.trim("currency")))
     rows = raw.select(
-        "symbol", day("date").alias("ex_date"), *[day(x).alias(y) for x, y in (("paymentDate", "payment_date"), ("declarationDate", "declaration_date"), ("recordDate", "record_date"))],
+        "symbol", day("date").alias("ex_date"), *[
+            day(x).alias(y) for x, y in (("paymentDate", "payment_date"), ("declarationDate", "declaration_date"), ("recordDate", "record_date"))
+        ],
         F.coalesce(number("value"), number("unadjustedValue")).alias("amount"), number("unadjustedValue").alias("unadjusted_amount"),
-        period.alias("period"), currency.alias("currency"), F.coalesce(F.contains(F.lower(period), F.lit("special")), F.lit(False)).alias("is_special"),
+        period.alias("period"), currency.alias("currency"), F.coalesce(
+            F.contains(F.lower(period), F.lit("special")), F.lit(False)
+        ).alias("is_special"),
     ).where("ex_date is not null and amount > 0")
     others = [x for x in rows.columns if x not in ("symbol", "ex_date", "is_special")]
     key = [c("symbol"), c("ex_date"), c("is_special"), F.round("amount", 6).alias("__amount")]
@@ -83,7 +93,9 @@ def dividend_quality(raw: DataFrame) -> DataFrame:
     amount = F.coalesce(number("value"), number("unadjustedValue"))
     good = day("date").isNotNull() & F.coalesce(amount > 0, F.lit(False))
     rows = raw.withColumn("good", good).withColumn("stand_in", good & number("value").isNull())
-    g = rows.groupBy("symbol").agg(F.count("*").alias("received"), F.count_if(~c("good")).alias("refused"), F.count_if("stand_in").alias("unadjusted"))
+    g = rows.groupBy("symbol").agg(
+        F.count("*").alias("received"), F.count_if(~c("good")).alias("refused"), F.count_if("stand_in").alias("unadjusted")
+    )
     kept = parse_dividends(raw).groupBy("symbol").agg(F.count("*").alias("kept"), F.count_if("is_special").alias("special"))
     g = g.join(kept, "symbol", "left").withColumn("kept", F.coalesce("kept", F.lit(0).cast("long"))).withColumn("special", F.coalesce("special", F.lit(0).cast("long")))
     return g.select("symbol", "received", "refused", (c("received") - c("refused") - c("kept")).alias("repeated"), "unadjusted", "special")
@@ -91,7 +103,9 @@ def dividend_quality(raw: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``symbol, doc`` of JSON lines ``{"symbol": ..., "doc": {...}}``."""
-    return spark.read.text(path).select(F.get_json_object("value", "$.symbol").alias("symbol"), F.get_json_object("value", "$.doc").alias("doc")).where("symbol is not null")
+    return spark.read.text(path).select(
+        F.get_json_object("value", "$.symbol").alias("symbol"), F.get_json_object("value", "$.doc").alias("doc")
+    ).where("symbol is not null")
 
 
 def parsed(docs: DataFrame) -> DataFrame:
@@ -123,6 +137,11 @@ def components(docs: DataFrame) -> DataFrame:
     and members without one are left out."""
     rows = docs.select("symbol", F.explode("d.Components").alias("key", "m"))
     text = lambda k: F.nullif(F.trim(c("m")[k]), F.lit(""))
-    rows = rows.select("symbol", F.replace(F.upper(text("Code")), F.lit("."), F.lit("-")).alias("code"), number("key").alias("n"), "key", *[text(k).alias(k.lower()) for k in ("Name", "Sector", "Industry", "Exchange")])
-    first = rows.where("code is not null").groupBy("symbol", "code").agg(F.min_by(F.struct("name", "sector", "industry", "exchange"), F.struct("n", "key")).alias("m"))
+    rows = rows.select(
+        "symbol", F.replace(F.upper(text("Code")), F.lit("."), F.lit("-")).alias("code"), number("key").alias("n"), "key",
+        *[text(k).alias(k.lower()) for k in ("Name", "Sector", "Industry", "Exchange")]
+    )
+    first = rows.where("code is not null").groupBy("symbol", "code").agg(
+        F.min_by(F.struct("name", "sector", "industry", "exchange"), F.struct("n", "key")).alias("m")
+    )
     return first.select("symbol", "code", "m.*")

@@ -59,7 +59,10 @@ _EVEN = "s % 2 = 0"
 #: Sections of a document as Spark SQL over the fields.
 SECTIONS = {
     "General": _map(Sector="sector", CurrencyCode="financial_currency", PriceCurrency="price_currency"),
-    "Highlights": _map(ReturnOnEquityTTM="coalesce(CAST(roe AS STRING), 'NA')", MarketCapitalization="market_cap", PERatio="pe", DebtToEquity="debt_to_equity", TotalDebt="total_debt", TotalCash="total_cash"),
+    "Highlights": _map(
+        ReturnOnEquityTTM="coalesce(CAST(roe AS STRING), 'NA')", MarketCapitalization="market_cap", PERatio="pe", DebtToEquity="debt_to_equity",
+        TotalDebt="total_debt", TotalCash="total_cash"
+    ),
     "Valuation": _map(EnterpriseValue="coalesce(CAST(enterprise_value AS STRING), 'None')", ForwardPE="forward_pe"),
     "SharesStats": _map(SharesFloat="shares_float"),
     "Holders": _map(Institutions="holders"),
@@ -118,10 +121,17 @@ def fund_documents(bars: DataFrame) -> DataFrame:
     """``symbol, doc`` of the funds: earnings and cash flow from highest closes."""
     m = F.floor(F.max("close"))
     years = bars.groupBy("symbol", F.year("date").alias("y")).agg(m.alias("m"))
-    fiscal = years.where(F.col("symbol").isin(*YEARLY)).selectExpr("symbol", "concat(y, '-12-31') AS k", "map('epsActual', CAST((m - 1500) / 20 AS STRING)) AS v")
+    fiscal = years.where(F.col("symbol").isin(*YEARLY)).selectExpr(
+        "symbol", "concat(y, '-12-31') AS k", "map('epsActual', CAST((m - 1500) / 20 AS STRING)) AS v"
+    )
     ends = F.last_day(F.add_months(F.date_trunc("quarter", "date").cast("date"), 2))
-    four = bars.where(F.col("symbol").isin(*QUARTERLY)).groupBy("symbol", ends.alias("q")).agg(m.alias("m")).selectExpr("symbol", "CAST(q AS STRING) AS k", "map('epsActual', CAST(m / 200 AS STRING)) AS v")
-    cash = years.selectExpr("symbol", "concat(y, '-12-31') AS k", "map('dividendsPaid', CAST(-(m % 29) - 1 AS STRING), 'netIncome', CASE WHEN m % 2 = 0 THEN CAST(m % 97 AS STRING) END) AS v")
+    four = bars.where(F.col("symbol").isin(*QUARTERLY)).groupBy("symbol", ends.alias("q")).agg(m.alias("m")).selectExpr(
+        "symbol", "CAST(q AS STRING) AS k", "map('epsActual', CAST(m / 200 AS STRING)) AS v"
+    )
+    cash = years.selectExpr(
+        "symbol", "concat(y, '-12-31') AS k",
+        "map('dividendsPaid', CAST(-(m % 29) - 1 AS STRING), 'netIncome', CASE WHEN m % 2 = 0 THEN CAST(m % 97 AS STRING) END) AS v"
+    )
     income = years.selectExpr("symbol", "concat(y, '-12-31') AS k", "map('netIncome', CAST(m % 97 AS STRING)) AS v")
     out = bars.select("symbol").distinct()
     for name, rows in (("fiscal", fiscal), ("four", four), ("cash", cash), ("income", income)):

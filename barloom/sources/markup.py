@@ -136,10 +136,16 @@ def page_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
                     found += [{"nth": nth, "row": r, "header": header, "cells": cells} for r, (cells, _) in enumerate(grid[1:] if header else grid)]
                 rows.append(found)
                 counts.append((len(reader.tables), len(reader.open), reader.stray, reader.bad_spans))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind), *(pa.array(c, pa.int32()) for c in zip(*counts))], names=[key, "rows", "n_tables", "n_unclosed", "n_stray", "n_bad_spans"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(rows, kind), *(pa.array(c, pa.int32()) for c in zip(*counts))],
+                names=[key, "rows", "n_tables", "n_unclosed", "n_stray", "n_bad_spans"]
+            )
 
     chosen = pages.select(F.col(key).cast("string").alias(key), F.col(html).cast("string").alias(html))
-    return chosen.mapInArrow(job, f"{key} string, rows array<struct<nth: int, row: int, header: array<string>, cells: array<string>>>, n_tables int, n_unclosed int, n_stray int, n_bad_spans int")
+    return chosen.mapInArrow(
+        job,
+        f"{key} string, rows array<struct<nth: int, row: int, header: array<string>, cells: array<string>>>, n_tables int, n_unclosed int, n_stray int, n_bad_spans int"
+    )
 
 
 def cell(name: str) -> Column:
@@ -158,7 +164,10 @@ def index_members(tables: DataFrame, key: str = "page_id") -> DataFrame:
     rows = tables.select(key, F.explode("rows").alias("t")).where(F.array_contains("t.header", "Symbol"))
     first = rows.withColumn("least", F.min("t.nth").over(Window.partitionBy(key))).where("t.nth = least")
     symbol = F.replace(F.upper(cell("Symbol")), F.lit("."), F.lit("-"))
-    found = first.select(key, F.col("t.row").alias("row"), symbol.alias("symbol"), cell("Security").alias("name"), cell("GICS Sector").alias("sector"), cell("GICS Sub-Industry").alias("industry"))
+    found = first.select(
+        key, F.col("t.row").alias("row"), symbol.alias("symbol"), cell("Security").alias("name"), cell("GICS Sector").alias("sector"),
+        cell("GICS Sub-Industry").alias("industry")
+    )
     firsts = F.row_number().over(Window.partitionBy(key, "symbol").orderBy("row"))
     return found.where("symbol is not null").withColumn("k", firsts).where("k = 1").drop("k", "row")
 

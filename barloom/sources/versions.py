@@ -116,7 +116,9 @@ class BarStore:
         order = F.struct("close", "open", "high", "low", "adjusted_close", "volume")
         others = [c for c in BAR.fieldNames() if c not in ("symbol", "date")]
         new = seen.where(ok).groupBy("symbol", "date").agg(F.max_by(F.struct(*others), order).alias("bar")).select("symbol", "date", "bar.*")
-        new = new.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("open", "high", "low")} | {"volume": F.coalesce("volume", F.lit(0).cast("long"))})
+        new = new.withColumns(
+            {c: F.coalesce(c, F.lit(0.0)) for c in ("open", "high", "low")} | {"volume": F.coalesce("volume", F.lit(0).cast("long"))}
+        )
         new = new.withColumn("adjusted_close", F.coalesce("adjusted_close", "close")).select(*BAR.fieldNames())
         part = F.concat_ws("-", F.year("date"), F.pmod(F.xxhash64("symbol"), F.lit(BUCKETS)))
         staged, target = f"staged/{uuid.uuid4().hex}", f"data/{uuid.uuid4().hex}"
@@ -128,13 +130,24 @@ class BarStore:
             fresh = self.spark.read.schema(BAR).parquet(f"{self.root}/{staged}").select(*BAR.fieldNames())
             old = [base.parts[p] for p in touched if p in base.parts]
             stored = self.spark.read.schema(BAR).parquet(*[f"{self.root}/{p}" for p in old]) if old else self.spark.createDataFrame([], BAR)
-            both = stored.withColumn("had", F.lit(True)).alias("a").join(fresh.withColumn("has", F.lit(True)).alias("b"), ["symbol", "date"], "full_outer")
+            both = stored.withColumn("had", F.lit(True)).alias("a").join(
+                fresh.withColumn("has", F.lit(True)).alias("b"), ["symbol", "date"], "full_outer"
+            )
             is_new, meets = F.col("had").isNull(), F.col("had") & F.col("has")
             changed = F.coalesce(meets & F.lit(restate) & ~F.col("a.adjusted_close").eqNullSafe(F.col("b.adjusted_close")), F.lit(False))
             pick = {c: F.when(is_new, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")) for c in others}
             pick["adjusted_close"] = F.when(changed | is_new, F.col("b.adjusted_close")).otherwise(F.col("a.adjusted_close"))
-            rows = both.select("symbol", "date", *[pick[c].alias(c) for c in others], is_new.alias("is_new"), changed.alias("changed"), F.coalesce(meets, F.lit(False)).alias("meets"))
-            rows = rows.observe(put, *[F.count(F.when(F.expr(x), 1)).alias(n) for n, x in (("inserted", "is_new"), ("restated", "changed"), ("unchanged", "meets and not changed"))])
+            rows = both.select(
+                "symbol", "date", *[pick[c].alias(c) for c in others], is_new.alias("is_new"), changed.alias("changed"),
+                F.coalesce(meets, F.lit(False)).alias("meets")
+            )
+            rows = rows.observe(
+                put,
+                *[
+                    F.count(F.when(F.expr(x), 1)).alias(n) for n,
+                    x in (("inserted", "is_new"), ("restated", "changed"), ("unchanged", "meets and not changed"))
+                ]
+            )
             rows = rows.select(*BAR.fieldNames()).withColumn("part", part).hint("rebalance", "part")
             rows.write.partitionBy("part").parquet(f"{self.root}/{target}")
             counts |= dict(put.get)

@@ -37,7 +37,10 @@ def hourly_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Tumbling hourly bars; events later than the watermark are left out."""
     e = events.withWatermark("ts", late).select("ts", "event_id", F.col("event_type").alias("symbol"), cents(F.col("value") * 100).alias("price"))
     key = F.struct("ts", "event_id")
-    g = e.groupBy("symbol", F.window("ts", "1 hour").alias("w")).agg(F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), F.count("*").alias("volume"))
+    g = e.groupBy("symbol", F.window("ts", "1 hour").alias("w")).agg(
+        F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"),
+        F.count("*").alias("volume")
+    )
     return g.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
@@ -66,7 +69,9 @@ def running_average(events: DataFrame, n: int = 20) -> DataFrame:
         state.update((float(level), int(seen)))
         yield pd.DataFrame({"symbol": [key[0]], "average": [float(level)], "n": [int(seen)]})
 
-    return events.groupBy("event_type").applyInPandasWithState(step, "symbol string, average double, n long", "level double, seen long", "update", "NoTimeout")
+    return events.groupBy("event_type").applyInPandasWithState(
+        step, "symbol string, average double, n long", "level double, seen long", "update", "NoTimeout"
+    )
 
 
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
@@ -97,7 +102,10 @@ def months_so_far(closes: DataFrame) -> DataFrame:
     r = F.when(F.col("month_before") == F.add_months("month", -1), F.col("close") / F.col("before") - 1)
     df = df.withColumn("r", r).withColumn("counts", F.col("is_complete") & F.col("r").isNotNull())
     rank = F.rank().over(Window.partitionBy("symbol", "counts").orderBy(F.desc("r"))).cast("long")
-    return df.select("symbol", "month", "close", "n", "is_complete", F.round(F.col("r") * 100, 6).alias("return_percent"), F.when(F.col("counts"), rank).alias("rank"))
+    return df.select(
+        "symbol", "month", "close", "n", "is_complete", F.round(F.col("r") * 100, 6).alias("return_percent"),
+        F.when(F.col("counts"), rank).alias("rank")
+    )
 
 
 def running_indicators(bars: DataFrame) -> DataFrame:

@@ -39,7 +39,10 @@ def calendar(exchanges: DataFrame, first: str, last: str, holidays: DataFrame |
     rows = exchanges.withColumn("date", days).where(F.weekday("date") < 5)
     if holidays is not None:
         rows = rows.join(holidays.select("exchange", "date"), ["exchange", "date"], "left_anti")
-    return rows.select("exchange", "date", _utc(F.col("date"), F.col("opens"), F.col("zone")).alias("open_utc"), _utc(F.col("date"), F.col("closes"), F.col("zone")).alias("close_utc"))
+    return rows.select(
+        "exchange", "date", _utc(F.col("date"), F.col("opens"), F.col("zone")).alias("open_utc"),
+        _utc(F.col("date"), F.col("closes"), F.col("zone")).alias("close_utc")
+    )
 
 
 def in_sessions(trades: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -81,14 +84,19 @@ def session_trades(trades: DataFrame, zone: str = ZONE, opens: str = OPENS, clos
     local = F.from_utc_timestamp("ts", zone)
     clock, date = F.date_format(local, "HH:mm"), F.to_date(local)
     inside = (clock >= opens) & (clock < closes)
-    return trades.where(inside & F.col("price").isNotNull()).select("symbol", "ts", "id", "price", date.alias("date"), _utc(date, closes, zone).alias("closing"))
+    return trades.where(inside & F.col("price").isNotNull()).select(
+        "symbol", "ts", "id", "price", date.alias("date"), _utc(date, closes, zone).alias("closing")
+    )
 
 
 def session_bars(trades: DataFrame, as_of: str | datetime | None = None, **hours: str) -> DataFrame:
     """Bars of sessions in a table of trades; with ``as_of`` only sessions closed by then."""
     rows = session_trades(trades, **hours)
     key = F.struct("ts", "id")
-    bars = rows.groupBy("symbol", "date", "closing").agg(F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), F.count("*").alias("volume"))
+    bars = rows.groupBy("symbol", "date", "closing").agg(
+        F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"),
+        F.count("*").alias("volume")
+    )
     bars = bars if as_of is None else bars.where(F.col("closing") <= F.lit(as_of).cast("timestamp"))
     return bars.select("symbol", "date", "open", "high", "low", "close", "volume")
 
@@ -126,13 +134,20 @@ class ClosedBar(StatefulProcessor):
         if (last["ts"], last["id"]) >= (pd.Timestamp(last_ts), last_id):
             close, last_ts, last_id = last["price"], last["ts"], last["id"]
         stamps = [pd.Timestamp(t).to_pydatetime() for t in (first_ts, last_ts)]
-        self.bar.update((float(opened), float(max(high, f["price"].max())), float(min(low, f["price"].min())), float(close), int(volume + len(f)), stamps[0], int(first_id), stamps[1], int(last_id)))
+        self.bar.update(
+            (
+                float(opened), float(max(high, f["price"].max())), float(min(low, f["price"].min())), float(close), int(volume + len(f)), stamps[0],
+                int(first_id), stamps[1], int(last_id)
+            )
+        )
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         opened, high, low, close, volume = self.bar.get()[:5]
         self.bar.clear()
-        yield pd.DataFrame({"symbol": [key[0]], "date": [key[1]], "open": [opened], "high": [high], "low": [low], "close": [close], "volume": [volume]})
+        yield pd.DataFrame(
+            {"symbol": [key[0]], "date": [key[1]], "open": [opened], "high": [high], "low": [low], "close": [close], "volume": [volume]}
+        )
 
     def close(self) -> None:
         pass
