@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm import oracles
 from barloom.llm.common import table, word_count
 
 
@@ -171,3 +172,4 @@ ORACLES: dict[str, str] = {
         FROM docs LEFT JOIN kept USING (doc_id)
     """,
 }
+ORACLES |= oracles.ORACLES
