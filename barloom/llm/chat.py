@@ -63,7 +63,9 @@ def _joined(a: DataFrame, b: DataFrame, also: str) -> DataFrame:
 def _placed(turns: DataFrame) -> DataFrame:
     """The turns in order, each with its place (``spot``) among all turns."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    rows = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")
+    )
     rows = rows.withColumn("h", F.xxhash64("role", "text")).withColumn("tie", F.monotonically_increasing_id())
     order = ["conv_id", "turn", "h", "tie"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("spot", F.monotonically_increasing_id())
@@ -80,7 +82,9 @@ def _lines(placed: DataFrame, budget: int, history: int) -> DataFrame:
     order = Window.partitionBy("conv_id", "part").orderBy("spot")
     small = small.withColumn("near", F.sum("tokens").over(order) - F.col("tokens"))
     # a row for each conversation and partition of the sort
-    parts = small.groupBy("conv_id", "part").agg(F.sum("tokens").alias("sum"), F.min(F.when(F.col("is_sys"), F.struct("spot", "tokens"))).alias("sys"))
+    parts = small.groupBy("conv_id", "part").agg(
+        F.sum("tokens").alias("sum"), F.min(F.when(F.col("is_sys"), F.struct("spot", "tokens"))).alias("sys")
+    )
     conv = Window.partitionBy("conv_id")
     parts = parts.withColumn("far", F.sum("sum").over(conv.orderBy("part")) - F.col("sum"))
     parts = parts.withColumn("total", F.sum("sum").over(conv)).withColumn("sys", F.min("sys").over(conv)).drop("sum")
@@ -104,7 +108,9 @@ def _spans(lines: DataFrame) -> DataFrame:
 
     areas = areas.withColumn("cuts", F.aggregate("turns", none, take, lambda state: state["cuts"]))
     own = lambda t: F.element_at(F.filter("cuts", lambda c: c["start"] <= t["before"]), -1)
-    each = F.transform("turns", lambda t: F.struct(t["spot"].alias("spot"), t["tokens"].alias("tokens"), t["before"].alias("before"), own(t).alias("cut")))
+    each = F.transform(
+        "turns", lambda t: F.struct(t["spot"].alias("spot"), t["tokens"].alias("tokens"), t["before"].alias("before"), own(t).alias("cut"))
+    )
     rows = areas.select("conv_id", "area", "step", "sys", "total", F.explode(each).alias("t"))
     return rows.select("conv_id", "area", "step", "sys", "total", "t.spot", "t.tokens", "t.before", "t.cut.start", "t.cut.first")
 
@@ -147,7 +153,9 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> Da
     wanted = _wanted(spans, history)
     texts = placed.select("spot", (F.col("role") == "assistant").alias("talks"), "head", "body", "tokens")
     # the system turn of a long conversation, once for each area that repeats it
-    copies = spans.where("area > 0 and spot = first and first > sys.spot").select(F.col("sys.spot").alias("spot"), F.col("area").alias("salt")).distinct()
+    copies = spans.where("area > 0 and spot = first and first > sys.spot").select(
+        F.col("sys.spot").alias("spot"), F.col("area").alias("salt")
+    ).distinct()
     texts = texts.withColumn("salt", F.lit(0).cast("long")).unionByName(texts.join(copies, "spot"))
     rows = wanted.join(texts, ["spot", "salt"])
     turn = F.struct("spot", (F.col("spot") < F.col("first")).alias("again"), "talks", "head", "body", "tokens")

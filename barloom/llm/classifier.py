@@ -103,14 +103,18 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, per_class: int = 300
                 total += _context_sums(part, words)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["sums"])
 
-    contexts = sum(np.frombuffer(r.sums, np.float32).astype(np.float64) for r in sample.mapInArrow(gather, "sums binary").collect()).reshape(1 << BITS, DIMS)
+    contexts = sum(
+        np.frombuffer(r.sums, np.float32).astype(np.float64) for r in sample.mapInArrow(gather, "sums binary").collect()
+    ).reshape(1 << BITS, DIMS)
     contexts = (contexts / np.maximum(np.linalg.norm(contexts, axis=1, keepdims=True), 1e-9)).round(5).astype(np.float32)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, part in slices(b.column(1), SLICE, TEXTS):
                 rows = [x.tobytes() for x in pooled_vectors(part, contexts, forms)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"]
+                )
 
     rows = sorted(sample.mapInArrow(pool, "doc_id long, y int, x binary").collect())
     x, y = np.stack([np.frombuffer(r.x, np.float32) for r in rows]), np.array([r.y for r in rows])
@@ -122,7 +126,10 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, per_class: int = 300
     mean, scale = xt.mean(axis=0), 1 / (xt.std(axis=0) + 1e-4)
     scale[: 2 * DIMS] /= 4  # many weak inputs beside a few strong ones
     rng = np.random.default_rng(7)
-    start = [(rng.normal(size=(x.shape[1], HIDDEN)) / np.sqrt(x.shape[1])).astype(np.float32), np.zeros(HIDDEN, np.float32), (rng.normal(size=HIDDEN) / np.sqrt(HIDDEN)).astype(np.float32), np.float32(0)]
+    start = [
+        (rng.normal(size=(x.shape[1], HIDDEN)) / np.sqrt(x.shape[1])).astype(np.float32), np.zeros(HIDDEN, np.float32),
+        (rng.normal(size=HIDDEN) / np.sqrt(HIDDEN)).astype(np.float32), np.float32(0)
+    ]
 
     def grads(p):
         hidden, logit = _forward([mean, scale, *p], xt)
@@ -156,7 +163,9 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None =
                 pooled = pooled_vectors(part, model.contexts, forms) if model.layers else np.zeros((part.n, 1))
                 score = model.probability(pooled)
                 columns = [b.column(i).slice(lo, hi - lo) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"]
+                )
 
     return chosen.mapInArrow(job, schema)
 

@@ -122,16 +122,23 @@ def _pass(rows: DataFrame, codebooks: np.ndarray, dims: int) -> DataFrame:
                     np.add.at(sums[p, :, d], codes[:, p], vectors[:, p * wide + d])
             nothing = pa.nulls(len(b), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(b), np.int32)), b.column("vec_id"), b.column("label"), b.column("ints"), _bytes_of(codes), pa.array(error), nothing, nothing, pa.nulls(len(b), pa.list_(pa.int64()))],
+                [
+                    pa.array(np.zeros(len(b), np.int32)), b.column("vec_id"), b.column("label"), b.column("ints"), _bytes_of(codes), pa.array(error),
+                    nothing, nothing, pa.nulls(len(b), pa.list_(pa.int64()))
+                ],
                 names=names,
             )
         p, e = np.nonzero(count)
         lists = pa.array(sums[p, e].tolist(), pa.list_(pa.int64()))
         ids, texts, data = (pa.nulls(len(p), t) for t in (pa.int64(), pa.string(), pa.binary()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(p), np.int32)), ids, texts, data, data, ids, pa.array(p * 256 + e), pa.array(count[p, e]), lists], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(len(p), np.int32)), ids, texts, data, data, ids, pa.array(p * 256 + e), pa.array(count[p, e]), lists], names=names
+        )
 
     names = ["kind", "vec_id", "label", "ints", "codes", "error", "code", "n", "sums"]
-    return rows.select("vec_id", "label", "ints", "codes").mapInArrow(job, "kind int, vec_id long, label string, ints binary, codes binary, error long, code long, n long, sums array<long>")
+    return rows.select("vec_id", "label", "ints", "codes").mapInArrow(
+        job, "kind int, vec_id long, label string, ints binary, codes binary, error long, code long, n long, sums array<long>"
+    )
 
 
 def _moved(codebooks: np.ndarray, sums: DataFrame) -> np.ndarray:
@@ -194,4 +201,6 @@ def code_vectors(rows: DataFrame) -> DataFrame:
         left = left.withColumn("__s", F.pmod(F.xxhash64("vec_id", "codes"), F.lit(SALT)))
         right = right.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
         both = left.join(right, ["__l", "__n", "__s"])
-    return both.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(codebooks_digest(codebooks)).alias("codebooks_sha256"))
+    return both.select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(codebooks_digest(codebooks)).alias("codebooks_sha256")
+    )

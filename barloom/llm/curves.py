@@ -167,7 +167,9 @@ def _points(vectors: DataFrame, few: int) -> DataFrame:
     salted = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
     inside = Window.partitionBy("h", "h2", "salt").orderBy("vec_id")
     some = salted.withColumn("nth", F.row_number().over(inside)).where(F.col("nth") <= few)
-    lists = some.groupBy("h", "h2").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, few).alias("ids"), F.min_by("embedding", "vec_id").alias("embedding"))
+    lists = some.groupBy("h", "h2").agg(
+        F.slice(F.sort_array(F.collect_list("vec_id")), 1, few).alias("ids"), F.min_by("embedding", "vec_id").alias("embedding")
+    )
     return lists.select("h", "h2", F.col("ids")[0].alias("node"), "ids", "embedding")
 
 
@@ -233,7 +235,10 @@ def nearest(vectors: DataFrame, is_query: F.Column | str, k: int = 5, setting: C
                     pick = pa.array(chosen)
                     n = len(chosen)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, c, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(n, ask)), *(x.take(pick) for x in others)],
+                        [
+                            pa.array(np.full(n, c, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(n, ask)),
+                            *(x.take(pick) for x in others)
+                        ],
                         names=["curve", "chunk", "ask", "node", "h", "ids", "embedding"],
                     )
 
@@ -279,7 +284,10 @@ def nearest(vectors: DataFrame, is_query: F.Column | str, k: int = 5, setting: C
                         score = (matrix[some] * q).sum(axis=1) / (norms[some] * np.sqrt((q * q).sum()))
                         level = (-np.rint(score * SAME)).tolist()
                         same = (mark[some] == ways[a + i]).tolist()
-                        found = sorted((r, v, s, o) for j, r, s, o in zip(some.tolist(), level, score.tolist(), same) for v in flat[begin[j] : begin[j] + lengths[j]].tolist())[:few]
+                        found = sorted(
+                            (r, v, s, o) for j, r, s,
+                            o in zip(some.tolist(), level, score.tolist(), same) for v in flat[begin[j] : begin[j] + lengths[j]].tolist()
+                        )[:few]
                         out_q += [nodes[a + i]] * len(found)
                         out_h += [ways[a + i]] * len(found)
                         out_v += [v for _, v, _, _ in found]
@@ -301,4 +309,6 @@ def nearest(vectors: DataFrame, is_query: F.Column | str, k: int = 5, setting: C
     best = best.groupBy(*point).agg(F.sort_array(F.collect_list(F.struct("far", "vec_id", "score", "own"))).alias("best"))
     own = F.slice(F.filter("best", lambda x: ~x["own"] | (x["vec_id"] != F.col("query_id"))), 1, k)
     listed = asks.join(best, point).select("query_id", F.posexplode(own).alias("at", "hit"))
-    return listed.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    return listed.select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")
+    )

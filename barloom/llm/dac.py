@@ -126,7 +126,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = 1) -> Da
             codes = encode(np.concatenate(ids))
             values = [[part], [start], [size], [docs_], [ends], [codes]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["part", "start", "n_tokens", "docs", "ends", "codes"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v, k) for v, k in zip(values, kinds)], names=["part", "start", "n_tokens", "docs", "ends", "codes"]
+            )
 
         for b in batches:
             names = b.column(0).to_pylist()
@@ -176,4 +178,6 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 columns = [docs_, [base[part] + start + a for a in begins], [z - a for a, z in zip(begins, ends)], crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "start", "n_tokens", "docs", "ends", "codes").mapInArrow(job, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "start", "n_tokens", "docs", "ends", "codes").mapInArrow(
+        job, "doc_id long, start long, n_tokens long, ids_crc32 long"
+    )

@@ -21,7 +21,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     totals = {r.y: r.n for r in clean.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = clean.where("y = 0").orderBy(*order).limit(per_class).unionByName(clean.where("y = 1").orderBy(*order).limit(per_class))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y")
+    )
     # a few tasks, since each sends a partial sum of fixed size to the driver
     return written(sample, "labelled").coalesce(8), totals
 

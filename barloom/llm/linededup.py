@@ -141,7 +141,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
                 gone.append(total[-1] - len(parts))
                 kept.append("\n".join(parts))
             others = [b.column(3 + i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), *others], names=["doc_id", "n_lines", "n_dropped", "kept", *keep])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), *others],
+                names=["doc_id", "n_lines", "n_dropped", "kept", *keep]
+            )
 
     wide = left_lookup(docs, drops).select("doc_id", "text", "drops", *keep)
     schema = wide.select("doc_id").schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")

@@ -76,7 +76,9 @@ def _places(rows: DataFrame, sources: DataFrame) -> DataFrame:
     rows = rows.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 11) / F.lit(2.0**53)) * buckets)).drop("n_rows")
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size")
     words = F.col("size") * F.col("n")
-    rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn("at", F.sum(words).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - words).drop("h")
+    rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn(
+        "at", F.sum(words).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - words
+    ).drop("h")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     rows = rows.withColumn("at", F.col("at") + F.col("copy") * F.col("size")).withColumn("nth", F.col("nth") * DOCS_IN_BUCKET + F.col("copy")).drop("n", "copy")
     rows = written(rows, "places")
@@ -97,7 +99,9 @@ def _schedule(sources: DataFrame, block: int) -> DataFrame:
     table = table.withColumn("hi", F.sum("slots").over(by_sid) / total).withColumn("lo", (F.sum("slots").over(by_sid) - F.col("slots")) / total)
     table = written(table, "shares")
     n = table.agg(F.sum("slots")).first()[0] or 0
-    cells = table.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
+    cells = table.select(
+        "sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell")
+    )
     slots = spark.range(n).select(F.col("id").alias("position"), ((F.col("id") % 2**31) * GOLDEN % 2**32 / F.lit(2.0**32)).alias("u"))
     slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS)).join(cells, "cell").where("u >= lo and u < hi")
     slots = slots.select("position", "sid", F.floor(F.col("position") / SLOTS_IN_CHUNK).alias("chunk"))
@@ -116,7 +120,10 @@ def _schedule(sources: DataFrame, block: int) -> DataFrame:
     return slots.select("position", "sid", "block", "pass", F.least(F.lit(block), F.col("source_size") - begin, left).alias("words"))
 
 
-def mix_sources(docs: DataFrame, weights: list[int] | tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, mark: Column | None = None) -> Mix:
+def mix_sources(
+    docs: DataFrame, weights: list[int] | tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS,
+    mark: Column | None = None
+) -> Mix:
     """Mix ``doc_id, text, source`` to target weights (see ``source_targets``).
 
     A row's size is its number of words; null and empty texts have none and

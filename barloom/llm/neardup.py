@@ -90,7 +90,10 @@ def _marks(docs: DataFrame, width: int = WORDS, sets: bool = False) -> DataFrame
                     values = [pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(h.view(np.int64)))]
                 else:
                     values = [pa.array(x.view(np.int64)) for x in _sketches(h, n, width)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(node.view(np.int64)), *values], names=["doc_id", "version", "node", *names])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(node.view(np.int64)), *values],
+                    names=["doc_id", "version", "node", *names]
+                )
 
     names = ["grams"] if sets else [f"s{k}" for k in range(width)]
     kinds = "grams array<long>" if sets else ", ".join(f"{s} long" for s in names)
@@ -167,7 +170,9 @@ def _apart(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int16)
 
 
-def _near_pairs(sketch: np.ndarray, begins: np.ndarray, size: np.ndarray, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near_pairs(
+    sketch: np.ndarray, begins: np.ndarray, size: np.ndarray, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs i < j of the same group within the radius, and their distances;
     ``apart`` says which pairs count at all."""
     first, many = np.repeat(begins, size), np.repeat(size, size)
@@ -243,7 +248,9 @@ def _second_round(views: list[np.ndarray]) -> Callable[..., Iterator[pa.RecordBa
         begins, size = _groups(g)
         rows, more = (np.stack(x, axis=1).view(U64) for x in (sketch[:WORDS], sketch[WORDS:]))
         u, v, far = _near_pairs(rows, begins, size, lambda a, b: (comp[a] != comp[b]) & ((side[a] == 0) | (side[a] != side[b])))
-        near = np.flatnonzero(far + np.concatenate([_apart(more, u[a : a + PAIRS], v[a : a + PAIRS]) for a in range(0, max(len(u), 1), PAIRS)]) <= LONG_RADIUS)
+        near = np.flatnonzero(
+            far + np.concatenate([_apart(more, u[a : a + PAIRS], v[a : a + PAIRS]) for a in range(0, max(len(u), 1), PAIRS)]) <= LONG_RADIUS
+        )
         u, v, far = u[near], v[near], far[near]
         new = ~_met_before(rows[u], rows[v], view[u], views)
         yield _batch(node, u[new], v[new], far[new])
@@ -289,7 +296,9 @@ def _split(rows: DataFrame, most: int, block: int) -> DataFrame:
                 key = mix(old + (bits[:, at].astype(np.int64) @ power + (v << 32)).view(U64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns[1:]], names=b.schema.names)
 
-    return rows.select("key", "view", "node", "comp", *names).mapInArrow(job, f"key long, view int, node long, comp long, {', '.join(f'{s} long' for s in names)}")
+    return rows.select("key", "view", "node", "comp", *names).mapInArrow(
+        job, f"key long, view int, node long, comp long, {', '.join(f'{s} long' for s in names)}"
+    )
 
 
 def _shares(rows: DataFrame, block: int) -> DataFrame:
@@ -309,16 +318,25 @@ def _block_pairs(rows: DataFrame, shares: DataFrame) -> DataFrame:
     rows = rows.withColumn("home", F.expr("pmod(xxhash64(node), if(is_main, mains, minors))"))
     to_minors = "transform(sequence(0L, minors - 1), x -> {})"
     main = to_minors.format("struct(1 AS kind, home AS a, x AS b, 1 AS side)")
-    own = to_minors.format("struct(0 AS kind, least(home, x) AS a, greatest(home, x) AS b, CASE WHEN home = x THEN 0 WHEN home < x THEN 1 ELSE 2 END AS side)")
+    own = to_minors.format(
+        "struct(0 AS kind, least(home, x) AS a, greatest(home, x) AS b, CASE WHEN home = x THEN 0 WHEN home < x THEN 1 ELSE 2 END AS side)"
+    )
     minor = f"concat({own}, transform(sequence(0L, mains - 1), x -> struct(1 AS kind, x AS a, home AS b, 2 AS side)))"
     rows = rows.withColumn("at", F.explode(F.expr(f"if(is_main, {main}, {minor})")))
-    return rows.select(F.xxhash64("key", "at.kind", "at.a", "at.b").alias("g"), F.col("at.side").alias("side"), "view", "node", "comp", *[f"s{k}" for k in range(LONG)])
+    return rows.select(
+        F.xxhash64("key", "at.kind", "at.a", "at.b").alias("g"), F.col("at.side").alias("side"), "view", "node", "comp",
+        *[f"s{k}" for k in range(LONG)]
+    )
 
 
-def _taken_up(docs: DataFrame, ids: DataFrame, sketches: DataFrame, keys: DataFrame, edges: DataFrame, choices: list[np.ndarray], block: int) -> DataFrame:
+def _taken_up(
+    docs: DataFrame, ids: DataFrame, sketches: DataFrame, keys: DataFrame, edges: DataFrame, choices: list[np.ndarray], block: int
+) -> DataFrame:
     """The second round: candidates ``u, v`` of dense and crowded keys whose ends are
     in different components."""
-    rows = written(sketches.join(components(edges), "node", "left").withColumn("comp", F.coalesce("low", "node")).select("node", "comp", *BITS), "labels")
+    rows = written(
+        sketches.join(components(edges), "node", "left").withColumn("comp", F.coalesce("low", "node")).select("node", "comp", *BITS), "labels"
+    )
     met = written(_views(rows, choices).join(keys, "key", "left_semi").select("key", "node", "comp"), "met")
     shares = written(_shares(met, block), "shares")
     met = met.join(shares.select("key"), "key", "left_semi")
@@ -381,4 +399,6 @@ def near_duplicate_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     firsts = of.groupBy("low").agg(F.min("row").alias("first"))
     groups = of.join(firsts, "low").select("node", "first")
     kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
-    return marks.select("doc_id", "version", "node").join(groups, "node").select("doc_id", "version", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
+    return marks.select("doc_id", "version", "node").join(groups, "node").select(
+        "doc_id", "version", F.col("first.doc_id").alias("component_id"), kept.alias("kept")
+    )

@@ -18,7 +18,9 @@ def _codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096
         steps.append(f"d{i} AS (SELECT a.r, a.p, c.k, {far} AS d FROM parts a JOIN c{i} c USING (p))")
         steps.append(f"a{i} AS (SELECT r, p, arg_min(k, row(d, k)) AS k, min(d) AS d FROM d{i} GROUP BY r, p)")
         if i < rounds:
-            steps.append(f"u{i} AS (SELECT p, k, j, sum(y) AS s, count(*) AS n FROM (SELECT p, k, unnest(x) AS y, unnest(range(len(x))) AS j FROM a{i} JOIN parts USING (r, p)) GROUP BY p, k, j)")
+            steps.append(
+                f"u{i} AS (SELECT p, k, j, sum(y) AS s, count(*) AS n FROM (SELECT p, k, unnest(x) AS y, unnest(range(len(x))) AS j FROM a{i} JOIN parts USING (r, p)) GROUP BY p, k, j)"
+            )
             steps.append(f"m{i} AS (SELECT p, k, list(CAST((s - (s % n + n) % n) / n AS BIGINT) ORDER BY j) AS x FROM u{i} GROUP BY p, k)")
             steps.append(f"c{i + 1} AS (SELECT p, k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (p, k))")
     last = f"a{rounds}"
@@ -52,7 +54,8 @@ def _runs(least: int = 24) -> str:
     crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(t) + 1), lambda i: ascii(t[i])::BIGINT)),
         lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
     return rf"""
-        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS t, list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS t, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
         hashed AS (SELECT *, len(w) AS n, {crc} AS h FROM docs),
         planned AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN h // 10 % n END AS a, 3 + h // 10 % 8 AS k FROM hashed),
         planted AS (SELECT r, doc_id, CAST(n AS BIGINT) AS n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END + 1]) END AS w FROM planned),

@@ -100,7 +100,10 @@ def train_ngram_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500,
                 cut = np.searchsorted(row[order], np.arange(part.n + 1))
                 some = [(place[a:z].tobytes(), value[a:z].tobytes()) for a, z in zip(cut[:-1], np.minimum(cut[1:], cut[:-1] + most))]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([p for p, _ in some], pa.binary()), pa.array([v for _, v in some], pa.binary())],
+                    [
+                        b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([p for p, _ in some], pa.binary()),
+                        pa.array([v for _, v in some], pa.binary())
+                    ],
                     names=["doc_id", "y", "places", "values"],
                 )
 
@@ -115,7 +118,9 @@ def train_ngram_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500,
     return NgramModel(w.reshape(KINDS, -1).astype(np.float32), slope, float(slope * b + offset))
 
 
-def _fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, use: np.ndarray, size: int, epochs: int = 24, batch: int = 128) -> tuple[np.ndarray, float]:
+def _fit(
+    texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, use: np.ndarray, size: int, epochs: int = 24, batch: int = 128
+) -> tuple[np.ndarray, float]:
     """Weights and offset of a balanced logistic regression on sparse inputs, by
     Adam over small batches (300 at least); the mean of the last third of the steps."""
     rng, use = np.random.default_rng(3), np.flatnonzero(use)
@@ -186,7 +191,10 @@ def quality_rules(docs: DataFrame, model: NgramModel, limits: Limits = Limits())
                 probability = sigmoid(model.slope * _logits(part, hashes, model.weights) + model.offset)
                 columns = [n, chars, part.per_text(_SYMBOL[part.data]), lines, repeats]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(failed), pa.array(~failed & (probability >= limits.min_probability)), pa.array(probability)],
+                    [
+                        b.column(0).slice(lo, hi - lo), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(failed),
+                        pa.array(~failed & (probability >= limits.min_probability)), pa.array(probability)
+                    ],
                     names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"],
                 )
 

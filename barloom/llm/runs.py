@@ -294,8 +294,21 @@ def periodic_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 kept = np.cumsum(edge[:-1]) == 0
                 columns = [pa.array(c.astype(np.int64)) for c in (start, length, period)]
                 runs = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays(columns, ["start", "length", "period"]))
-                best = [None if a == z else a + _best(length[a:z].tolist(), period[a:z].tolist()) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                best = pa.StructArray.from_arrays([c.take(pa.array(best, pa.int64())) for c in columns], ["start", "length", "period"], mask=pa.array([k is None for k in best], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(part.counts.astype(np.int64)), runs, best, pa.array(_collapsed(part, kept), pa.string())], names=["doc_id", "n_words", "runs", "best", "collapsed"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(job, f"doc_id long, n_words long, runs array<{RUN}>, best {RUN}, collapsed string")
+                best = [
+                    None if a == z else a + _best(length[a:z].tolist(), period[a:z].tolist()) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())
+                ]
+                best = pa.StructArray.from_arrays(
+                    [c.take(pa.array(best, pa.int64())) for c in columns], ["start", "length", "period"],
+                    mask=pa.array([k is None for k in best], pa.bool_())
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(lo, hi - lo), pa.array(part.counts.astype(np.int64)), runs, best,
+                        pa.array(_collapsed(part, kept), pa.string())
+                    ],
+                    names=["doc_id", "n_words", "runs", "best", "collapsed"]
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        job, f"doc_id long, n_words long, runs array<{RUN}>, best {RUN}, collapsed string"
+    )

@@ -123,7 +123,10 @@ def _view_keys(rows: DataFrame, level: int, radius: int) -> DataFrame:
                         sums = sums * U64(0x9E3779B97F4A7C15) + np.bitwise_count((bits ^ p) & mask).astype(U64) * w
                     keys[:, k] = mix(sums)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(bits, len(masks)).view(np.int64)), pa.array(np.repeat(node[a : a + step], len(masks)))],
+                    [
+                        pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(bits, len(masks)).view(np.int64)),
+                        pa.array(np.repeat(node[a : a + step], len(masks)))
+                    ],
                     names=["key", "bits", "node"],
                 )
 

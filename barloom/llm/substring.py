@@ -68,7 +68,10 @@ def anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
             for lo, hi, part in slices(b.column(2)):
                 gram, context, doc, at, n, _ = _anchors_of(part, window, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(context), pa.array(ids[lo:hi][doc].astype(np.int64)), pa.array(versions[lo:hi][doc]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    [
+                        pa.array(gram), pa.array(context), pa.array(ids[lo:hi][doc].astype(np.int64)), pa.array(versions[lo:hi][doc]),
+                        pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))
+                    ],
                     names=["gram", "context", "doc_id", "v", "lo", "n"],
                 )
 
@@ -93,7 +96,10 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 h = whole[at]
                 ids, versions = (b.column(i).to_numpy(zero_copy_only=False)[lo:hi] for i in range(2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(h.view(np.int64)), pa.array(ids[who]), pa.array(versions[who]), pa.array((at - part.first[who]).astype(np.int32))],
+                    [
+                        pa.array(gram), pa.array(h.view(np.int64)), pa.array(ids[who]), pa.array(versions[who]),
+                        pa.array((at - part.first[who]).astype(np.int32))
+                    ],
                     names=["gram", "h", "doc_id", "v", "at"],
                 )
 
@@ -116,7 +122,9 @@ def _merged(spans: DataFrame) -> DataFrame:
     """Spans that meet or overlap become one."""
     order = Window.partitionBy("doc_id", "v").orderBy("start", "stop")
     far = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = spans.withColumn("new", F.when(F.col("start") <= far, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.withColumn("new", F.when(F.col("start") <= far, 0).otherwise(1)).withColumn(
+        "run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    )
     return runs.groupBy("doc_id", "v", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
@@ -132,13 +140,22 @@ def _matches(docs: DataFrame, window: int, k: int) -> DataFrame:
     seeds = written(anchors(docs, window, k), "anchors")
     classes = seeds.groupBy("gram", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     classes = written(classes, "contexts")
-    met = classes.groupBy("gram").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("k")).where("a < b").select("gram", (F.col("k") > 1).alias("several"))
+    met = classes.groupBy("gram").agg(
+        F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("k")
+    ).where("a < b").select("gram", (F.col("k") > 1).alias("several"))
     info = classes.join(met, "gram").where("several or low < high").select("gram", "context", "low", "several")
-    matched = written(seeds.join(info, ["gram", "context"]).where("doc_id > low or several").select("gram", "doc_id", "v", "lo", "n", (F.col("doc_id") > F.col("low")).alias("whole")), "matched")
+    matched = written(
+        seeds.join(info, ["gram", "context"]).where("doc_id > low or several").select(
+            "gram", "doc_id", "v", "lo", "n", (F.col("doc_id") > F.col("low")).alias("whole")
+        ),
+        "matched"
+    )
     whole = matched.where("whole").select("doc_id", "v", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + window).alias("stop"))
     each = written(_windows(docs, matched.where("not whole"), window), "windows")
     lows = each.groupBy("gram", "h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram", "h", "low")
-    ends = each.join(lows, ["gram", "h"]).where("doc_id > low").select("doc_id", "v", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
+    ends = each.join(lows, ["gram", "h"]).where("doc_id > low").select(
+        "doc_id", "v", F.col("at").alias("start"), (F.col("at") + window).alias("stop")
+    )
     return whole.unionByName(ends)
 
 
@@ -167,7 +184,10 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 text = out.tobytes()
                 texts = [text[a : max(a, z - 1)].decode() for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(part.counts.astype(np.int64)), pa.array(gone.astype(np.int64)), pa.array(texts, pa.string())],
+                    [
+                        b.column(0).slice(lo, hi - lo), pa.array(part.counts.astype(np.int64)), pa.array(gone.astype(np.int64)),
+                        pa.array(texts, pa.string())
+                    ],
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 

@@ -222,6 +222,9 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
                 per_word = cache.get(part.hashes(), part.hashes(1), lambda i: cutter.counts(part.data, part.starts[i], part.ends[i] - part.starts[i]))
                 total = np.concatenate([[0], np.cumsum(per_word)])
                 tokens = total[part.first[1:]] - total[part.first[:-1]]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(part.counts.astype(np.int64)), pa.array(tokens.astype(np.int64))], names=["doc_id", "n_words", "n_tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), pa.array(part.counts.astype(np.int64)), pa.array(tokens.astype(np.int64))],
+                    names=["doc_id", "n_words", "n_tokens"]
+                )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(job, "doc_id long, n_words long, n_tokens long")
