@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from barloom.plans.oracles_calendar import ORACLES as CALENDAR
 from barloom.plans.oracles_portfolio import ORACLES as PORTFOLIO
-from barloom.plans.oracles_portfolio import EPS, FUNDAMENTALS_SQL, PRICES, STOCK_NUMBERED, harvest
+from barloom.plans.oracles_calendar import AS_OF
+from barloom.plans.oracles_portfolio import EPS, FUNDAMENTALS_SQL, PAYS, PRICES, STOCK_NUMBERED, harvest
 from barloom.plans.oracles_quant import ORACLES as QUANT
 from barloom.plans.oracles_technical import INDICATORS, NUMBERED, W, lag, r6, sma, steps
 from barloom.plans.oracles_technical import ORACLES as TECHNICAL
@@ -65,6 +66,16 @@ _NAMES = "['Doji', 'Hammer', 'Hanging Man', 'Shooting Star', 'Bullish Engulfing'
 _CENTRED = "xx AS (SELECT symbol, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(x, z) AS xz, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM pairs GROUP BY symbol)"
 
 ORACLES = {
+    "payout_report": f"""WITH {BARS_SQL}, {_PAYS}, base AS ({PORTFOLIO["payout_bases"].replace(PAYS, _PAYS).replace(AS_OF, "2001-06-30")}),
+        past AS (SELECT symbol, arg_max(currency, row(ex_date, amount)) FILTER (WHERE currency IS NOT NULL) AS paid_in, count(*) AS payments FROM pays WHERE ex_date <= DATE '2001-06-30' GROUP BY symbol),
+        told AS (SELECT symbol, CASE WHEN symbol IN ('AF', 'NO', 'RF') THEN 'USD' END AS reported_in, CASE WHEN symbol IN ('AF', 'NO', 'RF') THEN 45.67::DOUBLE END AS provider_percent FROM base),
+        fiscal AS (SELECT symbol, max(make_date(year(date), 12, 31)) FILTER (WHERE make_date(year(date), 12, 31) <= DATE '2001-06-30') AS stop FROM bars WHERE symbol IN ('AF', 'NF') GROUP BY symbol),
+        k AS (SELECT *, coalesce(payments, 0) = 0 AS unpaid, coalesce(paid_in <> reported_in, false) AS mixed FROM base JOIN told USING (symbol) LEFT JOIN past USING (symbol) LEFT JOIN fiscal USING (symbol))
+        SELECT symbol, CASE WHEN unpaid THEN 'no_history' WHEN mixed THEN 'not_meaningful' ELSE status END AS status, CASE WHEN unpaid THEN 'no dividend history' WHEN mixed THEN 'paid in ' || paid_in || ', reported in ' || reported_in END AS reason,
+            CASE WHEN NOT unpaid AND NOT mixed THEN basis END AS basis, CASE WHEN NOT unpaid AND NOT mixed THEN payout_percent END AS payout_percent, CASE WHEN NOT unpaid AND NOT mixed THEN band END AS band,
+            coalesce(DATE '2001-06-30' - stop > 548, false) AS stale, provider_percent FROM k""",
+    "allocation_of_few_days": f"""WITH {BARS_SQL} SELECT count(*) - 1 AS n, 0.0::DOUBLE AS log_growth, 0.0::DOUBLE AS cagr_percent, 0.0::DOUBLE AS volatility_percent, 0.0::DOUBLE AS sharpe, 0.0::DOUBLE AS max_drawdown_percent
+        FROM (SELECT date FROM bars WHERE symbol IN ('AF', 'NO', 'RO') AND date BETWEEN DATE '1998-12-01' AND DATE '1998-12-20' GROUP BY date HAVING count(DISTINCT symbol) = 3) HAVING count(*) < 30""",
     "volatility_report": steps(
         f"lr AS (SELECT symbol, date, n, 100 * (ln(close) - ln({lag('close')})) AS r FROM numbered {W})",
         f"lq AS (SELECT symbol, n, r, {lag('r')} AS q FROM lr {W})",
