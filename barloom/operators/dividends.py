@@ -10,20 +10,9 @@ from barloom.functions.series import r6
 c = F.col
 
 
-def parse(rows: DataFrame, as_of: str) -> DataFrame:
-    """Raw string rows ``symbol, date, value, unadjusted, special`` to payments.
-
-    The value falls back to the unadjusted one; bad dates and values that are
-    not positive drop out; repeats of date, amount and kind count once.
-    ``upcoming`` marks ex-dates after ``as_of``.
-    """
-    amount = F.coalesce(F.expr("try_cast(value AS double)"), F.expr("try_cast(unadjusted AS double)"))
-    df = rows.select(
-        "symbol", F.expr("try_to_date(substring(date, 1, 10))").alias("ex_date"), F.round(amount, 6).alias("amount"),
-        F.coalesce("special", F.lit(False)).alias("is_special")
-    )
-    df = df.where(c("ex_date").isNotNull() & (c("amount") > 0)).dropDuplicates()
-    return df.withColumn("upcoming", c("ex_date") > F.lit(as_of).cast("date"))
+def upcoming(pays: DataFrame, as_of: str) -> DataFrame:
+    """Payments with ``upcoming``: whether the ex-date is after ``as_of``."""
+    return pays.withColumn("upcoming", c("ex_date") > F.lit(as_of).cast("date"))
 
 
 def annual_table(pays: DataFrame, as_of: str) -> DataFrame:

@@ -22,7 +22,7 @@ from barloom.plans.oracles_analytics import MIX, TRIO
 from barloom.plans.oracles_calendar import AS_OF
 from barloom.plans.oracles_portfolio import STATEMENTS
 from barloom.sources.bars import bars, bars_hourly, bars_stock, table
-from barloom.sources.documents import parsed
+from barloom.sources.documents import parse_dividends, parsed
 from barloom.sources.fundamentals import annual_eps, documents, fund_documents, fundamentals
 from barloom.sources.scratch import shared_dir
 from barloom.streaming import bars as st
@@ -209,11 +209,12 @@ def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.when(F.col("c_custkey") % 11 == 0, "bad").otherwise(
         F.concat(F.lit("2001-0"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit("-15T00:00"))
     )
-    rows = c.select(
-        F.col("c_mktsegment").alias("symbol"), date.alias("date"), value.alias("value"), (F.col("c_custkey") % 30).cast("string").alias("unadjusted"),
-        (F.col("c_custkey") % 13 == 0).alias("special")
-    )
-    return dv.parse(rows, "2001-06-30")
+    unadjusted = (F.col("c_custkey") % 30).cast("string").alias("unadjustedValue")
+    period = F.when(F.col("c_custkey") % 13 == 0, "Special").alias("period")
+    rows = c.select(F.col("c_mktsegment").alias("symbol"), date.alias("date"), value.alias("value"), unadjusted, period)
+    none = [F.lit(None).cast("string").alias(x) for x in ("paymentDate", "declarationDate", "recordDate", "currency")]
+    found = parse_dividends(rows.select("*", *none)).select("symbol", "ex_date", F.round("amount", 6).alias("amount"), "is_special")
+    return dv.upcoming(found, "2001-06-30")
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:

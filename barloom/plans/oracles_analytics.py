@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.plans.oracles_technical import NUMBERED, W, lag, r6, steps
+from barloom.plans.oracles_technical import W, lag, steps
 from barloom.sources.bars import BARS_SQL, HOURS_SQL, STOCKS_SQL
 
 TRIO = ["AF", "NO", "RF"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.plans.oracles_analytics import MIX, MONTH_ENDS, _with
-from barloom.plans.oracles_technical import NUMBERED, W, _w, lag, roll, sma, steps
-from barloom.sources.bars import BARS_SQL, STOCKS_SQL
+from barloom.plans.oracles_analytics import MIX, _with
+from barloom.plans.oracles_technical import W, _w, lag, roll, sma, steps
+from barloom.sources.bars import BARS_SQL
 
 AS_OF = "2001-10-20"
 MONTHS = f"""ends_m AS (SELECT symbol, year(date) * 12 + month(date) - 1 AS m, arg_max(adjusted_close, date) AS p, max(date) AS last FROM bars GROUP BY ALL),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from barloom.operators.quant import ricker
-from barloom.plans.oracles_technical import INDICATORS, NUMBERED, W, _w, lag, roll, sma, steps
+from barloom.plans.oracles_technical import INDICATORS, W, _w, lag, roll, sma, steps
 
 _LOG = f"lr AS (SELECT *, ln(close) - ln({lag('close')}) AS r FROM numbered {W})"
 _LR = "l AS (SELECT *, r * r AS r2 FROM lr WHERE r IS NOT NULL)"
