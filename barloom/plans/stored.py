@@ -52,6 +52,8 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Event types, and symbols of the funds, are no more than this.
+KEYS = 8
 #: Days of the events' month that begin a new file of the stream.
 SLICES = ["2024-01-08", "2024-01-15 12:00:00", "2024-01-24"]
 
@@ -60,7 +62,8 @@ def averages_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     e = events(spark, sf_dir).select(*[c.split()[0] for c in st.EVENT.split(", ")])
     stream = st.in_order(e, f"{folder}/{uuid.uuid4().hex}", "ts", SLICES)
-    out = st.run_updates(st.running_average(stream), folder, "symbol", "n")
+    with st.few_keys(spark, KEYS):
+        out = st.run_updates(st.running_average(stream), folder, "symbol", "n")
     return out.select("symbol", F.round("average", 6).alias("average"), "n")
 
 
@@ -71,7 +74,7 @@ LATE = "4 hours"
 def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     stream = st.in_order(_trades(spark, sf_dir), f"{folder}/{uuid.uuid4().hex}", "ts", SLICES)
-    with ss.timers(spark):
+    with ss.timers(spark), st.few_keys(spark, KEYS):
         return st.run_to_table(ss.closed_bars(stream, LATE), folder)
 
 
@@ -189,12 +192,14 @@ def _bar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closes = st.run_updates(st.monthly_closes(_bar_stream(spark, sf_dir)), shared_dir(spark), ["symbol", "month"], "n")
+    with st.few_keys(spark, KEYS):
+        closes = st.run_updates(st.monthly_closes(_bar_stream(spark, sf_dir)), shared_dir(spark), ["symbol", "month"], "n")
     return st.months_so_far(closes)
 
 
 def stream_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = st.run_updates(st.running_indicators(_bar_stream(spark, sf_dir)), shared_dir(spark), "symbol", "i")
+    with st.few_keys(spark, KEYS):
+        found = st.run_updates(st.running_indicators(_bar_stream(spark, sf_dir)), shared_dir(spark), "symbol", "i")
     return found.select("symbol", "date", "i", "close", *[F.round(x, 6).alias(x) for x in VIEW])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -74,6 +75,20 @@ def running_average(events: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
+@contextmanager
+def few_keys(spark: SparkSession, keys: int) -> Iterator[None]:
+    """For streams started inside: state in no more partitions than there are keys.  A
+    stream keeps the number that it started with, and each one costs a store and a
+    Python worker in every batch, so few keys shouldn't be dealt over hundreds."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(keys, 1))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """Take in all there is, append the results as Parquet, and read them."""
     path = f"{folder}/{uuid.uuid4().hex}"

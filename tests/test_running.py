@@ -57,3 +57,16 @@ def test_months_of_a_stream(spark, bars, tmp_path):
         assert r.is_complete == (month != datetime.date(2021, 1, 1)) or (s, month) == ("B", datetime.date(2020, 11, 1))
         assert (r.rank is not None) == (r.is_complete and known)
     assert got["A", datetime.date(2020, 6, 1)].return_percent is None  # May is missing
+
+
+def test_state_partitions_follow_few_keys(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    with st.few_keys(spark, 2):
+        assert spark.conf.get(name) == "2"
+    with st.few_keys(spark, 10_000):
+        assert spark.conf.get(name) == before
+    with pytest.raises(ValueError):
+        with st.few_keys(spark, 3):
+            raise ValueError
+    assert spark.conf.get(name) == before
