@@ -74,7 +74,7 @@ ORACLES = {
         SELECT symbol, CASE WHEN unpaid THEN 'no_history' WHEN mixed THEN 'not_meaningful' ELSE status END AS status, CASE WHEN unpaid THEN 'no dividend history' WHEN mixed THEN 'paid in ' || paid_in || ', reported in ' || reported_in END AS reason,
             CASE WHEN NOT unpaid AND NOT mixed THEN basis END AS basis, CASE WHEN NOT unpaid AND NOT mixed THEN payout_percent END AS payout_percent, CASE WHEN NOT unpaid AND NOT mixed THEN band END AS band,
             coalesce(DATE '2001-06-30' - stop > 548, false) AS stale, provider_percent FROM k""",
-    "allocation_of_few_days": f"""WITH {BARS_SQL} SELECT count(*) - 1 AS n, 0.0::DOUBLE AS log_growth, 0.0::DOUBLE AS cagr_percent, 0.0::DOUBLE AS volatility_percent, 0.0::DOUBLE AS sharpe, 0.0::DOUBLE AS max_drawdown_percent
+    "allocation_of_few_days": f"""WITH {BARS_SQL} SELECT greatest(count(*) - 1, 0) AS n, 0.0::DOUBLE AS log_growth, 0.0::DOUBLE AS cagr_percent, 0.0::DOUBLE AS volatility_percent, 0.0::DOUBLE AS sharpe, 0.0::DOUBLE AS max_drawdown_percent
         FROM (SELECT date FROM bars WHERE symbol IN ('AF', 'NO', 'RO') AND date BETWEEN DATE '1998-12-01' AND DATE '1998-12-20' GROUP BY date HAVING count(DISTINCT symbol) = 3) HAVING count(*) < 30""",
     "volatility_report": steps(
         f"lr AS (SELECT symbol, date, n, 100 * (ln(close) - ln({lag('close')})) AS r FROM numbered {W})",
