@@ -12,6 +12,7 @@ shuffle nor a sort.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +34,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _bars(trades: DataFrame, key: Column) -> DataFrame:
-    """From ``symbol, date, price, quantity`` trades, ordered in a day by ``key``."""
-    days = trades.groupBy("symbol", "date").agg(
-        F.min_by("price", key).alias("open"),
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def _bars(trades: DataFrame, named: Callable[[DataFrame], DataFrame], kept: Callable[[Callable[[], DataFrame]], DataFrame]) -> DataFrame:
+    """From trades (``date, price, quantity`` and ``LINE_KEY``), to which ``named`` adds
+    their ``symbol``, ordered in a day by the key.
+
+    Spark sorts all trades to find the least of a key of several columns, but keeps sums
+    and extremes of plain columns in a hash table of days.  So the first pass finds each
+    day's extremes of the key's first column too, and only trades that have one of them
+    are ordered by the whole key.  ``kept`` stores the days in between: their known size
+    lets Spark broadcast them to the trades while they are few."""
+    lead = F.col(LINE_KEY[0])
+    days = kept(lambda: named(trades).groupBy("symbol", "date").agg(
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", key).alias("close"),
         F.sum("quantity").cast("long").alias("volume"),
+        F.when(F.count(lead) == F.count("*"), F.min(lead)).alias("first"),  # null comes first
+        F.max(lead).alias("last"),
+    ))
+    ends = days.select(F.col("date").alias("__date"), F.explode(F.array("first", "last")).alias("__lead"))
+    near = trades.join(ends, F.col("date").eqNullSafe(F.col("__date")) & lead.eqNullSafe(F.col("__lead")), "left_semi")
+    key = F.struct(*LINE_KEY)
+    found = named(near).groupBy(F.col("symbol").alias("__symbol"), F.col("date").alias("__date")).agg(
+        F.min_by("price", key).alias("open"), F.max_by("price", key).alias("close")
     )
+    same = F.col("symbol").eqNullSafe(F.col("__symbol")) & F.col("date").eqNullSafe(F.col("__date"))
     factor = F.when(F.col("date") < F.lit(SPLIT_DATE).cast("date"), SPLIT_FACTOR).otherwise(1.0)
-    return days.withColumn("adjusted_close", F.round(F.col("close") * factor, 4)).select(*BAR.fieldNames())
+    return days.join(found, same).withColumn("adjusted_close", F.round(F.col("close") * factor, 4)).select(*BAR.fieldNames())
 
 
 def cents(amount: Column) -> Column:
@@ -96,9 +115,6 @@ def drop_stored(spark: SparkSession) -> int:
     return len(mine)
 
 
-LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-
-
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the six return-flag and line-status symbols (the fund universe)."""
     return stored(spark, "bars", [f"{sf_dir}/lineitem.parquet"], lambda: _fund_bars(spark, sf_dir))
@@ -109,13 +125,17 @@ def bars_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, "years", [f"{sf_dir}/lineitem.parquet"], lambda: bars(spark, sf_dir), by_year=True)
 
 
-def _fund_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem")
-    trades = t.select(
-        F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.to_date("l_shipdate").alias("date"),
-        cents(F.col("l_extendedprice") / 10).alias("price"), F.col("l_quantity").alias("quantity"), F.struct(*LINE_KEY).alias("k")
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.to_date("l_shipdate").alias("date"), cents(F.col("l_extendedprice") / 10).alias("price"), F.col("l_quantity").alias("quantity"),
+        "l_returnflag", "l_linestatus", *LINE_KEY
     )
-    return _bars(trades, F.col("k"))
+
+
+def _fund_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda trades: trades.withColumn("symbol", F.concat("l_returnflag", "l_linestatus"))
+    kept = lambda make: stored(spark, "bar_days", [f"{sf_dir}/lineitem.parquet"], make, bucketed=False)
+    return _bars(_trades(spark, sf_dir), named, kept)
 
 
 def bars_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,13 +144,10 @@ def bars_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stock_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem")
-    brand = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
-    trades = t.join(brand, "l_partkey").select(
-        "symbol", F.to_date("l_shipdate").alias("date"), cents(F.col("l_extendedprice") / 10).alias("price"), F.col("l_quantity").alias("quantity"),
-        F.struct(*LINE_KEY).alias("k")
-    )
-    return _bars(trades, F.col("k"))
+    # a hash table of each partition's parts: a merge join would sort all trades by part
+    brand = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol")).hint("shuffle_hash")
+    kept = lambda make: stored(spark, "stock_days", [f"{sf_dir}/{x}.parquet" for x in ("lineitem", "part")], make, bucketed=False)
+    return _bars(_trades(spark, sf_dir), lambda trades: trades.join(brand, "l_partkey"), kept)
 
 
 def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
