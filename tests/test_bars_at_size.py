@@ -34,7 +34,7 @@ def plans(spark, monkeypatch):
     b.drop_stored(spark)
 
 
-@pytest.mark.parametrize("query", ["graham_valuation", "snapshots_for_bars", "composite_score"])
+@pytest.mark.parametrize("query", ["graham_valuation", "snapshots_for_bars", "composite_score", "snapshot_refreshes"])
 def test_trades_are_not_sorted(spark, plans, query):
     __spark_entry__.queries()[query](spark, SMOKE)
     read = {name: plan for name, plan in plans.items() if "lineitem" in plan}
