@@ -35,6 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+#: So many days of all symbols are broadcast to the trades (two short rows each).
+FEW_DAYS = 200_000
 
 
 def _bars(trades: DataFrame, named: Callable[[DataFrame], DataFrame], kept: Callable[[Callable[[], DataFrame]], DataFrame]) -> DataFrame:
@@ -44,8 +46,9 @@ def _bars(trades: DataFrame, named: Callable[[DataFrame], DataFrame], kept: Call
     Spark sorts all trades to find the least of a key of several columns, but keeps sums
     and extremes of plain columns in a hash table of days.  So the first pass finds each
     day's extremes of the key's first column too, and only trades that have one of them
-    are ordered by the whole key.  ``kept`` stores the days in between: their known size
-    lets Spark broadcast them to the trades while they are few."""
+    are ordered by the whole key.  ``kept`` stores the days in between: by their number
+    they are broadcast to the trades or hashed by partition, whatever Spark's threshold
+    is, as a merge join would sort all trades."""
     lead = F.col(LINE_KEY[0])
     days = kept(lambda: named(trades).groupBy("symbol", "date").agg(
         F.max("price").alias("high"),
@@ -55,6 +58,7 @@ def _bars(trades: DataFrame, named: Callable[[DataFrame], DataFrame], kept: Call
         F.max(lead).alias("last"),
     ))
     ends = days.select(F.col("date").alias("__date"), F.explode(F.array("first", "last")).alias("__lead"))
+    ends = ends.hint("broadcast" if days.count() <= FEW_DAYS else "shuffle_hash")
     near = trades.join(ends, F.col("date").eqNullSafe(F.col("__date")) & lead.eqNullSafe(F.col("__lead")), "left_semi")
     key = F.struct(*LINE_KEY)
     found = named(near).groupBy(F.col("symbol").alias("__symbol"), F.col("date").alias("__date")).agg(

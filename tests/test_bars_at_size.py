@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 
@@ -43,6 +44,18 @@ def test_trades_are_not_sorted(spark, plans, query):
     assert all("Sort" not in plan or "LeftSemi" in plan for plan in read.values())
 
 
+def _semi(plan):
+    """The kinds of join by which trades at the ends of a day are found."""
+    return re.findall(r"(\w+Join) .*LeftSemi", plan)
+
+
+@pytest.mark.parametrize("query", ["snapshots_for_bars"])
+def test_ends_of_days_meet_unsorted_trades(spark, plans, query):
+    # a threshold below the days' size must not lead to a merge join, which sorts all trades
+    __spark_entry__.queries()[query](spark, SMOKE)
+    assert _semi(plans["stocks"]) == ["BroadcastHashJoin"]
+
+
 DAYS = [dt.datetime(1998, 5, 30, 12), dt.datetime(1998, 6, 1), dt.datetime(1998, 6, 2, 23), None]
 
 
@@ -90,3 +103,13 @@ def test_fund_bars_with_ties_and_nulls(spark, trades):
     want = _walk([(x[6] + x[7], x) for x in rows])
     got = [tuple(x) for x in b.bars(spark, sf_dir).collect()]
     assert len(got) == len(want) == 16 and set(got) == want
+
+
+@pytest.mark.parametrize("most, join", [(0, "ShuffledHashJoin"), (1000, "BroadcastHashJoin")])
+def test_many_and_few_days(spark, plans, trades, monkeypatch, most, join):
+    sf_dir, rows, brands = trades
+    monkeypatch.setattr(b, "FEW_DAYS", most)
+    stocks, funds = ({tuple(x) for x in f(spark, sf_dir).collect()} for f in (b.bars_stock, b.bars))
+    assert stocks == _walk([(brand, x) for x in rows for part, brand in brands if part == x[2]])
+    assert funds == _walk([(x[6] + x[7], x) for x in rows])
+    assert _semi(plans["stocks"]) == _semi(plans["bars"]) == [join]
