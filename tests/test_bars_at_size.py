@@ -49,7 +49,7 @@ def _semi(plan):
     return re.findall(r"(\w+Join) .*LeftSemi", plan)
 
 
-@pytest.mark.parametrize("query", ["snapshots_for_bars", "composite_score"])
+@pytest.mark.parametrize("query", ["snapshots_for_bars", "composite_score", "snapshot_refreshes"])
 def test_ends_of_days_meet_unsorted_trades(spark, plans, query):
     # a threshold below the days' size must not lead to a merge join, which sorts all trades
     __spark_entry__.queries()[query](spark, SMOKE)
