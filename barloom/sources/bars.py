@@ -12,7 +12,8 @@ shuffle nor a sort.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 #: So many days of all symbols are broadcast to the trades (two short rows each).
 FEW_DAYS = 200_000
+#: Spark's own ``spark.shuffle.sort.bypassMergeThreshold``.
+AS_THEY_COME = 200
+
+
+@contextmanager
+def written_as_they_come(spark: SparkSession) -> Iterator[None]:
+    """For shuffles of all trades that are planned and run inside: in no more partitions than
+    those up to which a task writes its rows as they come.  Beyond, it first gathers and
+    sorts all rows that it has read, so its memory grows with its part of the input."""
+    most = max(AS_THEY_COME, int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", str(AS_THEY_COME))))
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    before = {x: n for x in names if (n := spark.conf.get(x, None)) and int(n) > most}
+    try:
+        for x in before:
+            spark.conf.set(x, str(most))
+        yield
+    finally:
+        for x, n in before.items():
+            spark.conf.set(x, n)
 
 
 def _bars(trades: DataFrame, named: Callable[[DataFrame], DataFrame], kept: Callable[[Callable[[], DataFrame]], DataFrame]) -> DataFrame:
@@ -88,18 +108,20 @@ def _version(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted(found))
 
 
-def stored(spark: SparkSession, name: str, sources: list[str], make, bucketed: bool = True, by_year: bool = False) -> DataFrame:
+def stored(spark: SparkSession, name: str, sources: list[str], make, bucketed: bool = True, by_year: bool = False, inside=nullcontext) -> DataFrame:
     """The rows that ``make()`` gives, from a table (in buckets of the symbol; ``by_year``:
-    in partitions of ``year`` too) if ``sources`` are what they were when it was written."""
+    in partitions of ``year`` too) if ``sources`` are what they were when it was written.
+    Else it is made and written under the context ``inside(spark)``."""
     key = (spark.conf.get("spark.app.id"), name, *sources, *(_version(spark, x) for x in sources))
     if key not in _STORE or not spark.catalog.tableExists(_STORE[key]):
         made, n = f"barloom_{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = make()
-        if by_year:
-            writer = rows.withColumn("year", F.year("date")).repartition(n, "symbol").write.partitionBy("year").bucketBy(n, "symbol").sortBy("symbol", "date")
-        else:
-            writer = rows.repartition(n, "symbol").write.bucketBy(n, "symbol").sortBy("symbol", "date") if bucketed else rows.write
-        writer.format("parquet").option("path", f"{shared_dir(spark)}/{made}").saveAsTable(made)
+        with inside(spark):
+            rows = make()
+            if by_year:
+                writer = rows.withColumn("year", F.year("date")).repartition(n, "symbol").write.partitionBy("year").bucketBy(n, "symbol").sortBy("symbol", "date")
+            else:
+                writer = rows.repartition(n, "symbol").write.bucketBy(n, "symbol").sortBy("symbol", "date") if bucketed else rows.write
+            writer.format("parquet").option("path", f"{shared_dir(spark)}/{made}").saveAsTable(made)
         _STORE[key] = made
     # one file a bucket: the scan may tell Spark that its rows are sorted
     spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
@@ -121,7 +143,7 @@ def drop_stored(spark: SparkSession) -> int:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the six return-flag and line-status symbols (the fund universe)."""
-    return stored(spark, "bars", [f"{sf_dir}/lineitem.parquet"], lambda: _fund_bars(spark, sf_dir))
+    return stored(spark, "bars", [f"{sf_dir}/lineitem.parquet"], lambda: _fund_bars(spark, sf_dir), inside=written_as_they_come)
 
 
 def bars_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +166,7 @@ def _fund_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the part brands (the stock universe)."""
-    return stored(spark, "stocks", [f"{sf_dir}/{x}.parquet" for x in ("lineitem", "part")], lambda: _stock_bars(spark, sf_dir))
+    return stored(spark, "stocks", [f"{sf_dir}/{x}.parquet" for x in ("lineitem", "part")], lambda: _stock_bars(spark, sf_dir), inside=written_as_they_come)
 
 
 def _stock_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

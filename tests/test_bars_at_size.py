@@ -56,6 +56,42 @@ def test_ends_of_days_meet_unsorted_trades(spark, plans, query):
     assert _semi(plans["stocks"]) == ["BroadcastHashJoin"]
 
 
+def _dealt(plan):
+    """The numbers of partitions that all trades are dealt to by part."""
+    return {int(n) for n in re.findall(r"hashpartitioning\(l_partkey#\d+L?, (\d+)\)", plan)}
+
+
+@pytest.mark.parametrize("query", ["composite_score"])
+def test_trades_are_not_gathered_by_a_shuffle_to_many_partitions(spark, plans, query):
+    # a shuffle to over 200 partitions holds and sorts what a task has read
+    name, made = "spark.sql.shuffle.partitions", lambda: __spark_entry__.queries()[query](spark, SMOKE)
+    few = {tuple(x) for x in made().collect()}
+    before = spark.conf.get(name)
+    assert _dealt(plans["stock_days"]) == _dealt(plans["stocks"]) == {int(before)}
+    b.drop_stored(spark)
+    spark.conf.set(name, "203")
+    try:
+        assert {tuple(x) for x in made().collect()} == few
+        assert _dealt(plans["stock_days"]) == _dealt(plans["stocks"]) == {200}
+        assert spark.conf.get(name) == "203"
+    finally:
+        spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("first", ["200", "500"])
+def test_first_number_of_partitions_is_bounded_and_put_back(spark, first):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert spark.conf.get(name, None) is None
+    spark.conf.set(name, first)
+    try:
+        with pytest.raises(ZeroDivisionError), b.written_as_they_come(spark):
+            assert spark.conf.get(name) == "200"
+            1 / 0
+        assert spark.conf.get(name) == first
+    finally:
+        spark.conf.unset(name)
+
+
 DAYS = [dt.datetime(1998, 5, 30, 12), dt.datetime(1998, 6, 1), dt.datetime(1998, 6, 2, 23), None]
 
 
