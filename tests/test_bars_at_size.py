@@ -61,7 +61,7 @@ def _dealt(plan):
     return {int(n) for n in re.findall(r"hashpartitioning\(l_partkey#\d+L?, (\d+)\)", plan)}
 
 
-@pytest.mark.parametrize("query", ["composite_score"])
+@pytest.mark.parametrize("query", ["composite_score", "snapshot_refreshes"])
 def test_trades_are_not_gathered_by_a_shuffle_to_many_partitions(spark, plans, query):
     # a shuffle to over 200 partitions holds and sorts what a task has read
     name, made = "spark.sql.shuffle.partitions", lambda: __spark_entry__.queries()[query](spark, SMOKE)
